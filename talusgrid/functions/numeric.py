@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Coefficients of the published Chebyshev-fitted erfc (relative error about 1e-7),
@@ -69,45 +69,57 @@ def ierfc_array(eta: np.ndarray) -> np.ndarray:
     return np.exp(-eta * eta) / math.sqrt(math.pi) - eta * (t * np.exp(-eta * eta + series))
 
 
-def _scaled_half_even(x: Column, digits: int) -> Column:
-    """x * 10**digits rounded to a whole number on the exact binary value, ties to even (x >= 0).
+def with_compact_labels(df: DataFrame, labels: dict[str, str]) -> DataFrame:
+    """Short numbers for legends, {label column: value column}: 2.5M, 1.2k, 340, 7.5, 0.25.
 
-    Multiplying by 100 loses bits, which can turn 0.15 into a false tie. The lost part is
-    recovered with an exact two-term product and only decides at ties.
+    Digits are those of Python's fixed-point format: the exact binary value is rounded, ties to
+    even. Multiplying by 10 or 100 loses bits, which can turn 0.15 into a false tie, so the lost
+    part is recovered with an exact two-term product and decides at ties. The steps are staged
+    projections, each using the columns of the one before.
     """
-    if digits == 0:
-        return F.rint(x).cast("long")
-    scale = float(10**digits)
-    y = x * scale
-    whole = F.floor(y)
-    part = y - whole
-    split = x * 134217729e0
-    high = split - (split - x)
-    lost = (high * scale - y) + (x - high) * scale
-    tie_up = (lost > 0) | ((lost == 0) & (whole % 2 == 1))
-    return whole + F.when((part > 0.5) | ((part == 0.5) & tie_up), 1).otherwise(0)
-
-
-def fixed_text(x: Column, digits: int) -> Column:
-    """Non-negative x with a fixed number of decimals, as Python's format prints it."""
-    n = _scaled_half_even(x, digits)
-    if digits == 0:
-        return n.cast("string")
-    base = 10**digits
-    return F.concat(F.floor(n / base).cast("string"), F.lit("."), F.lpad((n % base).cast("string"), digits, "0"))
-
-
-def compact_label(v: Column) -> Column:
-    """Short number for legends: 2.5M, 1.2k, 340, 7.5, 0.25."""
-    size = F.abs(v)
-    text = (
-        F.when(size >= 1e6, F.concat(fixed_text(size / 1e6, 1), F.lit("M")))
-        .when(size >= 1e3, F.concat(fixed_text(size / 1e3, 1), F.lit("k")))
-        .when(size >= 100, fixed_text(size, 0))
-        .when(size >= 1, fixed_text(size, 1))
-        .otherwise(fixed_text(size, 2))
+    names = list(labels)
+
+    def stage(work: DataFrame, suffix: str, make) -> DataFrame:
+        return work.withColumns({f"_{n}{suffix}": make(n) for n in names})
+
+    def col(name: str, suffix: str) -> Column:
+        return F.col(f"_{name}{suffix}")
+
+    work = stage(df, "_size", lambda n: F.abs(F.col(labels[n])))
+    size = lambda n: col(n, "_size")
+    work = stage(work, "_x", lambda n: F.when(size(n) >= 1e6, size(n) / 1e6).when(size(n) >= 1e3, size(n) / 1e3).otherwise(size(n)))
+    work = stage(
+        work,
+        "_k",
+        lambda n: F.when(size(n) >= 1e3, 10e0).when(size(n) >= 100, 1e0).when(size(n) >= 1, 10e0).otherwise(100e0),
+    )
+    work = stage(work, "_y", lambda n: col(n, "_x") * col(n, "_k"))
+    work = stage(work, "_split", lambda n: col(n, "_x") * 134217729e0)
+    work = stage(work, "_high", lambda n: col(n, "_split") - (col(n, "_split") - col(n, "_x")))
+    work = stage(
+        work,
+        "_lost",
+        lambda n: (col(n, "_high") * col(n, "_k") - col(n, "_y")) + (col(n, "_x") - col(n, "_high")) * col(n, "_k"),
     )
-    return F.when(v < 0, F.concat(F.lit("-"), text)).otherwise(text)
+    work = stage(work, "_whole", lambda n: F.floor(col(n, "_y")))
+    work = stage(work, "_part", lambda n: col(n, "_y") - col(n, "_whole"))
+
+    def rounded(n: str) -> Column:
+        tie_up = (col(n, "_lost") > 0) | ((col(n, "_lost") == 0) & (col(n, "_whole") % 2 == 1))
+        return col(n, "_whole") + F.when((col(n, "_part") > 0.5) | ((col(n, "_part") == 0.5) & tie_up), 1).otherwise(0)
+
+    work = stage(work, "_n", rounded)
+
+    def text(n: str) -> Column:
+        digits, k = col(n, "_n"), col(n, "_k")
+        tens = F.concat(F.floor(digits / 10).cast("string"), F.lit("."), (digits % 10).cast("string"))
+        cents = F.concat(F.floor(digits / 100).cast("string"), F.lit("."), F.lpad((digits % 100).cast("string"), 2, "0"))
+        body = F.when(k == 1, digits.cast("string")).when(k == 10, tens).otherwise(cents)
+        sign = F.when(F.col(labels[n]) < 0, "-").otherwise("")
+        unit = F.when(size(n) >= 1e6, "M").when(size(n) >= 1e3, "k").otherwise("")
+        return F.when(F.col(labels[n]).isNotNull(), F.concat(sign, body, unit))
+
+    return work.select(*df.columns, *[text(n).alias(n) for n in names])
 
 
 def half_even_step(width: int, target: int) -> int:

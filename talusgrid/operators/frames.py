@@ -64,7 +64,8 @@ def _two_hex(column: str):
 def _packed(entries, columns: list[str]):
     """Sorted entries -> base64 text of their bytes, interleaved per node."""
     text = F.transform(F.array_sort(entries), lambda x: F.concat(*[_two_hex(c)(x) for c in columns]))
-    return F.base64(F.unhex(F.array_join(text, "")))
+    # base64 may break its text into lines; the packed form is one line.
+    return F.translate(F.base64(F.unhex(F.array_join(text, ""))), "\r\n", "")
 
 
 def pack_frames(levels: DataFrame, nodes_per_pack: int = NODES_PER_PACK) -> DataFrame:

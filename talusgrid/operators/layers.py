@@ -6,11 +6,13 @@ projection with constants, so no join or window touches the cell table.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from talusgrid.functions.numeric import clip, compact_label
+from talusgrid.functions.numeric import clip, with_compact_labels
 from talusgrid.functions.terrain import null_below, null_negative
 from talusgrid.operators.quantiles import exact_percentiles
 
@@ -87,7 +89,7 @@ def log_ticks(cells: DataFrame, columns: list[str]) -> DataFrame:
         ]
     )
     out = cells.sparkSession.range(1).select(F.inline(ticks))
-    return out.withColumn("label", compact_label(F.col("value")))
+    return with_compact_labels(out, {"label": "value"})
 
 
 def cyclic_layer(cells: DataFrame, column: str) -> DataFrame:
@@ -177,13 +179,15 @@ def exaggerated_height(cells: DataFrame, factor: float = 1.6, column: str = "ele
 
 def soil_layers(nodes: DataFrame) -> DataFrame:
     """Friction and cohesion layers, empty outside the soil map and stretched over covered nodes only."""
-    out = nodes
-    for name in ("friction_deg", "cohesion_kpa"):
-        seen = F.when(F.col("has_soil"), F.col(name))
-        low = nodes.agg(F.min(seen).alias("m")).scalar()
-        high = nodes.agg(F.max(seen).alias("m")).scalar()
-        out = out.withColumn(f"{name}_norm", stretched(seen, low, high))
-    return out
+    names = ("friction_deg", "cohesion_kpa")
+    seen = {n: F.when(F.col("has_soil"), F.col(n)) for n in names}
+    limits = nodes.agg(
+        F.struct(*[f(x).alias(f"{n}_{k}") for n, x in seen.items() for k, f in (("lo", F.min), ("hi", F.max))])
+    ).scalar()
+    return nodes.withColumn("_limits", limits).select(
+        *nodes.columns,
+        *[stretched(seen[n], F.col(f"_limits.{n}_lo"), F.col(f"_limits.{n}_hi")).alias(f"{n}_norm") for n in names],
+    )
 
 
 def layer_catalogue(cells: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -207,54 +211,59 @@ def layer_catalogue(cells: DataFrame, nodes: DataFrame) -> DataFrame:
         *[f("precip_mm").alias(f"rain_{k}") for k, f in (("lo", F.min), ("hi", F.max))],
         *[f(x).alias(f"{n}_{k}") for n, x in soil.items() for k, f in (("lo", F.min), ("hi", F.max))],
     )
-    none = F.lit(None).cast("string")
-
     def ticks(labels) -> Column:
-        return F.array(
-            *[F.struct(F.lit(p).alias("pos"), F.lit(t).alias("label")) for p, t in zip(TICK_POSITIONS, labels)]
-        )
+        marks = [F.struct(F.lit(p).alias("pos"), F.lit(t).alias("label")) for p, t in zip(TICK_POSITIONS, labels)]
+        return F.array(*marks)
 
+    number = lambda x: F.lit(x).cast("double") if not isinstance(x, Column) else x
     no_ticks = F.lit(None).cast("array<struct<pos:double,label:string>>")
 
     def row(name: str, kind: str, low=None, high=None, middle=None, unit: str = "", marks=None) -> Column:
-        label = lambda x: none if x is None else F.concat(compact_label(x), F.lit(unit))
         return F.struct(
             F.lit(name).alias("layer"),
             F.lit(LAYER_TITLES[name]).alias("title"),
-            F.struct(
-                F.lit(kind).alias("kind"),
-                label(low).alias("minLabel"),
-                label(high).alias("maxLabel"),
-                label(middle).alias("midLabel"),
-                (no_ticks if marks is None else ticks(marks)).alias("ticks"),
-                (F.lit(True) if middle is not None else F.lit(None).cast("boolean")).alias("logScale"),
-            ).alias("legend"),
+            F.lit(kind).alias("kind"),
+            number(low).alias("low"),
+            number(high).alias("high"),
+            number(middle).alias("middle"),
+            F.lit(unit).alias("unit"),
+            (no_ticks if marks is None else ticks(marks)).alias("ticks"),
         )
 
     def log_row(name: str, limits: list[float]) -> Column:
         lo, hi = limits
-        return row(name, "gradient", F.expm1(F.lit(lo)), F.expm1(F.lit(hi)), F.expm1(F.lit(lo + 0.5 * (hi - lo))))
+        return row(name, "gradient", math.expm1(lo), math.expm1(hi), math.expm1(lo + 0.5 * (hi - lo)))
 
     rows = F.array(
-        row("slope", "gradient", F.lit(0e0), F.lit(60e0), unit="°"),
+        row("slope", "gradient", 0.0, 60.0, unit="°"),
         row("aspect", "cyclic", marks=COMPASS_TICKS),
-        row("roughness", "gradient", F.lit(0e0), F.lit(q["roughness"][0])),
+        row("roughness", "gradient", 0.0, q["roughness"][0]),
         log_row("flow-accumulation", q["flow_accum"]),
         log_row("specific-catchment-area", q["sca"]),
-        row("twi", "gradient", F.lit(q["twi"][0]), F.lit(q["twi"][1])),
+        row("twi", "gradient", *q["twi"]),
         row("flow-direction-dinf", "cyclic", marks=DEGREE_TICKS),
         row("flow-direction-d8", "categorical"),
         row("precipitation", "gradient", F.col("rain_lo"), F.col("rain_hi"), unit=" mm"),
         row("soil-friction-angle", "gradient", F.col("friction_deg_lo"), F.col("friction_deg_hi"), unit="°"),
         row("soil-cohesion", "gradient", F.col("cohesion_kpa_lo"), F.col("cohesion_kpa_hi"), unit=" kPa"),
     )
-    out = span.select(F.posexplode(rows).alias("display_order", "x"))
-    return out.select(
+    entries = span.select(F.posexplode(rows).alias("display_order", "x")).select("display_order", "x.*")
+    text = with_compact_labels(entries, {"low_text": "low", "high_text": "high", "middle_text": "middle"})
+    labelled = text.withColumns({f"{n}_label": F.concat(f"{n}_text", "unit") for n in ("low", "high", "middle")})
+    legend = F.struct(
+        "kind",
+        F.col("low_label").alias("minLabel"),
+        F.col("high_label").alias("maxLabel"),
+        F.col("middle_label").alias("midLabel"),
+        "ticks",
+        F.when(F.col("middle").isNotNull(), F.lit(True)).alias("logScale"),
+    )
+    return labelled.select(
         "display_order",
-        "x.layer",
-        "x.title",
-        F.col("x.legend.kind").alias("kind"),
-        F.col("x.legend.minLabel").alias("min_label"),
-        F.col("x.legend.maxLabel").alias("max_label"),
-        F.to_json("x.legend").alias("legend_json"),
+        "layer",
+        "title",
+        "kind",
+        F.col("low_label").alias("min_label"),
+        F.col("high_label").alias("max_label"),
+        F.to_json(legend).alias("legend_json"),
     )

@@ -7,6 +7,8 @@ the small side; nodes then meet them in a single lookup on the square they fall
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,6 +20,7 @@ from talusgrid.sources.workspace import cut_lineage
 
 CORNERS = ((0, 0), (0, 1), (1, 0), (1, 1))
 HULL_ROWS = 4096
+FAR_SIDE = 2
 
 
 def _squares(samples: DataFrame, row: str, col: str, values: list[str]) -> DataFrame:
@@ -92,9 +95,9 @@ def nearest_on_lattice(
 
     Near case: a square knows which of the 4 x 4 lattice points around it hold a sample, so the
     nearest one is picked by arithmetic; it is final when closer than 2, because every other
-    point is at least that far. The rest looks further out, in squares of doubling size, and
-    only among samples on the rim of the sampled area: a sample with all eight neighbours cannot
-    be nearest to a node more than one unit away.
+    point is at least that far. The rest looks further out, and only among samples on the rim of
+    the sampled area: a sample with all eight neighbours cannot be nearest to a node more than
+    one unit away.
     """
     offsets = [(i, j) for i in range(-1, 3) for j in range(-1, 3)]
     sample = F.struct("lr", "lc", *values)
@@ -118,68 +121,85 @@ def nearest_on_lattice(
     joined = joined.withColumns({"_a": F.col(v) - F.col("pi"), "_b": F.col(u) - F.col("pj")})
     a, b = F.col("_a"), F.col("_b")
 
-    def d2(i: int, j: int) -> Column:
-        return (a - i) * (a - i) + (b - j) * (b - j)
+    def candidate(k: int, i: int, j: int) -> Column:
+        d2 = (a - i) * (a - i) + (b - j) * (b - j)
+        return F.when(F.col("_mask").bitwiseAND(1 << k) != 0, F.struct(d2.alias("d2"), F.lit(k).alias("k")))
 
-    has = [F.col("_mask").bitwiseAND(1 << k) != 0 for k in range(16)]
-    joined = joined.withColumn("_d2", F.least(*[F.when(has[k], d2(i, j)) for k, (i, j) in enumerate(offsets)]))
-    pick = F.coalesce(*[F.when(has[k] & (d2(i, j) == F.col("_d2")), k) for k, (i, j) in enumerate(offsets)])
-    near = joined.withColumn("_s", F.when(F.col("_d2") < 4, F.col("_found")[pick]))
-    near = near.select(*nodes.columns, F.col("_s"))
-    found = near.where(F.col("_s").isNotNull())
+    nearest = F.least(*[candidate(k, i, j) for k, (i, j) in enumerate(offsets)])
+    joined = joined.withColumn("_best", nearest)
+    settled = F.col("_best.d2") < 4
     unplaced = F.col(u).isNull() | F.col(v).isNull()
-    missing = cut_lineage(near.where(F.col("_s").isNull() & ~unplaced).drop("_s"))
-    parts = [found, near.where(unplaced)]
-    if not missing.isEmpty():
-        rim = cut_lineage(_rim(samples, sample))
-        if not rim.isEmpty():
-            side = 4
-            while not missing.isEmpty():
-                best = _nearest_in_squares(missing, rim, side, key, u, v)
-                settled = cut_lineage(missing.join(best, key, "left"))
-                parts.append(settled.where(F.col("_s").isNotNull()))
-                missing = settled.where(F.col("_s").isNull()).drop("_s")
-                side *= 2
-        else:
-            parts.append(missing.withColumn("_s", F.lit(None).cast(near.schema["_s"].dataType)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(*nodes.columns, *[F.col("_s")[x].alias(x) for x in values])
+    near = joined.where(settled | unplaced).select(*nodes.columns, F.col("_found")[F.col("_best.k")].alias("_s"))
+    far = cut_lineage(joined.where(~F.coalesce(settled, F.lit(False)) & ~unplaced).select(*nodes.columns))
+    if not far.isEmpty():
+        near = near.unionByName(_nearest_far(far, cut_lineage(_rim(samples, sample)), key, u, v))
+    return near.select(*nodes.columns, *[F.col("_s")[x].alias(x) for x in values])
+
+
+def _grid3() -> Column:
+    return F.array(*[F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
 
 
 def _rim(samples: DataFrame, sample: Column) -> DataFrame:
     """Samples that lack at least one of their eight lattice neighbours."""
-    steps = F.array(*[F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    seen = samples.select("lr", "lc", F.inline(steps)).select(
+    seen = samples.select("lr", "lc", F.inline(_grid3())).select(
         (F.col("lr") + F.col("di")).alias("lr"), (F.col("lc") + F.col("dj")).alias("lc")
     )
     enclosed = seen.groupBy("lr", "lc").count().where(F.col("count") == 9).select("lr", "lc")
     return samples.join(enclosed, ["lr", "lc"], "left_anti").select("lr", "lc", sample.alias("s"))
 
 
-def _nearest_in_squares(nodes: DataFrame, rim: DataFrame, side: int, key: str, u: str, v: str) -> DataFrame:
-    """Nearest rim sample within the 3 x 3 squares around the node, if it is closer than one side."""
-    steps = F.array(*[F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    offered = rim.select("lr", "lc", "s", F.inline(steps)).select(
-        (F.floor(F.col("lr") / side) + F.col("di")).cast("int").alias("bi"),
-        (F.floor(F.col("lc") / side) + F.col("dj")).cast("int").alias("bj"),
-        "lr",
-        "lc",
-        "s",
+def _nearest_far(nodes: DataFrame, rim: DataFrame, key: str, u: str, v: str) -> DataFrame:
+    """Nearest rim sample for nodes that are far from all samples.
+
+    Space is cut into squares of side FAR_SIDE * 2^level. For every occupied node square the
+    first level is found at which a sample lies in the 3 x 3 squares around it. Such a sample is
+    at most sqrt(8) sides away, so the 3 x 3 squares two levels up hold the nearest one for sure.
+    """
+    reach = rim.agg(F.min("lr"), F.max("lr"), F.min("lc"), F.max("lc")).first()
+    ends = nodes.agg(F.min(v), F.max(v), F.min(u), F.max(u)).first()
+    if reach[0] is None:
+        return nodes.withColumn("_s", F.lit(None).cast(rim.schema["s"].dataType))
+    span = max(max(reach[1], ends[1]) - min(reach[0], ends[0]), max(reach[3], ends[3]) - min(reach[2], ends[2]))
+    top = max(0, math.ceil(math.log2(max(1.0, span) / FAR_SIDE))) + 1
+    levels = F.explode(F.sequence(F.lit(0), F.lit(top)))
+
+    def square(x: Column, side: Column) -> Column:
+        return F.floor(x / side).cast("int")
+
+    side = F.lit(FAR_SIDE) * F.pow(F.lit(2e0), F.col("level"))
+    occupied = rim.select("lr", "lc", levels.alias("level")).select(
+        "level", square(F.col("lr"), side).alias("i"), square(F.col("lc"), side).alias("j")
+    )
+    occupied = occupied.distinct().select("level", "i", "j", F.inline(_grid3())).select(
+        "level", (F.col("i") + F.col("di")).alias("bi"), (F.col("j") + F.col("dj")).alias("bj")
+    ).distinct()
+    placed = nodes.withColumns(
+        {"bi0": square(F.col(v), F.lit(FAR_SIDE)), "bj0": square(F.col(u), F.lit(FAR_SIDE))}
     )
-    placed = nodes.select(
-        key,
-        F.col(u).alias("_u"),
-        F.col(v).alias("_v"),
-        F.floor(F.col(v) / side).cast("int").alias("bi"),
-        F.floor(F.col(u) / side).cast("int").alias("bj"),
+    scale = F.pow(F.lit(2e0), F.col("level"))
+    squares = placed.select("bi0", "bj0").distinct().select("bi0", "bj0", levels.alias("level"))
+    squares = squares.withColumns({"bi": square(F.col("bi0"), scale), "bj": square(F.col("bj0"), scale)})
+    first = (
+        lookup_join(squares, occupied, ["level", "bi", "bj"], "inner")
+        .groupBy("bi0", "bj0")
+        .agg((F.min("level") + 2).alias("level"))
     )
-    pairs = lookup_join(placed, offered, ["bi", "bj"], "inner")
+    placed = lookup_join(placed, first, ["bi0", "bj0"], "inner").select(
+        key, F.col(u).alias("_u"), F.col(v).alias("_v"), "level",
+        square(F.col(v), side).alias("bi"), square(F.col(u), side).alias("bj"),
+    )
+    offered = rim.select("lr", "lc", "s", F.explode(F.sequence(F.lit(2), F.lit(top + 2))).alias("level"))
+    offered = offered.select(
+        "level", "lr", "lc", "s", square(F.col("lr"), side).alias("i"), square(F.col("lc"), side).alias("j"),
+        F.inline(_grid3()),
+    ).select(
+        "level", "lr", "lc", "s", (F.col("i") + F.col("di")).alias("bi"), (F.col("j") + F.col("dj")).alias("bj")
+    )
+    pairs = lookup_join(placed, offered, ["level", "bi", "bj"], "inner")
     dv, du = F.col("_v") - F.col("lr"), F.col("_u") - F.col("lc")
-    pairs = pairs.withColumn("_d2", dv * dv + du * du).where(F.col("_d2") < side * side)
-    best = pairs.groupBy(key).agg(F.min(F.struct("_d2", "lr", "lc", "s")).alias("m"))
-    return best.select(key, F.col("m.s").alias("_s"))
+    best = pairs.groupBy(key).agg(F.min(F.struct((dv * dv + du * du).alias("d2"), "lr", "lc", "s")).alias("m"))
+    return nodes.join(best.select(key, F.col("m.s").alias("_s")), key)
 
 
 def filled(

@@ -84,50 +84,51 @@ def route_steps(
     Debris moves at most one cell per transfer and one per overflow, so a block with a halo of
     two cells per step advances several steps by itself. Between passes the state is written out.
     """
-    left = steps
     state = cells.select("node_id", "r", "c", "h", "share", "d_row", "d_col")
-    while left > 0:
-        todo = min(per_pass, left)
-        halo = 2 * todo
-
-        def advance(rows_in: pd.DataFrame, todo=todo, halo=halo) -> pd.DataFrame:
-            win = Window(rows_in, block, halo)
-            n = win.side
-            area = n * n
-            d_row, d_col = rows_in["d_row"].to_numpy(), rows_in["d_col"].to_numpy()
-            goes = (d_row != 0) | (d_col != 0)
-            goes &= (win.i + d_row >= 0) & (win.i + d_row < n) & (win.j + d_col >= 0) & (win.j + d_col < n)
-            src = win.flat[goes]
-            dst = src + d_row[goes] * n + d_col[goes]
-            share = rows_in["share"].to_numpy(dtype=float)[goes]
-            h = win.fill(rows_in["h"].to_numpy(dtype=float), 0.0)
-            for _ in range(todo):
-                sent = np.where(h[src] > MOBILE_DEPTH_M, h[src] * share, 0.0)
-                h[src] -= sent
-                h += np.bincount(dst, sent, area)
-                over = np.flatnonzero(h > cap_m)
-                if len(over):
-                    part = (h[over] - cap_m) / 8.0
-                    h[over] = cap_m
-                    row, col = over // n + win.row0, over % n + win.col0
-                    for di, dj in NEIGHBOURS:
-                        i = np.clip(row + di, 0, rows - 1) - win.row0
-                        j = np.clip(col + dj, 0, cols - 1) - win.col0
-                        seen = (i >= 0) & (i < n) & (j >= 0) & (j < n)
-                        h += np.bincount(i[seen] * n + j[seen], part[seen], area)
-            out = rows_in.loc[win.core, ["node_id", "r", "c", "share", "d_row", "d_col"]].copy()
-            out["h"] = h[win.flat[win.core]]
-            return out
-
-        state = with_halo(state, block, halo).groupBy("br", "bc").applyInPandas(
-            advance, "node_id long, r int, c int, h double, share double, d_row int, d_col int"
-        )
-        left -= todo
-        if left > 0:
+    schema = "node_id long, r int, c int, share double, d_row int, d_col int, h double"
+    done = 0
+    while done < steps:
+        todo = min(per_pass, steps - done)
+        if done:
             state = cut_lineage(state)
+        advance = _advance(todo, cap_m, rows, cols, block)
+        state = with_halo(state, block, 2 * todo).groupBy("br", "bc").applyInPandas(advance, schema)
+        done += todo
     return state.select("node_id", "r", "c", "h")
 
 
+def _advance(steps: int, cap_m: float, rows: int, cols: int, block: int):
+    """Function that carries one block and its halo `steps` rounds forward and returns the core."""
+
+    def advance(cells: pd.DataFrame) -> pd.DataFrame:
+        win = Window(cells, block, 2 * steps)
+        n, area = win.side, win.side * win.side
+        d_row, d_col = cells["d_row"].to_numpy(), cells["d_col"].to_numpy()
+        goes = (d_row != 0) | (d_col != 0)
+        goes &= (win.i + d_row >= 0) & (win.i + d_row < n) & (win.j + d_col >= 0) & (win.j + d_col < n)
+        src = win.flat[goes]
+        dst = src + d_row[goes] * n + d_col[goes]
+        share = cells["share"].to_numpy(dtype=float)[goes]
+        h = win.fill(cells["h"].to_numpy(dtype=float), 0.0)
+        for _ in range(steps):
+            sent = np.where(h[src] > MOBILE_DEPTH_M, h[src] * share, 0.0)
+            h[src] -= sent
+            h += np.bincount(dst, sent, area)
+            over = np.flatnonzero(h > cap_m)
+            part = (h[over] - cap_m) / 8.0
+            h[over] = np.minimum(h[over], cap_m)
+            for di, dj in NEIGHBOURS:
+                i = np.clip(over // n + win.row0 + di, 0, rows - 1) - win.row0
+                j = np.clip(over % n + win.col0 + dj, 0, cols - 1) - win.col0
+                seen = (i >= 0) & (i < n) & (j >= 0) & (j < n)
+                h += np.bincount(i[seen] * n + j[seen], part[seen], area)
+        out = cells.loc[win.core, ["node_id", "r", "c", "share", "d_row", "d_col"]].copy()
+        out["h"] = h[win.flat[win.core]]
+        return out
+
+    return advance
+
+
 def mass_balance(released: DataFrame, routed: DataFrame) -> DataFrame:
     """Total depth released, total depth after routing, and their difference."""
     before = released.agg(F.sum("h").alias("released_m")).scalar()

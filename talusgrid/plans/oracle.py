@@ -170,13 +170,13 @@ WHERE drop > 0 GROUP BY node_id, r, c""",
     "offsets8": """
 SELECT * FROM (VALUES (0, -1, -1), (1, -1, 0), (2, -1, 1), (3, 0, -1), (4, 0, 1), (5, 1, -1), (6, 1, 0), (7, 1, 1)) t(k, di, dj)""",
     "walk": """
-SELECT node_id, node_id AS at, 0 AS straight, 0 AS diagonal FROM fx_cells
+SELECT node_id, node_id AS reached, 0 AS straight, 0 AS diagonal FROM fx_cells
 UNION ALL
 SELECT w.node_id, d.target_id, w.straight + CASE WHEN d.diag THEN 0 ELSE 1 END,
        w.diagonal + CASE WHEN d.diag THEN 1 ELSE 0 END
-FROM walk w JOIN d8 d ON d.node_id = w.at""",
+FROM walk w JOIN d8 d ON d.node_id = w.reached""",
     "reach": """
-SELECT node_id, at AS terminal_id, straight, diagonal FROM walk WHERE at NOT IN (SELECT node_id FROM d8)""",
+SELECT node_id, reached AS terminal_id, straight, diagonal FROM walk WHERE reached NOT IN (SELECT node_id FROM d8)""",
     "onset": "SELECT node_id, min(hr) AS onset_hr FROM fx_fs WHERE fs < 1 GROUP BY node_id",
     "debris": """
 SELECT x.node_id, x.r, x.c, d.target_id, CASE WHEN x.node_id % 5 = 0 THEN (x.node_id % 23) * 5e-1 ELSE 0e0 END AS h,
@@ -625,7 +625,7 @@ FROM water""",
         _with(
             "SELECT node_id, "
             + ", ".join(f"round({e}, 6) AS {n}" for n, e in features.items())
-            + ", round(precip_mm, 6) AS precip_mm, "
+            + ", precip_mm, "
             + ", ".join(f"round(CASE WHEN has_soil THEN {n} ELSE 0e0 END, {d}) AS {n}" for n, d in masked.items())
             + ", CASE WHEN has_soil THEN 1e0 ELSE 0e0 END AS has_soil_data FROM ready",
             "ready",
@@ -943,7 +943,7 @@ FROM fx_cells, (SELECT quantile_cont(ln(1 + flow_accum), 2e-2) AS lo, quantile_c
     q(
         "cyclic_direction",
         _with(
-            """SELECT node_id, round(greatest(0e0, least(360e0, degrees(a))) / 360e0, 9) AS norm
+            """SELECT node_id, CASE WHEN a IS NOT NULL THEN round(greatest(0e0, least(360e0, degrees(a))) / 360e0, 9) END AS norm
 FROM (SELECT node_id, CASE WHEN node_id % 31 <> 0 THEN node_id * 17 % 628 / 100e0 END AS a FROM fx_cells)""",
             "fx_cells",
         ),

@@ -14,7 +14,7 @@ from talusgrid.operators.quantiles import exact_percentiles
 from talusgrid.plans import fixtures as fx
 from talusgrid.plans import simulation
 from talusgrid.sources import tables
-from talusgrid.sources.workspace import new_table_path
+from talusgrid.sources.workspace import cut_lineage, new_table_path
 from talusgrid.streaming import monitors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,16 +37,18 @@ def all_queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
-def rounded(df: DataFrame, digits: int = 6, **per_column: int) -> DataFrame:
-    """Round double columns, because engines differ in the last bit of sin, exp, log and of sums."""
-    return df.select(
-        *[
-            F.round(F.col(f.name), per_column.get(f.name, digits)).alias(f.name)
-            if f.dataType.typeName() == "double"
-            else F.col(f.name)
-            for f in df.schema
-        ]
-    )
+def rounded(df: DataFrame, digits: int = 6, **per_column: int | None) -> DataFrame:
+    """Round double columns, because engines differ in the last bit of sin, exp, log and of sums.
+
+    None leaves a column as it is: plain arithmetic agrees bit for bit, and rounding would only
+    bring in ties.
+    """
+
+    def shown(name: str, kind: str):
+        places = per_column.get(name, digits)
+        return F.round(name, places).alias(name) if kind == "double" and places is not None else F.col(name)
+
+    return df.select(*[shown(f.name, f.dataType.typeName()) for f in df.schema])
 
 
 # --- scans, manifests, grid alignment -------------------------------------------------------
@@ -274,7 +276,8 @@ def _ready_nodes(spark, sf) -> DataFrame:
 
 @query
 def unified_features(spark, sf):
-    return rounded(simulation.unified_features(_ready_nodes(spark, sf)), ksat_m_s=15, diffusivity_m2_s=14)
+    features = simulation.unified_features(_ready_nodes(spark, sf))
+    return rounded(features, ksat_m_s=15, diffusivity_m2_s=14, precip_mm=None)
 
 
 @query
@@ -384,14 +387,15 @@ def risk_color(spark, sf):
 @query
 def fmt_label(spark, sf):
     cells = fx.cells(spark, sf)
-    centred = F.col("roughness") - 5e0
-    return cells.select(
+    values = cells.select(
         "node_id",
-        numeric.compact_label(F.col("flow_accum")).alias("flow_label"),
-        numeric.compact_label(F.col("flow_accum") * 1e3).alias("large_label"),
-        numeric.compact_label(centred).alias("centred_label"),
-        numeric.compact_label(F.col("twi") / 8e0).alias("twi_label"),
+        "flow_accum",
+        (F.col("flow_accum") * 1e3).alias("large"),
+        (F.col("roughness") - 5e0).alias("centred"),
+        (F.col("twi") / 8e0).alias("small"),
     )
+    labels = {"flow_label": "flow_accum", "large_label": "large", "centred_label": "centred", "twi_label": "small"}
+    return numeric.with_compact_labels(values, labels).select("node_id", *labels)
 
 
 @query
@@ -658,7 +662,8 @@ def layer_catalog(spark, sf):
 @query
 def soil_layers(spark, sf):
     nodes = simulation.with_soil(fx.lattice_nodes(spark, sf), fx.soil(spark, sf))
-    out = layers.soil_layers(nodes.select("node_id", "has_soil", "friction_deg", "cohesion_kpa"))
+    # Written once, read twice: for the limits and for the layers.
+    out = layers.soil_layers(cut_lineage(nodes.select("node_id", "has_soil", "friction_deg", "cohesion_kpa")))
     return rounded(out.select("node_id", "friction_deg_norm", "cohesion_kpa_norm"), 9)
 
 

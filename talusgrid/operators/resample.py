@@ -7,20 +7,19 @@ the small side; nodes then meet them in a single lookup on the square they fall
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from talusgrid.functions.numeric import clip
-from talusgrid.operators.joins import lookup_join, rows_within
+from talusgrid.operators.joins import lookup_join
 from talusgrid.sources.workspace import cut_lineage
 
 CORNERS = ((0, 0), (0, 1), (1, 0), (1, 1))
 HULL_ROWS = 4096
-FAR_SIDE = 2
+LEVELS_PER_CUT = 4
 
 
 def _squares(samples: DataFrame, row: str, col: str, values: list[str]) -> DataFrame:
@@ -62,17 +61,24 @@ def bilinear(
     )
 
 
-def linear_on_lattice(nodes: DataFrame, samples: DataFrame, values: list[str], u: str = "u", v: str = "v") -> DataFrame:
+def linear_on_lattice(
+    nodes: DataFrame,
+    samples: DataFrame,
+    values: list[str],
+    u: str = "u",
+    v: str = "v",
+    sample_rows: int | None = None,
+) -> DataFrame:
     """Linear interpolation in the lattice triangle that contains the node.
 
     With all four corners the square is split along its (0,0)-(1,1) diagonal. With one corner
     missing, the triangle of the other three is used if the node lies in it. Otherwise NULL.
-    samples(lr, lc, <values>) holds the valid samples only, one per lattice point.
+    samples(lr, lc, <values>) holds the valid samples only, one per lattice point; sample_rows is
+    a proven upper bound of their number, if there is one.
     """
     squares = _squares(samples, "lr", "lc", values)
-    bound = rows_within(samples, 50_000)
     placed = nodes.withColumns({"pi": F.floor(F.col(v)).cast("int"), "pj": F.floor(F.col(u)).cast("int")})
-    joined = lookup_join(placed, squares, ["pi", "pj"], "left", right_rows=None if bound is None else 4 * bound)
+    joined = lookup_join(placed, squares, ["pi", "pj"], "left", right_rows=None if sample_rows is None else 4 * sample_rows)
     joined = joined.withColumns({"_a": F.col(v) - F.col("pi"), "_b": F.col(u) - F.col("pj")})
     a, b = F.col("_a"), F.col("_b")
 
@@ -89,127 +95,147 @@ def linear_on_lattice(nodes: DataFrame, samples: DataFrame, values: list[str], u
 
 
 def nearest_on_lattice(
-    nodes: DataFrame, samples: DataFrame, values: list[str], key: str = "node_id", u: str = "u", v: str = "v"
+    nodes: DataFrame,
+    samples: DataFrame,
+    values: list[str],
+    key: str = "node_id",
+    u: str = "u",
+    v: str = "v",
+    sample_rows: int | None = None,
 ) -> DataFrame:
     """Values of the nearest valid sample; ties go to the smaller (lr, lc). Exact at any distance.
 
-    Near case: a square knows which of the 4 x 4 lattice points around it hold a sample, so the
-    nearest one is picked by arithmetic; it is final when closer than 2, because every other
-    point is at least that far. The rest looks further out, and only among samples on the rim of
-    the sampled area: a sample with all eight neighbours cannot be nearest to a node more than
-    one unit away.
+    Three steps, each for what the one before left open: the closest lattice point, if it holds
+    a sample; the 4 x 4 lattice points around the node, final when closer than 2 because every
+    other point is at least that far; a search through nested squares.
     """
+    full = samples.select("lr", "lc", F.struct("lr", "lc", *values).alias("_s"))
+    unplaced = F.col(u).isNull() | F.col(v).isNull()
+    # ceil(x - 1/2) rounds halves down, to the smaller index.
+    closest = {"lr": F.ceil(F.col(v) - 0.5).cast("int"), "lc": F.ceil(F.col(u) - 0.5).cast("int")}
+    hit = lookup_join(nodes.withColumns(closest), full, ["lr", "lc"], "left", right_rows=sample_rows)
+    done = hit.where(F.col("_s").isNotNull() | unplaced).select(*nodes.columns, "_s")
+    rest = cut_lineage(hit.where(F.col("_s").isNull() & ~unplaced).select(*nodes.columns))
+    if not rest.isEmpty():
+        around = _nearest_of_16(rest, full, u, v, sample_rows)
+        done = done.unionByName(around.where(F.col("_s").isNotNull()))
+        far = cut_lineage(around.where(F.col("_s").isNull()).drop("_s"))
+        if not far.isEmpty():
+            done = done.unionByName(_nearest_far(far, full, key, u, v))
+    return done.select(*nodes.columns, *[F.col("_s")[x].alias(x) for x in values])
+
+
+def _nearest_of_16(nodes: DataFrame, samples: DataFrame, u: str, v: str, sample_rows: int | None) -> DataFrame:
+    """Adds _s, the nearest of the 4 x 4 lattice points around the node if closer than 2, else NULL."""
     offsets = [(i, j) for i in range(-1, 3) for j in range(-1, 3)]
-    sample = F.struct("lr", "lc", *values)
-    around = F.array(
+    bits = F.array(
         *[
-            F.struct(F.lit(k).alias("k"), F.lit(1 << k).alias("bit"), F.lit(i).alias("di"), F.lit(j).alias("dj"))
+            F.struct(F.lit(1 << k).alias("bit"), F.lit(i).alias("di"), F.lit(j).alias("dj"))
             for k, (i, j) in enumerate(offsets)
         ]
     )
-    spread = samples.select("lr", "lc", sample.alias("s"), F.inline(around))
-    # Lattice points are unique, so a square collects at most 16 entries.
-    squares = spread.groupBy(
-        (F.col("lr") - F.col("di")).alias("pi"), (F.col("lc") - F.col("dj")).alias("pj")
-    ).agg(
-        F.bit_or(F.col("bit")).alias("_mask"),
-        F.map_from_entries(F.collect_list(F.struct("k", "s"))).alias("_found"),
+    # A square only needs to know which of its 16 points hold a sample: one whole number.
+    spread = samples.select("lr", "lc", F.inline(bits))
+    squares = spread.groupBy((F.col("lr") - F.col("di")).alias("pi"), (F.col("lc") - F.col("dj")).alias("pj")).agg(
+        F.bit_or("bit").alias("_mask")
     )
-    bound = rows_within(samples, 10_000)
     placed = nodes.withColumns({"pi": F.floor(F.col(v)).cast("int"), "pj": F.floor(F.col(u)).cast("int")})
-    joined = lookup_join(placed, squares, ["pi", "pj"], "left", right_rows=None if bound is None else 16 * bound)
-    joined = joined.withColumns({"_a": F.col(v) - F.col("pi"), "_b": F.col(u) - F.col("pj")})
-    a, b = F.col("_a"), F.col("_b")
+    joined = lookup_join(placed, squares, ["pi", "pj"], "left", right_rows=None if sample_rows is None else 16 * sample_rows)
+    a, b = F.col(v) - F.col("pi"), F.col(u) - F.col("pj")
 
     def candidate(k: int, i: int, j: int) -> Column:
         d2 = (a - i) * (a - i) + (b - j) * (b - j)
-        return F.when(F.col("_mask").bitwiseAND(1 << k) != 0, F.struct(d2.alias("d2"), F.lit(k).alias("k")))
-
-    nearest = F.least(*[candidate(k, i, j) for k, (i, j) in enumerate(offsets)])
-    joined = joined.withColumn("_best", nearest)
-    settled = F.col("_best.d2") < 4
-    unplaced = F.col(u).isNull() | F.col(v).isNull()
-    near = joined.where(settled | unplaced).select(*nodes.columns, F.col("_found")[F.col("_best.k")].alias("_s"))
-    far = cut_lineage(joined.where(~F.coalesce(settled, F.lit(False)) & ~unplaced).select(*nodes.columns))
-    if not far.isEmpty():
-        near = near.unionByName(_nearest_far(far, cut_lineage(_rim(samples, sample)), key, u, v))
-    return near.select(*nodes.columns, *[F.col("_s")[x].alias(x) for x in values])
-
-
-def _grid3() -> Column:
-    return F.array(*[F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-
-
-def _rim(samples: DataFrame, sample: Column) -> DataFrame:
-    """Samples that lack at least one of their eight lattice neighbours."""
-    seen = samples.select("lr", "lc", F.inline(_grid3())).select(
-        (F.col("lr") + F.col("di")).alias("lr"), (F.col("lc") + F.col("dj")).alias("lc")
+        at = F.struct(d2.alias("d2"), (F.col("pi") + i).alias("lr"), (F.col("pj") + j).alias("lc"))
+        return F.when(F.col("_mask").bitwiseAND(1 << k) != 0, at)
+
+    best = F.least(*[candidate(k, i, j) for k, (i, j) in enumerate(offsets)])
+    picked = joined.select(*nodes.columns, best.alias("_best"))
+    close = F.col("_best.d2") < 4
+    point = {axis: F.when(close, F.col(f"_best.{axis}")) for axis in ("lr", "lc")}
+    picked = picked.select(*nodes.columns, *[x.alias(axis) for axis, x in point.items()])
+    return lookup_join(picked, samples, ["lr", "lc"], "left", right_rows=sample_rows).select(*nodes.columns, "_s")
+
+
+def _boxes(samples: DataFrame, top: int) -> DataFrame:
+    """Bounding boxes of the samples in squares of side 4^level, for all levels in one aggregate."""
+    levels = samples.select("lr", "lc", F.explode(F.sequence(F.lit(0), F.lit(top))).alias("level"))
+    side = F.pow(F.lit(4e0), "level")
+    squares = levels.groupBy(
+        "level", F.floor(F.col("lr") / side).cast("int").alias("i"), F.floor(F.col("lc") / side).cast("int").alias("j")
+    )
+    return squares.agg(
+        F.min("lr").alias("r0"), F.max("lr").alias("r1"), F.min("lc").alias("c0"), F.max("lc").alias("c1")
     )
-    enclosed = seen.groupBy("lr", "lc").count().where(F.col("count") == 9).select("lr", "lc")
-    return samples.join(enclosed, ["lr", "lc"], "left_anti").select("lr", "lc", sample.alias("s"))
 
 
-def _nearest_far(nodes: DataFrame, rim: DataFrame, key: str, u: str, v: str) -> DataFrame:
-    """Nearest rim sample for nodes that are far from all samples.
+def _nearest_far(nodes: DataFrame, samples: DataFrame, key: str, u: str, v: str) -> DataFrame:
+    """Nearest sample for nodes far from all samples, by descending through nested squares.
 
-    Space is cut into squares of side FAR_SIDE * 2^level. For every occupied node square the
-    first level is found at which a sample lies in the 3 x 3 squares around it. Such a sample is
-    at most sqrt(8) sides away, so the 3 x 3 squares two levels up hold the nearest one for sure.
+    The unit squares that hold nodes start with the few top squares as candidates. Level by
+    level a candidate is replaced by its occupied parts (4 x 4), and a part stays only if its
+    samples may be nearer than the farthest point of the best one. What is left at the bottom is
+    a thin arc of samples per unit square, against which its nodes are measured.
     """
-    reach = rim.agg(F.min("lr"), F.max("lr"), F.min("lc"), F.max("lc")).first()
-    ends = nodes.agg(F.min(v), F.max(v), F.min(u), F.max(u)).first()
-    if reach[0] is None:
-        return nodes.withColumn("_s", F.lit(None).cast(rim.schema["s"].dataType))
-    span = max(max(reach[1], ends[1]) - min(reach[0], ends[0]), max(reach[3], ends[3]) - min(reach[2], ends[2]))
-    top = max(0, math.ceil(math.log2(max(1.0, span) / FAR_SIDE))) + 1
-    levels = F.explode(F.sequence(F.lit(0), F.lit(top)))
-
-    def square(x: Column, side: Column) -> Column:
-        return F.floor(x / side).cast("int")
-
-    side = F.lit(FAR_SIDE) * F.pow(F.lit(2e0), F.col("level"))
-    occupied = rim.select("lr", "lc", levels.alias("level")).select(
-        "level", square(F.col("lr"), side).alias("i"), square(F.col("lc"), side).alias("j")
-    )
-    occupied = occupied.distinct().select("level", "i", "j", F.inline(_grid3())).select(
-        "level", (F.col("i") + F.col("di")).alias("bi"), (F.col("j") + F.col("dj")).alias("bj")
-    ).distinct()
-    placed = nodes.withColumns(
-        {"bi0": square(F.col(v), F.lit(FAR_SIDE)), "bj0": square(F.col(u), F.lit(FAR_SIDE))}
-    )
-    scale = F.pow(F.lit(2e0), F.col("level"))
-    squares = placed.select("bi0", "bj0").distinct().select("bi0", "bj0", levels.alias("level"))
-    squares = squares.withColumns({"bi": square(F.col("bi0"), scale), "bj": square(F.col("bj0"), scale)})
-    first = (
-        lookup_join(squares, occupied, ["level", "bi", "bj"], "inner")
-        .groupBy("bi0", "bj0")
-        .agg((F.min("level") + 2).alias("level"))
-    )
-    placed = lookup_join(placed, first, ["bi0", "bj0"], "inner").select(
-        key, F.col(u).alias("_u"), F.col(v).alias("_v"), "level",
-        square(F.col(v), side).alias("bi"), square(F.col(u), side).alias("bj"),
+    ends = samples.agg(F.min("lr"), F.max("lr"), F.min("lc"), F.max("lc")).first()
+    if ends[0] is None:
+        return nodes.withColumn("_s", F.lit(None).cast(samples.schema["_s"].dataType))
+    top = 0
+    while ends[1] // 4**top - ends[0] // 4**top > 1 or ends[3] // 4**top - ends[2] // 4**top > 1:
+        top += 1
+    boxes = cut_lineage(_boxes(samples, top))
+    placed = nodes.withColumns({"qi": F.floor(F.col(v)).cast("int"), "qj": F.floor(F.col(u)).cast("int")})
+
+    def gap(low: str, high: str, q: str) -> Column:
+        return F.greatest(F.col(low) - F.col(q) - 1, F.col(q) - F.col(high), F.lit(0)).cast("double")
+
+    def far_end(low: str, high: str, q: str) -> Column:
+        return F.greatest(F.col(high) - F.col(q), F.col(q) + 1 - F.col(low)).cast("double")
+
+    def squared(f) -> Column:
+        row, col = f("r0", "r1", "qi"), f("c0", "c1", "qj")
+        return row * row + col * col
+
+    per_square = W.partitionBy("qi", "qj")
+    sides = [(i, j) for i in range(ends[0] // 4**top, ends[1] // 4**top + 1) for j in range(ends[2] // 4**top, ends[3] // 4**top + 1)]
+    kept = placed.select("qi", "qj").distinct().select(
+        "qi", "qj", F.inline(F.array(*[F.struct(F.lit(i).alias("pi"), F.lit(j).alias("pj")) for i, j in sides]))
     )
-    offered = rim.select("lr", "lc", "s", F.explode(F.sequence(F.lit(2), F.lit(top + 2))).alias("level"))
-    offered = offered.select(
-        "level", "lr", "lc", "s", square(F.col("lr"), side).alias("i"), square(F.col("lc"), side).alias("j"),
-        F.inline(_grid3()),
-    ).select(
-        "level", "lr", "lc", "s", (F.col("i") + F.col("di")).alias("bi"), (F.col("j") + F.col("dj")).alias("bj")
-    )
-    pairs = lookup_join(placed, offered, ["level", "bi", "bj"], "inner")
+    for level in range(top, -1, -1):
+        up = 1 if level == top else 4
+        here = boxes.where(F.col("level") == level).select(
+            F.floor(F.col("i") / up).cast("int").alias("pi"), F.floor(F.col("j") / up).cast("int").alias("pj"),
+            "i", "j", "r0", "r1", "c0", "c1",
+        )
+        # At most 4 squares at the top and 16 times as many per level below.
+        parts = lookup_join(kept, here, ["pi", "pj"], "inner", right_rows=4 * 16 ** (top - level))
+        parts = parts.select("qi", "qj", "i", "j", squared(gap).alias("near2"), squared(far_end).alias("far2"))
+        parts = parts.select("qi", "qj", "i", "j", "near2", F.min("far2").over(per_square).alias("bound2"))
+        kept = parts.where(F.col("near2") <= F.col("bound2")).select("qi", "qj", F.col("i").alias("pi"), F.col("j").alias("pj"))
+        if level and (top - level) % LEVELS_PER_CUT == LEVELS_PER_CUT - 1:
+            kept = cut_lineage(kept)
+    arc = kept.select("qi", "qj", F.col("pi").alias("lr"), F.col("pj").alias("lc"))
+    ends_at = placed.select(key, "qi", "qj", F.col(u).alias("_u"), F.col(v).alias("_v"))
     dv, du = F.col("_v") - F.col("lr"), F.col("_u") - F.col("lc")
-    best = pairs.groupBy(key).agg(F.min(F.struct((dv * dv + du * du).alias("d2"), "lr", "lc", "s")).alias("m"))
-    return nodes.join(best.select(key, F.col("m.s").alias("_s")), key)
+    measured = lookup_join(ends_at, arc, ["qi", "qj"], "inner").select(key, (dv * dv + du * du).alias("d2"), "lr", "lc")
+    best = measured.groupBy(key).agg(F.min(F.struct("d2", "lr", "lc")).alias("m")).select(key, "m.lr", "m.lc")
+    return nodes.join(lookup_join(best, samples, ["lr", "lc"], "inner").select(key, "_s"), key)
 
 
 def filled(
-    nodes: DataFrame, samples: DataFrame, values: list[str], key: str = "node_id", u: str = "u", v: str = "v"
+    nodes: DataFrame,
+    samples: DataFrame,
+    values: list[str],
+    key: str = "node_id",
+    u: str = "u",
+    v: str = "v",
+    only: Column | None = None,
+    sample_rows: int | None = None,
 ) -> DataFrame:
-    """Linear where the lattice allows it, nearest sample elsewhere."""
-    linear = linear_on_lattice(nodes, samples, values, u, v)
-    inside = linear.where(F.col(values[0]).isNotNull())
-    gaps = linear.where(F.col(values[0]).isNull()).select(*nodes.columns)
-    return inside.unionByName(nearest_on_lattice(gaps, samples, values, key, u, v))
+    """Linear where the lattice allows it, nearest sample elsewhere; `only` limits the latter."""
+    linear = linear_on_lattice(nodes, samples, values, u, v, sample_rows)
+    gap = F.col(values[0]).isNull() & (F.lit(True) if only is None else F.coalesce(only, F.lit(False)))
+    gaps = cut_lineage(linear.where(gap).select(*nodes.columns))
+    return linear.where(~gap).unionByName(nearest_on_lattice(gaps, samples, values, key, u, v, sample_rows))
 
 
 def _half_hull(points: np.ndarray, sign: int) -> list:
@@ -278,12 +304,13 @@ def hull_rows(samples: DataFrame) -> DataFrame:
     )
 
 
-def inside_hull(nodes: DataFrame, samples: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
+def inside_hull(
+    nodes: DataFrame, samples: DataFrame, u: str = "u", v: str = "v", sample_rows: int | None = None
+) -> DataFrame:
     """Adds has_soil: whether the node lies in the convex hull of the samples (border included)."""
     rows = hull_rows(samples)
-    bound = rows_within(samples)
     placed = nodes.withColumn("lr", F.floor(F.col(v)).cast("int"))
-    joined = lookup_join(placed, rows, ["lr"], "left", right_rows=bound)
+    joined = lookup_join(placed, rows, ["lr"], "left", right_rows=sample_rows)
     part = F.col(v) - F.col("lr")
 
     def at(edge: str) -> Column:

@@ -13,8 +13,8 @@ RAIN_ROWS = RAIN_COLUMNS = 5
 HOURS = 24
 
 
-def cells(spark: SparkSession, folder: str) -> DataFrame:
-    o = read_table(spark, folder, "orders")
+def cells(spark: SparkSession, folder: str, spread: bool = False) -> DataFrame:
+    o = read_table(spark, folder, "orders", "o_orderkey" if spread else None)
     k, cust = F.col("o_orderkey"), F.col("o_custkey")
     code = F.when(k % 9 == 0, 0)
     for i in range(1, 9):
@@ -71,7 +71,7 @@ def storm(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def node_hours(spark: SparkSession, folder: str) -> DataFrame:
-    o, k, h = read_table(spark, folder, "orders"), F.col("o_orderkey"), F.col("hr")
+    o, k, h = read_table(spark, folder, "orders", "o_orderkey"), F.col("o_orderkey"), F.col("hr")
     hours = o.select("o_orderkey", "o_custkey", F.explode(F.sequence(F.lit(0), F.lit(HOURS - 1))).alias("hr"))
     return hours.select(
         k.alias("node_id"),
@@ -100,14 +100,14 @@ def tiles(spark: SparkSession, folder: str) -> DataFrame:
 
 def lattice_nodes(spark: SparkSession, folder: str) -> DataFrame:
     """Terrain nodes placed on the soil lattice (u, v); the map is a little larger than the lattice."""
-    return cells(spark, folder).select(
+    return cells(spark, folder, spread=True).select(
         "node_id", (F.col("c") * 0.6e0 - 5e0).alias("u"), (F.col("r") * 0.3e0 - 3e0).alias("v")
     )
 
 
 def rain_nodes(spark: SparkSession, folder: str) -> DataFrame:
     """Terrain nodes placed on the rain grid (u, v); both ends lie outside of it."""
-    return cells(spark, folder).select(
+    return cells(spark, folder, spread=True).select(
         "node_id",
         (F.col("c") / 20e0 - 0.5e0).alias("u"),
         ((F.col("r") % 100) / 20e0 - 0.5e0).alias("v"),

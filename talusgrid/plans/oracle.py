@@ -611,20 +611,20 @@ FROM water""",
         ),
     )
     masked = {
-        "cohesion_kpa": 6,
-        "friction_deg": 6,
-        "unit_weight": 6,
+        "cohesion_kpa": 9,
+        "friction_deg": 9,
+        "unit_weight": 9,
         "ksat_m_s": 15,
         "diffusivity_m2_s": 14,
-        "theta_sat": 6,
-        "theta_res": 6,
-        "alpha_1_m": 6,
+        "theta_sat": 12,
+        "theta_res": 12,
+        "alpha_1_m": 9,
     }
     q(
         "unified_features",
         _with(
             "SELECT node_id, "
-            + ", ".join(f"round({e}, 6) AS {n}" for n, e in features.items())
+            + ", ".join(f"round({e}, 9) AS {n}" for n, e in features.items())
             + ", precip_mm, "
             + ", ".join(f"round(CASE WHEN has_soil THEN {n} ELSE 0e0 END, {d}) AS {n}" for n, d in masked.items())
             + ", CASE WHEN has_soil THEN 1e0 ELSE 0e0 END AS has_soil_data FROM ready",

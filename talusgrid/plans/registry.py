@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from talusgrid.functions import colour, numeric, physics, terrain
 from talusgrid.functions import soil as soil_fn
 from talusgrid.operators import drainage, frames, graph, grid, layers, resample, runout, stability, summary
+from talusgrid.operators.joins import rows_within
 from talusgrid.operators.quantiles import exact_percentiles
 from talusgrid.plans import fixtures as fx
 from talusgrid.plans import simulation
@@ -158,21 +159,21 @@ def bilinear_resample(spark, sf):
 @query
 def nearest_resample(spark, sf):
     samples = simulation.valid_samples(fx.soil(spark, sf))
-    out = resample.nearest_on_lattice(fx.lattice_nodes(spark, sf), samples, simulation.SOIL_VALUES)
+    out = resample.nearest_on_lattice(fx.lattice_nodes(spark, sf), samples, simulation.SOIL_VALUES, sample_rows=rows_within(samples))
     return out.select("node_id", *simulation.SOIL_VALUES)
 
 
 @query
 def lattice_linear_resample(spark, sf):
     samples = simulation.valid_samples(fx.soil(spark, sf))
-    out = resample.linear_on_lattice(fx.lattice_nodes(spark, sf), samples, simulation.SOIL_VALUES)
+    out = resample.linear_on_lattice(fx.lattice_nodes(spark, sf), samples, simulation.SOIL_VALUES, sample_rows=rows_within(samples))
     return out.select("node_id", *simulation.SOIL_VALUES)
 
 
 @query
 def coverage_mask(spark, sf):
     samples = simulation.valid_samples(fx.soil(spark, sf))
-    return resample.inside_hull(fx.lattice_nodes(spark, sf), samples).select("node_id", "has_soil")
+    return resample.inside_hull(fx.lattice_nodes(spark, sf), samples, sample_rows=rows_within(samples)).select("node_id", "has_soil")
 
 
 @query
@@ -262,7 +263,7 @@ def feature_vector(spark, sf):
 
 def _ready_nodes(spark, sf) -> DataFrame:
     c, r = F.col("c"), F.col("r")
-    placed = fx.cells(spark, sf).withColumns(
+    placed = fx.cells(spark, sf, spread=True).withColumns(
         {
             "u": c * 0.6e0 - 5e0,
             "v": r * 0.3e0 - 3e0,
@@ -277,7 +278,7 @@ def _ready_nodes(spark, sf) -> DataFrame:
 @query
 def unified_features(spark, sf):
     features = simulation.unified_features(_ready_nodes(spark, sf))
-    return rounded(features, ksat_m_s=15, diffusivity_m2_s=14, precip_mm=None)
+    return rounded(features, 9, ksat_m_s=15, diffusivity_m2_s=14, theta_sat=12, theta_res=12, precip_mm=None)
 
 
 @query
@@ -305,7 +306,7 @@ def ierfc(spark, sf):
 
 def _slope_nodes(spark, sf) -> DataFrame:
     k = F.col("node_id")
-    return fx.cells(spark, sf).select(
+    return fx.cells(spark, sf, spread=True).select(
         "node_id",
         "slope_deg",
         (F.lit(1e-6) * (1 + k % 7)).alias("ksat_m_s"),
@@ -557,7 +558,7 @@ def band_stats(spark, sf):
 @query
 def coverage_share(spark, sf):
     samples = simulation.valid_samples(fx.soil(spark, sf))
-    covered = resample.inside_hull(fx.lattice_nodes(spark, sf), samples)
+    covered = resample.inside_hull(fx.lattice_nodes(spark, sf), samples, sample_rows=rows_within(samples))
     return rounded(summary.coverage_share(covered, F.col("has_soil")), 9)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from talusgrid.functions.soil import masked_to_zero, with_defaults_outside, with_soil_parameters
 from talusgrid.functions.terrain import feature_columns, soil_pixel_valid
+from talusgrid.operators.joins import rows_within
 from talusgrid.operators.resample import bilinear, filled, inside_hull
 from talusgrid.operators.stability import stability_by_hour
 
@@ -32,10 +33,15 @@ def valid_samples(samples: DataFrame) -> DataFrame:
 
 
 def with_soil(nodes: DataFrame, samples: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
-    """Soil parameters and coverage flag at every node, from raw lattice samples."""
+    """Soil parameters and coverage flag at every node, from raw lattice samples.
+
+    Outside the hull of the samples every later step replaces the soil by defaults or zeros, so
+    gaps are filled inside only.
+    """
     valid = valid_samples(samples)
-    resampled = filled(nodes, valid, SOIL_VALUES, u=u, v=v)
-    return with_soil_parameters(inside_hull(resampled, valid, u, v))
+    n = rows_within(samples)
+    covered = inside_hull(nodes, valid, u, v, n)
+    return with_soil_parameters(filled(covered, valid, SOIL_VALUES, u=u, v=v, only=F.col("has_soil"), sample_rows=n))
 
 
 def storm_nodes(

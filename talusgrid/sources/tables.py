@@ -6,8 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def read_table(spark: SparkSession, folder: str, name: str, spread_by: str | None = None) -> DataFrame:
+    """Scan of one table. With `spread_by`, a scan with fewer splits than cores is spread over them.
+
+    Work that is heavy per row would otherwise run on as many cores as the file has row groups.
+    A table with more splits than cores is left as it is.
+    """
+    scan = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if spread_by is not None and scan.rdd.getNumPartitions() < cores:
+        return scan.repartition(cores, spread_by)
+    return scan
 
 
 def scan_bands(cells: DataFrame, bands: list[str]) -> DataFrame:

@@ -48,7 +48,9 @@ def pressure_by_hour(
         F.col(daily_mm) / 1000.0 / 3600.0,
         shares,
     )
-    return nodes.withColumn("_psi", psi).select("*", F.posexplode("_psi").alias("hr", "psi")).drop("_psi")
+    # The outer form: for a plain explode the optimizer adds a filter on the array, pushes it far
+    # down and so runs the Arrow function a second time. Arrays are never empty here.
+    return nodes.withColumn("_psi", psi).select("*", F.posexplode_outer("_psi").alias("hr", "psi")).drop("_psi")
 
 
 def stability_by_hour(nodes: DataFrame, shares: Column, depth_m=physics.FAILURE_DEPTH_M, **pressure) -> DataFrame:

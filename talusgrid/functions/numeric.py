@@ -28,6 +28,15 @@ def lit(value) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 
 
+def literal_rows(fields: tuple[str, ...], rows) -> Column:
+    """Constant array of structs of whole numbers, for inline().
+
+    Built as one SQL text: a call per literal would make the driver slow for long lists.
+    """
+    structs = ("named_struct(" + ", ".join(f"'{f}', {x}" for f, x in zip(fields, row)) + ")" for row in rows)
+    return F.expr("array(" + ", ".join(structs) + ")")
+
+
 def clip(x: Column, low, high) -> Column:
     """Bound x to [low, high]. greatest/least skip NULLs, so NULL is kept explicitly."""
     return F.when(x.isNotNull(), F.least(F.greatest(x, lit(low)), lit(high)))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talusgrid.functions.numeric import lit
+from talusgrid.functions.numeric import lit, literal_rows
 from talusgrid.operators.blocks import BLOCK, NEIGHBOURS, Window, with_halo
 
 # The four mesh directions as (row, column) steps from target to source.
@@ -22,7 +22,7 @@ def mesh_edges(nodes: DataFrame, rows, cols) -> DataFrame:
     Ids are row-major on a complete grid, so the source id is arithmetic. The plan is a scan, an
     inline of four steps and a bounds filter: nothing is joined or shuffled.
     """
-    steps = F.array(*[F.struct(F.lit(i).alias("d_row"), F.lit(j).alias("d_col")) for i, j in MESH_STEPS])
+    steps = literal_rows(("d_row", "d_col"), MESH_STEPS)
     pairs = nodes.select("r", "c", F.col("node_id").alias("dst"), F.inline(steps))
     row, col = F.col("r") + F.col("d_row"), F.col("c") + F.col("d_col")
     inside = (row >= 0) & (row < lit(rows)) & (col >= 0) & (col < lit(cols))
@@ -38,12 +38,7 @@ def edge_attributes(edges: DataFrame, dx, dy) -> DataFrame:
 
 def clamped_neighbours(nodes: DataFrame, rows, cols) -> DataFrame:
     """Eight neighbours per cell; off-grid ones are moved to the nearest grid cell (maybe the cell itself)."""
-    steps = F.array(
-        *[
-            F.struct(F.lit(k).alias("direction"), F.lit(i).alias("d_row"), F.lit(j).alias("d_col"))
-            for k, (i, j) in enumerate(NEIGHBOURS)
-        ]
-    )
+    steps = literal_rows(("direction", "d_row", "d_col"), [(k, i, j) for k, (i, j) in enumerate(NEIGHBOURS)])
     near = nodes.select("node_id", "r", "c", F.inline(steps))
     row = F.greatest(F.lit(0), F.least(lit(rows) - 1, F.col("r") + F.col("d_row")))
     col = F.greatest(F.lit(0), F.least(lit(cols) - 1, F.col("c") + F.col("d_col")))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from talusgrid.functions.numeric import clip
+from talusgrid.functions.numeric import clip, literal_rows
 from talusgrid.operators.joins import lookup_join
 from talusgrid.sources.workspace import cut_lineage
 
@@ -24,15 +24,15 @@ LEVELS_PER_CUT = 4
 
 def _squares(samples: DataFrame, row: str, col: str, values: list[str]) -> DataFrame:
     """One row (pi, pj) per square with columns <value>_<di><dj>; missing corners stay NULL."""
-    steps = F.array(*[F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj")) for i, j in CORNERS])
-    spread = samples.select(row, col, *values, F.inline(steps))
+    spread = samples.select(row, col, *values, F.inline(literal_rows(("di", "dj"), CORNERS)))
     keyed = spread.select(
         (F.col(row) - F.col("di")).alias("pi"), (F.col(col) - F.col("dj")).alias("pj"), "di", "dj", *values
     )
-    at = {(i, j): (F.col("di") == i) & (F.col("dj") == j) for i, j in CORNERS}
-    return keyed.groupBy("pi", "pj").agg(
-        *[F.max(F.when(at[i, j], F.col(v))).alias(f"{v}_{i}{j}") for v in values for i, j in CORNERS]
-    )
+    return keyed.groupBy("pi", "pj").agg(*_corner_values(values))
+
+
+def _corner_values(values: list[str]) -> list[Column]:
+    return [F.expr(f"max(CASE WHEN di = {i} AND dj = {j} THEN {x} END) AS {x}_{i}{j}") for x in values for i, j in CORNERS]
 
 
 def bilinear(
@@ -61,6 +61,22 @@ def bilinear(
     )
 
 
+def _triangle_value(name: str) -> Column:
+    """Linear value in the lattice triangle around (_a, _b), the position inside the square.
+
+    With all four corners the square is split along its (0,0)-(1,1) diagonal. With one corner
+    missing, the triangle of the other three is used if it contains the position. A triangle with
+    a NULL corner gives NULL, so coalesce tries the triangles in turn.
+    """
+    q00, q01, q10, q11 = (f"{name}_{i}{j}" for i, j in CORNERS)
+    return F.expr(f"""coalesce(
+        CASE WHEN _a >= _b THEN {q00} + ({q10} - {q00}) * _a + ({q11} - {q10}) * _b END,
+        CASE WHEN _a < _b THEN {q00} + ({q01} - {q00}) * _b + ({q11} - {q01}) * _a END,
+        CASE WHEN _a + _b <= 1 AND {q11} IS NULL THEN {q00} + ({q10} - {q00}) * _a + ({q01} - {q00}) * _b END,
+        CASE WHEN _a + _b >= 1 AND {q00} IS NULL
+             THEN {q11} + ({q01} - {q11}) * (1 - _a) + ({q10} - {q11}) * (1 - _b) END)""")
+
+
 def linear_on_lattice(
     nodes: DataFrame,
     samples: DataFrame,
@@ -69,91 +85,119 @@ def linear_on_lattice(
     v: str = "v",
     sample_rows: int | None = None,
 ) -> DataFrame:
-    """Linear interpolation in the lattice triangle that contains the node.
+    """Linear interpolation in the lattice triangle that contains the node, NULL where there is none.
 
-    With all four corners the square is split along its (0,0)-(1,1) diagonal. With one corner
-    missing, the triangle of the other three is used if the node lies in it. Otherwise NULL.
     samples(lr, lc, <values>) holds the valid samples only, one per lattice point; sample_rows is
     a proven upper bound of their number, if there is one.
     """
     squares = _squares(samples, "lr", "lc", values)
     placed = nodes.withColumns({"pi": F.floor(F.col(v)).cast("int"), "pj": F.floor(F.col(u)).cast("int")})
-    joined = lookup_join(placed, squares, ["pi", "pj"], "left", right_rows=None if sample_rows is None else 4 * sample_rows)
+    joined = lookup_join(
+        placed, squares, ["pi", "pj"], "left", right_rows=None if sample_rows is None else 4 * sample_rows
+    )
     joined = joined.withColumns({"_a": F.col(v) - F.col("pi"), "_b": F.col(u) - F.col("pj")})
-    a, b = F.col("_a"), F.col("_b")
+    return joined.select(*nodes.columns, *[_triangle_value(x).alias(x) for x in values])
 
-    def value_at(name: str) -> Column:
-        q00, q01, q10, q11 = (F.col(f"{name}_{i}{j}") for i, j in CORNERS)
-        # A triangle with a NULL corner gives NULL, so coalesce tries the triangles in turn.
-        lower_left = F.when(a >= b, q00 + (q10 - q00) * a + (q11 - q10) * b)
-        upper_right = F.when(a < b, q00 + (q01 - q00) * b + (q11 - q01) * a)
-        near_00 = F.when((a + b <= 1) & q11.isNull(), q00 + (q10 - q00) * a + (q01 - q00) * b)
-        near_11 = F.when((a + b >= 1) & q00.isNull(), q11 + (q01 - q11) * (1 - a) + (q10 - q11) * (1 - b))
-        return F.coalesce(lower_left, upper_right, near_00, near_11)
 
-    return joined.select(*nodes.columns, *[value_at(x).alias(x) for x in values])
+AROUND = tuple((i, j) for i in range(-1, 3) for j in range(-1, 3))
+NO_ROW = -(2**30)
 
 
-def nearest_on_lattice(
+def _resampled(
     nodes: DataFrame,
     samples: DataFrame,
     values: list[str],
-    key: str = "node_id",
-    u: str = "u",
-    v: str = "v",
-    sample_rows: int | None = None,
+    key: str,
+    u: str,
+    v: str,
+    sample_rows: int | None,
+    linear: bool,
+    only: Column,
 ) -> DataFrame:
-    """Values of the nearest valid sample; ties go to the smaller (lr, lc). Exact at any distance.
+    """Linear values if asked for, and the nearest sample where that leaves a gap and `only` holds.
 
-    Three steps, each for what the one before left open: the closest lattice point, if it holds
-    a sample; the 4 x 4 lattice points around the node, final when closer than 2 because every
-    other point is at least that far; a search through nested squares.
+    One lookup gives a node the corners of its square and a 16-bit mask of which of the 4 x 4
+    lattice points around it hold a sample. The nearest of those follows by arithmetic, ties
+    going to the smaller (lr, lc), and is final when closer than 2, because every other point is
+    at least that far. A second lookup fetches its values. What is still open is searched for
+    through nested squares.
     """
-    full = samples.select("lr", "lc", F.struct("lr", "lc", *values).alias("_s"))
-    unplaced = F.col(u).isNull() | F.col(v).isNull()
-    # ceil(x - 1/2) rounds halves down, to the smaller index.
-    closest = {"lr": F.ceil(F.col(v) - 0.5).cast("int"), "lc": F.ceil(F.col(u) - 0.5).cast("int")}
-    hit = lookup_join(nodes.withColumns(closest), full, ["lr", "lc"], "left", right_rows=sample_rows)
-    done = hit.where(F.col("_s").isNotNull() | unplaced).select(*nodes.columns, "_s")
-    rest = cut_lineage(hit.where(F.col("_s").isNull() & ~unplaced).select(*nodes.columns))
-    if not rest.isEmpty():
-        around = _nearest_of_16(rest, full, u, v, sample_rows)
-        done = done.unionByName(around.where(F.col("_s").isNotNull()))
-        far = cut_lineage(around.where(F.col("_s").isNull()).drop("_s"))
-        if not far.isEmpty():
-            done = done.unionByName(_nearest_far(far, full, key, u, v))
-    return done.select(*nodes.columns, *[F.col("_s")[x].alias(x) for x in values])
-
-
-def _nearest_of_16(nodes: DataFrame, samples: DataFrame, u: str, v: str, sample_rows: int | None) -> DataFrame:
-    """Adds _s, the nearest of the 4 x 4 lattice points around the node if closer than 2, else NULL."""
-    offsets = [(i, j) for i in range(-1, 3) for j in range(-1, 3)]
-    bits = F.array(
-        *[
-            F.struct(F.lit(1 << k).alias("bit"), F.lit(i).alias("di"), F.lit(j).alias("dj"))
-            for k, (i, j) in enumerate(offsets)
-        ]
-    )
-    # A square only needs to know which of its 16 points hold a sample: one whole number.
-    spread = samples.select("lr", "lc", F.inline(bits))
+    bits = literal_rows(("bit", "di", "dj"), [(1 << k, i, j) for k, (i, j) in enumerate(AROUND)])
+    spread = samples.select("lr", "lc", *values, F.inline(bits))
     squares = spread.groupBy((F.col("lr") - F.col("di")).alias("pi"), (F.col("lc") - F.col("dj")).alias("pj")).agg(
-        F.bit_or("bit").alias("_mask")
+        F.bit_or("bit").alias("_mask"), *(_corner_values(values) if linear else [])
     )
     placed = nodes.withColumns({"pi": F.floor(F.col(v)).cast("int"), "pj": F.floor(F.col(u)).cast("int")})
-    joined = lookup_join(placed, squares, ["pi", "pj"], "left", right_rows=None if sample_rows is None else 16 * sample_rows)
-    a, b = F.col(v) - F.col("pi"), F.col(u) - F.col("pj")
-
-    def candidate(k: int, i: int, j: int) -> Column:
-        d2 = (a - i) * (a - i) + (b - j) * (b - j)
-        at = F.struct(d2.alias("d2"), (F.col("pi") + i).alias("lr"), (F.col("pj") + j).alias("lc"))
-        return F.when(F.col("_mask").bitwiseAND(1 << k) != 0, at)
+    joined = lookup_join(
+        placed, squares, ["pi", "pj"], "left", right_rows=None if sample_rows is None else 16 * sample_rows
+    )
+    joined = joined.withColumns({"_a": F.col(v) - F.col("pi"), "_b": F.col(u) - F.col("pj")})
+    none = F.lit(None).cast("double")
+    found = joined.select(
+        *nodes.columns, "pi", "pj", "_mask", "_a", "_b",
+        *[(_triangle_value(x) if linear else none).alias(f"_{x}") for x in values],
+    )
+    gap = F.col(f"_{values[0]}").isNull() & only & F.col(u).isNotNull() & F.col(v).isNotNull()
 
-    best = F.least(*[candidate(k, i, j) for k, (i, j) in enumerate(offsets)])
-    picked = joined.select(*nodes.columns, best.alias("_best"))
+    candidates = (
+        f"CASE WHEN _mask & {1 << k} != 0 THEN named_struct("
+        f"'d2', (_a - {i}) * (_a - {i}) + (_b - {j}) * (_b - {j}), 'lr', pi + {i}, 'lc', pj + {j}) END"
+        for k, (i, j) in enumerate(AROUND)
+    )
+    best = F.when(gap, F.expr(f"least({', '.join(candidates)})"))
+    found = found.select(*nodes.columns, *[f"_{x}" for x in values], gap.alias("_gap"), best.alias("_best"))
     close = F.col("_best.d2") < 4
-    point = {axis: F.when(close, F.col(f"_best.{axis}")) for axis in ("lr", "lc")}
-    picked = picked.select(*nodes.columns, *[x.alias(axis) for axis, x in point.items()])
-    return lookup_join(picked, samples, ["lr", "lc"], "left", right_rows=sample_rows).select(*nodes.columns, "_s")
+    # Nodes without a point to look up get keys of their own instead of one NULL key for all.
+    own = NO_ROW - F.pmod(F.xxhash64(key), F.lit(2**20)).cast("int")
+    point = {
+        "lr": F.when(close, F.col("_best.lr")).otherwise(own),
+        "lc": F.when(close, F.col("_best.lc")).otherwise(NO_ROW),
+    }
+    found = found.select(*nodes.columns, *[f"_{x}" for x in values], "_gap", *[x.alias(n) for n, x in point.items()])
+    full = samples.select("lr", "lc", F.struct(*values).alias("_s"))
+    looked_up = lookup_join(found, full, ["lr", "lc"], "left", right_rows=sample_rows)
+    # Written once, because the open nodes and the settled ones are both read from it.
+    settled = cut_lineage(
+        looked_up.select(
+            *nodes.columns,
+            *[F.coalesce(f"_{x}", F.col("_s")[x]).alias(x) for x in values],
+            (F.col("_gap") & F.col("_s").isNull()).alias("_open"),
+        )
+    )
+    far = settled.where("_open").select(*nodes.columns)
+    out = settled.where("NOT _open").drop("_open")
+    if far.isEmpty():
+        return out
+    distant = _nearest_far(far, full, key, u, v)
+    return out.unionByName(distant.select(*nodes.columns, *[F.col("_s")[x].alias(x) for x in values]))
+
+
+def nearest_on_lattice(
+    nodes: DataFrame,
+    samples: DataFrame,
+    values: list[str],
+    key: str = "node_id",
+    u: str = "u",
+    v: str = "v",
+    sample_rows: int | None = None,
+) -> DataFrame:
+    """Values of the nearest valid sample; ties go to the smaller (lr, lc). Exact at any distance."""
+    return _resampled(nodes, samples, values, key, u, v, sample_rows, linear=False, only=F.lit(True))
+
+
+def filled(
+    nodes: DataFrame,
+    samples: DataFrame,
+    values: list[str],
+    key: str = "node_id",
+    u: str = "u",
+    v: str = "v",
+    only: Column | None = None,
+    sample_rows: int | None = None,
+) -> DataFrame:
+    """Linear where the lattice allows it, nearest sample elsewhere; `only` limits the latter."""
+    wanted = F.lit(True) if only is None else F.coalesce(only, F.lit(False))
+    return _resampled(nodes, samples, values, key, u, v, sample_rows, linear=True, only=wanted)
 
 
 def _boxes(samples: DataFrame, top: int) -> DataFrame:
@@ -185,20 +229,12 @@ def _nearest_far(nodes: DataFrame, samples: DataFrame, key: str, u: str, v: str)
     boxes = cut_lineage(_boxes(samples, top))
     placed = nodes.withColumns({"qi": F.floor(F.col(v)).cast("int"), "qj": F.floor(F.col(u)).cast("int")})
 
-    def gap(low: str, high: str, q: str) -> Column:
-        return F.greatest(F.col(low) - F.col(q) - 1, F.col(q) - F.col(high), F.lit(0)).cast("double")
-
-    def far_end(low: str, high: str, q: str) -> Column:
-        return F.greatest(F.col(high) - F.col(q), F.col(q) + 1 - F.col(low)).cast("double")
-
-    def squared(f) -> Column:
-        row, col = f("r0", "r1", "qi"), f("c0", "c1", "qj")
-        return row * row + col * col
-
+    near2 = """pow(greatest(r0 - qi - 1, qi - r1, 0), 2) + pow(greatest(c0 - qj - 1, qj - c1, 0), 2)"""
+    far2 = """pow(greatest(r1 - qi, qi + 1 - r0), 2) + pow(greatest(c1 - qj, qj + 1 - c0), 2)"""
     per_square = W.partitionBy("qi", "qj")
     sides = [(i, j) for i in range(ends[0] // 4**top, ends[1] // 4**top + 1) for j in range(ends[2] // 4**top, ends[3] // 4**top + 1)]
     kept = placed.select("qi", "qj").distinct().select(
-        "qi", "qj", F.inline(F.array(*[F.struct(F.lit(i).alias("pi"), F.lit(j).alias("pj")) for i, j in sides]))
+        "qi", "qj", F.inline(literal_rows(("pi", "pj"), sides))
     )
     for level in range(top, -1, -1):
         up = 1 if level == top else 4
@@ -208,7 +244,7 @@ def _nearest_far(nodes: DataFrame, samples: DataFrame, key: str, u: str, v: str)
         )
         # At most 4 squares at the top and 16 times as many per level below.
         parts = lookup_join(kept, here, ["pi", "pj"], "inner", right_rows=4 * 16 ** (top - level))
-        parts = parts.select("qi", "qj", "i", "j", squared(gap).alias("near2"), squared(far_end).alias("far2"))
+        parts = parts.selectExpr("qi", "qj", "i", "j", f"{near2} AS near2", f"{far2} AS far2")
         parts = parts.select("qi", "qj", "i", "j", "near2", F.min("far2").over(per_square).alias("bound2"))
         kept = parts.where(F.col("near2") <= F.col("bound2")).select("qi", "qj", F.col("i").alias("pi"), F.col("j").alias("pj"))
         if level and (top - level) % LEVELS_PER_CUT == LEVELS_PER_CUT - 1:
@@ -221,23 +257,6 @@ def _nearest_far(nodes: DataFrame, samples: DataFrame, key: str, u: str, v: str)
     return nodes.join(lookup_join(best, samples, ["lr", "lc"], "inner").select(key, "_s"), key)
 
 
-def filled(
-    nodes: DataFrame,
-    samples: DataFrame,
-    values: list[str],
-    key: str = "node_id",
-    u: str = "u",
-    v: str = "v",
-    only: Column | None = None,
-    sample_rows: int | None = None,
-) -> DataFrame:
-    """Linear where the lattice allows it, nearest sample elsewhere; `only` limits the latter."""
-    linear = linear_on_lattice(nodes, samples, values, u, v, sample_rows)
-    gap = F.col(values[0]).isNull() & (F.lit(True) if only is None else F.coalesce(only, F.lit(False)))
-    gaps = cut_lineage(linear.where(gap).select(*nodes.columns))
-    return linear.where(~gap).unionByName(nearest_on_lattice(gaps, samples, values, key, u, v, sample_rows))
-
-
 def _half_hull(points: np.ndarray, sign: int) -> list:
     """Chain of extreme columns by row: convex on the low side (sign 1) or the high side (sign -1)."""
     chain: list = []

@@ -61,17 +61,15 @@ def route_step(cells: DataFrame) -> DataFrame:
 def spread_overflow(cells: DataFrame, cap_m: float, rows, cols) -> DataFrame:
     """Depth above the cap leaves in eight equal parts to the clamped neighbours, all cells at once."""
     excess = F.greatest(F.col("h") - cap_m, F.lit(0e0))
-    gh, gw = lit(rows), lit(cols)
-
-    def neighbour(di: int, dj: int):
-        row = F.greatest(F.lit(0), F.least(gh - 1, F.col("r") + di))
-        col = F.greatest(F.lit(0), F.least(gw - 1, F.col("c") + dj))
-        return (row * gw + col).cast("long")
-
-    own = F.struct(F.col("node_id").alias("id"), (F.col("h") - excess).alias("part"))
-    shares = [F.struct(neighbour(i, j).alias("id"), (excess / 8.0).alias("part")) for i, j in NEIGHBOURS]
-    parts = F.when(F.col("h") > cap_m, F.array(own, *shares)).otherwise(F.array(own))
-    flow = cells.select(F.inline(parts))
+    sized = cells.select("node_id", "r", "c", "h", excess.alias("e"), lit(rows).alias("gh"), lit(cols).alias("gw"))
+    shares = ", ".join(
+        f"named_struct('id', CAST(greatest(0, least(gh - 1, r + {i})) * gw"
+        f" + greatest(0, least(gw - 1, c + {j})) AS BIGINT), 'part', e / 8)"
+        for i, j in NEIGHBOURS
+    )
+    own = "named_struct('id', node_id, 'part', h - e)"
+    parts = F.expr(f"CASE WHEN e > 0 THEN array({own}, {shares}) ELSE array({own}) END")
+    flow = sized.select(F.inline(parts))
     return flow.groupBy(F.col("id").alias("node_id")).agg(F.sum("part").alias("h"))
 
 

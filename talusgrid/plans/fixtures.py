@@ -16,9 +16,7 @@ HOURS = 24
 def cells(spark: SparkSession, folder: str, spread: bool = False) -> DataFrame:
     o = read_table(spark, folder, "orders", "o_orderkey" if spread else None)
     k, cust = F.col("o_orderkey"), F.col("o_custkey")
-    code = F.when(k % 9 == 0, 0)
-    for i in range(1, 9):
-        code = code.when(k % 9 == i, 1 << (i - 1))
+    code = F.expr("CASE WHEN o_orderkey % 9 = 0 THEN 0 ELSE CAST(pow(2, o_orderkey % 9 - 1) AS INT) END")
     row = F.floor(k / COLUMNS)
     return o.select(
         k.alias("node_id"),

@@ -13,6 +13,8 @@ from pyspark.sql import SparkSession
 
 
 def session(cores: str = "8") -> SparkSession:
+    if os.environ.get("PLAIN_SESSION"):
+        return SparkSession.builder.master(f"local[{cores}]").getOrCreate()
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .config("spark.sql.shuffle.partitions", "8")

@@ -57,15 +57,16 @@ def quantised(node_hours: DataFrame, fs_top: float = FS_TOP, depth_top: float =
     )
 
 
-def _two_hex(column: str):
-    return lambda x: F.lpad(F.hex(x[column].cast("long")), 2, "0")
+def _bytes_text(*levels: str):
+    """Byte levels of one node as hexadecimal text."""
+    return F.concat(*[F.lpad(F.hex(F.col(x).cast("long")), 2, "0") for x in levels])
 
 
-def _packed(entries, columns: list[str]):
-    """Sorted entries -> base64 text of their bytes, interleaved per node."""
-    text = F.transform(F.array_sort(entries), lambda x: F.concat(*[_two_hex(c)(x) for c in columns]))
-    # base64 may break its text into lines; the packed form is one line.
-    return F.translate(F.base64(F.unhex(F.array_join(text, ""))), "\r\n", "")
+def _packed(entries):
+    """Collected (node_id, text) entries -> base64 of their bytes in node order, as one line."""
+    joined = F.array_join(F.sort_array(entries).getField("text"), "")
+    # base64 may break its text into lines.
+    return F.translate(F.base64(F.unhex(joined)), "\r\n", "")
 
 
 def pack_frames(levels: DataFrame, nodes_per_pack: int = NODES_PER_PACK) -> DataFrame:
@@ -75,11 +76,11 @@ def pack_frames(levels: DataFrame, nodes_per_pack: int = NODES_PER_PACK) -> Data
     in order make up the frame of an hour.
     """
     block = F.floor(F.col("node_id") / nodes_per_pack).cast("long")
-    entry = F.struct("node_id", "fs_q", "depth_q")
+    entry = F.struct("node_id", _bytes_text("fs_q", "depth_q").alias("text"))
     return (
         levels.groupBy("hr", block.alias("block"))
         .agg(F.count(F.lit(1)).alias("n_nodes"), F.collect_list(entry).alias("e"))
-        .select("hr", "block", "n_nodes", _packed(F.col("e"), ["fs_q", "depth_q"]).alias("b64"))
+        .select("hr", "block", "n_nodes", _packed(F.col("e")).alias("b64"))
     )
 
 
@@ -89,8 +90,9 @@ def pack_erosion(
     """erosion(node_id, erosion_m) -> one byte per node, packed like the frames."""
     block = F.floor(F.col("node_id") / nodes_per_pack).cast("long")
     levels = erosion.select("node_id", byte_level(F.col("erosion_m"), erosion_top).alias("q"))
+    entry = F.struct("node_id", _bytes_text("q").alias("text"))
     return (
         levels.groupBy(block.alias("block"))
-        .agg(F.count(F.lit(1)).alias("n_nodes"), F.collect_list(F.struct("node_id", "q")).alias("e"))
-        .select("block", "n_nodes", _packed(F.col("e"), ["q"]).alias("b64"))
+        .agg(F.count(F.lit(1)).alias("n_nodes"), F.collect_list(entry).alias("e"))
+        .select("block", "n_nodes", _packed(F.col("e")).alias("b64"))
     )

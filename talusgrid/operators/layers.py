@@ -31,6 +31,9 @@ DEFAULT_COLOUR = (40.0, 40.0, 44.0)
 
 # Layer order and titles.
 LAYER_TITLES = {
+    "hillshade-color": "Shaded relief + color",
+    "color-relief": "Elevation color",
+    "hillshade": "Hillshade (grayscale)",
     "slope": "Slope",
     "aspect": "Aspect",
     "roughness": "Roughness",
@@ -39,6 +42,7 @@ LAYER_TITLES = {
     "twi": "Topographic wetness (TWI)",
     "flow-direction-dinf": "Flow direction (D∞)",
     "flow-direction-d8": "Flow direction (D8)",
+    "hydro-conditioned-dem": "Hydro-conditioned DEM",
     "precipitation": "Precipitation",
     "soil-friction-angle": "Soil friction angle (est.)",
     "soil-cohesion": "Soil cohesion (est.)",
@@ -123,11 +127,9 @@ def direction_convention(cells: DataFrame, column: str = "d8_code") -> DataFrame
     )
 
 
-def direction_legend(cells: DataFrame, column: str = "d8_code") -> DataFrame:
-    """Legend entries of the direction layer with the number of cells per entry, code 0 left out."""
-    convention = direction_convention(cells, column).scalar()
-    esri = convention == "esri"
-    items = F.array(
+def _direction_items(esri: Column) -> Column:
+    """The eight legend entries, named by compass or by number."""
+    return F.array(
         *[
             F.struct(
                 F.when(esri, F.lit(ESRI_CODES[k])).otherwise(F.lit(k)).alias("code"),
@@ -138,7 +140,12 @@ def direction_legend(cells: DataFrame, column: str = "d8_code") -> DataFrame:
             for k in range(1, 9)
         ]
     )
-    legend = cells.sparkSession.range(1).select(F.inline(items))
+
+
+def direction_legend(cells: DataFrame, column: str = "d8_code") -> DataFrame:
+    """Legend entries of the direction layer with the number of cells per entry, code 0 left out."""
+    convention = direction_convention(cells, column).scalar()
+    legend = cells.sparkSession.range(1).select(F.inline(_direction_items(convention == "esri")))
     counts = cells.groupBy(direction_code(column).alias("code")).agg(F.count(F.lit(1)).alias("n"))
     # The legend has eight rows, so it is the side to broadcast; the counts are aggregated first.
     return (
@@ -190,73 +197,123 @@ def soil_layers(nodes: DataFrame) -> DataFrame:
     )
 
 
+# Columns that a layer is drawn from; a layer whose columns are absent is left out.
+LAYER_COLUMNS = {
+    "hillshade-color": ("shaded_red", "shaded_green", "shaded_blue"),
+    "color-relief": ("relief_red", "relief_green", "relief_blue"),
+    "hillshade": ("hillshade",),
+    "slope": ("slope_deg",),
+    "aspect": ("aspect_deg",),
+    "roughness": ("roughness",),
+    "flow-accumulation": ("flow_accum",),
+    "specific-catchment-area": ("sca",),
+    "twi": ("twi",),
+    "flow-direction-dinf": ("dinf_angle",),
+    "flow-direction-d8": ("d8_code",),
+    "hydro-conditioned-dem": ("hydro_dem",),
+    "precipitation": ("precip_mm",),
+    "soil-friction-angle": ("friction_deg", "has_soil"),
+    "soil-cohesion": ("cohesion_kpa", "has_soil"),
+}
+
+
 def layer_catalogue(cells: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One row per layer with its legend, in display order.
+    """One row per available layer with its legend, in display order.
 
     cells holds the terrain bands, nodes the resampled rain and soil values. Legend limits come
     from one percentile pass and one range pass per table.
     """
-    valid = cells.select(
-        null_below(F.col("roughness")).alias("roughness"),
-        null_below(F.col("twi")).alias("twi"),
-        F.log1p(null_negative(F.col("flow_accum"))).alias("flow_accum"),
-        F.log1p(null_negative(F.col("sca"))).alias("sca"),
-    )
-    q = exact_percentiles(
-        valid,
-        {"roughness": [0.99], "twi": [0.01, 0.99], "flow_accum": [0.02, 0.995], "sca": [0.02, 0.995]},
-    )
-    soil = {n: F.when(F.col("has_soil"), F.col(n)) for n in ("friction_deg", "cohesion_kpa")}
+    have = set(cells.columns) | set(nodes.columns)
+    shown = [n for n in LAYER_TITLES if have.issuperset(LAYER_COLUMNS[n])]
+    percentiles = {
+        "roughness": ("roughness", null_below(F.col("roughness")), [0.99]),
+        "twi": ("twi", null_below(F.col("twi")), [0.01, 0.99]),
+        "flow-accumulation": ("flow_accum", F.log1p(null_negative(F.col("flow_accum"))), [0.02, 0.995]),
+        "specific-catchment-area": ("sca", F.log1p(null_negative(F.col("sca"))), [0.02, 0.995]),
+    }
+    wanted = {c: (x, p) for n, (c, x, p) in percentiles.items() if n in shown}
+    valid = cells.select(*[x.alias(c) for c, (x, _) in wanted.items()])
+    q = exact_percentiles(valid, {c: p for c, (_, p) in wanted.items()}) if wanted else {}
+    seen = {"precip_mm": F.col("precip_mm")}
+    seen |= {n: F.when(F.col("has_soil"), F.col(n)) for n in ("friction_deg", "cohesion_kpa")}
+    ranges = {c: x for c, x in seen.items() if c in have}
     span = nodes.agg(
-        *[f("precip_mm").alias(f"rain_{k}") for k, f in (("lo", F.min), ("hi", F.max))],
-        *[f(x).alias(f"{n}_{k}") for n, x in soil.items() for k, f in (("lo", F.min), ("hi", F.max))],
+        F.lit(0).alias("_"), *[f(x).alias(f"{c}_{k}") for c, x in ranges.items() for k, f in (("lo", F.min), ("hi", F.max))]
     )
-    def ticks(labels) -> Column:
-        marks = [F.struct(F.lit(p).alias("pos"), F.lit(t).alias("label")) for p, t in zip(TICK_POSITIONS, labels)]
-        return F.array(*marks)
+    heights = cells.agg(F.struct(F.min("elevation_m").alias("lo"), F.max("elevation_m").alias("hi"))).scalar()
+    esri = direction_convention(cells).scalar() == "esri" if "d8_code" in have else F.lit(False)
+    span = span.withColumns({"_heights": heights, "_esri": esri})
 
     number = lambda x: F.lit(x).cast("double") if not isinstance(x, Column) else x
+    text = lambda x: F.lit(x).cast("string")
     no_ticks = F.lit(None).cast("array<struct<pos:double,label:string>>")
+    no_items = F.lit(None).cast("array<struct<color:string,label:string>>")
+    items = F.transform(_direction_items(F.col("_esri")), lambda x: F.struct(x["colour"].alias("color"), x["label"].alias("label")))
+
+    def ticks(labels) -> Column:
+        marks = [F.struct(F.lit(p).alias("pos"), F.lit(t).alias("label")) for p, t in zip(TICK_POSITIONS, labels)]
+        return F.array(*marks)
 
-    def row(name: str, kind: str, low=None, high=None, middle=None, unit: str = "", marks=None) -> Column:
+    def row(name: str, kind: str = "gradient", limits=(None, None), middle=None, unit="", words=(None, None), **more) -> Column:
         return F.struct(
             F.lit(name).alias("layer"),
             F.lit(LAYER_TITLES[name]).alias("title"),
             F.lit(kind).alias("kind"),
-            number(low).alias("low"),
-            number(high).alias("high"),
+            number(limits[0]).alias("low"),
+            number(limits[1]).alias("high"),
             number(middle).alias("middle"),
             F.lit(unit).alias("unit"),
-            (no_ticks if marks is None else ticks(marks)).alias("ticks"),
+            text(words[0]).alias("low_words"),
+            text(words[1]).alias("high_words"),
+            more.get("ticks", no_ticks).alias("ticks"),
+            more.get("items", no_items).alias("items"),
+            F.lit(more.get("approx")).cast("boolean").alias("approx"),
         )
 
-    def log_row(name: str, limits: list[float]) -> Column:
-        lo, hi = limits
-        return row(name, "gradient", math.expm1(lo), math.expm1(hi), math.expm1(lo + 0.5 * (hi - lo)))
-
-    rows = F.array(
-        row("slope", "gradient", 0.0, 60.0, unit="°"),
-        row("aspect", "cyclic", marks=COMPASS_TICKS),
-        row("roughness", "gradient", 0.0, q["roughness"][0]),
-        log_row("flow-accumulation", q["flow_accum"]),
-        log_row("specific-catchment-area", q["sca"]),
-        row("twi", "gradient", *q["twi"]),
-        row("flow-direction-dinf", "cyclic", marks=DEGREE_TICKS),
-        row("flow-direction-d8", "categorical"),
-        row("precipitation", "gradient", F.col("rain_lo"), F.col("rain_hi"), unit=" mm"),
-        row("soil-friction-angle", "gradient", F.col("friction_deg_lo"), F.col("friction_deg_hi"), unit="°"),
-        row("soil-cohesion", "gradient", F.col("cohesion_kpa_lo"), F.col("cohesion_kpa_hi"), unit=" kPa"),
+    def log_row(name: str) -> Column:
+        lo, hi = q[percentiles[name][0]]
+        return row(name, limits=(math.expm1(lo), math.expm1(hi)), middle=math.expm1(lo + 0.5 * (hi - lo)))
+
+    def range_of(column: str) -> tuple[Column, Column]:
+        return F.col(f"{column}_lo"), F.col(f"{column}_hi")
+
+    elevation = (F.col("_heights.lo"), F.col("_heights.hi"))
+    rows = {
+        "hillshade-color": lambda n: row(n, limits=elevation, unit=" m", approx=True),
+        "color-relief": lambda n: row(n, limits=elevation, unit=" m", approx=True),
+        "hillshade": lambda n: row(n, words=("shadowed", "sunlit")),
+        "slope": lambda n: row(n, limits=(0.0, 60.0), unit="°"),
+        "aspect": lambda n: row(n, "cyclic", ticks=ticks(COMPASS_TICKS)),
+        "roughness": lambda n: row(n, limits=(0.0, q["roughness"][0])),
+        "flow-accumulation": log_row,
+        "specific-catchment-area": log_row,
+        "twi": lambda n: row(n, limits=q["twi"]),
+        "flow-direction-dinf": lambda n: row(n, "cyclic", ticks=ticks(DEGREE_TICKS)),
+        "flow-direction-d8": lambda n: row(n, "categorical", items=items),
+        "hydro-conditioned-dem": lambda n: row(n, limits=elevation, unit=" m"),
+        "precipitation": lambda n: row(n, limits=range_of("precip_mm"), unit=" mm"),
+        "soil-friction-angle": lambda n: row(n, limits=range_of("friction_deg"), unit="°"),
+        "soil-cohesion": lambda n: row(n, limits=range_of("cohesion_kpa"), unit=" kPa"),
+    }
+    entries = span.select(F.posexplode(F.array(*[rows[n](n) for n in shown])).alias("display_order", "x"))
+    entries = entries.select("display_order", "x.*")
+    labelled = with_compact_labels(entries, {"low_text": "low", "high_text": "high", "middle_text": "middle"})
+    labelled = labelled.withColumns(
+        {
+            "low_label": F.coalesce(F.concat("low_text", "unit"), "low_words"),
+            "high_label": F.coalesce(F.concat("high_text", "unit"), "high_words"),
+            "middle_label": F.concat("middle_text", "unit"),
+        }
     )
-    entries = span.select(F.posexplode(rows).alias("display_order", "x")).select("display_order", "x.*")
-    text = with_compact_labels(entries, {"low_text": "low", "high_text": "high", "middle_text": "middle"})
-    labelled = text.withColumns({f"{n}_label": F.concat(f"{n}_text", "unit") for n in ("low", "high", "middle")})
     legend = F.struct(
         "kind",
         F.col("low_label").alias("minLabel"),
         F.col("high_label").alias("maxLabel"),
         F.col("middle_label").alias("midLabel"),
         "ticks",
+        "items",
         F.when(F.col("middle").isNotNull(), F.lit(True)).alias("logScale"),
+        "approx",
     )
     return labelled.select(
         "display_order",

@@ -993,11 +993,11 @@ FROM (SELECT node_id, min(fs) AS lo FROM fx_fs GROUP BY node_id) GROUP BY 1""",
     quant = lambda col, p: f"(SELECT quantile_cont({col}, {p}) FROM fx_cells)"
     rows = []
 
-    def gradient(k, layer, title, lo, hi, unit=""):
+    def gradient(k, layer, title, lo, hi, unit="", tail=""):
         rows.append(
             f"SELECT {k} AS display_order, '{layer}' AS layer, '{title}' AS title, 'gradient' AS kind, "
             f"{_label('lo')} || '{unit}' AS min_label, {_label('hi')} || '{unit}' AS max_label, "
-            f"""'{{"kind":"gradient","minLabel":"' || min_label || '","maxLabel":"' || max_label || '"}}' AS legend_json """
+            f"""'{{"kind":"gradient","minLabel":"' || min_label || '","maxLabel":"' || max_label || '"{tail}}}' AS legend_json """
             f"FROM (SELECT {lo} AS lo, {hi} AS hi)"
         )
 
@@ -1018,18 +1018,32 @@ FROM (SELECT node_id, min(fs) AS lo FROM fx_fs GROUP BY node_id) GROUP BY 1""",
             f"NULL AS min_label, NULL AS max_label, '{{\"kind\":\"{kind}\"{tail}}}' AS legend_json"
         )
 
-    gradient(0, "slope", "Slope", "0e0", "60e0", "°")
-    marked(1, "aspect", "Aspect", "cyclic", "NESWN")
-    gradient(2, "roughness", "Roughness", "0e0", quant("roughness", "99e-2"))
-    log_gradient(3, "flow-accumulation", "Flow accumulation", "flow_accum")
-    log_gradient(4, "specific-catchment-area", "Specific catchment area", "sca")
-    gradient(5, "twi", "Topographic wetness (TWI)", quant("twi", "1e-2"), quant("twi", "99e-2"))
-    marked(6, "flow-direction-dinf", "Flow direction (D∞)", "cyclic", ["0°", "90°", "180°", "270°", "360°"])
-    marked(7, "flow-direction-d8", "Flow direction (D8)", "categorical")
-    ends = lambda n, w="": (f"(SELECT min({n}) FROM ready{w})", f"(SELECT max({n}) FROM ready{w})")
-    gradient(8, "precipitation", "Precipitation", *ends("precip_mm"), " mm")
-    gradient(9, "soil-friction-angle", "Soil friction angle (est.)", *ends("friction_deg", " WHERE has_soil"), "°")
-    gradient(10, "soil-cohesion", "Soil cohesion (est.)", *ends("cohesion_kpa", " WHERE has_soil"), " kPa")
+    ends = lambda n, w="", t="ready": (f"(SELECT min({n}) FROM {t}{w})", f"(SELECT max({n}) FROM {t}{w})")
+    elevation = ends("elevation_m", t="fx_cells")
+    gradient(0, "hillshade-color", "Shaded relief + color", *elevation, " m", ',"approx":true')
+    rows.append(
+        "SELECT 1 AS display_order, 'hillshade' AS layer, 'Hillshade (grayscale)' AS title, 'gradient' AS kind, "
+        "'shadowed' AS min_label, 'sunlit' AS max_label, "
+        """'{"kind":"gradient","minLabel":"shadowed","maxLabel":"sunlit"}' AS legend_json"""
+    )
+    gradient(2, "slope", "Slope", "0e0", "60e0", "°")
+    marked(3, "aspect", "Aspect", "cyclic", "NESWN")
+    gradient(4, "roughness", "Roughness", "0e0", quant("roughness", "99e-2"))
+    log_gradient(5, "flow-accumulation", "Flow accumulation", "flow_accum")
+    log_gradient(6, "specific-catchment-area", "Specific catchment area", "sca")
+    gradient(7, "twi", "Topographic wetness (TWI)", quant("twi", "1e-2"), quant("twi", "99e-2"))
+    marked(8, "flow-direction-dinf", "Flow direction (D∞)", "cyclic", ["0°", "90°", "180°", "270°", "360°"])
+    colours = ("#ff7f0e", "#2ca02c", "#d62728", "#8c564b", "#e377c2", "#7f7f7f", "#bcbd22", "#17becf")
+    names = ("E", "SE", "S", "SW", "W", "NW", "N", "NE")
+    items = ",".join(f'{{"color":"{c}","label":"{n}"}}' for c, n in zip(colours, names))
+    rows.append(
+        "SELECT 9 AS display_order, 'flow-direction-d8' AS layer, 'Flow direction (D8)' AS title, 'categorical' AS kind, "
+        f"NULL AS min_label, NULL AS max_label, '{{\"kind\":\"categorical\",\"items\":[{items}]}}' AS legend_json"
+    )
+    gradient(10, "hydro-conditioned-dem", "Hydro-conditioned DEM", *elevation, " m")
+    gradient(11, "precipitation", "Precipitation", *ends("precip_mm"), " mm")
+    gradient(12, "soil-friction-angle", "Soil friction angle (est.)", *ends("friction_deg", " WHERE has_soil"), "°")
+    gradient(13, "soil-cohesion", "Soil cohesion (est.)", *ends("cohesion_kpa", " WHERE has_soil"), " kPa")
     q("layer_catalog", _with("\nUNION ALL ".join(rows), "ready", **READY))
     q(
         "soil_layers",

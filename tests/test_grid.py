@@ -120,3 +120,11 @@ def test_cyclic_layer_detects_radians(spark):
     degrees = spark.createDataFrame([(0.0,), (180.0,), (-1.0,)], "a double")
     for df in (radians, degrees):
         assert [r["norm"] for r in layers.cyclic_layer(df, "a").collect()] == [0.0, 0.5, None]
+
+
+def test_catalogue_leaves_out_layers_without_bands(spark):
+    cells = raster(spark, np.arange(12.0).reshape(3, 4)).withColumns({"slope_deg": F.lit(5.0), "twi": F.col("r") * 1.0})
+    nodes = spark.createDataFrame([(0, 7.25), (1, 1250.0)], "node_id long, precip_mm double")
+    got = layers.layer_catalogue(cells, nodes).orderBy("display_order").collect()
+    assert [r["layer"] for r in got] == ["slope", "twi", "precipitation"]
+    assert (got[2]["min_label"], got[2]["max_label"]) == ("7.2 mm", "1.2k mm")

@@ -1,9 +1,9 @@
 """Exact percentiles with linear interpolation at any table size.
 
-`percentile` keeps every distinct value of a group in one task. Up to SMALL rows that is fine.
-Beyond it the wanted order statistics are bracketed with a mergeable sketch, counted, and the
-bracket is narrowed until it is small. Each round is one scan of one column that moves a few
-numbers, and the result is exact because the counts, not the sketch, decide.
+Up to SMALL values a column is sorted as one array, of which only the wanted entries reach the
+driver. Beyond that the wanted order statistics are bracketed with a mergeable sketch, counted,
+and the bracket is narrowed until it is small. Each round is one scan of one column that moves a
+few numbers, and the result is exact because the counts, not the sketch, decide.
 """
 
 from __future__ import annotations
@@ -21,11 +21,17 @@ def exact_percentiles(df: DataFrame, wanted: dict[str, list[float]], small: int
     """{column: [probabilities]} -> {column: [percentiles]}; NULLs are left out, no values give NaN."""
     counts = df.agg(*[F.count(c).alias(c) for c in wanted]).first()
     out: dict[str, list[float]] = {}
-    little = [c for c in wanted if counts[c] <= small]
+    little = [c for c in wanted if 0 < counts[c] <= small]
     if little:
-        row = df.agg(*[F.percentile(c, [float(p) for p in wanted[c]]).alias(c) for c in little]).first()
+        places = {c: [p * (counts[c] - 1) for p in wanted[c]] for c in little}
+        ordered = df.agg(*[F.sort_array(F.collect_list(F.col(c).cast("double"))).alias(c) for c in little])
+        picked = ordered.select(
+            *[F.array(*[F.get(c, F.lit(k)) for x in places[c] for k in (math.floor(x), math.ceil(x))]).alias(c) for c in little]
+        ).first()
         for c in little:
-            out[c] = [float("nan")] * len(wanted[c]) if row[c] is None else [float(x) for x in row[c]]
+            pairs = zip(picked[c][::2], picked[c][1::2], places[c])
+            out[c] = [low + (high - low) * (x - math.floor(x)) for low, high, x in pairs]
+    out |= {c: [float("nan")] * len(wanted[c]) for c in wanted if counts[c] == 0}
     for c in wanted:
         if c not in out:
             values = df.select(F.col(c).cast("double").alias("x")).where("x is not null")

@@ -20,6 +20,7 @@ from talusgrid.sources.workspace import cut_lineage
 CORNERS = ((0, 0), (0, 1), (1, 0), (1, 1))
 HULL_ROWS = 4096
 LEVELS_PER_CUT = 4
+ROOTS = 128
 
 
 def _squares(samples: DataFrame, row: str, col: str, values: list[str]) -> DataFrame:
@@ -215,7 +216,7 @@ def _boxes(samples: DataFrame, top: int) -> DataFrame:
 def _nearest_far(nodes: DataFrame, samples: DataFrame, key: str, u: str, v: str) -> DataFrame:
     """Nearest sample for nodes far from all samples, by descending through nested squares.
 
-    The unit squares that hold nodes start with the few top squares as candidates. Level by
+    The unit squares that hold nodes start with at most ROOTS top squares as candidates. Level by
     level a candidate is replaced by its occupied parts (4 x 4), and a part stays only if its
     samples may be nearer than the farthest point of the best one. What is left at the bottom is
     a thin arc of samples per unit square, against which its nodes are measured.
@@ -224,17 +225,21 @@ def _nearest_far(nodes: DataFrame, samples: DataFrame, key: str, u: str, v: str)
     if ends[0] is None:
         return nodes.withColumn("_s", F.lit(None).cast(samples.schema["_s"].dataType))
     top = 0
-    while ends[1] // 4**top - ends[0] // 4**top > 1 or ends[3] // 4**top - ends[2] // 4**top > 1:
+    while True:
+        rows = range(ends[0] // 4**top, ends[1] // 4**top + 1)
+        cols = range(ends[2] // 4**top, ends[3] // 4**top + 1)
+        if len(rows) * len(cols) <= ROOTS:
+            break
         top += 1
+    roots = [(i, j) for i in rows for j in cols]
     boxes = cut_lineage(_boxes(samples, top))
     placed = nodes.withColumns({"qi": F.floor(F.col(v)).cast("int"), "qj": F.floor(F.col(u)).cast("int")})
 
     near2 = """pow(greatest(r0 - qi - 1, qi - r1, 0), 2) + pow(greatest(c0 - qj - 1, qj - c1, 0), 2)"""
     far2 = """pow(greatest(r1 - qi, qi + 1 - r0), 2) + pow(greatest(c1 - qj, qj + 1 - c0), 2)"""
     per_square = W.partitionBy("qi", "qj")
-    sides = [(i, j) for i in range(ends[0] // 4**top, ends[1] // 4**top + 1) for j in range(ends[2] // 4**top, ends[3] // 4**top + 1)]
     kept = placed.select("qi", "qj").distinct().select(
-        "qi", "qj", F.inline(literal_rows(("pi", "pj"), sides))
+        "qi", "qj", F.inline(literal_rows(("pi", "pj"), roots))
     )
     for level in range(top, -1, -1):
         up = 1 if level == top else 4
@@ -242,8 +247,8 @@ def _nearest_far(nodes: DataFrame, samples: DataFrame, key: str, u: str, v: str)
             F.floor(F.col("i") / up).cast("int").alias("pi"), F.floor(F.col("j") / up).cast("int").alias("pj"),
             "i", "j", "r0", "r1", "c0", "c1",
         )
-        # At most 4 squares at the top and 16 times as many per level below.
-        parts = lookup_join(kept, here, ["pi", "pj"], "inner", right_rows=4 * 16 ** (top - level))
+        # At most ROOTS squares at the top and 16 times as many per level below.
+        parts = lookup_join(kept, here, ["pi", "pj"], "inner", right_rows=ROOTS * 16 ** (top - level))
         parts = parts.selectExpr("qi", "qj", "i", "j", f"{near2} AS near2", f"{far2} AS far2")
         parts = parts.select("qi", "qj", "i", "j", "near2", F.min("far2").over(per_square).alias("bound2"))
         kept = parts.where(F.col("near2") <= F.col("bound2")).select("qi", "qj", F.col("i").alias("pi"), F.col("j").alias("pj"))

@@ -91,6 +91,13 @@ def _sizes(docs: DataFrame, seed: str) -> DataFrame:
     return stored(sized, "mix-sizes")
 
 
+def _with_cuts(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """rows(source, key, ...) meet the plan of their source; the first digit of the key splits a hot source 16 ways."""
+    digits = F.explode(F.array(*[F.lit(d) for d in "0123456789abcdef"])).alias("digit")
+    same = F.col("s.__source").eqNullSafe(F.col("c.source")) & (F.substring("s.key", 1, 1) == F.col("c.digit"))
+    return rows.alias("s").join(cuts.select("*", digits).alias("c"), same)
+
+
 def _copies() -> Column:
     return (F.col("c.whole") + (F.col("key") <= F.col("c.cut")).cast("int")).cast("long")
 
@@ -101,8 +108,8 @@ def mix_plan(
     """docs(doc_id, text, source) -> (doc_id, source, size, source_size, target, copies), one row per input row."""
     sizes = _sizes(docs, seed)
     cuts = _cuts(sizes, source_targets(sizes, weights, share, max_epochs))
-    return sizes.alias("s").join(cuts.alias("c"), F.col("s.source").eqNullSafe(F.col("c.source"))).select(
-        "doc_id", "s.source", "size", "source_size", "target", _copies().alias("copies")
+    return _with_cuts(sizes.withColumnRenamed("source", "__source"), cuts).select(
+        "doc_id", F.col("__source").alias("source"), "size", "source_size", "target", _copies().alias("copies")
     )
 
 
@@ -117,5 +124,5 @@ def mixed(
     sizes = _sizes(docs, seed)
     cuts = stored(_cuts(sizes, source_targets(sizes, weights, share, max_epochs)), "mix-cuts")
     rows = docs.select(packed(docs), F.col("source").alias("__source"), row_key(F.col("doc_id"), seed).alias("key"))
-    taken = rows.join(cuts.alias("c"), F.col("__source").eqNullSafe(F.col("c.source"))).select(ROW, _copies().alias("copies"))
+    taken = _with_cuts(rows, cuts).select(ROW, _copies().alias("copies"))
     return taken.where("copies > 0").select(ROW, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select(f"{ROW}.*")

@@ -28,7 +28,7 @@ MIN_WORDS = 50
 MIN_DOCS = 40
 SPREAD = 6
 #: Rates in thousandths (word length: hundredths of a character) and the slack that a fence always leaves.
-RATES = {"word_length": 60, "symbols": 20, "dup_lines": 100, "repeats": 150}
+RATES = {"word_length": 60, "symbols": 20, "dup_lines": 340, "repeats": 450}
 SKETCH_BITS = 10
 
 

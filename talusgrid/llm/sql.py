@@ -38,7 +38,7 @@ QUALITY = r"""
 WITH base AS (
   SELECT row_number() OVER () AS i, doc_id, lang, source, coalesce(text, '') AS text,
          coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM documents),
 grams AS (
   SELECT i, unnest(range(len(w) - 2)) AS p, w FROM base WHERE len(w) >= 3),
@@ -76,7 +76,7 @@ quart AS (
   SELECT level, lang, source, rate, any_value(docs) AS docs, min(CASE WHEN 4 * upto >= docs THEN b END) AS q1, min(CASE WHEN 4 * upto >= 3 * docs THEN b END) AS q3
   FROM ranked GROUP BY ALL),
 fence AS (
-  SELECT *, 6 * (q3 - q1) + CASE rate WHEN 'word_length' THEN 60 WHEN 'symbols' THEN 20 WHEN 'dup_lines' THEN 100 ELSE 150 END AS reach FROM quart),
+  SELECT *, 6 * (q3 - q1) + CASE rate WHEN 'word_length' THEN 60 WHEN 'symbols' THEN 20 WHEN 'dup_lines' THEN 340 ELSE 450 END AS reach FROM quart),
 groups AS (
   SELECT g.lang, g.source, g.rate,
          CASE WHEN g.docs >= 40 THEN g.q1 - g.reach WHEN m.docs >= 40 THEN m.q1 - m.reach ELSE o.q1 - o.reach END AS low,

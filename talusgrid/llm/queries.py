@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talusgrid.llm import mixing, quality, sql
+from talusgrid.llm import mixing, ngram_join, quality, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,10 +25,15 @@ def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality(_table(spark, sf, "documents"))
 
 
+def op9_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.ngram_classes(_table(spark, sf, "documents"), n=3, percent=90)
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op4_mixing": op4_mixing,
         "op7_quality": op7_quality,
+        "op9_ngram_join": op9_ngram_join,
     }
 
 

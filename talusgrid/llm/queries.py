@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talusgrid.llm import mixing, ngram_join, quality, sql
+from talusgrid.llm import mixing, ngram_join, pii, quality, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,20 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _listed(spans: Column) -> Column:
+    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+
+
+def _count(spans: str, kind: str) -> Column:
+    return F.size(F.filter(F.col(spans), lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def op1_pii(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.detected(_table(spark, sf, "documents"))
+    counts = [_count("spans", kind) for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(_listed(F.col("spans")), 256).alias("base_sha256"), _listed(F.col("all_spans")).alias("spans"))
+
+
 def op4_mixing(spark: SparkSession, sf: str) -> DataFrame:
     plan = mixing.mix_plan(_table(spark, sf, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -31,6 +45,7 @@ def op9_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Query]:
     return {
+        "op1_pii": op1_pii,
         "op4_mixing": op4_mixing,
         "op7_quality": op7_quality,
         "op9_ngram_join": op9_ngram_join,

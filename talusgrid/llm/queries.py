@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talusgrid.llm import mixing, ngram_join, pii, quality, sql
+from talusgrid.llm import mixing, ngram_join, pieces, pii, quality, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,12 +43,17 @@ def op9_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.ngram_classes(_table(spark, sf, "documents"), n=3, percent=90)
 
 
+def op10_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return pieces.encoded(_table(spark, sf, "documents"), digest_only=True)
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_pii": op1_pii,
         "op4_mixing": op4_mixing,
         "op7_quality": op7_quality,
         "op9_ngram_join": op9_ngram_join,
+        "op10_pieces": op10_pieces,
     }
 
 

@@ -100,9 +100,12 @@ def window_hashes(hashed: np.ndarray, n: int, seed: int) -> np.ndarray:
     if count <= 0:
         return np.zeros(0, dtype=np.uint64)
     base, _ = _base(seed + 1000)
-    base = np.uint64(base)
-    total = hashed[:count].copy()
-    for k in range(1, n):
-        total *= base
-        total += hashed[k : k + count]
+    # total covers `width` words; the binary digits of n say when to double it and when to take one word more.
+    total, width = hashed, 1
+    for digit in bin(n)[3:]:
+        total = total[:-width] * np.uint64(pow(base, width, 1 << 64)) + total[width:]
+        width *= 2
+        if digit == "1":
+            total = total[:-1] * np.uint64(base) + hashed[width:]
+            width += 1
     return mix(total + np.uint64(n))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talusgrid.llm import mixing, ngram_join, pieces, pii, quality, sql
+from talusgrid.llm import mixing, ngram_join, pieces, pii, quality, sql, substrings, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,10 @@ def op1_pii(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_listed(F.col("spans")), 256).alias("base_sha256"), _listed(F.col("all_spans")).alias("spans"))
 
 
+def op3_substrings(spark: SparkSession, sf: str) -> DataFrame:
+    return substrings.repeat_counts(_table(spark, sf, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf: str) -> DataFrame:
     plan = mixing.mix_plan(_table(spark, sf, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -39,6 +43,11 @@ def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality(_table(spark, sf, "documents"))
 
 
+def op8_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    found = vectors.near_duplicates(_table(spark, sf, "embeddings"))
+    return found.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+
+
 def op9_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.ngram_classes(_table(spark, sf, "documents"), n=3, percent=90)
 
@@ -50,12 +59,14 @@ def op10_pieces(spark: SparkSession, sf: str) -> DataFrame:
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_pii": op1_pii,
+        "op3_substrings": op3_substrings,
         "op4_mixing": op4_mixing,
         "op7_quality": op7_quality,
+        "op8_vectors": op8_vectors,
         "op9_ngram_join": op9_ngram_join,
         "op10_pieces": op10_pieces,
     }
 
 
 def llm_sql() -> dict[str, str]:
-    return {"op4_mixing": sql.MIXING, "op7_quality": sql.QUALITY}
+    return {"op3_substrings": sql.SUBSTRINGS, "op4_mixing": sql.MIXING, "op7_quality": sql.QUALITY}

@@ -1,5 +1,21 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+SUBSTRINGS = r"""
+WITH lists AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM lists),
+grams AS (
+  SELECT doc_id, i, string_agg(w, ' ') OVER win AS g, count(*) OVER win AS c
+  FROM words WINDOW win AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+again AS (
+  SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS n FROM grams WHERE c = 20) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM again, (SELECT unnest(range(20)) AS k)),
+kept AS (
+  SELECT words.doc_id, count(gone.i) AS n_removed, string_agg(w, ' ' ORDER BY words.i) FILTER (WHERE gone.i IS NULL) AS t
+  FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.i = gone.i GROUP BY words.doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM lists LEFT JOIN kept USING (doc_id)
+"""
+
 MIXING = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,

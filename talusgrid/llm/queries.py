@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talusgrid.llm import mixing, ngram_join, pieces, pii, quality, sql, substrings, vectors
+from talusgrid.llm import languages, mixing, ngram_join, pieces, pii, quality, secrets, sql, substrings, vectors, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,11 @@ def op1_pii(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_listed(F.col("spans")), 256).alias("base_sha256"), _listed(F.col("all_spans")).alias("spans"))
 
 
+def op2_warc(spark: SparkSession, sf: str) -> DataFrame:
+    found = warc.archived(_table(spark, sf, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_substrings(spark: SparkSession, sf: str) -> DataFrame:
     return substrings.repeat_counts(_table(spark, sf, "documents"))
 
@@ -39,6 +44,20 @@ def op4_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op5_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    found = secrets.detected(_table(spark, sf, "documents"))
+    counts = [_count("spans", kind) for kind in secrets.KINDS]
+    return found.select("doc_id", *counts, F.sha2(_listed(F.col("spans")), 256).alias("base_sha256"), _listed(F.col("all_spans")).alias("spans"))
+
+
+def op6_languages(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text", "lang")
+    rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    model = languages.learn(docs.where(rest != 0))
+    found = languages.predict(docs, model)
+    return found.select("doc_id", F.coalesce(rest == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality(_table(spark, sf, "documents"))
 
@@ -59,8 +78,11 @@ def op10_pieces(spark: SparkSession, sf: str) -> DataFrame:
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_pii": op1_pii,
+        "op2_warc": op2_warc,
         "op3_substrings": op3_substrings,
         "op4_mixing": op4_mixing,
+        "op5_secrets": op5_secrets,
+        "op6_languages": op6_languages,
         "op7_quality": op7_quality,
         "op8_vectors": op8_vectors,
         "op9_ngram_join": op9_ngram_join,
@@ -69,4 +91,4 @@ def llm_queries() -> dict[str, Query]:
 
 
 def llm_sql() -> dict[str, str]:
-    return {"op3_substrings": sql.SUBSTRINGS, "op4_mixing": sql.MIXING, "op7_quality": sql.QUALITY}
+    return {"op2_warc": sql.WARC, "op3_substrings": sql.SUBSTRINGS, "op4_mixing": sql.MIXING, "op7_quality": sql.QUALITY}

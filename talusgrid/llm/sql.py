@@ -1,5 +1,21 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+# Base32 from the hex digest: the 40 digits as one bit string, five bits at a time.
+WARC = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (
+  SELECT hex, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + b, 1), '' ORDER BY k) AS digest
+  FROM (
+    SELECT hex, 4 * c + j AS k, ((CAST('0x' || substr(hex, 1 + 5 * c, 5) AS BIGINT) >> (15 - 5 * j)) & 31)::INT AS b
+    FROM (SELECT DISTINCT hex FROM p), (SELECT unnest(range(8)) AS c), (SELECT unnest(range(4)) AS j))
+  GROUP BY hex),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first FROM p)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN first IS NOT NULL AND (page_id IS NULL OR page_id > first) THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS NULL OR page_id > first THEN first END AS refers_to
+FROM f JOIN d USING (hex)
+"""
+
 SUBSTRINGS = r"""
 WITH lists AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
 words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM lists),

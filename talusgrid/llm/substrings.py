@@ -133,8 +133,12 @@ def repeated_bits(texts: DataFrame, span: int = SPAN, gram: int = GRAM) -> np.nd
 
 
 def _candidates(span: int, gram: int, bits):
-    """Rows (h1, h2, doc, form, start, settled): windows that may be repeated; settled ones are known to be."""
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("doc", pa.int64()), ("form", pa.int32()), ("start", pa.int32()), ("settled", pa.bool_())])
+    """Rows (h1, rest, doc, form, settled): windows that may be repeated; settled ones are known to be.
+
+    rest has the other hash bits above and the start below. So all that differs from row to row of a document stands
+    together, and shuffled rows compress to little more than their hashes.
+    """
+    schema = pa.schema([("h1", pa.int64()), ("rest", pa.int64()), ("doc", pa.int64()), ("form", pa.int32()), ("settled", pa.bool_())])
 
     def marked(cells):
         return (bits.value[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 == 1
@@ -153,60 +157,48 @@ def _candidates(span: int, gram: int, bits):
                 hit = hit[marked(two[hit])]
                 if len(hit):
                     h1 = hashing.window_hashes(hashed, span, 5)[index[hit]]
-                    h2 = hashing.window_hashes(hashed, span, 7)[index[hit]] >> np.uint64(32)
-                    parts.append((h1.view(np.int64), h2.astype(np.uint32).view(np.int32), row[hit] + first, start[hit].astype(np.int32)))
+                    h2 = hashing.window_hashes(hashed, span, 7)[index[hit]] >> np.uint64(32) << np.uint64(32)
+                    parts.append((h1.view(np.int64), (h2 | start[hit].astype(np.uint64)).view(np.int64), row[hit] + first))
             if not parts:
                 continue
-            h1, h2, row, start = (np.concatenate(x) for x in zip(*parts, strict=True))
+            h1, rest, row = (np.concatenate(x) for x in zip(*parts, strict=True))
             doc, form = ids[row], forms[row]
-            order = np.lexsort((start, form, doc, h1))
-            h1, h2, doc, form, start = h1[order], h2[order], doc[order], form[order], start[order]
+            order = np.lexsort((rest, form, doc, h1))
             same = np.zeros(len(h1), dtype=bool)
-            same[1:] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
+            a, b = order[1:], order[:-1]
+            same[1:] = (h1[a] == h1[b]) & (rest[a] >> 32 == rest[b] >> 32)
             # A row that equals the one before in place as well is a copy of the same document: as first as that one.
             twin = np.zeros(len(h1), dtype=bool)
-            twin[1:] = same[1:] & (doc[1:] == doc[:-1]) & (form[1:] == form[:-1]) & (start[1:] == start[:-1])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (h1[~twin], h2[~twin], doc[~twin], form[~twin], start[~twin], same[~twin])], schema=schema
-            )
+            twin[1:] = same[1:] & (doc[a] == doc[b]) & (form[a] == form[b]) & (rest[a] == rest[b])
+            settled = np.zeros(len(h1), dtype=bool)
+            settled[order[same]] = True
+            go = np.ones(len(h1), dtype=bool)
+            go[order[twin]] = False
+            yield pa.RecordBatch.from_arrays([pa.array(x[go]) for x in (h1, rest, doc, form, settled)], schema=schema)
 
     return run
 
 
 def _repeats(batches):
-    """Sorted candidates -> (doc, form, starts) of all that are not the first of their hash."""
-    schema = pa.schema([("doc", pa.int64()), ("form", pa.int32()), ("starts", pa.list_(pa.int32()))])
-    held, size, h1, h2, place = [], 0, None, None, None
-
-    def sent():
-        doc, form, start = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((start, form, doc))
-        doc, form, start = doc[order], form[order], start[order]
-        edge = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (form[1:] != form[:-1])]))
-        lists = pa.ListArray.from_arrays(pa.array(np.append(edge, len(doc)), pa.int32()), pa.array(start, pa.int32()))
-        return pa.RecordBatch.from_arrays([pa.array(doc[edge]), pa.array(form[edge]), lists], schema=schema)
-
+    """Sorted candidates -> (doc, form, start) of all that are not the first of their hash."""
+    schema = pa.schema([("doc", pa.int64()), ("form", pa.int32()), ("start", pa.int32())])
+    last, place = None, (0, 0, 0)
     for batch in batches:
-        a, b, doc, form, start, settled = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
-        if len(a) == 0:
+        h1, rest, doc, form, settled = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+        if len(h1) == 0:
             continue
-        same = np.empty(len(a), dtype=bool)
-        same[1:] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-        same[0] = h1 is not None and a[0] == h1 and b[0] == h2
+        high, start = rest >> 32, (rest & 0xFFFFFFFF).astype(np.int32)
+        same = np.empty(len(h1), dtype=bool)
+        same[1:] = (h1[1:] == h1[:-1]) & (high[1:] == high[:-1])
+        same[0] = last is not None and last == (h1[0], high[0])
         # Copies of the first occurrence itself (equal rows of the table) are first as well.
-        head = np.where(same, -1, np.arange(len(a)))
-        head = np.maximum.accumulate(head)
-        lead = [np.where(head >= 0, x[head], p) for x, p in zip((doc, form, start), place or (0, 0, 0), strict=True)]
-        later = same & ((doc != lead[0]) | (form != lead[1]) | (start != lead[2]))
-        out = later | settled
-        held.append((doc[out], form[out], start[out]))
-        size += int(out.sum())
-        h1, h2, place = a[-1], b[-1], tuple(x[-1] for x in lead)
-        if size > FLUSH // 4:
-            yield sent()
-            held, size = [], 0
-    if size:
-        yield sent()
+        head = np.maximum.accumulate(np.where(same, -1, np.arange(len(h1))))
+        lead = [np.where(head >= 0, x[head], p) for x, p in zip((doc, form, start), place, strict=True)]
+        out = settled | (same & ((doc != lead[0]) | (form != lead[1]) | (start != lead[2])))
+        last, place = (h1[-1], high[-1]), tuple(x[-1] for x in lead)
+        doc, form, start = doc[out], form[out], start[out]
+        order = np.argsort(doc, kind="stable")
+        yield pa.RecordBatch.from_arrays([pa.array(x[order]) for x in (doc, form, start)], schema=schema)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -215,13 +207,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeat_starts(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """docs(doc_id, text) -> (doc, form, starts): word positions where windows begin that occur earlier."""
+    """docs(doc_id, text) -> (doc, form, start): word positions where windows begin that occur earlier."""
     bits = docs.sparkSession.sparkContext.broadcast(repeated_bits(docs, span, gram))
     rows = _keyed(docs).select(F.col("__doc").alias("doc"), F.col("__form").alias("form"), "text")
-    found = rows.mapInArrow(_candidates(span, gram, bits), "h1 long, h2 int, doc long, form int, start int, settled boolean")
+    found = rows.mapInArrow(_candidates(span, gram, bits), "h1 long, rest long, doc long, form int, settled boolean")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = found.repartition(parts, F.when(F.col("settled"), F.hash("doc", "start")).otherwise(F.hash("h1", "h2"))).sortWithinPartitions("h1", "h2", "doc", "form", "start")
-    return ordered.mapInArrow(_repeats, "doc long, form int, starts array<int>")
+    key = F.when(F.col("settled"), F.hash("doc", "rest")).otherwise(F.hash("h1", F.expr("shiftright(rest, 32)")))
+    ordered = found.repartition(parts, key).sortWithinPartitions("h1", F.expr("shiftright(rest, 32)"), "doc", "form", "rest")
+    return ordered.mapInArrow(_repeats, "doc long, form int, start int")
 
 
 def kept_words(text: str | None, starts, span: int = SPAN) -> tuple[int, list[bytes]]:
@@ -237,7 +230,7 @@ def kept_words(text: str | None, starts, span: int = SPAN) -> tuple[int, list[by
 
 
 def _with_starts(docs: DataFrame, span: int, gram: int) -> DataFrame:
-    starts = repeat_starts(docs, span, gram).groupBy("doc", "form").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    starts = repeat_starts(docs, span, gram).groupBy("doc", "form").agg(F.collect_list("start").alias("starts"))
     keyed = _keyed(docs.select(packed(docs), "doc_id", "text"))
     same = (F.col("__doc") == F.col("doc")) & (F.col("__form") == F.col("form"))
     return keyed.join(starts, same, "left")

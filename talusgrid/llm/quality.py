@@ -80,7 +80,8 @@ def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("__words")).alias("n_repeat_words"),
     )
-    out = counted.select("*", counts.alias("counts")).drop("__words", "__lines")
+    # As a generator's output, counts are computed once per row; a filter on plain columns would repeat them in every condition.
+    out = counted.select("*", F.explode(F.array(counts)).alias("counts")).drop("__words", "__lines")
     failed = (F.col("counts.n_words") < MIN_WORDS) | (100 * F.col("counts.n_repeat_words") > 50 * F.col("counts.n_words"))
     return out.select("*", failed.alias("base_failed"), _rates().alias("rates"))
 

@@ -95,8 +95,7 @@ class Stream:
     """A file of records: header lines, then a body that is read or skipped."""
 
     def __init__(self, raw, packed: bool):
-        self.file = gzip.GzipFile(fileobj=raw) if packed else raw
-        self.file = io.BufferedReader(self.file, 1 << 16) if packed else self.file
+        self.file = io.BufferedReader(gzip.GzipFile(fileobj=raw) if packed else raw, 1 << 16)
         self.packed = packed
 
     def header(self) -> dict[str, str] | None:
@@ -195,7 +194,7 @@ class WarcReader(DataSourceReader):
         with system.open_input_file(partition.path) as raw:
             stream = Stream(raw, packed)
             while True:
-                at = 0 if packed else raw.tell()
+                at = 0 if packed else stream.file.tell()
                 if partition.end is not None and at >= partition.end:
                     return
                 fields = stream.header()

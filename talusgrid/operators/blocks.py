@@ -33,7 +33,7 @@ def with_halo(cells: DataFrame, size: int = BLOCK, halo: int = 1) -> DataFrame:
     """Repeats each cell for every block whose core or halo it lies in."""
 
     def reach(axis: str):
-        low = F.greatest(F.floor((F.col(axis) - halo) / size), F.lit(0))
+        low = F.floor((F.col(axis) - halo) / size)
         high = F.floor((F.col(axis) + halo) / size)
         return F.explode(F.sequence(low.cast("int"), high.cast("int")))
 
@@ -44,9 +44,6 @@ class Window:
     """Dense view of one block group: places the rows of the group on a small array."""
 
     def __init__(self, rows: pd.DataFrame, size: int, halo: int):
-        limit = (size + 2 * halo) ** 2
-        if len(rows) > limit:
-            raise ValueError(f"{len(rows)} rows in a block of at most {limit} cells: (r, c) is not unique")
         self.side = size + 2 * halo
         self.row0 = int(rows["br"].iat[0]) * size - halo
         self.col0 = int(rows["bc"].iat[0]) * size - halo
@@ -56,6 +53,8 @@ class Window:
             (self.i >= halo) & (self.i < halo + size) & (self.j >= halo) & (self.j < halo + size)
         )
         self.flat = self.i * self.side + self.j
+        if len(np.unique(self.flat)) < len(self.flat):
+            raise ValueError(f"(r, c) is not unique among the {len(rows)} rows of a block")
 
     def fill(self, values, empty, dtype=float) -> np.ndarray:
         grid = np.full(self.side * self.side, empty, dtype=dtype)

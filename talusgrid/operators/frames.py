@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talusgrid.functions.colour import byte_level
@@ -15,32 +15,39 @@ EROSION_TOP = 3.0
 NODES_PER_PACK = 65_536
 
 
-def frame_at(node_hours: DataFrame, hour: float, hours: int = 24) -> DataFrame:
-    """FS and depth at a fractional hour.
+def last_hour(node_hours: DataFrame) -> Column:
+    """Last hour of a table as a scalar subquery."""
+    return node_hours.agg(F.max("hr")).scalar()
+
+
+def frame_at(node_hours: DataFrame, hour: float) -> DataFrame:
+    """FS and depth at a fractional hour, bounded by the hours of the table.
 
     Only the two hours around it are read (a partition filter on an hour-partitioned table), and
     a conditional aggregate brings them together without a window sort.
     """
-    h0 = max(0, min(hours - 1, math.floor(hour)))
-    h1 = min(hours - 1, h0 + 1)
+    h0, last = max(0, math.floor(hour)), last_hour(node_hours)
     part = max(0.0, min(1.0, hour - h0))
-    two = node_hours.where(F.col("hr").isin([h0, h1])).groupBy("node_id")
-    at = lambda name, h: F.max(F.when(F.col("hr") == h, F.col(name))).alias(f"{name}_{int(h == h1 and h1 != h0)}")
-    if h0 == h1:
-        return two.agg(F.max("fs").alias("fs"), F.max("depth_m").alias("depth_m"))
-    both = two.agg(at("fs", h0), at("fs", h1), at("depth_m", h0), at("depth_m", h1))
-    mixed = {n: F.col(f"{n}_0") * (1 - part) + F.col(f"{n}_1") * part for n in ("fs", "depth_m")}
-    return both.select("node_id", *[x.alias(n) for n, x in mixed.items()])
+    two = node_hours.where((F.col("hr") == F.least(F.lit(h0), last)) | (F.col("hr") == F.least(F.lit(h0 + 1), last)))
+    at = lambda name, h: F.max(F.when(F.col("hr") == F.least(F.lit(h), last), F.col(name))).alias(f"{name}_{h - h0}")
+    both = two.groupBy("node_id").agg(*[at(name, h) for name in ("fs", "depth_m") for h in (h0, h0 + 1)])
+
+    def mixed(name: str) -> Column:
+        a, b = F.col(f"{name}_0"), F.col(f"{name}_1")
+        return F.when(a == b, a).otherwise(a * (1 - part) + b * part).alias(name)
+
+    return both.select("node_id", mixed("fs"), mixed("depth_m"))
 
 
-def readouts(failed: DataFrame, rain: DataFrame, times: list[float], hours: int = 24) -> DataFrame:
+def readouts(failed: DataFrame, rain: DataFrame, times: list[float]) -> DataFrame:
     """Failed share and rain shown at each time: the nearest hour, halves going up.
 
     failed(hr, failed_frac) and rain(hr, rain_mm) have one row per hour.
     """
-    shown = [(float(t), min(hours - 1, math.floor(t + 0.5))) for t in times]
+    last = last_hour(failed)
     per_hour = failed.join(rain, "hr")
-    wanted = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(h).alias("shown_hr")) for t, h in shown])
+    shown = lambda t: F.least(F.lit(math.floor(t + 0.5)), last)
+    wanted = F.array(*[F.struct(F.lit(float(t)).alias("t"), shown(t).alias("shown_hr")) for t in times])
     return (
         per_hour.select("*", F.inline(wanted))
         .where(F.col("hr") == F.col("shown_hr"))

@@ -21,12 +21,19 @@ def grid_shape(cells: DataFrame) -> tuple[Column, Column]:
     )
 
 
-def mosaic(tiles: DataFrame, tile_rows: int, tile_cols: int, across: int, height, width) -> DataFrame:
-    """tiles(tile_id, tile_values) -> cells(r, c, value); overhanging parts of edge tiles are cut off."""
-    cells = tiles.select("tile_id", F.posexplode("tile_values").alias("pos", "value")).where(
-        F.col("pos") < tile_rows * tile_cols
-    )
+def mosaic(tiles: DataFrame, tile_rows: int, tile_cols: int, across: int, height, width, bands: int = 1) -> DataFrame:
+    """tiles(tile_id, tile_values) -> cells(r, c, value); overhanging parts of edge tiles are cut off.
+
+    With several bands, a tile has the values of all bands of a pixel side by side, and cells also have `band`.
+    A tile with another number of values is refused.
+    """
+    size = tile_rows * tile_cols * bands
+    wrong = F.raise_error(F.format_string(f"tile %s has %s values, not {size}", F.col("tile_id"), F.size("tile_values")))
+    whole = F.when(F.size("tile_values") == size, F.col("tile_values")).otherwise(wrong.cast(tiles.schema["tile_values"].dataType))
+    split = tiles.select("tile_id", F.posexplode(whole).alias("at", "value"))
+    cells = split.select("tile_id", F.floor(F.col("at") / bands).alias("pos"), (F.col("at") % bands).alias("band"), "value")
     return cells.select(
+        *(["band"] if bands > 1 else []),
         (F.floor(F.col("tile_id") / across) * tile_rows + F.floor(F.col("pos") / tile_cols)).cast("int").alias("r"),
         ((F.col("tile_id") % across) * tile_cols + F.col("pos") % tile_cols).cast("int").alias("c"),
         F.col("value").cast("double").alias("value"),

@@ -333,6 +333,10 @@ def inside_hull(
 ) -> DataFrame:
     """Adds has_soil: whether the node lies in the convex hull of the samples (border included)."""
     rows = hull_rows(samples)
+    if sample_rows is not None:
+        # There is a hull row per lattice row between the outermost samples, however few samples there are.
+        ends = samples.agg(F.min("lr").alias("low"), F.max("lr").alias("high")).first()
+        sample_rows = 0 if ends["low"] is None else ends["high"] - ends["low"] + 1
     placed = nodes.withColumn("lr", F.floor(F.col(v)).cast("int"))
     joined = lookup_join(placed, rows, ["lr"], "left", right_rows=sample_rows)
     part = F.col(v) - F.col("lr")

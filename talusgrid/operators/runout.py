@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from talusgrid.functions.numeric import lit
 from talusgrid.functions.physics import FAILURE_DEPTH_M, STORM_HOURS, failing
-from talusgrid.operators.blocks import BLOCK, NEIGHBOURS, Window, with_halo
+from talusgrid.operators.blocks import NEIGHBOURS
 from talusgrid.sources.workspace import cut_lineage
 
 MOBILE_DEPTH_M = 1e-4
-STEPS_PER_PASS = 8
+STEPS_PER_CUT = 4
 
 
 def failure_onset(node_hours: DataFrame) -> DataFrame:
@@ -28,11 +26,16 @@ def releases(node_hours: DataFrame, depth_m: float = FAILURE_DEPTH_M) -> DataFra
 
 
 def erosion_history(node_hours: DataFrame, depth_m: float = FAILURE_DEPTH_M, hours: int = STORM_HOURS) -> DataFrame:
-    """Released and cumulative depth per hour. The running sum sees one row per hour, not per node."""
+    """Released and cumulative depth per hour, for `hours` hours and for as many more as the data have.
+
+    The running sum sees one row per hour, not per node.
+    """
     per_hour = releases(node_hours, depth_m).groupBy("onset_hr").agg(
         F.count(F.lit(1)).alias("n_released"), F.sum("depth_m").alias("released_m")
     )
-    every_hour = node_hours.sparkSession.range(hours).select(F.col("id").cast("int").alias("hr"))
+    last = F.greatest(F.coalesce(F.max("hr"), F.lit(0)), F.lit(hours - 1))
+    first = F.least(F.coalesce(F.min("hr"), F.lit(0)), F.lit(0))
+    every_hour = node_hours.agg(F.sequence(first, last).cast("array<int>").alias("hrs")).select(F.explode("hrs").alias("hr"))
     joined = every_hour.join(per_hour, F.col("hr") == F.col("onset_hr"), "left").select(
         "hr",
         F.coalesce("n_released", F.lit(0)).alias("n_released"),
@@ -73,58 +76,19 @@ def spread_overflow(cells: DataFrame, cap_m: float, rows, cols) -> DataFrame:
     return flow.groupBy(F.col("id").alias("node_id")).agg(F.sum("part").alias("h"))
 
 
-def route_steps(
-    cells: DataFrame, steps: int, cap_m: float, rows: int, cols: int, block: int = BLOCK, per_pass: int = STEPS_PER_PASS
-) -> DataFrame:
-    """`steps` rounds of transfer and overflow, `per_pass` of them per shuffle.
+def route_steps(cells: DataFrame, steps: int, cap_m: float, rows, cols) -> DataFrame:
+    """`steps` rounds of transfer and overflow over cells(node_id, r, c, h, share, target_id).
 
-    cells(node_id, r, c, h, share, d_row, d_col), with d_row = d_col = 0 where there is no target.
-    Debris moves at most one cell per transfer and one per overflow, so a block with a halo of
-    two cells per step advances several steps by itself. Between passes the state is written out.
+    A round is two sums by receiving cell. The grid itself does not change, so only (node_id, h) goes from round to round.
+    Rounds are written out from time to time, so that plans stay short and a lost executor costs a few rounds at most.
     """
-    state = cells.select("node_id", "r", "c", "h", "share", "d_row", "d_col")
-    schema = "node_id long, r int, c int, share double, d_row int, d_col int, h double"
-    done = 0
-    while done < steps:
-        todo = min(per_pass, steps - done)
-        if done:
-            state = cut_lineage(state)
-        advance = _advance(todo, cap_m, rows, cols, block)
-        state = with_halo(state, block, 2 * todo).groupBy("br", "bc").applyInPandas(advance, schema)
-        done += todo
-    return state.select("node_id", "r", "c", "h")
-
-
-def _advance(steps: int, cap_m: float, rows: int, cols: int, block: int):
-    """Function that carries one block and its halo `steps` rounds forward and returns the core."""
-
-    def advance(cells: pd.DataFrame) -> pd.DataFrame:
-        win = Window(cells, block, 2 * steps)
-        n, area = win.side, win.side * win.side
-        d_row, d_col = cells["d_row"].to_numpy(), cells["d_col"].to_numpy()
-        goes = (d_row != 0) | (d_col != 0)
-        goes &= (win.i + d_row >= 0) & (win.i + d_row < n) & (win.j + d_col >= 0) & (win.j + d_col < n)
-        src = win.flat[goes]
-        dst = src + d_row[goes] * n + d_col[goes]
-        share = cells["share"].to_numpy(dtype=float)[goes]
-        h = win.fill(cells["h"].to_numpy(dtype=float), 0.0)
-        for _ in range(steps):
-            sent = np.where(h[src] > MOBILE_DEPTH_M, h[src] * share, 0.0)
-            h[src] -= sent
-            h += np.bincount(dst, sent, area)
-            over = np.flatnonzero(h > cap_m)
-            part = (h[over] - cap_m) / 8.0
-            h[over] = np.minimum(h[over], cap_m)
-            for di, dj in NEIGHBOURS:
-                i = np.clip(over // n + win.row0 + di, 0, rows - 1) - win.row0
-                j = np.clip(over % n + win.col0 + dj, 0, cols - 1) - win.col0
-                seen = (i >= 0) & (i < n) & (j >= 0) & (j < n)
-                h += np.bincount(i[seen] * n + j[seen], part[seen], area)
-        out = cells.loc[win.core, ["node_id", "r", "c", "share", "d_row", "d_col"]].copy()
-        out["h"] = h[win.flat[win.core]]
-        return out
-
-    return advance
+    fixed, depth = cells.drop("h"), cells.select("node_id", "h")
+    for step in range(steps):
+        if step and step % STEPS_PER_CUT == 0:
+            depth = cut_lineage(depth)
+        moved = route_step(fixed.join(depth, "node_id"))
+        depth = spread_overflow(fixed.select("node_id", "r", "c").join(moved, "node_id"), cap_m, rows, cols)
+    return fixed.select("node_id", "r", "c").join(depth, "node_id").select("node_id", "r", "c", "h")
 
 
 def mass_balance(released: DataFrame, routed: DataFrame) -> DataFrame:

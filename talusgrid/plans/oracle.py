@@ -1081,8 +1081,7 @@ FROM strength, (SELECT min(friction_deg) AS f0, max(friction_deg) AS f1, min(coh
         "stream_failed_fraction",
         """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour_start,
   round(avg(CASE WHEN value / 50e0 < 1 THEN 1e0 ELSE 0e0 END), 9) AS failed_frac, count(*) AS n_readings
-FROM events GROUP BY date_trunc('hour', ts)
-HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR""",
+FROM events GROUP BY date_trunc('hour', ts)""",
     )
     q("stream_release_once", "SELECT DISTINCT user_id AS node_id FROM events WHERE value / 50e0 < 1")
     return out

@@ -502,9 +502,8 @@ def overflow_spread(spark, sf):
 
 
 def _routed(spark, sf) -> tuple[DataFrame, DataFrame]:
-    debris = _debris(spark, sf)
-    shape = fx.cells(spark, sf).agg(F.max("r").alias("r"), F.max("c").alias("c")).first()
-    return debris, runout.route_steps(debris, ROUTE_STEPS, CAP_M, shape["r"] + 1, shape["c"] + 1)
+    debris = cut_lineage(_debris(spark, sf))
+    return debris, runout.route_steps(debris, ROUTE_STEPS, CAP_M, *grid.grid_shape(fx.cells(spark, sf)))
 
 
 @query
@@ -705,13 +704,13 @@ def storm_releases(spark, sf):
 
 def _reading_stream(spark, sf) -> DataFrame:
     schema = tables.read_table(spark, sf, "events").schema
-    return monitors.readings(monitors.read_stream(spark, sf, "events.parquet", schema))
+    return monitors.readings(monitors.read_stream(spark, f"{sf}/events.parquet", schema))
 
 
 @query
 def stream_failed_fraction(spark, sf):
-    stream = monitors.failed_fraction_by_hour(_reading_stream(spark, sf))
-    return rounded(monitors.run_to_table(stream, "failed-fraction"), 9)
+    parts = monitors.run_to_table(monitors.hour_parts(_reading_stream(spark, sf)), "hour-parts")
+    return rounded(monitors.shares_so_far(parts), 9)
 
 
 @query

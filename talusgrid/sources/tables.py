@@ -6,15 +6,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+SPREAD_SPLITS = 4
+
+
 def read_table(spark: SparkSession, folder: str, name: str, spread_by: str | None = None) -> DataFrame:
-    """Scan of one table. With `spread_by`, a scan with fewer splits than cores is spread over them.
+    """Scan of one table. With `spread_by`, a scan of a few splits only is spread over the cores.
 
-    Work that is heavy per row would otherwise run on as many cores as the file has row groups.
-    A table with more splits than cores is left as it is.
+    Work that is heavy per row would otherwise run on as many cores as a small file has row groups. Only tables of at
+    most SPREAD_SPLITS splits (of spark.sql.files.maxPartitionBytes each) are dealt out, so what moves is bounded on
+    any cluster; larger tables are left as they are.
     """
     scan = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if spread_by is not None and scan.rdd.getNumPartitions() < cores:
+    splits, cores = scan.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism
+    if spread_by is not None and splits < min(cores, SPREAD_SPLITS + 1):
         return scan.repartition(cores, spread_by)
     return scan
 

@@ -11,12 +11,14 @@ SETTING = "spark.checkpoint.dir"
 
 
 def work_folder(spark: SparkSession) -> str:
-    """Folder named by spark.checkpoint.dir; only where that is unset (tests) a temporary one."""
+    """Folder named by spark.checkpoint.dir. Where it is unset, a temporary one in local mode; elsewhere an error, as executors share no such folder."""
     context = spark.sparkContext
     folder = spark.conf.get(SETTING, None) or context.getConf().get(SETTING, None)
     if not folder:
         folder = context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError(f"{SETTING} must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="talusgrid-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)

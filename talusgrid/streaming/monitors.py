@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +14,17 @@ from talusgrid.functions.physics import failing
 from talusgrid.sources.workspace import new_table_path
 
 
-def read_stream(spark: SparkSession, folder: str, file_glob: str, schema: StructType) -> DataFrame:
-    return spark.readStream.schema(schema).option("pathGlobFilter", file_glob).parquet(folder)
+def read_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Stream of a table that is one file or a folder of files; a missing path fails at once.
+
+    A file source watches folders, so a single file is picked out of its folder by name.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(place)
+    source = spark.readStream.schema(schema)
+    if status.isDirectory():
+        return source.parquet(path)
+    return source.option("pathGlobFilter", place.getName()).parquet(place.getParent().toString())
 
 
 def readings(events: DataFrame, scale: float = 50.0) -> DataFrame:
@@ -25,9 +35,10 @@ def readings(events: DataFrame, scale: float = 50.0) -> DataFrame:
 
 
 def failed_fraction_by_hour(stream: DataFrame, lateness: str = "2 hours") -> DataFrame:
-    """Share of failing readings per clock hour; an hour is final once the watermark has passed it.
+    """Share of failing readings per clock hour, told once, when the watermark has passed it.
 
-    State is one running average per open hour, and rows are combined before the shuffle.
+    State is one running average per open hour, and rows are combined before the shuffle. Hours that are still open
+    when the stream stops are not told; `hour_parts` and `shares_so_far` also have those.
     """
     hours = stream.withWatermark("ts", lateness).groupBy(F.window("ts", "1 hour").alias("w"))
     return hours.agg(
@@ -35,6 +46,30 @@ def failed_fraction_by_hour(stream: DataFrame, lateness: str = "2 hours") -> Dat
     ).select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("hour_start"), "failed_frac", "n_readings")
 
 
+def _hour_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        grouped = batch.groupby("hour", as_index=False, dropna=False)
+        yield grouped.agg(n_readings=("n", "sum"), n_failed=("failed", "sum"))
+
+
+def hour_parts(stream: DataFrame) -> DataFrame:
+    """Counts per hour of each batch of readings: (hour, n_readings, n_failed), to be added up.
+
+    Nothing is held back and nothing is too late: there is no state, and parts of one hour may come at any time.
+    """
+    rows = stream.select(
+        F.date_trunc("hour", "ts").alias("hour"), F.lit(1).cast("long").alias("n"), failing(F.col("fs")).cast("long").alias("failed")
+    )
+    return rows.mapInPandas(_hour_parts, "hour timestamp, n_readings long, n_failed long")
+
+
+def shares_so_far(parts: DataFrame) -> DataFrame:
+    """Table of hour parts -> failing share of every hour seen."""
+    total = parts.groupBy("hour").agg(F.sum("n_readings").alias("n_readings"), F.sum("n_failed").alias("n_failed"))
+    start = F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour_start")
+    return total.select(start, (F.col("n_failed") / F.col("n_readings")).alias("failed_frac"), "n_readings")
+
+
 def _once_per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column("node_id").unique()], names=["node_id"])

@@ -24,6 +24,22 @@ def array_of(df, rows, cols, name):
     return out
 
 
+def test_tiles_of_several_bands(spark):
+    """2 x 3 tiles with two bands side by side, two tiles across."""
+    z = np.random.default_rng(2).random((4, 6, 2))
+    tiles = [(i * 2 + j, z[2 * i : 2 * i + 2, 3 * j : 3 * j + 3].reshape(-1).tolist()) for i in range(2) for j in range(2)]
+    table = spark.createDataFrame(tiles, "tile_id long, tile_values array<double>")
+    got = {(r["band"], r["r"], r["c"]): r["value"] for r in grid.mosaic(table, 2, 3, 2, 4, 6, bands=2).collect()}
+    assert got == {(b, i, j): z[i, j, b] for i in range(4) for j in range(6) for b in range(2)}
+
+
+@pytest.mark.parametrize("size", [3, 6])
+def test_tiles_of_a_wrong_size_are_refused(spark, size):
+    table = spark.createDataFrame([(0, [1.0] * size)], "tile_id long, tile_values array<double>")
+    with pytest.raises(Exception, match=f"{size} values, not 4"):
+        grid.mosaic(table, 2, 2, 1, 2, 2).collect()
+
+
 def test_crop_and_stride_match_slicing(spark):
     z = np.random.default_rng(1).random((17, 23))
     cells = raster(spark, z)
@@ -82,8 +98,22 @@ def test_percentiles_of_a_large_table_are_exact(spark):
     x = np.where(rng.random(6000) < 0.35, 7.0, np.round(rng.exponential(30, 6000), 1))
     df = spark.createDataFrame(pd.DataFrame({"x": x}))
     probabilities = [0.0, 0.01, 0.2, 0.5, 0.77, 0.995, 1.0]
-    got = exact_percentiles(df, {"x": probabilities}, small=40)["x"]
-    assert np.allclose(got, np.percentile(x, [100 * p for p in probabilities]), rtol=0, atol=1e-12)
+    for bracket in (0, 40, 100_000):
+        got = exact_percentiles(df, {"x": probabilities}, bracket)["x"]
+        assert np.allclose(got, np.percentile(x, [100 * p for p in probabilities]), rtol=0, atol=1e-12)
+
+
+def test_percentiles_take_a_fixed_number_of_jobs(spark):
+    df = spark.range(20_000).select(*[((F.col("id") * k) % 9973 / 7).alias(f"c{k}") for k in (3, 5, 7, 11)], F.lit(None).cast("double").alias("none"))
+    probabilities = [0.01, 0.02, 0.5, 0.99, 0.995]
+    spark.sparkContext.setJobGroup("percentiles", "count jobs")
+    got = exact_percentiles(df, {c: probabilities for c in df.columns})
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("percentiles")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want = df.toPandas()
+    assert all(np.allclose(got[c], np.percentile(want[c], [100 * p for p in probabilities])) for c in df.columns[:4])
+    assert np.isnan(got["none"]).all()
+    assert len(jobs) <= 6  # three queries; an aggregate may take a job per stage
 
 
 def test_salted_lookup_equals_broadcast_lookup(spark):

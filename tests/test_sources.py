@@ -37,7 +37,7 @@ def write_batch(spark, folder, rows):
 
 
 def stream(spark, folder, schema):
-    return monitors.readings(monitors.read_stream(spark, folder, "*.parquet", schema))
+    return monitors.readings(monitors.read_stream(spark, folder, schema))
 
 
 def test_release_is_reported_once_across_runs(spark):
@@ -63,3 +63,39 @@ def test_hours_are_final_after_the_watermark(spark):
     out = monitors.run_to_table(monitors.failed_fraction_by_hour(stream(spark, folder, schema)), "hours")
     got = {r["hour_start"]: (r["failed_frac"], r["n_readings"]) for r in out.collect()}
     assert got == {"2024-01-01 00:00:00": (0.5, 2), "2024-01-01 01:00:00": (1.0, 1)}
+
+
+def _same_on_file_and_folder(spark, tmp_path, query):
+    from talusgrid.plans.registry import all_queries
+
+    given = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{given}/events.parquet").repartition(8).write.parquet(f"{tmp_path}/events.parquet")
+    one, many = (sorted(map(tuple, all_queries()[query](spark, folder).collect())) for folder in (given, str(tmp_path)))
+    return one == many and len(one) > 0
+
+
+def test_streams_read_folders_of_files(spark, tmp_path):
+    assert _same_on_file_and_folder(spark, tmp_path, "stream_failed_fraction")
+
+
+def test_release_stream_reads_folders_of_files(spark, tmp_path):
+    assert _same_on_file_and_folder(spark, tmp_path, "stream_release_once")
+
+
+def test_a_missing_stream_fails(spark, tmp_path):
+    import pytest
+
+    with pytest.raises(Exception, match="does not exist|FileNotFound"):
+        monitors.read_stream(spark, f"{tmp_path}/events.parquet", spark.range(1).schema)
+
+
+def test_late_readings_count(spark, tmp_path):
+    """Parts of an hour that come in files of their own, in any order, add up; an unknown value counts as a reading, not as a failure."""
+    rows = [("2024-01-01 05:10:00", 0.5), ("2024-01-01 00:10:00", 0.5), ("2024-01-01 05:50:00", 1.5), ("2024-01-01 00:20:00", None)]
+    for i, row in enumerate(rows):
+        spark.createDataFrame([(i, *row)], "node_id long, t string, fs double").selectExpr("node_id", "cast(t as timestamp) as ts", "fs").coalesce(1).write.mode(
+            "append"
+        ).parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("node_id long, ts timestamp, fs double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = monitors.shares_so_far(monitors.run_to_table(monitors.hour_parts(stream), "parts")).orderBy("hour_start").collect()
+    assert [tuple(r) for r in got] == [("2024-01-01 00:00:00", 0.5, 2), ("2024-01-01 05:00:00", 0.5, 2)]

@@ -118,10 +118,15 @@ def _surroundings(text: Column, spans: Column) -> Column:
     return F.transform(spans, around)
 
 
+def _once(value: Column) -> Column:
+    """value as a generator's output: computed once per row, however often later columns and filters use it."""
+    return F.explode(F.array(value))
+
+
 def _found(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, spans, near) of every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    spans = docs.select("doc_id", "text", base_spans(F.col("text")).alias("spans"))
+    spans = docs.select("doc_id", "text", _once(base_spans(F.col("text"))).alias("spans"))
     return spans.select(
         "doc_id", F.xxhash64("text").alias("text_hash"), "spans", F.when(F.size("spans") > 0, _surroundings(text, F.col("spans"))).alias("near")
     )
@@ -189,9 +194,9 @@ def rewritten(text: Column, spans: Column) -> Column:
 
 def sanitised(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """docs with personal data replaced in their texts. Texts without any are neither shuffled nor changed."""
-    found = stored(_found(docs).where("near is not null"), "pii-found")
+    found = stored(_found(docs).where(F.size("spans") > 0), "pii-found")
     added = stored(_added(found, disclosures(docs, found, support, generalise), remove), "pii-added")
-    rows = docs.select(packed(docs), F.col("text").alias("__text"), base_spans(F.col("text")).alias("spans"))
+    rows = docs.select(packed(docs), F.col("text").alias("__text"), _once(base_spans(F.col("text"))).alias("spans"))
     clean = rows.where(F.size("spans") == 0).select(f"{ROW}.*")
     touched = rows.where(F.size("spans") > 0).select(ROW, "__text", "spans", F.col(f"{ROW}.doc_id").alias("doc_id"), F.xxhash64("__text").alias("text_hash"))
     done = _with_added(touched, added).select(ROW, rewritten(F.col("__text"), F.col("all_spans")).alias("__new"))

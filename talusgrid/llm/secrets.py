@@ -38,8 +38,9 @@ SAMPLE = 2000
 LEAST = 16
 CONFIDENCE = 0.05
 MARGIN = 1.0
-#: Share of labelled values that may score below the limit of their grammar.
+#: Share of labelled values that may score below the limit of their grammar, and what new values may score less, in bits.
 TAIL = 0.02
+SLACK = 0.25
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-"
 CODES = 256
 PIECE = 1 << 20
@@ -200,7 +201,7 @@ class Grammars:
             if values:
                 model = Automaton(values)
                 scores = sorted(model.score(v) for v in values)
-                self.models[kind] = (model, scores[int(TAIL * (len(scores) - 1))])
+                self.models[kind] = (model, scores[int(TAIL * (len(scores) - 1))] - SLACK)
         table = pairs.reshape(CODES, CODES) + 0.1
         self.plain = np.log2(table / table.sum(axis=1, keepdims=True))
 

@@ -77,8 +77,10 @@ def terminals(downslope: DataFrame, block: int = BLOCK) -> DataFrame:
         "done",
     )
     hops = cut_lineage(hops)
-    open_paths = hops.where(~F.col("done"))
+    # Finished paths are read where they were written first; only open ones are written again.
+    finished, open_paths = hops.where(F.col("done")), hops.where(~F.col("done"))
     while not open_paths.isEmpty():
+        hops = finished.unionByName(open_paths)
         onward = hops.select(
             F.col("exit_id").alias("reach_id"),
             F.col("reach_id").alias("_reach"),
@@ -94,10 +96,10 @@ def terminals(downslope: DataFrame, block: int = BLOCK) -> DataFrame:
             (F.col("d") + F.col("_d")).alias("d"),
             F.col("_done").alias("done"),
         )
-        hops = cut_lineage(hops.where(F.col("done")).unionByName(longer))
-        open_paths = hops.where(~F.col("done"))
+        longer = cut_lineage(longer)
+        finished, open_paths = finished.unionByName(longer.where(F.col("done"))), longer.where(~F.col("done"))
     # At most block^2 cells share an exit, so this key cannot become hot.
-    out = local.join(hops.select("exit_id", "reach_id", "s", "d"), "exit_id", "left")
+    out = local.join(finished.select("exit_id", "reach_id", "s", "d"), "exit_id", "left")
     return out.select(
         "node_id",
         F.coalesce("reach_id", "exit_id").alias("terminal_id"),

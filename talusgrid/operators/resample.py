@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from talusgrid.functions.numeric import clip, literal_rows
-from talusgrid.operators.joins import lookup_join
+from talusgrid.operators.joins import BROADCAST_ROWS, lookup_join
 from talusgrid.sources.workspace import cut_lineage
 
 CORNERS = ((0, 0), (0, 1), (1, 0), (1, 1))
@@ -42,7 +42,7 @@ def bilinear(
     """Bilinear value of coarse(rr, cc, <value>) at each node, not below 0.
 
     The square index is bounded to the grid, so nodes outside extend the edge square linearly.
-    rows x cols is the size of the coarse grid and bounds the lookup side.
+    rows x cols is the size of the coarse grid.
     """
     placed = nodes.withColumns(
         {
@@ -50,8 +50,15 @@ def bilinear(
             "pj": clip(F.floor(F.col(u)), 0, cols - 2).cast("int"),
         }
     )
+    count = rows * cols
+    if count > BROADCAST_ROWS:
+        # Of a large grid only the box that the nodes touch is read; its area bounds the lookup side.
+        box = placed.agg(F.min("pi").alias("r0"), F.max("pi").alias("r1"), F.min("pj").alias("c0"), F.max("pj").alias("c1")).first()
+        if box["r0"] is not None:
+            coarse = coarse.where(F.col("rr").between(box["r0"], box["r1"] + 1) & F.col("cc").between(box["c0"], box["c1"] + 1))
+            count = (box["r1"] - box["r0"] + 2) * (box["c1"] - box["c0"] + 2)
     squares = _squares(coarse, "rr", "cc", [value])
-    joined = lookup_join(placed, squares, ["pi", "pj"], "left", right_rows=rows * cols)
+    joined = lookup_join(placed, squares, ["pi", "pj"], "left", right_rows=count)
     fv, fu = F.col(v) - F.col("pi"), F.col(u) - F.col("pj")
     corner = {(i, j): F.col(f"{value}_{i}{j}") for i, j in CORNERS}
     top = corner[0, 0] * (1 - fu) + corner[0, 1] * fu
@@ -157,20 +164,19 @@ def _resampled(
     found = found.select(*nodes.columns, *[f"_{x}" for x in values], "_gap", *[x.alias(n) for n, x in point.items()])
     full = samples.select("lr", "lc", F.struct(*values).alias("_s"))
     looked_up = lookup_join(found, full, ["lr", "lc"], "left", right_rows=sample_rows)
-    # Written once, because the open nodes and the settled ones are both read from it.
-    settled = cut_lineage(
-        looked_up.select(
-            *nodes.columns,
-            *[F.coalesce(f"_{x}", F.col("_s")[x]).alias(x) for x in values],
-            (F.col("_gap") & F.col("_s").isNull()).alias("_open"),
-        )
+    settled = looked_up.select(
+        *nodes.columns,
+        *[F.coalesce(f"_{x}", F.col("_s")[x]).alias(x) for x in values],
+        (F.col("_gap") & F.col("_s").isNull()).alias("_open"),
     )
-    far = settled.where("_open").select(*nodes.columns)
-    out = settled.where("NOT _open").drop("_open")
-    if far.isEmpty():
-        return out
+    # Only the open nodes' positions are written; the others are looked up again rather than stored.
+    far = cut_lineage(settled.where("_open").select(key, u, v))
+    count = far.count()
+    if count == 0:
+        return settled.drop("_open")
     distant = _nearest_far(far, full, key, u, v)
-    return out.unionByName(distant.select(*nodes.columns, *[F.col("_s")[x].alias(x) for x in values]))
+    found = settled.join(F.broadcast(distant) if count <= BROADCAST_ROWS else distant, key, "left")
+    return found.select(*nodes.columns, *[F.coalesce(x, F.col("_s")[x]).alias(x) for x in values])
 
 
 def nearest_on_lattice(
@@ -214,7 +220,7 @@ def _boxes(samples: DataFrame, top: int) -> DataFrame:
 
 
 def _nearest_far(nodes: DataFrame, samples: DataFrame, key: str, u: str, v: str) -> DataFrame:
-    """Nearest sample for nodes far from all samples, by descending through nested squares.
+    """(key, _s): nearest sample for nodes far from all samples, by descending through nested squares.
 
     The unit squares that hold nodes start with at most ROOTS top squares as candidates. Level by
     level a candidate is replaced by its occupied parts (4 x 4), and a part stays only if its
@@ -223,7 +229,7 @@ def _nearest_far(nodes: DataFrame, samples: DataFrame, key: str, u: str, v: str)
     """
     ends = samples.agg(F.min("lr"), F.max("lr"), F.min("lc"), F.max("lc")).first()
     if ends[0] is None:
-        return nodes.withColumn("_s", F.lit(None).cast(samples.schema["_s"].dataType))
+        return nodes.select(key, F.lit(None).cast(samples.schema["_s"].dataType).alias("_s"))
     top = 0
     while True:
         rows = range(ends[0] // 4**top, ends[1] // 4**top + 1)
@@ -259,7 +265,7 @@ def _nearest_far(nodes: DataFrame, samples: DataFrame, key: str, u: str, v: str)
     dv, du = F.col("_v") - F.col("lr"), F.col("_u") - F.col("lc")
     measured = lookup_join(ends_at, arc, ["qi", "qj"], "inner").select(key, (dv * dv + du * du).alias("d2"), "lr", "lc")
     best = measured.groupBy(key).agg(F.min(F.struct("d2", "lr", "lc")).alias("m")).select(key, "m.lr", "m.lc")
-    return nodes.join(lookup_join(best, samples, ["lr", "lc"], "inner").select(key, "_s"), key)
+    return lookup_join(best, samples, ["lr", "lc"], "inner").select(key, "_s")
 
 
 def _half_hull(points: np.ndarray, sign: int) -> list:
@@ -313,8 +319,12 @@ def hull_rows(samples: DataFrame) -> DataFrame:
         "lr int, edge int, side string, next_lr int, next_edge int",
     )
     last = F.col("next_lr").isNull()
-    walk = F.sequence(F.col("lr"), F.when(last, F.col("lr")).otherwise(F.col("next_lr") - 1))
-    steps = corners.select(F.explode(walk).alias("row"), "*")
+    until = F.when(last, F.col("lr")).otherwise(F.col("next_lr") - 1)
+    # Long edges are cut into pieces that are dealt out before they are walked row by row.
+    parts = corners.select(F.explode(F.sequence(F.col("lr"), until, F.lit(HULL_ROWS))).alias("part"), until.alias("until"), "*")
+    parts = parts.repartition(F.col("part"), F.col("side"))
+    walk = F.sequence(F.col("part"), F.least(F.col("part") + HULL_ROWS - 1, F.col("until")))
+    steps = parts.select(F.explode(walk).alias("row"), *corners.columns)
     slope = (F.col("next_edge") - F.col("edge")) / (F.col("next_lr") - F.col("lr")).cast("double")
     here = F.col("edge") + F.when(last, 0e0).otherwise(slope * (F.col("row") - F.col("lr")))
     there = F.col("edge") + slope * (F.col("row") + 1 - F.col("lr"))

@@ -632,6 +632,23 @@ FROM water""",
             **READY,
         ),
     )
+    whole = (
+        [f"round({e}, 9)" for e in features.values()]
+        + ["precip_mm"]
+        + [f"round(CASE WHEN has_soil THEN {n} ELSE 0e0 END, {d})" for n, d in masked.items()]
+        + ["CASE WHEN has_soil THEN 1e0 ELSE 0e0 END"]
+    )
+    q(
+        "node_vectors",
+        _with(
+            "\nUNION ALL ".join(
+                f"SELECT node_id, {k} AS position, {e} AS value, '{n}' AS feature FROM ready"
+                for k, (n, e) in enumerate(zip([*features, "precip_mm", *masked, "has_soil_data"], whole, strict=True))
+            ),
+            "ready",
+            **READY,
+        ),
+    )
     q(
         "storm_shape",
         """WITH s AS (SELECT event_type AS storm_id, avg(hour(ts)) AS peak, stddev_pop(hour(ts)) AS width FROM events GROUP BY 1),
@@ -1077,6 +1094,16 @@ FROM strength, (SELECT min(friction_deg) AS f0, max(friction_deg) AS f1, min(coh
             **SIMULATED,
         ),
     )
+    q(
+        "storm_deposits",
+        _with(
+            """SELECT terminal_id, count(*) AS n_releases, count(*) * 15e-1 AS deposit_m
+FROM (SELECT DISTINCT node_id FROM simulated WHERE fs < 1) o JOIN reach w ON w.node_id = o.node_id GROUP BY terminal_id""",
+            "simulated",
+            "reach",
+            **SIMULATED,
+        ),
+    )
     q(
         "stream_failed_fraction",
         """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour_start,

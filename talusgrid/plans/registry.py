@@ -275,10 +275,22 @@ def _ready_nodes(spark, sf) -> DataFrame:
     return simulation.storm_nodes(placed, fx.soil(spark, sf), rain, fx.RAIN_ROWS, fx.RAIN_COLUMNS)
 
 
+NODE_DIGITS = {"ksat_m_s": 15, "diffusivity_m2_s": 14, "theta_sat": 12, "theta_res": 12, "precip_mm": None}
+
+
 @query
 def unified_features(spark, sf):
     features = simulation.unified_features(_ready_nodes(spark, sf))
-    return rounded(features, 9, ksat_m_s=15, diffusivity_m2_s=14, theta_sat=12, theta_res=12, precip_mm=None)
+    return rounded(features, 9, **NODE_DIGITS)
+
+
+@query
+def node_vectors(spark, sf):
+    """The whole feature vector of a node (terrain, rain, soil, mask) as one array, read back by position and name."""
+    vectors = simulation.feature_vectors(rounded(simulation.unified_features(_ready_nodes(spark, sf)), 9, **NODE_DIGITS))
+    names = F.array(*[F.lit(n) for n in simulation.NODE_FEATURES])
+    out = vectors.select("node_id", F.posexplode("x").alias("position", "value"))
+    return out.withColumn("feature", F.get(names, F.col("position")))
 
 
 @query
@@ -699,6 +711,14 @@ def storm_releases(spark, sf):
     return runout.releases(hours)
 
 
+@query
+def storm_deposits(spark, sf):
+    """The whole run: soil and rain at the nodes, storm, failures, and where their debris comes to rest."""
+    hours = simulation.simulate(_ready_nodes(spark, sf), physics.storm_shares())
+    reach = drainage.terminals(graph.steepest_descent(fx.cells(spark, sf)))
+    return rounded(drainage.deposits(runout.releases(hours), reach))
+
+
 # --- streaming --------------------------------------------------------------------------------
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talusgrid.functions.soil import masked_to_zero, with_defaults_outside, with_soil_parameters
-from talusgrid.functions.terrain import feature_columns, soil_pixel_valid
+from talusgrid.functions.terrain import TERRAIN_FEATURES, feature_columns, soil_pixel_valid
 from talusgrid.operators.joins import rows_within
 from talusgrid.operators.resample import bilinear, filled, inside_hull
 from talusgrid.operators.stability import stability_by_hour
@@ -28,6 +28,14 @@ SOIL_FEATURES = (
 )
 
 
+NODE_FEATURES = (*TERRAIN_FEATURES, "precip_mm", *SOIL_FEATURES, "has_soil_data")
+
+
+def feature_vectors(features: DataFrame) -> DataFrame:
+    """Unified features -> (node_id, x): all of them as one array, in the order of NODE_FEATURES."""
+    return features.select("node_id", F.array(*[F.col(n).cast("double") for n in NODE_FEATURES]).alias("x"))
+
+
 def valid_samples(samples: DataFrame) -> DataFrame:
     return samples.where(soil_pixel_valid(F.col("sand_gkg"), F.col("bdod_cgcm3"))).select("lr", "lc", *SOIL_VALUES)
 

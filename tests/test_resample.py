@@ -114,3 +114,29 @@ def test_bilinear_beyond_the_broadcast_limit(spark, monkeypatch):
     out = resample.bilinear(points(spark, u, u / 2), coarse, "mm", 4, 5)
     assert "BroadcastExchange" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert np.allclose(out.toPandas().sort_values("node_id")["mm"], u * 1.5)
+
+
+def test_hull_of_few_samples_with_long_edges(spark):
+    """Three samples span 300 001 lattice rows: too many to broadcast, though the samples are few."""
+    at = [(0, 0), (300_000, 0), (150_000, 90)]
+    u, v = np.array([1.0, 1.0, 89.0, 91.0, -1.0, 0.0]), np.array([1.0, 150_000.5, 150_000.0, 150_000.0, 7.0, 300_000.0])
+    out = resample.inside_hull(points(spark, u, v), samples(spark, at), sample_rows=3)
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString().split("HashAggregate")[0]
+    got = {r["node_id"]: r["has_soil"] for r in out.collect()}
+    assert got == {0: False, 1: True, 2: True, 3: False, 4: False, 5: True}
+
+
+def test_a_basin_reads_its_box_of_a_large_grid(spark):
+    """Of a 2400 x 7200 grid a few nodes need a few squares: they are filtered first and broadcast."""
+    coarse = spark.range(2400 * 40).select(
+        F.floor(F.col("id") / 40).cast("int").alias("rr"), (F.col("id") % 40).cast("int").alias("cc"), (F.col("id") % 97).cast("double").alias("mm")
+    )
+    u, v = np.array([3.25, 4.5, 5.0]), np.array([1000.5, 1001.25, 1002.0])
+    out = resample.bilinear(points(spark, u, v), coarse, "mm", 2400, 7200)
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+    value = lambda r, c: float((r * 40 + c) % 97)
+    for row, x, y in zip(out.orderBy("node_id").collect(), u, v, strict=True):
+        i, j = int(y), int(x)
+        a, b = y - i, x - j
+        top, low = value(i, j) * (1 - b) + value(i, j + 1) * b, value(i + 1, j) * (1 - b) + value(i + 1, j + 1) * b
+        assert row["mm"] == pytest.approx(top * (1 - a) + low * a)

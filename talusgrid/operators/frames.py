@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talusgrid.functions.colour import byte_level
+from talusgrid.functions.numeric import lit
 
 FS_TOP = 3.0
 DEPTH_TOP = 10.0
@@ -91,6 +92,15 @@ def pack_frames(levels: DataFrame, nodes_per_pack: int = NODES_PER_PACK) -> Data
     )
 
 
+def pack_metadata(node_hours: DataFrame, rows, cols) -> DataFrame:
+    """What is needed to decode the packs: hours, nodes, grid size and the values that the top byte stands for."""
+    shape = node_hours.agg(F.countDistinct("hr").alias("n_hours"), F.countDistinct("node_id").alias("n_nodes"))
+    return shape.select(
+        "n_hours", "n_nodes", lit(rows).alias("grid_rows"), lit(cols).alias("grid_cols"),
+        F.lit(FS_TOP).alias("fs_top"), F.lit(DEPTH_TOP).alias("depth_top"), F.lit(EROSION_TOP).alias("erosion_top"),
+    )
+
+
 def pack_erosion(
     erosion: DataFrame, erosion_top: float = EROSION_TOP, nodes_per_pack: int = NODES_PER_PACK
 ) -> DataFrame:

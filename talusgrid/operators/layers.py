@@ -172,13 +172,27 @@ def banded_median(cells: DataFrame, channels: list[str], bands: int = 14, column
     return joined.select(
         "band",
         *[
-            F.coalesce(F.last(c, ignorenulls=True).over(below), F.lit(d)).alias(c)
-            for c, d in zip(channels, DEFAULT_COLOUR)
+            F.coalesce(F.last(c, ignorenulls=True).over(below), F.lit(DEFAULT_COLOUR[k % 3])).alias(c)
+            for k, c in enumerate(channels)
         ],
         F.coalesce("n_cells", F.lit(0)).alias("n_cells"),
     )
 
 
+def colour_stops(cells: DataFrame, layers: dict[str, list[str]], bands: int = 14) -> DataFrame:
+    """Legend gradient of layers drawn from colour channels: (layer, band, position, colour), position from 0 to 1.
+
+    layers: {layer: [red, green, blue]}. All channels are reduced in one pass.
+    """
+    medians = banded_median(cells, [c for rgb in layers.values() for c in rgb], bands)
+    hexed = lambda c: F.lpad(F.lower(F.hex(F.floor(c).cast("long"))), 2, "0")
+    stops = F.array(
+        *[F.struct(F.lit(n).alias("layer"), F.concat(F.lit("#"), *[hexed(F.col(c)) for c in rgb]).alias("colour")) for n, rgb in layers.items()]
+    )
+    position = F.col("band") / F.lit(float(max(bands - 1, 1)))
+    return medians.select("band", position.alias("position"), F.inline(stops)).select("layer", "band", "position", "colour")
+
+
 def exaggerated_height(cells: DataFrame, factor: float = 1.6, column: str = "elevation_m") -> DataFrame:
     low = cells.agg(F.min(column).alias("m")).scalar()
     return cells.withColumn("height", (F.col(column) - low) * factor)

@@ -902,6 +902,36 @@ FROM fx_bands GROUP BY band""",
             "fx_cells",
         ),
     )
+    channels = {
+        "hillshade-color": ("node_id * 7 % 256", "node_id * 5 % 256", "node_id * 3 % 256"),
+        "color-relief": ("node_id * 11 % 256", "floor(twi * 15)", "node_id * node_id % 251"),
+    }
+    hexed = "lpad(lower(to_hex(CAST(floor(coalesce(last_value({c} IGNORE NULLS) OVER w, {d})) AS BIGINT))), 2, '0')"
+    q(
+        "colour_stops",
+        _with(
+            "\nUNION ALL ".join(
+                f"""SELECT '{name}' AS layer, CAST(range AS INT) AS band, round(range / 13e0, 9) AS position,
+  '#' || {" || ".join(hexed.format(c=c, d=d) for c, d in zip("rgb", (40, 40, 44), strict=True))} AS colour
+FROM range(14) LEFT JOIN (
+  SELECT CAST(least(13, greatest(0, floor((elevation_m - lo) / (hi - lo) * 14))) AS INT) AS band,
+         {", ".join(f"median({e}) AS {c}" for c, e in zip("rgb", rgb, strict=True))}
+  FROM (SELECT *, min(elevation_m) OVER () AS lo, max(elevation_m) OVER () AS hi FROM fx_cells) GROUP BY 1) ON band = range
+WINDOW w AS (ORDER BY range ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+                for name, rgb in channels.items()
+            ),
+            "fx_cells",
+        ),
+    )
+    q(
+        "pack_metadata",
+        _with(
+            """SELECT (SELECT count(DISTINCT hr) FROM fx_fs) AS n_hours, (SELECT count(DISTINCT node_id) FROM fx_fs) AS n_nodes,
+  max(r) + 1 AS grid_rows, max(c) + 1 AS grid_cols, 3e0 AS fs_top, 1e1 AS depth_top, 3e0 AS erosion_top FROM fx_cells""",
+            "fx_fs",
+            "fx_cells",
+        ),
+    )
     q(
         "d8_convention",
         _with(

@@ -591,6 +591,15 @@ def banded_median(spark, sf):
     return layers.banded_median(cells, ["red", "green", "blue"])
 
 
+@query
+def colour_stops(spark, sf):
+    k = F.col("node_id")
+    channels = {"shaded_red": k * 7 % 256, "shaded_green": k * 5 % 256, "shaded_blue": k * 3 % 256, "relief_red": k * 11 % 256}
+    channels |= {"relief_green": F.floor(F.col("twi") * 15), "relief_blue": k * k % 251}
+    drawn = {n: list(layers.LAYER_COLUMNS[n]) for n in ("hillshade-color", "color-relief")}
+    return rounded(layers.colour_stops(fx.cells(spark, sf).withColumns(channels), drawn), 9)
+
+
 @query
 def d8_convention(spark, sf):
     return layers.direction_convention(fx.cells(spark, sf))
@@ -658,6 +667,11 @@ def pack_frames(spark, sf):
     return frames.pack_frames(frames.quantised(fx.node_hours(spark, sf)), nodes_per_pack=8192)
 
 
+@query
+def pack_metadata(spark, sf):
+    return frames.pack_metadata(fx.node_hours(spark, sf), *grid.grid_shape(fx.cells(spark, sf)))
+
+
 @query
 def pack_erosion(spark, sf):
     hours = fx.node_hours(spark, sf)

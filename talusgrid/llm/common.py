@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talusgrid.sources.workspace import new_table_path
@@ -12,6 +12,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 ROW = "__row"
 
+BATCH_ROWS = 2500
+BATCH_BYTES = 8 << 20
+
 
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null and empty texts."""
@@ -23,6 +26,12 @@ def word_array(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to at most BATCH_ROWS rows and BATCH_BYTES, as texts can be long and tasks hold whole batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the cluster's shared work folder and read it back.
 

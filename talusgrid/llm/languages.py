@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talusgrid.llm.common import small_batches
+
 CELLS = 1 << 15
 PIECE = 1 << 20
 ROUNDS = 12
@@ -112,6 +114,7 @@ def _added(frame: pd.DataFrame) -> pd.DataFrame:
 
 def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """docs(text, lang) -> (languages, cell probabilities of each: CELLS x languages)."""
+    small_batches(docs.sparkSession)
     rows = docs.where("lang is not null and text is not null").select("text", "lang")
     sums = rows.mapInArrow(_learn, "lang string, counts binary").groupBy("lang").applyInPandas(_added, "lang string, counts binary")
     found = sorted((r.lang, np.frombuffer(bytes(r.counts), dtype=np.int64)) for r in sums.collect())
@@ -195,6 +198,7 @@ def _predict(model):
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, lang_pred, score, langs), one row per input row; langs has all shares found."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double, langs array<struct<lang:string,share:double>>")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talusgrid.llm.common import stored
+from talusgrid.llm.common import small_batches, stored
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -239,6 +239,7 @@ def grammars(found: DataFrame, sample: int = SAMPLE) -> Grammars:
 
 def detected(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, spans, all_spans), one row per input row; added spans have kind "like_<kind>"."""
+    small_batches(docs.sparkSession)
     scanned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, FOUND)
     found = stored(scanned, "secret-spans")
     model = docs.sparkSession.sparkContext.broadcast(grammars(found, sample))

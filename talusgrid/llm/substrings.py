@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talusgrid.llm import hashing
-from talusgrid.llm.common import ROW, packed
+from talusgrid.llm.common import ROW, packed, small_batches
 
 SPAN = 20
 GRAM = 7
@@ -230,6 +230,7 @@ def kept_words(text: str | None, starts, span: int = SPAN) -> tuple[int, list[by
 
 
 def _with_starts(docs: DataFrame, span: int, gram: int) -> DataFrame:
+    small_batches(docs.sparkSession)
     starts = repeat_starts(docs, span, gram).groupBy("doc", "form").agg(F.collect_list("start").alias("starts"))
     keyed = _keyed(docs.select(packed(docs), "doc_id", "text"))
     same = (F.col("__doc") == F.col("doc")) & (F.col("__form") == F.col("form"))

@@ -1068,29 +1068,30 @@ FROM (SELECT node_id, min(fs) AS lo FROM fx_fs GROUP BY node_id) GROUP BY 1""",
     ends = lambda n, w="", t="ready": (f"(SELECT min({n}) FROM {t}{w})", f"(SELECT max({n}) FROM {t}{w})")
     elevation = ends("elevation_m", t="fx_cells")
     gradient(0, "hillshade-color", "Shaded relief + color", *elevation, " m", ',"approx":true')
+    gradient(1, "color-relief", "Elevation color", *elevation, " m", ',"approx":true')
     rows.append(
-        "SELECT 1 AS display_order, 'hillshade' AS layer, 'Hillshade (grayscale)' AS title, 'gradient' AS kind, "
+        "SELECT 2 AS display_order, 'hillshade' AS layer, 'Hillshade (grayscale)' AS title, 'gradient' AS kind, "
         "'shadowed' AS min_label, 'sunlit' AS max_label, "
         """'{"kind":"gradient","minLabel":"shadowed","maxLabel":"sunlit"}' AS legend_json"""
     )
-    gradient(2, "slope", "Slope", "0e0", "60e0", "°")
-    marked(3, "aspect", "Aspect", "cyclic", "NESWN")
-    gradient(4, "roughness", "Roughness", "0e0", quant("roughness", "99e-2"))
-    log_gradient(5, "flow-accumulation", "Flow accumulation", "flow_accum")
-    log_gradient(6, "specific-catchment-area", "Specific catchment area", "sca")
-    gradient(7, "twi", "Topographic wetness (TWI)", quant("twi", "1e-2"), quant("twi", "99e-2"))
-    marked(8, "flow-direction-dinf", "Flow direction (D∞)", "cyclic", ["0°", "90°", "180°", "270°", "360°"])
+    gradient(3, "slope", "Slope", "0e0", "60e0", "°")
+    marked(4, "aspect", "Aspect", "cyclic", "NESWN")
+    gradient(5, "roughness", "Roughness", "0e0", quant("roughness", "99e-2"))
+    log_gradient(6, "flow-accumulation", "Flow accumulation", "flow_accum")
+    log_gradient(7, "specific-catchment-area", "Specific catchment area", "sca")
+    gradient(8, "twi", "Topographic wetness (TWI)", quant("twi", "1e-2"), quant("twi", "99e-2"))
+    marked(9, "flow-direction-dinf", "Flow direction (D∞)", "cyclic", ["0°", "90°", "180°", "270°", "360°"])
     colours = ("#ff7f0e", "#2ca02c", "#d62728", "#8c564b", "#e377c2", "#7f7f7f", "#bcbd22", "#17becf")
     names = ("E", "SE", "S", "SW", "W", "NW", "N", "NE")
     items = ",".join(f'{{"color":"{c}","label":"{n}"}}' for c, n in zip(colours, names))
     rows.append(
-        "SELECT 9 AS display_order, 'flow-direction-d8' AS layer, 'Flow direction (D8)' AS title, 'categorical' AS kind, "
+        "SELECT 10 AS display_order, 'flow-direction-d8' AS layer, 'Flow direction (D8)' AS title, 'categorical' AS kind, "
         f"NULL AS min_label, NULL AS max_label, '{{\"kind\":\"categorical\",\"items\":[{items}]}}' AS legend_json"
     )
-    gradient(10, "hydro-conditioned-dem", "Hydro-conditioned DEM", *elevation, " m")
-    gradient(11, "precipitation", "Precipitation", *ends("precip_mm"), " mm")
-    gradient(12, "soil-friction-angle", "Soil friction angle (est.)", *ends("friction_deg", " WHERE has_soil"), "°")
-    gradient(13, "soil-cohesion", "Soil cohesion (est.)", *ends("cohesion_kpa", " WHERE has_soil"), " kPa")
+    gradient(11, "hydro-conditioned-dem", "Hydro-conditioned DEM", *elevation, " m")
+    gradient(12, "precipitation", "Precipitation", *ends("precip_mm"), " mm")
+    gradient(13, "soil-friction-angle", "Soil friction angle (est.)", *ends("friction_deg", " WHERE has_soil"), "°")
+    gradient(14, "soil-cohesion", "Soil cohesion (est.)", *ends("cohesion_kpa", " WHERE has_soil"), " kPa")
     q("layer_catalog", _with("\nUNION ALL ".join(rows), "ready", **READY))
     q(
         "soil_layers",

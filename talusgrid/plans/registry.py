@@ -682,13 +682,15 @@ def pack_erosion(spark, sf):
 
 @query
 def layer_catalog(spark, sf):
-    """All layers but one: there is no separate color-relief band, so that layer is left out."""
     k, z = F.col("node_id"), F.col("elevation_m")
     cells = fx.cells(spark, sf).withColumns(
         {
             "shaded_red": k * 7 % 256,
             "shaded_green": k * 5 % 256,
             "shaded_blue": k * 3 % 256,
+            "relief_red": k * 11 % 256,
+            "relief_green": F.floor(F.col("twi") * 15),
+            "relief_blue": k * k % 251,
             "hillshade": k % 256,
             "dinf_angle": (k * 17 % 628) / 100e0,
             "hydro_dem": z + 1e0,

@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talusgrid.operators.blocks import BLOCK, with_block
+from talusgrid.operators.blocks import BLOCK, with_block, with_halo
+from talusgrid.operators.graph import descend
 from talusgrid.operators.joins import lookup_join
 from talusgrid.functions.physics import CELL_SIZE_M
 from talusgrid.sources.workspace import cut_lineage
@@ -58,7 +59,16 @@ def terminals(downslope: DataFrame, block: int = BLOCK) -> DataFrame:
 
     downslope(node_id, r, c, target_id, d_row, d_col) -> (node_id, terminal_id, straight, diagonal)
     """
-    local = with_block(downslope, block).groupBy("br", "bc").applyInPandas(_follow_inside, _LOCAL)
+    return _resolved(with_block(downslope, block).groupBy("br", "bc").applyInPandas(_follow_inside, _LOCAL))
+
+
+def cell_terminals(cells: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The same from cells(node_id, r, c, elevation_m): descent and paths inside blocks in one shuffle of the cells."""
+    halo = with_halo(cells.select("node_id", "r", "c", "elevation_m"), block, 1)
+    return _resolved(halo.groupBy("br", "bc").applyInPandas(lambda rows: _follow_inside(descend(rows, block, [])), _LOCAL))
+
+
+def _resolved(local: DataFrame) -> DataFrame:
     local = cut_lineage(local)
     exits = local.where((F.col("node_id") == F.col("exit_id")) & F.col("next_id").isNotNull())
     entry = local.select(

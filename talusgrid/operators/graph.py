@@ -45,6 +45,38 @@ def clamped_neighbours(nodes: DataFrame, rows, cols) -> DataFrame:
     return near.select("node_id", "direction", (row * lit(cols) + col).cast("long").alias("neighbour_id"))
 
 
+def descend(rows: pd.DataFrame, block: int, kept: list[str]) -> pd.DataFrame:
+    """Steepest descent of the core cells of one block and its one-cell halo."""
+    win = Window(rows, block, 1)
+    n = win.side
+    z = win.fill(rows["elevation_m"].to_numpy(dtype=float), np.nan)
+    ids = win.fill(rows["node_id"].to_numpy(), -1, np.int64)
+    here = win.flat[win.core]
+    best = np.zeros(len(here))
+    target = np.full(len(here), -1, dtype=np.int64)
+    step = np.zeros((2, len(here)), dtype=np.int32)
+    for di, dj in NEIGHBOURS:
+        there = here + di * n + dj
+        drop = (z[here] - z[there]) / (math.sqrt(2) if di and dj else 1.0)
+        wins = drop > best  # False for NaN
+        best[wins] = drop[wins]
+        target[wins] = ids[there[wins]]
+        step[0, wins], step[1, wins] = di, dj
+    none = target < 0
+    out = pd.DataFrame(
+        {
+            "node_id": ids[here],
+            "r": rows["r"].to_numpy()[win.core],
+            "c": rows["c"].to_numpy()[win.core],
+            "target_id": pd.arrays.IntegerArray(target, none),
+            "d_row": step[0],
+            "d_col": step[1],
+            "drop": best,
+        }
+    )
+    return pd.concat([out, rows.loc[win.core, kept].reset_index(drop=True)], axis=1)
+
+
 def steepest_descent(nodes: DataFrame, block: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
     """Neighbour with the largest drop per distance; NULL target where no neighbour is lower.
 
@@ -53,41 +85,10 @@ def steepest_descent(nodes: DataFrame, block: int = BLOCK, carry: tuple[str, ...
     saves a join when a later step needs them.
     """
     kept = list(carry)
-
-    def descend(rows: pd.DataFrame) -> pd.DataFrame:
-        win = Window(rows, block, 1)
-        n = win.side
-        z = win.fill(rows["elevation_m"].to_numpy(dtype=float), np.nan)
-        ids = win.fill(rows["node_id"].to_numpy(), -1, np.int64)
-        here = win.flat[win.core]
-        best = np.zeros(len(here))
-        target = np.full(len(here), -1, dtype=np.int64)
-        step = np.zeros((2, len(here)), dtype=np.int32)
-        for di, dj in NEIGHBOURS:
-            there = here + di * n + dj
-            drop = (z[here] - z[there]) / (math.sqrt(2) if di and dj else 1.0)
-            wins = drop > best  # False for NaN
-            best[wins] = drop[wins]
-            target[wins] = ids[there[wins]]
-            step[0, wins], step[1, wins] = di, dj
-        none = target < 0
-        out = pd.DataFrame(
-            {
-                "node_id": ids[here],
-                "r": rows["r"].to_numpy()[win.core],
-                "c": rows["c"].to_numpy()[win.core],
-                "target_id": pd.arrays.IntegerArray(target, none),
-                "d_row": step[0],
-                "d_col": step[1],
-                "drop": best,
-            }
-        )
-        return pd.concat([out, rows.loc[win.core, kept].reset_index(drop=True)], axis=1)
-
     halo = with_halo(nodes.select("node_id", "r", "c", "elevation_m", *kept), block, 1)
     schema = "node_id long, r int, c int, target_id long, d_row int, d_col int, drop double"
     extra = "".join(f", {f.name} {f.dataType.simpleString()}" for f in nodes.select(*kept).schema)
-    return halo.groupBy("br", "bc").applyInPandas(descend, schema + extra)
+    return halo.groupBy("br", "bc").applyInPandas(lambda rows: descend(rows, block, kept), schema + extra)
 
 
 def sinks(downslope: DataFrame) -> DataFrame:

@@ -453,20 +453,20 @@ def neighbors8_clamped(spark, sf):
 
 @query
 def runout_terminal(spark, sf):
-    reach = drainage.terminals(graph.steepest_descent(fx.cells(spark, sf)))
+    reach = drainage.cell_terminals(fx.cells(spark, sf))
     return reach.select("node_id", "terminal_id")
 
 
 @query
 def runout_length(spark, sf):
-    reach = drainage.path_lengths(drainage.terminals(graph.steepest_descent(fx.cells(spark, sf))))
+    reach = drainage.path_lengths(drainage.cell_terminals(fx.cells(spark, sf)))
     released = runout.releases(fx.node_hours(spark, sf))
     return rounded(released.join(reach, "node_id").select("node_id", "terminal_id", "hops", "path_m"))
 
 
 @query
 def runout_deposit(spark, sf):
-    reach = drainage.terminals(graph.steepest_descent(fx.cells(spark, sf)))
+    reach = drainage.cell_terminals(fx.cells(spark, sf))
     return rounded(drainage.deposits(runout.releases(fx.node_hours(spark, sf)), reach))
 
 
@@ -731,7 +731,7 @@ def storm_releases(spark, sf):
 def storm_deposits(spark, sf):
     """The whole run: soil and rain at the nodes, storm, failures, and where their debris comes to rest."""
     hours = simulation.simulate(_ready_nodes(spark, sf), physics.storm_shares())
-    reach = drainage.terminals(graph.steepest_descent(fx.cells(spark, sf)))
+    reach = drainage.cell_terminals(fx.cells(spark, sf))
     return rounded(drainage.deposits(runout.releases(hours), reach))
 
 

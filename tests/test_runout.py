@@ -61,8 +61,9 @@ def test_one_outlet_for_all_paths(spark):
     """A third of all cells and more drain through one cell."""
     z = np.abs(np.add.outer(np.zeros(60), np.arange(-20.0, 21.0))) + np.arange(60)[:, None] * 0.1
     flow = graph.steepest_descent(raster(spark, z), 8)
-    ends = drainage.terminals(flow, 8).groupBy("terminal_id").count().collect()
-    assert [(r["terminal_id"], r["count"]) for r in ends] == [(20, z.size)]
+    for reach in (drainage.terminals(flow, 8), drainage.cell_terminals(raster(spark, z), 8)):
+        ends = reach.groupBy("terminal_id").count().collect()
+        assert [(r["terminal_id"], r["count"]) for r in ends] == [(20, z.size)]
 
 
 def test_duplicate_cells_are_refused(spark):

@@ -3,7 +3,7 @@
 Formats. Assignments to names like "password", access keys and long hexadecimal strings are found by patterns.
 
 Grammars. The values found are labelled credentials. For each kind at most `SAMPLE` distinct ones (those with the
-smallest hashes, a bounded sample whose size is a parameter) make a prefix tree with counts. Its states are merged,
+smallest hashes, of at most LONGEST characters; a bounded sample whose size is a parameter) make a prefix tree with counts. Its states are merged,
 in the order of a red-blue search, wherever the frequencies of ending and of each next character are compatible by
 Hoeffding's bound, children included; what remains is a probabilistic automaton of the format. Every other candidate
 in the corpus (a run of credential characters of `LEAST` or more with letters and digits) is scored under all
@@ -35,6 +35,8 @@ HINTS = ("passw", "secret", "token", "api")
 KINDS = ("assign", "access", "hex")
 
 SAMPLE = 2000
+#: Longer values are found and scored, but no grammar is fitted on them.
+LONGEST = 256
 LEAST = 16
 CONFIDENCE = 0.05
 MARGIN = 1.0
@@ -60,10 +62,12 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 def candidates(text: str, spans: list) -> list[tuple[int, int, str]]:
     """Runs of credential characters outside the spans, with letters and digits."""
-    out = []
+    out, k, upto = [], 0, 0
     for m in CANDIDATE.finditer(text):
+        while k < len(spans) and spans[k][0] < m.end():
+            upto, k = max(upto, spans[k][1]), k + 1
         value = m.group()
-        if re.search("[0-9]", value) and re.search("[A-Za-z]", value) and not any(s < m.end() and m.start() < e for s, e, *_ in spans):
+        if upto <= m.start() and re.search("[0-9]", value) and re.search("[A-Za-z]", value):
             out.append((m.start(), m.end(), value))
     return out
 
@@ -219,7 +223,8 @@ class Grammars:
 
 def grammars(found: DataFrame, sample: int = SAMPLE) -> Grammars:
     """Fits the automata on the driver from `sample` values per kind at most; pair counts arrive added up."""
-    values = found.where("spans is not null").select(F.explode("spans").alias("s")).select("s.kind", "s.value").distinct()
+    spans = found.where("spans is not null").select(F.explode("spans").alias("s"))
+    values = spans.where(F.length("s.value") <= LONGEST).select("s.kind", "s.value").distinct()
     samples = {
         kind: [r.value for r in values.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample).collect()] for kind in KINDS
     }

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import base64
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,31 +68,27 @@ def quantised(node_hours: DataFrame, fs_top: float = FS_TOP, depth_top: float =
     )
 
 
-def _bytes_text(*levels: str):
-    """Byte levels of one node as hexadecimal text."""
-    return F.concat(*[F.lpad(F.hex(F.col(x).cast("long")), 2, "0") for x in levels])
+def _packer(key: list[str], levels: dict[str, int]):
+    """Function that turns a group's byte levels into base64 text in node order; a missing level has the given value."""
 
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node_id", kind="stable")
+        values = np.stack([rows[c].fillna(v).to_numpy(dtype=np.uint8) for c, v in levels.items()], axis=1)
+        text = base64.b64encode(values.tobytes()).decode()
+        return pd.DataFrame({**{k: rows[k].iloc[:1] for k in key}, "n_nodes": [len(rows)], "b64": [text]})
 
-def _packed(entries):
-    """Collected (node_id, text) entries -> base64 of their bytes in node order, as one line."""
-    joined = F.array_join(F.sort_array(entries).getField("text"), "")
-    # base64 may break its text into lines.
-    return F.translate(F.base64(F.unhex(joined)), "\r\n", "")
+    return pack
 
 
 def pack_frames(levels: DataFrame, nodes_per_pack: int = NODES_PER_PACK) -> DataFrame:
     """Per hour and block of nodes: FS and depth bytes of consecutive nodes as base64 text.
 
-    A block has at most nodes_per_pack nodes, so rows stay small at any number of nodes; blocks
-    in order make up the frame of an hour.
+    A block has at most nodes_per_pack nodes, so rows and groups stay small at any number of nodes; blocks in order make
+    up the frame of an hour. An unknown FS is drawn as stable.
     """
     block = F.floor(F.col("node_id") / nodes_per_pack).cast("long")
-    entry = F.struct("node_id", _bytes_text("fs_q", "depth_q").alias("text"))
-    return (
-        levels.groupBy("hr", block.alias("block"))
-        .agg(F.count(F.lit(1)).alias("n_nodes"), F.collect_list(entry).alias("e"))
-        .select("hr", "block", "n_nodes", _packed(F.col("e")).alias("b64"))
-    )
+    rows = levels.select("hr", block.alias("block"), "node_id", *[F.col(c).cast("short").alias(c) for c in ("fs_q", "depth_q")])
+    return rows.groupBy("hr", "block").applyInPandas(_packer(["hr", "block"], {"fs_q": 255, "depth_q": 0}), "hr int, block long, n_nodes long, b64 string")
 
 
 def pack_metadata(node_hours: DataFrame, rows, cols) -> DataFrame:
@@ -106,10 +105,5 @@ def pack_erosion(
 ) -> DataFrame:
     """erosion(node_id, erosion_m) -> one byte per node, packed like the frames."""
     block = F.floor(F.col("node_id") / nodes_per_pack).cast("long")
-    levels = erosion.select("node_id", byte_level(F.col("erosion_m"), erosion_top).alias("q"))
-    entry = F.struct("node_id", _bytes_text("q").alias("text"))
-    return (
-        levels.groupBy(block.alias("block"))
-        .agg(F.count(F.lit(1)).alias("n_nodes"), F.collect_list(entry).alias("e"))
-        .select("block", "n_nodes", _packed(F.col("e")).alias("b64"))
-    )
+    rows = erosion.select(block.alias("block"), "node_id", byte_level(F.col("erosion_m"), erosion_top).cast("short").alias("q"))
+    return rows.groupBy("block").applyInPandas(_packer(["block"], {"q": 0}), "block long, n_nodes long, b64 string")

@@ -11,9 +11,15 @@ Terms. Every value found is a protected entity. For an entity e and a term t (a
 
 It is 1 for a term that occurs only near e, and falls as the term occurs elsewhere. Terms at or above `REMOVE` are
 removed, those from `GENERALISE` on are replaced by a general label, both only near the entity they disclose, so a
-document without personal data is never touched. A pair counts only if it has `SUPPORT` different surroundings:
-copies of one text repeat the same surroundings and prove nothing. Document counts of terms cover the whole corpus
-and are pre-aggregated by task; only the pairs that have support are looked up in them.
+document without personal data is never touched.
+
+Every pair is scored, with p(e | t) estimated for a document from the other ones and shrunk to p(e) = n(e) / N:
+
+    p(e | t) = (pair - 1 + PRIOR * p(e)) / (documents with t - 1 + PRIOR)
+
+Documents with the same surroundings of e (copies) count as one, above and below. A pair seen in one document has no
+other that tells of it, so its estimate is at most p(e) and its disclosure at most 0, whatever the size of the corpus.
+Document counts of terms cover the whole corpus and are pre-aggregated by task.
 
 Cases. A null text is an empty one. Rows are recognised by doc_id and a hash of the text, null ids included, so
 repeated rows get the same result. An empty table gives an empty result. Other columns are kept by `sanitised`, with
@@ -38,7 +44,8 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "general": "[TERM]", "remove": ""}
 
 REACH = 64
-SUPPORT = 3
+#: Weight of p(e) in p(e | t), in documents.
+PRIOR = 0.5
 GENERALISE = 0.8
 REMOVE = 0.95
 
@@ -132,24 +139,28 @@ def _found(docs: DataFrame) -> DataFrame:
     )
 
 
-def disclosures(docs: DataFrame, found: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
+def disclosures(docs: DataFrame, found: DataFrame, prior: float = PRIOR, generalise: float = GENERALISE) -> DataFrame:
     """(entity, term, disclosure) of pairs at or above `generalise`."""
     near = found.where("near is not null").select("doc_id", "text_hash", F.explode("near").alias("x"))
     entities = near.groupBy("x.entity").agg(F.countDistinct("doc_id", "text_hash").alias("n_entity"))
     terms = near.select("doc_id", "text_hash", "x.entity", "x.context", F.explode("x.terms.term").alias("term"))
     # Copies of a text meet here as one row, whatever their number.
-    contexts = terms.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("times"))
-    pairs = contexts.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= support).select("entity", "term")
-    pairs = stored(pairs, "pii-pairs")
-    both = terms.join(pairs, ["entity", "term"]).groupBy("entity", "term").agg(F.countDistinct("doc_id", "text_hash").alias("n_both"))
+    once = terms.groupBy("entity", "term", "doc_id", "text_hash").agg(F.min("context").alias("context"))
+    contexts = once.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("times"))
+    pairs = stored(contexts.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.sum("times").alias("docs_both")), "pii-pairs")
     said = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
-    known = said.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(pairs.select("term").distinct(), "term")
+    known = said.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     total = docs.agg(F.count(F.lit(1)).alias("n"))
-    joined = both.join(known, "term").join(entities, "entity").join(F.broadcast(total), F.lit(True))  # one row
-    share = F.least(F.col("n_both") / F.col("n_term"), F.lit(1.0))
+    joined = pairs.join(known, "term").join(entities, "entity").join(F.broadcast(total), F.lit(True))  # one row
+    return _scored(joined, prior).where(F.col("disclosure") >= generalise)
+
+
+def _scored(pairs: DataFrame, prior: float) -> DataFrame:
+    """(entity, term, disclosure) of pairs with their counts."""
+    others = F.greatest(F.col("n_term") - F.col("docs_both"), F.lit(0)) + F.col("n_both") - 1
+    share = (F.col("n_both") - 1 + prior * F.col("n_entity") / F.col("n")) / (others + prior)
     information = F.log2(F.col("n") / F.col("n_entity"))
-    scored = joined.select("entity", "term", F.when(information > 0, 1 + F.log2(share) / information).alias("disclosure"))
-    return scored.where(F.col("disclosure") >= generalise)
+    return pairs.select("entity", "term", F.when(information > 0, 1 + F.log2(share) / information).alias("disclosure"))
 
 
 def _added(found: DataFrame, disclosed: DataFrame, remove: float) -> DataFrame:
@@ -169,11 +180,11 @@ def _with_added(found: DataFrame, added: DataFrame) -> DataFrame:
     )
 
 
-def detected(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def detected(docs: DataFrame, prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, spans, all_spans), one row per input row."""
     found = stored(_found(docs), "pii-found")
     some = found.where("near is not null")
-    added = _added(some, disclosures(docs, some, support, generalise), remove)
+    added = _added(some, disclosures(docs, some, prior, generalise), remove)
     return _with_added(found.drop("near"), added).select("doc_id", "spans", "all_spans")
 
 
@@ -192,10 +203,10 @@ def rewritten(text: Column, spans: Column) -> Column:
     return F.aggregate(ordered, start, step, lambda done: F.concat(F.array_join(done["out"], ""), F.substring(text, done["at"] + 1, F.length(text))))
 
 
-def sanitised(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def sanitised(docs: DataFrame, prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """docs with personal data replaced in their texts. Texts without any are neither shuffled nor changed."""
     found = stored(_found(docs).where(F.size("spans") > 0), "pii-found")
-    added = stored(_added(found, disclosures(docs, found, support, generalise), remove), "pii-added")
+    added = stored(_added(found, disclosures(docs, found, prior, generalise), remove), "pii-added")
     rows = docs.select(packed(docs), F.col("text").alias("__text"), _once(base_spans(F.col("text"))).alias("spans"))
     clean = rows.where(F.size("spans") == 0).select(f"{ROW}.*")
     touched = rows.where(F.size("spans") > 0).select(ROW, "__text", "spans", F.col(f"{ROW}.doc_id").alias("doc_id"), F.xxhash64("__text").alias("text_hash"))

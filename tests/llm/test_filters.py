@@ -237,3 +237,13 @@ def test_automaton_merges_loops():
 
 def test_schema_is_kept_in_filters(spark):
     assert quality.filtered(awkward(spark)).schema == SCHEMA
+
+
+def test_pairs_with_two_surroundings_are_scored(spark):
+    """A term said in two documents, both with the address, discloses it; copies of one surrounding and single words do not."""
+    rows = [(100 + i, f"{sentence(i, 20)} Zorblaxo kim@corp.example {sentence(90 + i, 20)}", "en", "a") for i in range(2)]
+    rows += [(110 + i, f"Quibblingo lee@corp.example {sentence(40, 20)}", "en", "a") for i in range(2)]
+    rows += [(200 + i, sentence(300 + i, 60), "en", "a") for i in range(200)]
+    found = {r.doc_id: [s.value for s in r.all_spans if s not in r.spans] for r in pii.detected(awkward(spark, rows)).collect()}
+    assert found[100] == found[101] == ["zorblaxo"]
+    assert not any(more for doc, more in found.items() if doc not in (100, 101))

@@ -4,22 +4,24 @@ Formats. E-mail addresses, IPv4 addresses, card numbers and telephone numbers ar
 overlapping per kind. The patterns below accept what the plain ones accept, but start a run of characters only at its
 beginning and never give characters back, so long runs cost linear time and no stack.
 
-Terms. Every value found is a protected entity. For an entity e and a term t (a word of four or more letters) within
-`REACH` characters of it, corpus counts give the share of e's information that t reveals:
+Terms. Every value found is a protected entity. For an entity e and a term t (a word outside the values found) of the
+same document, corpus counts give the share of e's information that t reveals:
 
-    disclosure = PMI(e; t) / IC(e) = 1 + log p(e | t) / log (N / n(e)),   p(e | t) = docs with t near e / docs with t
+    disclosure = PMI(e; t) / IC(e) = 1 + log p(e | t) / log (N / n(e)),   p(e | t) = docs with t and e / docs with t
 
-It is 1 for a term that occurs only near e, and falls as the term occurs elsewhere. Terms at or above `REMOVE` are
-removed, those from `GENERALISE` on are replaced by a general label, both only near the entity they disclose, so a
-document without personal data is never touched.
+It is 1 for a term that occurs only with e, and falls as the term occurs elsewhere. Terms at or above `REMOVE` are
+removed, those from `GENERALISE` on are replaced by a general label, wherever they stand: in the whole text of all
+documents, those without the entity included, as that is where they disclose it.
 
 Every pair is scored, with p(e | t) estimated for a document from the other ones and shrunk to p(e) = n(e) / N:
 
     p(e | t) = (pair - 1 + PRIOR * p(e)) / (documents with t - 1 + PRIOR)
 
-Documents with the same surroundings of e (copies) count as one, above and below. A pair seen in one document has no
-other that tells of it, so its estimate is at most p(e) and its disclosure at most 0, whatever the size of the corpus.
-Document counts of terms cover the whole corpus and are pre-aggregated by task.
+Documents with the same surroundings of e (`REACH` characters on both sides: copies) count as one in it, above and
+below. A pair seen in one document has no other that tells of it, so its estimate is at most p(e) and its disclosure at
+most 0, whatever the size of the corpus. Such pairs, and those whose term is too frequent to reach `GENERALISE` with the
+entity even if all its documents had the term, need no join to be known as too low: terms are cut by that bound first,
+per document. Document counts cover the whole corpus and are pre-aggregated by task.
 
 Cases. A null text is an empty one. Rows are recognised by doc_id and a hash of the text, null ids included, so
 repeated rows get the same result. An empty table gives an empty result. Other columns are kept by `sanitised`, with
@@ -39,7 +41,7 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-TERM = r"\p{L}{4,}"
+TERM = r"\p{L}[\p{L}\p{M}]*+"
 KINDS = ("email", "ip", "card", "phone")
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "general": "[TERM]", "remove": ""}
 
@@ -97,62 +99,95 @@ def base_spans(text: Column) -> Column:
     return F.concat(*parts)
 
 
-def _surroundings(text: Column, spans: Column) -> Column:
-    """Per span: its entity, a hash of the text around it, and the terms there that no span covers."""
-
-    def side(begin: Column, end: Column) -> Column:
-        # Text from begin to end. A term is whole only if it touches neither cut end of it, unless the text ends there.
-        begin = F.greatest(begin, F.lit(0))
-        part = F.substring(text, begin + 1, end - begin)
-        return F.transform(
-            F.filter(
-                matches(part, TERM),
-                lambda m: ((m["start"] > 0) | (begin == 0)) & ((m["end"] < end - begin) | (end >= F.length(text))),
-            ),
-            lambda m: F.struct(F.lower(m["value"]).alias("term"), (m["start"] + begin).alias("start"), (m["end"] + begin).alias("end")),
-        )
+def _entities(text: Column, spans: Column) -> Column:
+    """Per span: its entity, and a hash of the text around it."""
 
     def around(x):
-        free = lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
         value = F.when(x["kind"].isin("card", "phone"), _digits(x["value"])).otherwise(F.lower(x["value"]))
         context = F.concat(F.substring(text, F.greatest(x["start"] - REACH, F.lit(0)) + 1, F.least(x["start"], F.lit(REACH))), F.lit("\n"), F.substring(text, x["end"] + 1, REACH))
-        return F.struct(
-            F.concat(x["kind"], F.lit(":"), value).alias("entity"),
-            F.xxhash64(context).alias("context"),
-            F.filter(F.concat(side(x["start"] - REACH, x["start"]), side(x["end"], x["end"] + REACH)), free).alias("terms"),
-        )
+        return F.struct(F.concat(x["kind"], F.lit(":"), value).alias("entity"), F.xxhash64(context).alias("context"))
 
     return F.transform(spans, around)
 
 
+def _free(text: Column, spans: Column) -> Column:
+    """Text with its spans blanked, all places kept."""
+    text = F.coalesce(text, F.lit(""))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(done, s):
+        begin = F.greatest(done["at"], s["start"])
+        piece = F.array(F.substring(text, done["at"] + 1, begin - done["at"]), F.repeat(F.lit(" "), s["end"] - begin))
+        return F.when(s["end"] > done["at"], F.struct(s["end"].alias("at"), F.concat(done["out"], piece).alias("out"))).otherwise(done)
+
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    blanked = F.aggregate(ordered, start, step, lambda done: F.concat(F.array_join(done["out"], ""), F.substring(text, done["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, blanked).otherwise(text)
+
+
+def _terms(free: Column) -> Column:
+    """Distinct terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(free, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def _places(free: Column, scores: Column, remove: float) -> Column:
+    """Spans of the terms that are keys of scores. Only they are put into arrays, so long texts cost linear time."""
+
+    def placed(values: Column) -> Column:
+        def step(done, i, pieces):
+            start = done["at"] + F.length(F.get(pieces, i))
+            end = start + F.length(F.get(values, i))
+            term = F.lower(F.get(values, i))
+            kind = F.when(F.element_at(scores, term) >= remove, F.lit("remove")).otherwise(F.lit("general"))
+            one = F.array(F.struct(kind.alias("kind"), start.alias("start"), end.alias("end"), term.alias("value"))).cast(FOUND)
+            return F.struct(end.alias("at"), F.when(F.map_contains_key(scores, term), F.concat(done["out"], one)).otherwise(done["out"]).alias("out"))
+
+        nothing = F.struct(F.lit(0).alias("at"), F.array().cast(FOUND).alias("out"))
+        return let(F.split(free, TERM, -1), lambda p: F.aggregate(F.sequence(F.lit(0), F.size(values) - 1), nothing, lambda done, i: step(done, i, p))["out"])
+
+    return let(F.regexp_extract_all(free, F.lit(TERM), F.lit(0)), placed)
+
+
 def _once(value: Column) -> Column:
     """value as a generator's output: computed once per row, however often later columns and filters use it."""
     return F.explode(F.array(value))
 
 
+def _read(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, spans, free) of every row; free is its text without the values found."""
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    spans = texts.select("doc_id", "text", _once(base_spans(F.col("text"))).alias("spans"))
+    return spans.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", "spans", _once(_free(F.col("text"), F.col("spans"))).alias("free"))
+
+
 def _found(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, spans, near) of every row."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    spans = docs.select("doc_id", "text", _once(base_spans(F.col("text"))).alias("spans"))
-    return spans.select(
-        "doc_id", F.xxhash64("text").alias("text_hash"), "spans", F.when(F.size("spans") > 0, _surroundings(text, F.col("spans"))).alias("near")
-    )
+    """(doc_id, text_hash, spans, near, terms) of every row; rows without values have neither entities nor terms."""
+    some = F.size("spans") > 0
+    near, terms = _entities(F.col("text"), F.col("spans")), _terms(F.col("free"))
+    return _read(docs).select("doc_id", "text_hash", "spans", F.when(some, near).alias("near"), F.when(some, terms).alias("terms"))
 
 
 def disclosures(docs: DataFrame, found: DataFrame, prior: float = PRIOR, generalise: float = GENERALISE) -> DataFrame:
-    """(entity, term, disclosure) of pairs at or above `generalise`."""
-    near = found.where("near is not null").select("doc_id", "text_hash", F.explode("near").alias("x"))
-    entities = near.groupBy("x.entity").agg(F.countDistinct("doc_id", "text_hash").alias("n_entity"))
-    terms = near.select("doc_id", "text_hash", "x.entity", "x.context", F.explode("x.terms.term").alias("term"))
-    # Copies of a text meet here as one row, whatever their number.
-    once = terms.groupBy("entity", "term", "doc_id", "text_hash").agg(F.min("context").alias("context"))
-    contexts = once.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("times"))
-    pairs = stored(contexts.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.sum("times").alias("docs_both")), "pii-pairs")
-    said = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
-    known = said.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    """(entity, term, disclosure) of pairs at or above `generalise`, which is above 0."""
+    rows = found.where("near is not null").select(F.struct("doc_id", "text_hash").alias("row"), "near", "terms")
+    copies = rows.groupBy("row").agg(F.count(F.lit(1)).alias("times"))
+    said = rows.select("row", F.explode("near").alias("x")).groupBy("row", "x.entity").agg(F.min("x.context").alias("context")).join(copies, "row")
+    contexts = said.groupBy("entity", "context").agg(F.sum("times").alias("times"))
+    entities = contexts.groupBy("entity").agg(F.sum("times").alias("n_entity"), F.count(F.lit(1)).alias("contexts"))
     total = docs.agg(F.count(F.lit(1)).alias("n"))
-    joined = pairs.join(known, "term").join(entities, "entity").join(F.broadcast(total), F.lit(True))  # one row
-    return _scored(joined, prior).where(F.col("disclosure") >= generalise)
+    # The highest count of a term that can still reach `generalise` with the entity; the 1 is for rounding.
+    most = F.pow(F.col("n") / F.col("n_entity"), F.lit(1.0 - generalise)) * (F.col("contexts") - 1 + prior * F.col("n_entity") / F.col("n"))
+    bound = F.col("n_entity") - F.col("contexts") + 2 - prior + most
+    able = entities.where("contexts > 1").join(F.broadcast(total), F.lit(True)).select("entity", "n_entity", "n", bound.alias("bound"))  # one row
+    lively = stored(said.join(able, "entity"), "pii-entities")
+    counted = _read(docs).select(F.explode(_terms(F.col("free"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).where("n_term > 1")
+    reach = lively.groupBy("row").agg(F.max("bound").alias("row_bound"))
+    words = rows.select("row", "terms").join(reach, "row").select("row", "row_bound", F.explode("terms").alias("term")).distinct()
+    rare = words.join(counted, "term").where(F.col("n_term") <= F.col("row_bound")).select("row", "term", "n_term")
+    both = lively.join(rare, "row").where(F.col("n_term") <= F.col("bound"))
+    same = both.groupBy("entity", "term", "context", "n_entity", "n_term", "n").agg(F.sum("times").alias("times"))
+    pairs = same.groupBy("entity", "term", "n_entity", "n_term", "n").agg(F.count(F.lit(1)).alias("n_both"), F.sum("times").alias("docs_both"))
+    return _scored(pairs, prior).where(F.col("disclosure") >= generalise)
 
 
 def _scored(pairs: DataFrame, prior: float) -> DataFrame:
@@ -163,19 +198,27 @@ def _scored(pairs: DataFrame, prior: float) -> DataFrame:
     return pairs.select("entity", "term", F.when(information > 0, 1 + F.log2(share) / information).alias("disclosure"))
 
 
-def _added(found: DataFrame, disclosed: DataFrame, remove: float) -> DataFrame:
-    """(doc_id, text_hash, added) of rows that get further spans."""
-    near = found.where("near is not null").select("doc_id", "text_hash", F.explode("near").alias("x"))
-    terms = near.select("doc_id", "text_hash", "x.entity", F.explode("x.terms").alias("t")).select("*", F.col("t.term").alias("term"))
-    hits = terms.join(disclosed, ["entity", "term"]).groupBy("doc_id", "text_hash", "t.start", "t.end", "term").agg(F.max("disclosure").alias("d"))
-    kind = F.when(F.col("d") >= remove, F.lit("remove")).otherwise(F.lit("general"))
-    span = F.struct(kind.alias("kind"), "start", "end", F.col("term").alias("value"))
-    return hits.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(span)).cast(FOUND).alias("added"))
+def _added(docs: DataFrame, disclosed: DataFrame, remove: float) -> DataFrame:
+    """(doc_id, text_hash, added) of rows that get further spans: those that have a disclosed term anywhere in their text."""
+    highest = stored(disclosed.groupBy("term").agg(F.max("disclosure").alias("d")), "pii-terms")
+    words = _read(docs).select("doc_id", "text_hash", F.explode(_terms(F.col("free"))).alias("term"))
+    hits = words.join(highest, "term").groupBy("doc_id", "text_hash", "term").agg(F.max("d").alias("d"))
+    scores = hits.groupBy("doc_id", "text_hash").agg(F.map_from_entries(F.collect_list(F.struct("term", "d"))).alias("scores"))
+    scores = stored(scores, "pii-hits")
+    rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    touched = rows.alias("f").join(scores.alias("a"), _same_row()).select("f.doc_id", F.coalesce("f.text", F.lit("")).alias("text"), "scores")
+    spans = touched.select("doc_id", "text", "scores", _once(base_spans(F.col("text"))).alias("spans"))
+    free = spans.select("doc_id", F.xxhash64("text").alias("text_hash"), "scores", _once(_free(F.col("text"), F.col("spans"))).alias("free"))
+    placed = free.select("doc_id", "text_hash", _places(F.col("free"), F.col("scores"), remove).alias("added"))
+    return stored(placed.groupBy("doc_id", "text_hash").agg(F.first("added").alias("added")), "pii-added")
+
+
+def _same_row() -> Column:
+    return F.col("f.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("f.text_hash") == F.col("a.text_hash"))
 
 
 def _with_added(found: DataFrame, added: DataFrame) -> DataFrame:
-    same = F.col("f.doc_id").eqNullSafe(F.col("a.doc_id")) & F.col("f.text_hash").eqNullSafe(F.col("a.text_hash"))
-    return found.alias("f").join(added.alias("a"), same, "left").select(
+    return found.alias("f").join(added.alias("a"), _same_row(), "left").select(
         "f.*", F.concat("spans", F.coalesce("added", F.array().cast(FOUND))).alias("all_spans")
     )
 
@@ -183,9 +226,8 @@ def _with_added(found: DataFrame, added: DataFrame) -> DataFrame:
 def detected(docs: DataFrame, prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, spans, all_spans), one row per input row."""
     found = stored(_found(docs), "pii-found")
-    some = found.where("near is not null")
-    added = _added(some, disclosures(docs, some, prior, generalise), remove)
-    return _with_added(found.drop("near"), added).select("doc_id", "spans", "all_spans")
+    added = _added(docs, disclosures(docs, found, prior, generalise), remove)
+    return _with_added(found.drop("near", "terms"), added).select("doc_id", "spans", "all_spans")
 
 
 def rewritten(text: Column, spans: Column) -> Column:
@@ -204,13 +246,17 @@ def rewritten(text: Column, spans: Column) -> Column:
 
 
 def sanitised(docs: DataFrame, prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """docs with personal data replaced in their texts. Texts without any are neither shuffled nor changed."""
+    """docs with personal data replaced in their texts. Texts with neither values nor disclosing terms are not changed.
+
+    Texts are shuffled only if the spans of disclosing terms, a row per text that has any, are too large to be broadcast.
+    """
     found = stored(_found(docs).where(F.size("spans") > 0), "pii-found")
-    added = stored(_added(found, disclosures(docs, found, prior, generalise), remove), "pii-added")
-    rows = docs.select(packed(docs), F.col("text").alias("__text"), _once(base_spans(F.col("text"))).alias("spans"))
-    clean = rows.where(F.size("spans") == 0).select(f"{ROW}.*")
-    touched = rows.where(F.size("spans") > 0).select(ROW, "__text", "spans", F.col(f"{ROW}.doc_id").alias("doc_id"), F.xxhash64("__text").alias("text_hash"))
-    done = _with_added(touched, added).select(ROW, rewritten(F.col("__text"), F.col("all_spans")).alias("__new"))
-    new = {"text": F.col("__new"), "n_chars": F.length("__new").cast("long")}
+    added = _added(docs, disclosures(docs, found, prior, generalise), remove)
+    rows = docs.select(packed(docs), "doc_id", F.col("text").alias("__text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), _once(base_spans(F.col("text"))).alias("spans"))
+    spans = _with_added(rows, added).select(ROW, "__text", "all_spans", (F.size("all_spans") > 0).alias("touched"))
+    done = spans.select(ROW, "touched", _once(F.when(F.col("touched"), rewritten(F.col("__text"), F.col("all_spans"))).otherwise(F.col("__text"))).alias("__new"))
+    new = {"text": F.col("__new")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("touched"), F.length("__new").cast("long")).otherwise(F.col(f"{ROW}.n_chars"))
     changed = [new[c].alias(c) if c in new else F.col(f"{ROW}.`{c}`").alias(c) for c in docs.columns]
-    return clean.unionByName(done.select(*changed))
+    return done.select(*changed)

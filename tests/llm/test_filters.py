@@ -247,3 +247,21 @@ def test_pairs_with_two_surroundings_are_scored(spark):
     found = {r.doc_id: [s.value for s in r.all_spans if s not in r.spans] for r in pii.detected(awkward(spark, rows)).collect()}
     assert found[100] == found[101] == ["zorblaxo"]
     assert not any(more for doc, more in found.items() if doc not in (100, 101))
+
+
+def test_terms_are_counted_and_replaced_in_whole_texts(spark):
+    """Disclosing terms, short ones too, far from the address and in a text without it."""
+    rows = [(100 + i, f"Yqo {sentence(i, 60)} kim@corp.example {sentence(90 + i, 60)} Vexlunda 김민준", "en", "a") for i in range(9)]
+    rows += [(109, f"{sentence(99, 60)} VEXLUNDA yqo, {sentence(98, 20)}", "en", "a")]
+    rows += [(200 + i, sentence(300 + i, 60), "en", "a") for i in range(200)]
+    docs = awkward(spark, rows)
+    for r in pii.detected(docs).collect():
+        text = next((t for i, t, *_ in rows if i == r.doc_id), "")
+        more = {(s.kind, s.value, text[s.start : s.end]) for s in r.all_spans if s not in r.spans}
+        if r.doc_id == 109:
+            assert {("general", "vexlunda", "VEXLUNDA"), ("general", "yqo", "yqo")} <= {m for m in more}
+        elif r.doc_id is not None and 100 <= r.doc_id < 109:
+            assert {("general", "vexlunda", "Vexlunda"), ("general", "yqo", "Yqo"), ("remove", "김민준", "김민준")} <= more
+    clean = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
+    assert "VEXLUNDA" not in clean[109] and "yqo" not in clean[109] and "김민준" not in clean[100]
+    assert all(clean[i] == t for i, t, *_ in rows if i >= 200)

@@ -6,9 +6,11 @@ Grammars. The values found are labelled credentials. For each kind at most `SAMP
 smallest hashes, of at most LONGEST characters; a bounded sample whose size is a parameter) make a prefix tree with counts. Its states are merged,
 in the order of a red-blue search, wherever the frequencies of ending and of each next character are compatible by
 Hoeffding's bound, children included; what remains is a probabilistic automaton of the format. Every other candidate
-in the corpus (a run of credential characters of `LEAST` or more with letters and digits) is scored under all
-automata. It is a secret if its likelihood per character is at least that of nearly all labelled values of the kind and
-beats, by a margin, a character-pair model of ordinary text, whose counts cover all documents.
+in the corpus (a run of credential characters outside the spans, its parts between "=", and those between "=", "/" and
+".", each of `LEAST` or more, the length of the shortest labelled value) is scored under all automata; of a run that is
+a secret the parts are not asked. It is a secret if its likelihood per character is at least that of nearly all labelled
+values of the kind and beats a character-pair model of ordinary text, whose counts cover all documents outside the spans, by `MARGIN` bits
+a character and `ODDS` bits in all: ordinary words are many, and of short ones some fit a format by chance.
 
 Cases. A null text is an empty one. Without labelled values of a kind there is no grammar for it. Repeated rows get the
 same result. An empty table gives an empty result. Other columns are not read.
@@ -19,6 +21,7 @@ from __future__ import annotations
 import math
 import re
 from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,16 +33,20 @@ from talusgrid.llm.common import small_batches, stored
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{6,}")
+PARTS = (re.compile(r"[^=]+"), re.compile(r"[^=/.]+"))
 HINTS = ("passw", "secret", "token", "api")
 KINDS = ("assign", "access", "hex")
 
 SAMPLE = 2000
 #: Longer values are found and scored, but no grammar is fitted on them.
 LONGEST = 256
-LEAST = 16
+LEAST = 6
 CONFIDENCE = 0.05
 MARGIN = 1.0
+ODDS = 16.0
+#: Verdicts that a task holds before it starts anew.
+HELD = 50000
 #: Share of labelled values that may score below the limit of their grammar, and what new values may score less, in bits.
 TAIL = 0.02
 SLACK = 0.25
@@ -60,20 +67,34 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out)
 
 
-def candidates(text: str, spans: list) -> list[tuple[int, int, str]]:
-    """Runs of credential characters outside the spans, with letters and digits."""
-    out, k, upto = [], 0, 0
+def candidates(text: str, spans: list) -> Iterator[list[tuple[int, int]]]:
+    """(start, end) of every run of credential characters outside the spans, and of its parts, outer ones first."""
+    k, upto = 0, 0
     for m in CANDIDATE.finditer(text):
+        start, gaps = m.start(), []
         while k < len(spans) and spans[k][0] < m.end():
+            gaps.append((max(start, upto), spans[k][0]))
             upto, k = max(upto, spans[k][1]), k + 1
-        value = m.group()
-        if upto <= m.start() and re.search("[0-9]", value) and re.search("[A-Za-z]", value):
-            out.append((m.start(), m.end(), value))
+        gaps.append((max(start, upto), m.end()))
+        for begin, end in gaps:
+            if end - begin >= LEAST:
+                yield _with_parts(text, begin, end)
+
+
+def _with_parts(text: str, begin: int, end: int) -> list[tuple[int, int]]:
+    out = [(begin, end)]
+    for pattern in PARTS:
+        for m in pattern.finditer(text, begin, end):
+            left, right = m.span()
+            while right > left and text[right - 1] in "./":
+                right -= 1
+            if right - left >= LEAST and (left, right) not in out[-1:] and (left, right) != out[0]:
+                out.append((left, right))
     return out
 
 
 SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("value", pa.string())])
-FOUND = "doc_id long, spans array<struct<start:int,end:int,kind:string,value:string>>, open array<struct<start:int,end:int,kind:string,value:string>>, pairs binary"
+FOUND = "doc_id long, spans array<struct<start:int,end:int,kind:string,value:string>>, pairs binary"
 
 
 def pair_counts(texts: list[str]) -> np.ndarray:
@@ -83,25 +104,28 @@ def pair_counts(texts: list[str]) -> np.ndarray:
 
 
 def _scan(batches):
-    """Spans and candidates of every text, and at the end one row with the task's counts of character pairs."""
-    schema = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(SPAN)), ("open", pa.list_(SPAN)), ("pairs", pa.binary())])
+    """Spans of every text, and at the end one row with the task's counts of character pairs."""
+    schema = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(SPAN)), ("pairs", pa.binary())])
     pairs, held, size = np.zeros(CODES * CODES, dtype=np.int64), [], 0
     for batch in batches:
-        spans, more = [], []
+        spans = []
         for text in batch.column("text"):
             value = text.as_py() or ""
             found = base_spans(value)
             spans.append([{"start": s, "end": e, "kind": KINDS[k], "value": v} for s, e, k, v in found])
-            more.append([{"start": s, "end": e, "kind": "open", "value": v} for s, e, v in candidates(value, found)])
-            held.append(value)
+            upto = 0
+            for start, end, *_ in found:
+                held.append(value[upto : max(start, upto)])
+                upto = max(upto, end)
+            held.append(value[upto:])
             size += len(value)
             if size > PIECE:
                 pairs += pair_counts(held)
                 held, size = [], 0
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, schema.field("spans").type), pa.array(more, schema.field("open").type), pa.nulls(batch.num_rows, pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, schema.field("spans").type), pa.nulls(batch.num_rows, pa.binary())], schema=schema)
     pairs += pair_counts(held)
     if pairs.any():
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, schema.field("spans").type), pa.nulls(1, schema.field("open").type), pa.array([pairs.tobytes()], pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, schema.field("spans").type), pa.array([pairs.tobytes()], pa.binary())], schema=schema)
 
 
 class Automaton:
@@ -216,7 +240,7 @@ class Grammars:
         best = None
         for kind, (model, limit) in self.models.items():
             score = model.score(value)
-            if score >= limit and score - plain >= MARGIN and (best is None or score > best[0]):
+            if score >= limit and score - plain >= max(MARGIN, ODDS / len(value)) and (best is None or score > best[0]):
                 best = (score, kind)
         return best and best[1]
 
@@ -245,17 +269,47 @@ def grammars(found: DataFrame, sample: int = SAMPLE) -> Grammars:
 def detected(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, spans, all_spans), one row per input row; added spans have kind "like_<kind>"."""
     small_batches(docs.sparkSession)
-    scanned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, FOUND)
-    found = stored(scanned, "secret-spans")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = stored(texts.mapInArrow(_scan, FOUND), "secret-spans")
     model = docs.sparkSession.sparkContext.broadcast(grammars(found, sample))
 
     def judged(batches):
+        held: dict[str, str | None] = {}
+
+        def verdict(value: str) -> str | None:
+            if value not in held:
+                if len(held) >= HELD:
+                    held.clear()
+                if len(value) > LONGEST:
+                    return model.value.verdict(value)
+                held[value] = model.value.verdict(value)
+            return held[value]
+
         for batch in batches:
-            more = []
-            for spans, values in zip(batch.column("spans").to_pylist(), batch.column("open").to_pylist(), strict=True):
-                new = [v | {"kind": f"like_{kind}"} for v in values if (kind := model.value.verdict(v["value"]))]
-                more.append(spans + new)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("spans"), pa.array(more, batch.schema.field("spans").type)], names=["doc_id", "spans", "all_spans"])
+            base, more = [], []
+            for text in batch.column("text"):
+                value = text.as_py() or ""
+                found = base_spans(value)
+                new = []
+                for run in candidates(value, found):
+                    for start, end in run:
+                        if kind := verdict(value[start:end]):
+                            new.append({"start": start, "end": end, "kind": f"like_{kind}", "value": value[start:end]})
+                            if (start, end) == run[0]:
+                                break
+                base.append([{"start": s, "end": e, "kind": KINDS[k], "value": v} for s, e, k, v in found])
+                more.append(base[-1] + outer(new))
+            kind = pa.list_(SPAN)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, kind), pa.array(more, kind)], names=["doc_id", "spans", "all_spans"])
 
     kind = "array<struct<start:int,end:int,kind:string,value:string>>"
-    return found.where("spans is not null").select("doc_id", "spans", "open").mapInArrow(judged, f"doc_id long, spans {kind}, all_spans {kind}")
+    return texts.mapInArrow(judged, f"doc_id long, spans {kind}, all_spans {kind}")
+
+
+def outer(spans: list[dict]) -> list[dict]:
+    """Spans by start, without those inside another one."""
+    out: list[dict] = []
+    for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
+        if not out or s["start"] >= out[-1]["end"]:
+            out.append(s)
+    return out

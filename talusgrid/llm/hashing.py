@@ -67,13 +67,13 @@ def pieces(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
             row = end
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row) of every word; rows are counted from the start of the piece."""
+def words(data: np.ndarray, at: np.ndarray, blanks: np.ndarray = BLANKS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of every run of other bytes than blanks; rows are counted from the start of the piece."""
     if len(data) == 0:
         none = np.zeros(0, dtype=np.int64)
         return none, none, none
     full = at[:-1] < at[1:]
-    blank = BLANKS[data]
+    blank = blanks[data]
     before = np.empty(len(data), dtype=bool)
     before[0], before[1:] = True, blank[:-1]
     before[at[:-1][full]] = True

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talusgrid.llm import languages, mixing, ngram_join, pieces, pii, quality, secrets, sql, substrings, vectors, warc
+from talusgrid.llm import languages, mixing, ngram_join, pieces, pii, quality, ranking, secrets, sql, substrings, tokens, variants, vectors, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,6 +75,36 @@ def op10_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.encoded(_table(spark, sf, "documents"), digest_only=True)
 
 
+#: One run in so many loses a code point before its spelling is looked at.
+SLIP = 199
+
+
+def _slipped(runs: DataFrame) -> DataFrame:
+    """Words of which some, by a checksum of document and word, lack one code point; a null doc_id leaves them as they are."""
+    check = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("word")).cast("binary"))
+    at = (check % F.length("word")).cast("int")
+    short = F.concat(F.left("word", at), F.right("word", F.length("word") - at - 1))
+    return runs.select(F.when(check % SLIP == 0, short).otherwise(F.col("word")).alias("word"))
+
+
+def op11_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return variants.spelling_forms(variants.word_counts(_slipped(variants.runs(_table(spark, sf, "documents")))))
+
+
+def op12_search(spark: SparkSession, sf: str) -> DataFrame:
+    return ranking.ranked(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op13_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.token_counts(_table(spark, sf, "documents"), tokenizer_path())
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_pii": op1_pii,
@@ -87,8 +117,11 @@ def llm_queries() -> dict[str, Query]:
         "op8_vectors": op8_vectors,
         "op9_ngram_join": op9_ngram_join,
         "op10_pieces": op10_pieces,
+        "op11_variants": op11_variants,
+        "op12_search": op12_search,
+        "op13_token_counts": op13_token_counts,
     }
 
 
 def llm_sql() -> dict[str, str]:
-    return {"op2_warc": sql.WARC, "op3_substrings": sql.SUBSTRINGS, "op4_mixing": sql.MIXING, "op7_quality": sql.QUALITY}
+    return {"op2_warc": sql.WARC, "op3_substrings": sql.SUBSTRINGS, "op4_mixing": sql.MIXING, "op7_quality": sql.QUALITY, "op11_variants": sql.VARIANTS, "op12_search": sql.SEARCH}

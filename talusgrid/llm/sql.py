@@ -123,3 +123,57 @@ SELECT doc_id, n_words, word_chars0 AS word_chars, n_symbols, n_dup_lines, n_rep
        NOT base_failed AND coalesce(word_length >= low_wl AND """ + " AND ".join(f"{r} <= high_{r}" for r in _RATES) + r""", false) AS kept
 FROM rated LEFT JOIN wide ON rated.lang IS NOT DISTINCT FROM wide.lang AND rated.source IS NOT DISTINCT FROM wide.source
 """
+
+# CRC-32 byte by byte with the usual table; a pair of words is near if deleting one code point makes them equal, at the same place if equally long.
+VARIANTS = r"""
+WITH slots AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS t),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+counts AS (SELECT doc_id, run, count(*) AS c FROM runs GROUP BY doc_id, run),
+bytes AS (
+  SELECT *, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR) || ':' || run, ''), lambda x:
+    CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [CAST(192 + (unicode(x) >> 6) AS BIGINT), CAST(128 + (unicode(x) & 63) AS BIGINT)] END)) AS b
+  FROM counts),
+hashed AS (
+  SELECT run, c, length(run) AS size, xor(list_reduce(b, lambda h, x: xor(h >> 8, t[1 + (xor(h, x) & 255)]), 4294967295), 4294967295) AS h
+  FROM bytes, slots),
+slipped AS (
+  SELECT CASE WHEN h % 199 = 0 THEN left(run, CAST(h % size AS INT)) || substr(run, CAST(h % size AS INT) + 2) ELSE run END AS word, c FROM hashed),
+words AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM slipped WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+less AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT a.word, b.word, b.n FROM words a JOIN less b ON a.word = b.rest),
+best AS (
+  SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+formed AS (
+  SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * n THEN other END AS form, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+chain AS (
+  WITH RECURSIVE c AS (
+    SELECT word, word AS at FROM formed UNION ALL SELECT c.word, f.form FROM c JOIN formed f ON f.word = c.at WHERE f.form IS NOT NULL)
+  SELECT c.word, c.at AS root FROM c JOIN formed f ON f.word = c.at WHERE f.form IS NULL)
+SELECT formed.word, form, root, n, n_near, form_n FROM formed JOIN chain USING (word)
+"""
+
+SEARCH = r"""
+WITH terms AS (
+  SELECT doc_id, row_number() OVER () AS i, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents),
+tf AS (SELECT i, t, count(*) AS tf FROM (SELECT i, unnest(ts) AS t FROM terms) GROUP BY i, t),
+totals AS (SELECT count(*) AS docs, CAST(sum(len(ts)) AS BIGINT) AS every FROM terms WHERE len(ts) > 0),
+wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM benchmark),
+weights AS (
+  SELECT t, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), totals),
+sizes AS (SELECT i, doc_id, 50 + (50 * CAST(len(ts) AS BIGINT) * docs) // every AS m FROM terms, totals WHERE len(ts) > 0),
+scores AS (
+  SELECT item_id, doc_id, i, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM wanted JOIN weights USING (t) JOIN tf USING (t) JOIN sizes USING (i) GROUP BY item_id, doc_id, i),
+ranks AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank FROM scores WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM ranks WHERE rank <= 50
+"""

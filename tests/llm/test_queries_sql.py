@@ -15,7 +15,7 @@ def test_query_matches_sql(spark, name):
 
 
 def test_each_operator_has_one_query():
-    assert sorted(int(name[2:].split("_")[0]) for name in llm_queries()) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in llm_queries()) == list(range(1, 14))
 
 
 def test_results_do_not_depend_on_partitions(spark):

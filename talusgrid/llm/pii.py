@@ -17,12 +17,19 @@ Every pair is scored, with p(e | t) estimated for a document from the other ones
 
     p(e | t) = (pair - 1 + PRIOR * p(e)) / (documents with t - 1 + PRIOR)
 
-Documents with the same surroundings of e (`REACH` characters on both sides: copies) count as one in it, above and
-below. A pair seen in one document has no other that tells of it, so its estimate is at most p(e) and its disclosure at
+Evidence is counted in independent documents. Copies and near copies say the same thing, and so do documents that share
+a passage; such documents count as one. A document is told apart by the surroundings of e (`REACH` characters on both
+sides) and by `SIGNS` min-hashes of its windows of three words, each of which near copies share nearly always. The pieces
+of evidence of a set of documents are the least of the counts of different surroundings and of different min-hashes. A
+pair with one piece has no other that tells of it, so its estimate is at most p(e) and its disclosure at
 most 0, whatever the size of the corpus. Such pairs, and those whose term is too frequent to reach `GENERALISE` with the
 entity even if all its documents had the term, need no join to be known as too low: terms are cut by that bound first,
 per document. Document counts cover the whole corpus and are pre-aggregated by task.
 
+Texts are moved only where they hold a disclosing term. Each text is asked for such terms in the task that reads it:
+`FILTER_WORDS` words of bits, one broadcast row, say which terms may be disclosing. Texts without one are done; of the others terms
+meet the table of disclosing terms in a join, and their text goes along.
+
 Cases. A null text is an empty one. Rows are recognised by doc_id and a hash of the text, null ids included, so
 repeated rows get the same result. An empty table gives an empty result. Other columns are kept by `sanitised`, with
 computed columns in structs of their own; n_chars is renewed where the table has it.
@@ -46,6 +53,10 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "general": "[TERM]", "remove": ""}
 
 REACH = 64
+SIGNS = 4
+SHINGLE = 3
+#: Size of the bit table of disclosing terms, in 64-bit words.
+FILTER_WORDS = 1 << 16
 #: Weight of p(e) in p(e | t), in documents.
 PRIOR = 0.5
 GENERALISE = 0.8
@@ -160,33 +171,63 @@ def _read(docs: DataFrame) -> DataFrame:
     return spans.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", "spans", _once(_free(F.col("text"), F.col("spans"))).alias("free"))
 
 
+def _seeded(seed: int):
+    return lambda h: F.xxhash64(h, F.lit(seed))
+
+
+def _of_kind(kind: str):
+    return lambda s: s["kind"] == kind
+
+
+def _signs(free: Column) -> Column:
+    """Min-hashes of a text's windows of SHINGLE words (of all its words, if there are fewer)."""
+
+    def hashed(words: Column) -> Column:
+        windows = F.transform(F.sequence(F.lit(0), F.size(words) - SHINGLE), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(SHINGLE)]))
+        return F.when(F.size(words) >= SHINGLE, windows).otherwise(F.array(F.xxhash64(F.array_join(words, " "))))
+
+    def least(windows: Column) -> Column:
+        return F.array(*[F.array_min(F.transform(windows, _seeded(k))) for k in range(SIGNS)])
+
+    words = F.transform(F.regexp_extract_all(free, F.lit(TERM), F.lit(0)), F.lower)
+    return let(words, lambda words: let(hashed(words), least))
+
+
 def _found(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, spans, near, terms) of every row; rows without values have neither entities nor terms."""
+    """(doc_id, text_hash, spans, near, terms, signs) of every row; rows without values have only spans."""
     some = F.size("spans") > 0
-    near, terms = _entities(F.col("text"), F.col("spans")), _terms(F.col("free"))
-    return _read(docs).select("doc_id", "text_hash", "spans", F.when(some, near).alias("near"), F.when(some, terms).alias("terms"))
+    near, terms, signs = _entities(F.col("text"), F.col("spans")), _terms(F.col("free")), _signs(F.col("free"))
+    return _read(docs).select("doc_id", "text_hash", "spans", *[F.when(some, x).alias(n) for n, x in (("near", near), ("terms", terms), ("signs", signs))])
+
+
+MARKS = ("context", *[f"sign{k}" for k in range(SIGNS)])
+
+
+def _evidence() -> Column:
+    """Independent documents among the rows of a group."""
+    return F.least(*[F.count_distinct(F.col(m)) for m in MARKS])
 
 
 def disclosures(docs: DataFrame, found: DataFrame, prior: float = PRIOR, generalise: float = GENERALISE) -> DataFrame:
     """(entity, term, disclosure) of pairs at or above `generalise`, which is above 0."""
-    rows = found.where("near is not null").select(F.struct("doc_id", "text_hash").alias("row"), "near", "terms")
+    rows = found.where("near is not null").select(F.struct("doc_id", "text_hash").alias("row"), "near", "terms", "signs")
     copies = rows.groupBy("row").agg(F.count(F.lit(1)).alias("times"))
-    said = rows.select("row", F.explode("near").alias("x")).groupBy("row", "x.entity").agg(F.min("x.context").alias("context")).join(copies, "row")
-    contexts = said.groupBy("entity", "context").agg(F.sum("times").alias("times"))
-    entities = contexts.groupBy("entity").agg(F.sum("times").alias("n_entity"), F.count(F.lit(1)).alias("contexts"))
+    signs = [F.min(F.col("signs")[k]).alias(f"sign{k}") for k in range(SIGNS)]
+    said = rows.select("row", "signs", F.explode("near").alias("x")).groupBy("row", "x.entity").agg(F.min("x.context").alias("context"), *signs).join(copies, "row")
+    said = stored(said, "pii-said")
+    entities = said.groupBy("entity").agg(F.sum("times").alias("n_entity"), _evidence().alias("evidence"))
     total = docs.agg(F.count(F.lit(1)).alias("n"))
     # The highest count of a term that can still reach `generalise` with the entity; the 1 is for rounding.
-    most = F.pow(F.col("n") / F.col("n_entity"), F.lit(1.0 - generalise)) * (F.col("contexts") - 1 + prior * F.col("n_entity") / F.col("n"))
-    bound = F.col("n_entity") - F.col("contexts") + 2 - prior + most
-    able = entities.where("contexts > 1").join(F.broadcast(total), F.lit(True)).select("entity", "n_entity", "n", bound.alias("bound"))  # one row
+    most = F.pow(F.col("n") / F.col("n_entity"), F.lit(1.0 - generalise)) * (F.col("evidence") - 1 + prior * F.col("n_entity") / F.col("n"))
+    bound = F.col("n_entity") - F.col("evidence") + 2 - prior + most
+    able = entities.where("evidence > 1").join(F.broadcast(total), F.lit(True)).select("entity", "n_entity", "n", bound.alias("bound"))  # one row
     lively = stored(said.join(able, "entity"), "pii-entities")
     counted = _read(docs).select(F.explode(_terms(F.col("free"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).where("n_term > 1")
     reach = lively.groupBy("row").agg(F.max("bound").alias("row_bound"))
     words = rows.select("row", "terms").join(reach, "row").select("row", "row_bound", F.explode("terms").alias("term")).distinct()
     rare = words.join(counted, "term").where(F.col("n_term") <= F.col("row_bound")).select("row", "term", "n_term")
     both = lively.join(rare, "row").where(F.col("n_term") <= F.col("bound"))
-    same = both.groupBy("entity", "term", "context", "n_entity", "n_term", "n").agg(F.sum("times").alias("times"))
-    pairs = same.groupBy("entity", "term", "n_entity", "n_term", "n").agg(F.count(F.lit(1)).alias("n_both"), F.sum("times").alias("docs_both"))
+    pairs = both.groupBy("entity", "term", "n_entity", "n_term", "n").agg(_evidence().alias("n_both"), F.sum("times").alias("docs_both"))
     return _scored(pairs, prior).where(F.col("disclosure") >= generalise)
 
 
@@ -198,36 +239,58 @@ def _scored(pairs: DataFrame, prior: float) -> DataFrame:
     return pairs.select("entity", "term", F.when(information > 0, 1 + F.log2(share) / information).alias("disclosure"))
 
 
-def _added(docs: DataFrame, disclosed: DataFrame, remove: float) -> DataFrame:
-    """(doc_id, text_hash, added) of rows that get further spans: those that have a disclosed term anywhere in their text."""
-    highest = stored(disclosed.groupBy("term").agg(F.max("disclosure").alias("d")), "pii-terms")
-    words = _read(docs).select("doc_id", "text_hash", F.explode(_terms(F.col("free"))).alias("term"))
-    hits = words.join(highest, "term").groupBy("doc_id", "text_hash", "term").agg(F.max("d").alias("d"))
-    scores = hits.groupBy("doc_id", "text_hash").agg(F.map_from_entries(F.collect_list(F.struct("term", "d"))).alias("scores"))
-    scores = stored(scores, "pii-hits")
-    rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    touched = rows.alias("f").join(scores.alias("a"), _same_row()).select("f.doc_id", F.coalesce("f.text", F.lit("")).alias("text"), "scores")
-    spans = touched.select("doc_id", "text", "scores", _once(base_spans(F.col("text"))).alias("spans"))
-    free = spans.select("doc_id", F.xxhash64("text").alias("text_hash"), "scores", _once(_free(F.col("text"), F.col("spans"))).alias("free"))
-    placed = free.select("doc_id", "text_hash", _places(F.col("free"), F.col("scores"), remove).alias("added"))
-    return stored(placed.groupBy("doc_id", "text_hash").agg(F.first("added").alias("added")), "pii-added")
+def _bit(term: Column) -> tuple[Column, Column]:
+    """Word and bit of a term in the bit table."""
+    hashed = F.xxhash64(term)
+    return F.pmod(hashed, F.lit(FILTER_WORDS)).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(hashed, 40), F.lit(64)).cast("int"))
 
 
-def _same_row() -> Column:
-    return F.col("f.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("f.text_hash") == F.col("a.text_hash"))
+def _bits(disclosed: DataFrame) -> DataFrame:
+    """One row: the bit table of disclosed(term), FILTER_WORDS long numbers."""
+    word, bit = _bit(F.col("term"))
+    marked = disclosed.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    every = disclosed.sparkSession.range(FILTER_WORDS).select(F.col("id").cast("int").alias("word"))
+    full = every.join(marked, "word", "left").select("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    return full.agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("w")).select(F.col("w.bits").alias("__bits"))
 
 
-def _with_added(found: DataFrame, added: DataFrame) -> DataFrame:
-    return found.alias("f").join(added.alias("a"), _same_row(), "left").select(
-        "f.*", F.concat("spans", F.coalesce("added", F.array().cast(FOUND))).alias("all_spans")
+def _placed_terms(rows: DataFrame, highest: DataFrame, remove: float) -> DataFrame:
+    """rows(*, __text, spans) -> the same rows with `added`, the spans of the terms in highest(term, d).
+
+    The rows that may hold one are gathered once per row after their terms have met the table; all others pass.
+    """
+    read = rows.withColumn("free", _once(_free(F.col("__text"), F.col("spans"))))
+    may = F.exists(_terms(F.col("free")), lambda t: F.get(F.col("__bits"), _bit(t)[0]).bitwiseAND(_bit(t)[1]) != 0)
+    asked = read.join(F.broadcast(_bits(highest)), F.lit(True)).withColumn("__may", _once(may)).drop("__bits")  # one row
+    none = F.array().cast(FOUND)
+    rest = asked.where("not __may").select(*rows.columns, none.alias("added"))
+    some = stored(asked.where("__may").drop("__may").withColumn("__id", F.monotonically_increasing_id()), "pii-asked")
+    hits = some.select("__id", F.explode(_terms(F.col("free"))).alias("term")).join(highest, "term")
+    scores = hits.groupBy("__id").agg(F.map_from_entries(F.collect_list(F.struct("term", "d"))).alias("scores"))
+    placed = some.join(scores, "__id", "left").select(
+        *rows.columns, F.when(F.col("scores").isNotNull(), _places(F.col("free"), F.col("scores"), remove)).otherwise(none).alias("added")
     )
+    return rest.unionByName(placed)
+
+
+def _with_terms(rows: DataFrame, disclosed: DataFrame, remove: float) -> DataFrame:
+    """rows(*, __text, spans) with all_spans: by kind as listed, then by start."""
+    highest = stored(disclosed.groupBy("term").agg(F.max("disclosure").alias("d")), "pii-terms")
+    if highest.isEmpty():
+        return rows.withColumn("all_spans", F.col("spans"))
+    parts = [F.filter("added", _of_kind(k)) for k in LABELS if k not in KINDS]
+    return _placed_terms(rows, highest, remove).withColumn("all_spans", F.concat("spans", *parts)).drop("added")
+
+
+def _texts_with_spans(docs: DataFrame, *kept) -> DataFrame:
+    return docs.select(*kept, F.coalesce("text", F.lit("")).alias("__text")).withColumn("spans", _once(base_spans(F.col("__text"))))
 
 
 def detected(docs: DataFrame, prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, spans, all_spans), one row per input row."""
-    found = stored(_found(docs), "pii-found")
-    added = _added(docs, disclosures(docs, found, prior, generalise), remove)
-    return _with_added(found.drop("near", "terms"), added).select("doc_id", "spans", "all_spans")
+    """docs(doc_id, text) -> (doc_id, spans, all_spans), one row per input row; spans by kind as listed, then by start."""
+    found = stored(_found(docs).where(F.size("spans") > 0), "pii-found")
+    disclosed = disclosures(docs, found, prior, generalise)
+    return _with_terms(_texts_with_spans(docs, "doc_id"), disclosed, remove).select("doc_id", "spans", "all_spans")
 
 
 def rewritten(text: Column, spans: Column) -> Column:
@@ -248,13 +311,12 @@ def rewritten(text: Column, spans: Column) -> Column:
 def sanitised(docs: DataFrame, prior: float = PRIOR, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """docs with personal data replaced in their texts. Texts with neither values nor disclosing terms are not changed.
 
-    Texts are shuffled only if the spans of disclosing terms, a row per text that has any, are too large to be broadcast.
+    Only texts that may hold a disclosing term are shuffled.
     """
     found = stored(_found(docs).where(F.size("spans") > 0), "pii-found")
-    added = _added(docs, disclosures(docs, found, prior, generalise), remove)
-    rows = docs.select(packed(docs), "doc_id", F.col("text").alias("__text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), _once(base_spans(F.col("text"))).alias("spans"))
-    spans = _with_added(rows, added).select(ROW, "__text", "all_spans", (F.size("all_spans") > 0).alias("touched"))
-    done = spans.select(ROW, "touched", _once(F.when(F.col("touched"), rewritten(F.col("__text"), F.col("all_spans"))).otherwise(F.col("__text"))).alias("__new"))
+    rows = _with_terms(_texts_with_spans(docs, packed(docs)), disclosures(docs, found, prior, generalise), remove)
+    done = rows.select(ROW, (F.size("all_spans") > 0).alias("touched"), "__text", "all_spans")
+    done = done.select(ROW, "touched", _once(F.when(F.col("touched"), rewritten(F.col("__text"), F.col("all_spans"))).otherwise(F.col(f"{ROW}.text"))).alias("__new"))
     new = {"text": F.col("__new")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("touched"), F.length("__new").cast("long")).otherwise(F.col(f"{ROW}.n_chars"))

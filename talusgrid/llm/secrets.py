@@ -28,13 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talusgrid.llm import hashing
 from talusgrid.llm.common import small_batches, stored
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{6,}")
-PARTS = (re.compile(r"[^=]+"), re.compile(r"[^=/.]+"))
 HINTS = ("passw", "secret", "token", "api")
 KINDS = ("assign", "access", "hex")
 
@@ -45,14 +44,24 @@ LEAST = 6
 CONFIDENCE = 0.05
 MARGIN = 1.0
 ODDS = 16.0
-#: Verdicts that a task holds before it starts anew.
-HELD = 50000
 #: Share of labelled values that may score below the limit of their grammar, and what new values may score less, in bits.
 TAIL = 0.02
 SLACK = 0.25
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-"
 CODES = 256
 PIECE = 1 << 20
+#: Likelihoods are summed as whole numbers of this scale, so that sums are exact and do not depend on how texts are batched.
+SCALE = 1 << 20
+#: Characters after which values that can no longer reach their limit are dropped.
+CHECK_EVERY = 8
+
+BREAKS = np.ones(256, dtype=bool)
+BREAKS[[ord(c) for c in SYMBOLS]] = False
+BREAKS_AT_EQUALS, BREAKS_AT_SIGNS = BREAKS.copy(), BREAKS.copy()
+BREAKS_AT_EQUALS[ord("=")] = True
+BREAKS_AT_SIGNS[[ord(c) for c in "=/."]] = True
+SYMBOL = np.zeros(256, dtype=np.int64)
+SYMBOL[[ord(c) for c in SYMBOLS]] = np.arange(len(SYMBOLS))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -64,37 +73,39 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     if "AKIA" in text:
         out += [(m.start(), m.end(), 1, m.group()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [(m.start(), m.end(), 2, m.group()) for m in HEX.finditer(text)]
-    return sorted(out)
-
-
-def candidates(text: str, spans: list) -> Iterator[list[tuple[int, int]]]:
-    """(start, end) of every run of credential characters outside the spans, and of its parts, outer ones first."""
-    k, upto = 0, 0
-    for m in CANDIDATE.finditer(text):
-        start, gaps = m.start(), []
-        while k < len(spans) and spans[k][0] < m.end():
-            gaps.append((max(start, upto), spans[k][0]))
-            upto, k = max(upto, spans[k][1]), k + 1
-        gaps.append((max(start, upto), m.end()))
-        for begin, end in gaps:
-            if end - begin >= LEAST:
-                yield _with_parts(text, begin, end)
-
-
-def _with_parts(text: str, begin: int, end: int) -> list[tuple[int, int]]:
-    out = [(begin, end)]
-    for pattern in PARTS:
-        for m in pattern.finditer(text, begin, end):
-            left, right = m.span()
-            while right > left and text[right - 1] in "./":
-                right -= 1
-            if right - left >= LEAST and (left, right) not in out[-1:] and (left, right) != out[0]:
-                out.append((left, right))
-    return out
+    return sorted(out, key=lambda s: (s[0], s[2], s[1]))
+
+
+def blanked(data: np.ndarray, at: np.ndarray, texts: list[str], spans: list[list]) -> np.ndarray:
+    """The bytes of consecutive texts with their spans, given in code points, overwritten by zeros."""
+    if not any(spans):
+        return data
+    data = data.copy()
+    for row, (text, found) in enumerate(zip(texts, spans, strict=True)):
+        wide = len(text) != at[row + 1] - at[row]
+        for start, end, *_ in found:
+            lo, hi = (len(text[:start].encode()), len(text[:end].encode())) if wide else (start, end)
+            data[at[row] + lo : at[row] + hi] = 0
+    return data
+
+
+def candidates(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) in bytes of every run of credential characters, and of its parts between "=", and between "=", "/" and "."
+
+    Parts between "=" lose the "." and "/" at their end. Only those of LEAST characters or more are told; a part that is its
+    whole run is told again.
+    """
+    signs = (data == ord(".")) | (data == ord("/"))
+    solid = np.maximum.accumulate(np.where(signs, -1, np.arange(len(data)))) if len(data) else np.zeros(0, dtype=np.int64)
+    runs, parts, pieces = (hashing.words(data, at, breaks) for breaks in (BREAKS, BREAKS_AT_EQUALS, BREAKS_AT_SIGNS))
+    parts = (parts[0], solid[parts[1] - 1] + 1, parts[2])
+    start, end, row = (np.concatenate(x) for x in zip(runs, parts, pieces, strict=True))
+    long = end - start >= LEAST
+    return start[long], end[long], row[long]
 
 
 SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("value", pa.string())])
-FOUND = "doc_id long, spans array<struct<start:int,end:int,kind:string,value:string>>, pairs binary"
+FOUND = "doc_id long, spans array<struct<start:int,end:int,kind:string,value:string>>, pair int, times long"
 
 
 def pair_counts(texts: list[str]) -> np.ndarray:
@@ -104,8 +115,9 @@ def pair_counts(texts: list[str]) -> np.ndarray:
 
 
 def _scan(batches):
-    """Spans of every text, and at the end one row with the task's counts of character pairs."""
-    schema = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(SPAN)), ("pairs", pa.binary())])
+    """Spans of every text, and at the end a row per pair of characters that the task has seen, with its count."""
+    kind = pa.list_(SPAN)
+    schema = pa.schema([("doc_id", pa.int64()), ("spans", kind), ("pair", pa.int32()), ("times", pa.int64())])
     pairs, held, size = np.zeros(CODES * CODES, dtype=np.int64), [], 0
     for batch in batches:
         spans = []
@@ -122,10 +134,12 @@ def _scan(batches):
             if size > PIECE:
                 pairs += pair_counts(held)
                 held, size = [], 0
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, schema.field("spans").type), pa.nulls(batch.num_rows, pa.binary())], schema=schema)
+        none = pa.nulls(batch.num_rows)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, kind), none.cast(pa.int32()), none.cast(pa.int64())], schema=schema)
     pairs += pair_counts(held)
-    if pairs.any():
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, schema.field("spans").type), pa.array([pairs.tobytes()], pa.binary())], schema=schema)
+    seen = np.flatnonzero(pairs)
+    none = pa.nulls(len(seen))
+    yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(kind), pa.array(seen, pa.int32()), pa.array(pairs[seen])], schema=schema)
 
 
 class Automaton:
@@ -219,86 +233,126 @@ class Automaton:
             state = move[0] if move else 0
         return total / max(len(value), 1)
 
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """Next state and scaled log-likelihood by state and symbol, states numbered anew; unseen steps lead to the start."""
+        number = {s: k for k, s in enumerate(self.states)}
+        after = np.zeros((len(self.states), len(SYMBOLS)), dtype=np.int64)
+        times = np.full(after.shape, 0.5)
+        for s, k in number.items():
+            for c, (state, seen) in self.moves[s].items():
+                after[k, SYMBOL[ord(c)]] = number[state]
+                times[k, SYMBOL[ord(c)]] += seen
+        total = np.array([self.count[s] for s in self.states])[:, None] + 0.5 * len(SYMBOLS)
+        return after.reshape(-1), np.rint(np.log2(times / total) * SCALE).astype(np.int64).reshape(-1)
+
+
+def walked(table: tuple[np.ndarray, np.ndarray], data: np.ndarray, start: np.ndarray, end: np.ndarray, limit: float = -math.inf) -> np.ndarray:
+    """Scaled log-likelihoods of the values data[start:end], all of them stepping together; far too low where the mean cannot reach limit."""
+    after, cost = table
+    order = np.argsort(start - end, kind="stable")
+    at, size = start[order], (end - start)[order]
+    least = np.where(np.isneginf(limit), np.iinfo(np.int64).min // 2, limit * size * SCALE - 1)
+    state, total = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
+    out = np.full(len(at), np.iinfo(np.int64).min // 2)
+    step = 0
+    while len(at):
+        going = int(np.searchsorted(-size, -step))  # those with more than `step` characters come first
+        out[order[going:]] = total[going:]
+        if step % CHECK_EVERY == 0:
+            keep = np.flatnonzero(total[:going] >= least[:going])
+            order, at, size, least, state, total = (x[keep] for x in (order, at, size, least, state, total))
+        else:
+            order, at, size, least, state, total = (x[:going] for x in (order, at, size, least, state, total))
+        cell = state * len(SYMBOLS) + SYMBOL[data[at + step]]
+        total += cost[cell]
+        state = after[cell]
+        step += 1
+    return out
+
 
 class Grammars:
-    """One automaton and limit per kind, and the model of ordinary text."""
+    """One automaton and limit per kind, as tables, and the model of ordinary text. Made of arrays only."""
 
     def __init__(self, samples: dict[str, list[str]], pairs: np.ndarray):
-        self.models = {}
+        self.kinds, self.tables, self.limits = [], [], []
         for kind, values in samples.items():
             if values:
-                model = Automaton(values)
-                scores = sorted(model.score(v) for v in values)
-                self.models[kind] = (model, scores[int(TAIL * (len(scores) - 1))] - SLACK)
+                table = Automaton(values).table()
+                data = np.frombuffer("".join(values).encode(), dtype=np.uint8)
+                size = np.array([len(v) for v in values])
+                scores = np.sort(walked(table, data, np.cumsum(size) - size, np.cumsum(size)) / (SCALE * size))
+                self.kinds.append(kind)
+                self.tables.append(table)
+                self.limits.append(float(scores[int(TAIL * (len(scores) - 1))]) - SLACK)
         table = pairs.reshape(CODES, CODES) + 0.1
-        self.plain = np.log2(table / table.sum(axis=1, keepdims=True))
-
-    def verdict(self, value: str) -> str | None:
-        """The kind whose format the value has, or none."""
-        raw = np.frombuffer(value.encode(), dtype=np.uint8)
-        plain = float(self.plain[raw[:-1], raw[1:]].mean()) if len(raw) > 1 else 0.0
-        best = None
-        for kind, (model, limit) in self.models.items():
-            score = model.score(value)
-            if score >= limit and score - plain >= max(MARGIN, ODDS / len(value)) and (best is None or score > best[0]):
-                best = (score, kind)
-        return best and best[1]
+        self.plain = np.rint(np.log2(table / table.sum(axis=1, keepdims=True)) * SCALE).astype(np.int64).reshape(-1)
+
+    def verdicts(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Per value the number of the kind whose format it has, or -1; the first of those that it fits best."""
+        size = end - start
+        running = np.zeros(max(len(data), 1), dtype=np.int64)
+        np.cumsum(self.plain[data[:-1].astype(np.int64) * CODES + data[1:]], out=running[1:])
+        plain = (running[end - 1] - running[start]) / (SCALE * np.maximum(size - 1, 1))
+        best, which = np.full(len(size), -np.inf), np.full(len(size), -1)
+        for k, (table, limit) in enumerate(zip(self.tables, self.limits, strict=True)):
+            score = walked(table, data, start, end, limit) / (SCALE * size)
+            fits = (score >= limit) & (score - plain >= np.maximum(MARGIN, ODDS / size)) & (score > best)
+            best[fits], which[fits] = score[fits], k
+        return which
 
 
 def grammars(found: DataFrame, sample: int = SAMPLE) -> Grammars:
-    """Fits the automata on the driver from `sample` values per kind at most; pair counts arrive added up."""
+    """Fits the automata on the driver from `sample` values per kind at most; of pair counts one row per pair arrives."""
     spans = found.where("spans is not null").select(F.explode("spans").alias("s"))
     values = spans.where(F.length("s.value") <= LONGEST).select("s.kind", "s.value").distinct()
     samples = {
         kind: [r.value for r in values.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample).collect()] for kind in KINDS
     }
-
-    def added(frame):
-        import pandas as pd
-
-        total = sum(np.frombuffer(p, dtype=np.int64) for p in frame["pairs"])
-        return pd.DataFrame({"pairs": [total.tobytes()]})
-
-    parts = found.where("pairs is not null").select("pairs", F.pmod(F.xxhash64("pairs"), F.lit(16)).alias("part")).groupBy("part").applyInPandas(added, "pairs binary")
     total = np.zeros(CODES * CODES, dtype=np.int64)
-    for row in parts.collect():  # 16 rows at most
-        total += np.frombuffer(bytes(row.pairs), dtype=np.int64)
+    counts = found.where("pair is not null").groupBy("pair").agg(F.sum("times").alias("times")).toArrow()  # CODES^2 rows at most
+    total[counts.column("pair").to_numpy()] = counts.column("times").to_numpy()
     return Grammars(samples, total)
 
 
+def added_spans(data: np.ndarray, at: np.ndarray, texts: list[str], model: Grammars) -> dict[int, list[dict]]:
+    """Row -> spans in code points of values that have a learned format, for consecutive texts with their base spans blanked."""
+    start, end, row = candidates(data, at)
+    if not len(start):
+        return {}
+    hashed = hashing.word_hashes(data, start, end, 31)
+    _, example, which = np.unique(hashed, return_index=True, return_inverse=True)
+    kind = model.verdicts(data, start[example], end[example])[which]
+    out: dict[int, list[dict]] = {}
+    for k in np.flatnonzero(kind >= 0):
+        text, raw = texts[row[k]], data[at[row[k]] : start[k]]
+        value = data[start[k] : end[k]].tobytes().decode()
+        begin = int(np.count_nonzero((raw & 0xC0) != 0x80)) if len(text) != at[row[k] + 1] - at[row[k]] else len(raw)
+        out.setdefault(int(row[k]), []).append({"start": begin, "end": begin + len(value), "kind": f"like_{model.kinds[kind[k]]}", "value": value})
+    return {r: outer(spans) for r, spans in out.items()}
+
+
 def detected(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, spans, all_spans), one row per input row; added spans have kind "like_<kind>"."""
+    """docs(doc_id, text) -> (doc_id, spans, all_spans), one row per input row; added spans have kind "like_<kind>".
+
+    Spans are ordered by start, then by kind as listed, added ones after base ones.
+    """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = stored(texts.mapInArrow(_scan, FOUND), "secret-spans")
     model = docs.sparkSession.sparkContext.broadcast(grammars(found, sample))
+    order = {k: i for i, k in enumerate((*KINDS, *(f"like_{k}" for k in KINDS)))}
 
     def judged(batches):
-        held: dict[str, str | None] = {}
-
-        def verdict(value: str) -> str | None:
-            if value not in held:
-                if len(held) >= HELD:
-                    held.clear()
-                if len(value) > LONGEST:
-                    return model.value.verdict(value)
-                held[value] = model.value.verdict(value)
-            return held[value]
-
         for batch in batches:
             base, more = [], []
-            for text in batch.column("text"):
-                value = text.as_py() or ""
-                found = base_spans(value)
-                new = []
-                for run in candidates(value, found):
-                    for start, end in run:
-                        if kind := verdict(value[start:end]):
-                            new.append({"start": start, "end": end, "kind": f"like_{kind}", "value": value[start:end]})
-                            if (start, end) == run[0]:
-                                break
-                base.append([{"start": s, "end": e, "kind": KINDS[k], "value": v} for s, e, k, v in found])
-                more.append(base[-1] + outer(new))
+            for first, data, at in hashing.pieces(batch.column("text")):
+                here = [t or "" for t in batch.column("text").slice(first, len(at) - 1).to_pylist()]
+                spans = [base_spans(t) for t in here]
+                new = added_spans(blanked(data, at, here, spans), at, here, model.value)
+                for row, found in enumerate(spans):
+                    own = [{"start": s, "end": e, "kind": KINDS[k], "value": v} for s, e, k, v in found]
+                    base.append(own)
+                    more.append(sorted(own + new[row], key=lambda s: (s["start"], order[s["kind"]], s["end"])) if row in new else own)
             kind = pa.list_(SPAN)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, kind), pa.array(more, kind)], names=["doc_id", "spans", "all_spans"])
 

@@ -70,17 +70,18 @@ def checked(path: str) -> tuple[str, list[bytes]]:
 def classes(definition: str) -> np.ndarray:
     """The class of every code point, asked of the library.
 
-    In the string of all code points, a pre-token never holds two classes, as no blank is in it; so one question per
+    In a string of successive code points, a pre-token never holds two classes, as no blank is in it; so one question per
     pre-token settles all its members.
     """
     cut = library(definition).pre_tokenizer.pre_tokenize_str
-    points = [c for c in range(0x110000) if c not in SURROGATES and c != BLANK]
     table = np.full(0x110000, SIGN, dtype=np.uint8)
     table[BLANK] = WHITE
-    for _, (start, end) in cut("".join(map(chr, points))):
-        one = chr(points[start])
-        kind = next((k for k, before in ((LETTER, "a"), (NUMBER, "1"), (SIGN, "!")) if len(cut(before + one)) == 1), WHITE)
-        table[points[start:end]] = kind
+    for low in range(0, 0x110000, 1 << 15):
+        points = [c for c in range(low, low + (1 << 15)) if c not in SURROGATES and c != BLANK]
+        for _, (start, end) in cut("".join(map(chr, points))):
+            one = chr(points[start])
+            kind = next((k for k, before in ((LETTER, "a"), (NUMBER, "1"), (SIGN, "!")) if len(cut(before + one)) == 1), WHITE)
+            table[points[start:end]] = kind
     return table
 
 
@@ -232,14 +233,15 @@ def _summed(table: Broadcast, strings: list[bytes], known: Broadcast):
 
     def run(batches):
         task, done = TaskContext.get().partitionId(), 0
+        entry_type = pa.struct([("piece", pa.string()), ("times", pa.int64())])
         for batch in batches:
-            sums, sizes, rests = [], [], []
+            sums, sizes, counts, words, times_of = [], [], [], [], []
             for data, at, start, end, row, special in pre_tokens(batch.column("text"), table.value, strings):
                 rows = len(at) - 1
                 sizes.append(np.diff(at))
                 if not len(start):
                     sums.append(special)
-                    rests += [None] * rows
+                    counts.append(np.zeros(rows, dtype=np.int64))
                     continue
                 example, one, two, which = distinct(data, start, end)
                 pieces = looked_up(one, two)
@@ -248,21 +250,18 @@ def _summed(table: Broadcast, strings: list[bytes], known: Broadcast):
                 owner, piece = entry // len(example), entry % len(example)
                 met = pieces[piece] >= 0
                 sums.append(special + np.bincount(owner[met], weights=(times * pieces[piece])[met], minlength=rows).astype(np.int64))
-                owner, piece, times = owner[~met], piece[~met], times[~met]
-                rest: list = [None] * rows
-                if len(owner):
-                    words = strings_of(data, start[example[piece]], end[example[piece]]).to_pylist()
-                    edges = np.searchsorted(owner, np.arange(rows + 1))
-                    for r in np.unique(owner):
-                        lo, hi = edges[r], edges[r + 1]
-                        rest[r] = [{"piece": w, "times": int(t)} for w, t in zip(words[lo:hi], times[lo:hi], strict=True)]
-                rests += rest
+                counts.append(np.bincount(owner[~met], minlength=rows))
+                left = example[piece[~met]]
+                words.append(strings_of(data, start[left], end[left]))
+                times_of.append(times[~met])
             n = batch.num_rows
             ids = (np.int64(task) << 33) + np.arange(done, done + n)
             done += n
-            numbers = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, dtype=np.int64) for x in (sizes, sums)]
-            kind = pa.list_(pa.struct([("piece", pa.string()), ("times", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column("doc_id"), *map(pa.array, numbers), pa.array(rests, kind)], names=["id", "doc_id", "n_bytes", "n_known", "rest"])
+            each, total, size = (np.concatenate([np.zeros(0, dtype=np.int64), *x]).astype(np.int64) for x in (counts, sums, sizes))
+            left = [pa.concat_arrays([pa.array([], pa.string()), *words]), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *times_of]).astype(np.int64))]
+            offsets = pa.array(np.concatenate([[0], np.cumsum(each)]).astype(np.int32))
+            rest = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(left, fields=list(entry_type)), mask=pa.array(each == 0))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column("doc_id"), pa.array(size), pa.array(total), rest], names=["id", "doc_id", "n_bytes", "n_known", "rest"])
 
     return run
 

@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 from corpus import FOLDER, Classes, awkward, frame, in_order, jaccard_classes, rows_of, sentence, words
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talusgrid.llm import graphs, ngram_join, substrings, vectors
@@ -191,3 +192,16 @@ def test_components(spark):
     got = rows_of(graphs.components(spark.createDataFrame(edges, "a long, b long")), "node", "component")
     assert got == sorted((x, classes.find(x)) for x in touched)
     assert graphs.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_deduplicated_loses_no_text(spark):
+    """Rows with one doc_id and different texts both stay; copies of any id, null ones too, go; which row stays does not depend on order."""
+    text = [sentence(9000 + k, 60) for k in range(4)]
+    rows = [(900, text[0], "en", "a"), (900, text[1], "en", "a"), (900, text[1], "en", "a"), (901, text[1] + " more", "en", "a")]
+    rows += [(None, text[2], "en", "a"), (None, text[2], "en", "a"), (902, text[3], "en", "a"), (None, text[3], "en", "a"), (None, None, "en", "a"), (None, None, "en", "a")]
+    docs = spark.createDataFrame([(i, t, lang, s) for i, t, lang, s in rows], "doc_id long, text string, lang string, source string")
+    want = sorted([(900, text[0]), (900, text[1]), (902, text[3])])
+    for dealt in (docs, docs.repartition(5), docs.orderBy(F.desc("text"))):
+        kept = [(r.doc_id, r.text) for r in ngram_join.deduplicated(dealt).collect()]
+        assert sorted(k for k in kept if k[0] is not None) == want
+        assert sorted(str(t) for d, t in kept if d is None) == sorted(["None", "None", text[2]])

@@ -89,20 +89,20 @@ def mollweide_lonlat(x: Column, y: Column, lon0: float = 0.0) -> tuple[Column, C
 def with_lattice_position(df: DataFrame, lon: str = "lon", lat: str = "lat", rounds: int = 6) -> DataFrame:
     """Place lon/lat points on the soil lattice: adds lattice column u and lattice row v.
 
-    The projection angle has no closed form, so a fixed number of Newton steps is laid out as
-    staged projections; every step stays inside generated code and nothing is shuffled.
+    The projection angle has no closed form, so a fixed number of Newton steps is folded over an array. As one small
+    expression it stays small where filters on u and v are moved below it; nothing is shuffled.
     """
-    theta = F.col("_theta")
-    work = df.withColumns({"_target": math.pi * F.sin(F.radians(F.col(lat))), "_theta": F.radians(F.col(lat))})
-    for _ in range(rounds):
+    goal = math.pi * F.sin(F.radians(F.col(lat)))
+
+    def step(theta, _):
         slope = F.greatest(F.lit(2e0) + 2 * F.cos(2 * theta), F.lit(1e-12))
-        work = work.withColumn("_theta", theta - (2 * theta + F.sin(2 * theta) - F.col("_target")) / slope)
+        return theta - (2 * theta + F.sin(2 * theta) - goal) / slope
+
+    theta = F.aggregate(F.array_repeat(F.lit(0), rounds), F.radians(F.col(lat)), step)
     root = MOLLWEIDE_RADIUS * math.sqrt(2)
     x = (2 * root / math.pi) * F.radians(F.col(lon)) * F.cos(theta)
     y = root * F.sin(theta)
-    return work.withColumns({"u": (x - LATTICE_X0) / LATTICE_STEP, "v": (LATTICE_Y0 - y) / LATTICE_STEP}).drop(
-        "_target", "_theta"
-    )
+    return df.withColumns({"u": (x - LATTICE_X0) / LATTICE_STEP, "v": (LATTICE_Y0 - y) / LATTICE_STEP})
 
 
 def rain_position(lon: Column, lat: Column) -> tuple[Column, Column]:

@@ -134,3 +134,64 @@ def deposits(releases: DataFrame, reach: DataFrame) -> DataFrame:
     return landed.groupBy("terminal_id").agg(
         F.count(F.lit(1)).alias("n_releases"), F.sum("depth_m").alias("deposit_m")
     )
+
+
+_THROUGH = "node_id long, target_id long, br int, bc int, exit_id long, next_id long, load double"
+
+
+def _sum_downstream(target: np.ndarray, load: np.ndarray) -> np.ndarray:
+    """Per cell its load and that of all cells whose path leads through it; target is a position or -1.
+
+    After k rounds a cell has the sums of all cells less than 2^k steps upstream, and its jump leads 2^k steps down.
+    """
+    total, jump = load.astype(float), target
+    for _ in range(len(target).bit_length() + 1):
+        going = np.flatnonzero(jump >= 0)
+        if not len(going):
+            return total
+        total = total + np.bincount(jump[going], weights=total[going], minlength=len(total))
+        jump = np.where(jump >= 0, jump[jump], -1)
+    raise ValueError("the downslope graph has a cycle")
+
+
+def _targets_inside(ids: np.ndarray, target: pd.Series) -> np.ndarray:
+    """Position of each target among the cells of the block, -1 where it is outside or there is none."""
+    order = np.argsort(ids)
+    wanted = target.fillna(-1).to_numpy(dtype=np.int64)
+    slot = np.clip(np.searchsorted(ids, wanted, sorter=order), 0, len(ids) - 1)
+    return np.where(ids[order[slot]] == wanted, order[slot], -1)
+
+
+def throughflow(cells: DataFrame, load: str, block: int = BLOCK) -> DataFrame:
+    """cells(node_id, r, c, elevation_m, <load>) -> (node_id, through): the load of every cell and of all cells upstream of it.
+
+    Descent and paths inside blocks come from one shuffle of the cells. Loads are added up at the cells where paths leave
+    a block; on the forest of these exits sums double their reach per round, each a sum by the exit that a jump leads
+    to, so an exit into which a third of all paths lead is combined before the shuffle. What flows into a block is then
+    added to its cells and followed inside it once more. NULL loads count as 0.
+    """
+    halo = with_halo(cells.select("node_id", "r", "c", "elevation_m", F.coalesce(F.col(load).cast("double"), F.lit(0e0)).alias("load")), block, 1)
+
+    def inside(rows: pd.DataFrame) -> pd.DataFrame:
+        found = descend(rows, block, ["load"])
+        paths = _follow_inside(found)
+        return found[["node_id", "target_id", "load"]].assign(br=rows["br"].iat[0], bc=rows["bc"].iat[0], exit_id=paths["exit_id"], next_id=paths["next_id"])
+
+    local = cut_lineage(halo.groupBy("br", "bc").applyInPandas(inside, _THROUGH))
+    leaving = local.where("next_id is not null").groupBy("exit_id").agg(F.sum("load").alias("total"), F.first("next_id").alias("next_id"))
+    ways = local.select(F.col("node_id").alias("next_id"), F.when(F.col("next_id").isNotNull(), F.col("exit_id")).alias("jump"))
+    exits = cut_lineage(leaving.join(ways, "next_id").select("exit_id", "next_id", "total", "jump"))
+    while not exits.where("jump is not null").isEmpty():
+        arriving = exits.where("jump is not null").groupBy(F.col("jump").alias("exit_id")).agg(F.sum("total").alias("more"))
+        onward = exits.select(F.col("exit_id").alias("jump"), F.col("jump").alias("_jump"))
+        further = lookup_join(exits, onward, ["jump"], "left")
+        summed = further.join(arriving, "exit_id", "left").select("exit_id", "next_id", (F.col("total") + F.coalesce("more", F.lit(0e0))).alias("total"), F.col("_jump").alias("jump"))
+        exits = cut_lineage(summed)
+    arriving = exits.groupBy(F.col("next_id").alias("node_id")).agg(F.sum("total").alias("more"))
+    loaded = local.join(arriving, "node_id", "left").select("br", "bc", "node_id", "target_id", (F.col("load") + F.coalesce("more", F.lit(0e0))).alias("load"))
+
+    def through(rows: pd.DataFrame) -> pd.DataFrame:
+        ids = rows["node_id"].to_numpy()
+        return pd.DataFrame({"node_id": ids, "through": _sum_downstream(_targets_inside(ids, rows["target_id"]), rows["load"].to_numpy())})
+
+    return loaded.groupBy("br", "bc").applyInPandas(through, "node_id long, through double")

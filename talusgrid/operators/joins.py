@@ -30,8 +30,3 @@ def lookup_join(
     spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.withColumn("_salt", salt).join(spread, [*keys, "_salt"], how).drop("_salt")
 
-
-def rows_within(df: DataFrame, limit: int = BROADCAST_ROWS) -> int | None:
-    """Number of rows if it is at most `limit`, else None. Every task sends one number."""
-    n = df.count()
-    return n if n <= limit else None

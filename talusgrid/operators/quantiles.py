@@ -14,6 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talusgrid.operators.joins import lookup_join
+from talusgrid.sources.workspace import cut_lineage
+
 BRACKET = 100_000
 SKETCH_ACCURACY = 10_000
 MARGIN = 2.0 / SKETCH_ACCURACY
@@ -101,3 +104,76 @@ def _interpolated(targets: dict[tuple[str, int], Target], column: str, size: int
     position = p * (size - 1)
     low, high = (targets[column, r].value for r in (math.floor(position), math.ceil(position)))
     return low + (high - low) * (position - math.floor(position))
+
+
+#: Points at which a bracket that is still too large is cut.
+CUTS = 200
+STATE = "array<struct<rank:bigint,low:double,high:double,below:bigint,size:bigint,value:double>>"
+
+
+def _open(target: Column) -> Column:
+    return target["value"].isNull()
+
+
+def _narrowed(target: Column, cuts: Column) -> Column:
+    """A target's bracket after cuts(t, under, upto), of which `under` values of the group are below t and `upto` not above."""
+    rank = target["rank"]
+    low = F.array_max(F.transform(F.filter(cuts, lambda k: k["upto"] <= rank), lambda k: F.struct(k["t"].alias("t"), k["upto"].alias("n"))))
+    high = F.array_min(F.transform(F.filter(cuts, lambda k: k["under"] > rank), lambda k: F.struct(k["t"].alias("t"), k["under"].alias("n"))))
+    hit = F.element_at(F.filter(cuts, lambda k: (k["under"] <= rank) & (rank < k["upto"])), 1)["t"]
+    below = F.coalesce(low["n"], target["below"])
+    return F.struct(
+        rank.alias("rank"), F.coalesce(low["t"], target["low"]).alias("low"), F.coalesce(high["t"], target["high"]).alias("high"), below.alias("below"),
+        (F.coalesce(high["n"], target["below"] + target["size"]) - below).alias("size"), F.coalesce(target["value"], hit).alias("value"),
+    )
+
+
+def _cut(rows: DataFrame, state: DataFrame, cuts: DataFrame, groups: int) -> DataFrame:
+    """state(g, targets) narrowed by cuts(g, ts): one count of each group's values below and up to each of its cuts."""
+    per_row = lookup_join(rows, cuts, ["g"], "inner", right_rows=groups).select("g", "x", F.inline(F.transform("ts", lambda t: F.struct(t.alias("t")))))
+    counted = per_row.groupBy("g", "t").agg(F.count_if(F.col("x") < F.col("t")).alias("under"), F.count_if(F.col("x") <= F.col("t")).alias("upto"))
+    listed = counted.groupBy("g").agg(F.collect_list(F.struct("t", "under", "upto")).alias("cuts"))
+    joined = state.join(listed, "g", "left").withColumn("cuts", F.coalesce("cuts", F.array().cast("array<struct<t:double,under:bigint,upto:bigint>>")))
+    return joined.select("g", "n", F.transform("targets", lambda t: _narrowed(t, F.col("cuts"))).cast(STATE).alias("targets"))
+
+
+def percentiles_by_group(df: DataFrame, group: str, column: str, probabilities: list[float], bracket: int = BRACKET) -> DataFrame:
+    """(group, p, value): exact percentiles with linear interpolation in every group; NULL values are left out.
+
+    The same brackets as above, kept per group in rows of a table: sketches of all groups come from one aggregate, counts
+    from a second, and what is left in the brackets is sorted in a third. While a bracket holds more than `bracket` values,
+    it is cut at 200 points of a sketch of its own, all groups together. Groups may be many, and one may hold most rows:
+    every aggregate combines before its shuffle, and brackets meet the rows by a salted or broadcast lookup.
+    """
+    rows = df.select(F.col(group).alias("g"), F.col(column).cast("double").alias("x")).where("x is not null and g is not null")
+    sides = sorted({s for p in probabilities for s in _sides(p)})
+    stats = cut_lineage(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("x", sides, SKETCH_ACCURACY).alias("ts")))
+    groups = stats.count()
+    position = [F.lit(p) * (F.col("n") - 1) for p in probabilities]
+    ranks = F.array_distinct(F.array(*[f(x).cast("long") for x in position for f in (F.floor, F.ceil)]))
+    none = F.lit(None).cast("double")
+    start = lambda r: F.struct(r.alias("rank"), none.alias("low"), none.alias("high"), F.lit(0).cast("long").alias("below"), F.col("n").alias("size"), none.alias("value"))
+    state = stats.select("g", "n", F.transform(ranks, start).cast(STATE).alias("targets"))
+    state = cut_lineage(_cut(rows, state, stats.select("g", F.array_distinct("ts").alias("ts")), groups))
+
+    def inside(targets: Column) -> Column:
+        x = F.col("x")
+        return F.filter(targets, lambda t: _open(t) & (t["low"].isNull() | (x > t["low"])) & (t["high"].isNull() | (x < t["high"])))
+
+    def bracketed(state: DataFrame) -> DataFrame:
+        met = lookup_join(rows, state.select("g", F.filter("targets", _open).alias("targets")).where(F.size("targets") > 0), ["g"], "inner", right_rows=groups)
+        return met.select("g", "x", F.inline(F.transform(inside(F.col("targets")), lambda t: F.struct(t["rank"].alias("rank"), t["below"].alias("below")))))
+
+    largest = F.max(F.array_max(F.transform(F.filter("targets", _open), lambda t: t["size"])))
+    while (state.agg(largest.alias("size")).first()["size"] or 0) > bracket:
+        points = [k / CUTS for k in range(CUTS + 1)]
+        found = bracketed(state).groupBy("g", "rank").agg(F.percentile_approx("x", points, SKETCH_ACCURACY).alias("ts"))
+        cuts = found.groupBy("g").agg(F.array_distinct(F.flatten(F.collect_list("ts"))).alias("ts"))
+        state = cut_lineage(_cut(rows, state, cuts, groups))
+    sorted_ = bracketed(state).groupBy("g", "rank", "below").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    late = sorted_.select("g", "rank", F.get("xs", (F.col("rank") - F.col("below")).cast("int")).alias("value"))
+    known = state.select("g", F.inline("targets")).where("value is not null").select("g", "rank", "value")
+    values = late.unionByName(known).groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))
+    ends = [(F.element_at("at", F.floor(x).cast("long")), F.element_at("at", F.ceil(x).cast("long")), x - F.floor(x)) for x in position]
+    each = F.array(*[F.struct(F.lit(p).alias("p"), (a + (b - a) * part).alias("value")) for p, (a, b, part) in zip(probabilities, ends, strict=True)])
+    return stats.join(values, "g").select(F.col("g").alias(group), F.inline(each))

@@ -1,26 +1,25 @@
 """Resampling of coarse grids and lattice samples at node positions.
 
 Positions are given in units of the source grid: u along columns, v along rows, samples at whole
-numbers. The corner values a node needs are first gathered into one row per source square, on
-the small side; nodes then meet them in a single lookup on the square they fall into.
+numbers. On a coarse grid the corner values a node needs are first gathered into one row per source
+square, on the small side; nodes then meet them in a single lookup on the square they fall into.
+Lattice samples with holes meet the nodes in one shuffle by block, see `lattice`.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from talusgrid.functions.numeric import clip, literal_rows
 from talusgrid.operators.joins import BROADCAST_ROWS, lookup_join
-from talusgrid.sources.workspace import cut_lineage
+from talusgrid.operators.lattice import at_nodes
 
 CORNERS = ((0, 0), (0, 1), (1, 0), (1, 1))
-HULL_ROWS = 4096
-LEVELS_PER_CUT = 4
-ROOTS = 128
+HULL_GROUPS = 16
+SLACK = 1e-9
 
 
 def _squares(samples: DataFrame, row: str, col: str, values: list[str]) -> DataFrame:
@@ -69,206 +68,27 @@ def bilinear(
     )
 
 
-def _triangle_value(name: str) -> Column:
-    """Linear value in the lattice triangle around (_a, _b), the position inside the square.
-
-    With all four corners the square is split along its (0,0)-(1,1) diagonal. With one corner
-    missing, the triangle of the other three is used if it contains the position. A triangle with
-    a NULL corner gives NULL, so coalesce tries the triangles in turn.
-    """
-    q00, q01, q10, q11 = (f"{name}_{i}{j}" for i, j in CORNERS)
-    return F.expr(f"""coalesce(
-        CASE WHEN _a >= _b THEN {q00} + ({q10} - {q00}) * _a + ({q11} - {q10}) * _b END,
-        CASE WHEN _a < _b THEN {q00} + ({q01} - {q00}) * _b + ({q11} - {q01}) * _a END,
-        CASE WHEN _a + _b <= 1 AND {q11} IS NULL THEN {q00} + ({q10} - {q00}) * _a + ({q01} - {q00}) * _b END,
-        CASE WHEN _a + _b >= 1 AND {q00} IS NULL
-             THEN {q11} + ({q01} - {q11}) * (1 - _a) + ({q10} - {q11}) * (1 - _b) END)""")
-
-
-def linear_on_lattice(
-    nodes: DataFrame,
-    samples: DataFrame,
-    values: list[str],
-    u: str = "u",
-    v: str = "v",
-    sample_rows: int | None = None,
-) -> DataFrame:
+def linear_on_lattice(nodes: DataFrame, samples: DataFrame, values: list[str], key: str = "node_id", u: str = "u", v: str = "v") -> DataFrame:
     """Linear interpolation in the lattice triangle that contains the node, NULL where there is none.
 
-    samples(lr, lc, <values>) holds the valid samples only, one per lattice point; sample_rows is
-    a proven upper bound of their number, if there is one.
+    samples(lr, lc, <values>) holds the valid samples only, one per lattice point.
     """
-    squares = _squares(samples, "lr", "lc", values)
-    placed = nodes.withColumns({"pi": F.floor(F.col(v)).cast("int"), "pj": F.floor(F.col(u)).cast("int")})
-    joined = lookup_join(
-        placed, squares, ["pi", "pj"], "left", right_rows=None if sample_rows is None else 4 * sample_rows
-    )
-    joined = joined.withColumns({"_a": F.col(v) - F.col("pi"), "_b": F.col(u) - F.col("pj")})
-    return joined.select(*nodes.columns, *[_triangle_value(x).alias(x) for x in values])
-
+    return at_nodes(nodes, samples, values, key, u, v, linear=True, nearest=False)
 
-AROUND = tuple((i, j) for i in range(-1, 3) for j in range(-1, 3))
-NO_ROW = -(2**30)
 
-
-def _resampled(
-    nodes: DataFrame,
-    samples: DataFrame,
-    values: list[str],
-    key: str,
-    u: str,
-    v: str,
-    sample_rows: int | None,
-    linear: bool,
-    only: Column,
-) -> DataFrame:
-    """Linear values if asked for, and the nearest sample where that leaves a gap and `only` holds.
-
-    One lookup gives a node the corners of its square and a 16-bit mask of which of the 4 x 4
-    lattice points around it hold a sample. The nearest of those follows by arithmetic, ties
-    going to the smaller (lr, lc), and is final when closer than 2, because every other point is
-    at least that far. A second lookup fetches its values. What is still open is searched for
-    through nested squares.
-    """
-    bits = literal_rows(("bit", "di", "dj"), [(1 << k, i, j) for k, (i, j) in enumerate(AROUND)])
-    spread = samples.select("lr", "lc", *values, F.inline(bits))
-    squares = spread.groupBy((F.col("lr") - F.col("di")).alias("pi"), (F.col("lc") - F.col("dj")).alias("pj")).agg(
-        F.bit_or("bit").alias("_mask"), *(_corner_values(values) if linear else [])
-    )
-    placed = nodes.withColumns({"pi": F.floor(F.col(v)).cast("int"), "pj": F.floor(F.col(u)).cast("int")})
-    joined = lookup_join(
-        placed, squares, ["pi", "pj"], "left", right_rows=None if sample_rows is None else 16 * sample_rows
-    )
-    joined = joined.withColumns({"_a": F.col(v) - F.col("pi"), "_b": F.col(u) - F.col("pj")})
-    none = F.lit(None).cast("double")
-    found = joined.select(
-        *nodes.columns, "pi", "pj", "_mask", "_a", "_b",
-        *[(_triangle_value(x) if linear else none).alias(f"_{x}") for x in values],
-    )
-    gap = F.col(f"_{values[0]}").isNull() & only & F.col(u).isNotNull() & F.col(v).isNotNull()
-
-    candidates = (
-        f"CASE WHEN _mask & {1 << k} != 0 THEN named_struct("
-        f"'d2', (_a - {i}) * (_a - {i}) + (_b - {j}) * (_b - {j}), 'lr', pi + {i}, 'lc', pj + {j}) END"
-        for k, (i, j) in enumerate(AROUND)
-    )
-    best = F.when(gap, F.expr(f"least({', '.join(candidates)})"))
-    found = found.select(*nodes.columns, *[f"_{x}" for x in values], gap.alias("_gap"), best.alias("_best"))
-    close = F.col("_best.d2") < 4
-    # Nodes without a point to look up get keys of their own instead of one NULL key for all.
-    own = NO_ROW - F.pmod(F.xxhash64(key), F.lit(2**20)).cast("int")
-    point = {
-        "lr": F.when(close, F.col("_best.lr")).otherwise(own),
-        "lc": F.when(close, F.col("_best.lc")).otherwise(NO_ROW),
-    }
-    found = found.select(*nodes.columns, *[f"_{x}" for x in values], "_gap", *[x.alias(n) for n, x in point.items()])
-    full = samples.select("lr", "lc", F.struct(*values).alias("_s"))
-    looked_up = lookup_join(found, full, ["lr", "lc"], "left", right_rows=sample_rows)
-    settled = looked_up.select(
-        *nodes.columns,
-        *[F.coalesce(f"_{x}", F.col("_s")[x]).alias(x) for x in values],
-        (F.col("_gap") & F.col("_s").isNull()).alias("_open"),
-    )
-    # Only the open nodes' positions are written; the others are looked up again rather than stored.
-    far = cut_lineage(settled.where("_open").select(key, u, v))
-    count = far.count()
-    if count == 0:
-        return settled.drop("_open")
-    distant = _nearest_far(far, full, key, u, v)
-    found = settled.join(F.broadcast(distant) if count <= BROADCAST_ROWS else distant, key, "left")
-    return found.select(*nodes.columns, *[F.coalesce(x, F.col("_s")[x]).alias(x) for x in values])
-
-
-def nearest_on_lattice(
-    nodes: DataFrame,
-    samples: DataFrame,
-    values: list[str],
-    key: str = "node_id",
-    u: str = "u",
-    v: str = "v",
-    sample_rows: int | None = None,
-) -> DataFrame:
+def nearest_on_lattice(nodes: DataFrame, samples: DataFrame, values: list[str], key: str = "node_id", u: str = "u", v: str = "v") -> DataFrame:
     """Values of the nearest valid sample; ties go to the smaller (lr, lc). Exact at any distance."""
-    return _resampled(nodes, samples, values, key, u, v, sample_rows, linear=False, only=F.lit(True))
+    return at_nodes(nodes, samples, values, key, u, v, linear=False, nearest=True)
 
 
 def filled(
-    nodes: DataFrame,
-    samples: DataFrame,
-    values: list[str],
-    key: str = "node_id",
-    u: str = "u",
-    v: str = "v",
-    only: Column | None = None,
-    sample_rows: int | None = None,
+    nodes: DataFrame, samples: DataFrame, values: list[str], key: str = "node_id", u: str = "u", v: str = "v", only: Column | None = None
 ) -> DataFrame:
     """Linear where the lattice allows it, nearest sample elsewhere; `only` limits the latter."""
-    wanted = F.lit(True) if only is None else F.coalesce(only, F.lit(False))
-    return _resampled(nodes, samples, values, key, u, v, sample_rows, linear=True, only=wanted)
-
+    return at_nodes(nodes, samples, values, key, u, v, linear=True, nearest=True, only=only)
 
-def _boxes(samples: DataFrame, top: int) -> DataFrame:
-    """Bounding boxes of the samples in squares of side 4^level, for all levels in one aggregate."""
-    levels = samples.select("lr", "lc", F.explode(F.sequence(F.lit(0), F.lit(top))).alias("level"))
-    side = F.pow(F.lit(4e0), "level")
-    squares = levels.groupBy(
-        "level", F.floor(F.col("lr") / side).cast("int").alias("i"), F.floor(F.col("lc") / side).cast("int").alias("j")
-    )
-    return squares.agg(
-        F.min("lr").alias("r0"), F.max("lr").alias("r1"), F.min("lc").alias("c0"), F.max("lc").alias("c1")
-    )
 
-
-def _nearest_far(nodes: DataFrame, samples: DataFrame, key: str, u: str, v: str) -> DataFrame:
-    """(key, _s): nearest sample for nodes far from all samples, by descending through nested squares.
-
-    The unit squares that hold nodes start with at most ROOTS top squares as candidates. Level by
-    level a candidate is replaced by its occupied parts (4 x 4), and a part stays only if its
-    samples may be nearer than the farthest point of the best one. What is left at the bottom is
-    a thin arc of samples per unit square, against which its nodes are measured.
-    """
-    ends = samples.agg(F.min("lr"), F.max("lr"), F.min("lc"), F.max("lc")).first()
-    if ends[0] is None:
-        return nodes.select(key, F.lit(None).cast(samples.schema["_s"].dataType).alias("_s"))
-    top = 0
-    while True:
-        rows = range(ends[0] // 4**top, ends[1] // 4**top + 1)
-        cols = range(ends[2] // 4**top, ends[3] // 4**top + 1)
-        if len(rows) * len(cols) <= ROOTS:
-            break
-        top += 1
-    roots = [(i, j) for i in rows for j in cols]
-    boxes = cut_lineage(_boxes(samples, top))
-    placed = nodes.withColumns({"qi": F.floor(F.col(v)).cast("int"), "qj": F.floor(F.col(u)).cast("int")})
-
-    near2 = """pow(greatest(r0 - qi - 1, qi - r1, 0), 2) + pow(greatest(c0 - qj - 1, qj - c1, 0), 2)"""
-    far2 = """pow(greatest(r1 - qi, qi + 1 - r0), 2) + pow(greatest(c1 - qj, qj + 1 - c0), 2)"""
-    per_square = W.partitionBy("qi", "qj")
-    kept = placed.select("qi", "qj").distinct().select(
-        "qi", "qj", F.inline(literal_rows(("pi", "pj"), roots))
-    )
-    for level in range(top, -1, -1):
-        up = 1 if level == top else 4
-        here = boxes.where(F.col("level") == level).select(
-            F.floor(F.col("i") / up).cast("int").alias("pi"), F.floor(F.col("j") / up).cast("int").alias("pj"),
-            "i", "j", "r0", "r1", "c0", "c1",
-        )
-        # At most ROOTS squares at the top and 16 times as many per level below.
-        parts = lookup_join(kept, here, ["pi", "pj"], "inner", right_rows=ROOTS * 16 ** (top - level))
-        parts = parts.selectExpr("qi", "qj", "i", "j", f"{near2} AS near2", f"{far2} AS far2")
-        parts = parts.select("qi", "qj", "i", "j", "near2", F.min("far2").over(per_square).alias("bound2"))
-        kept = parts.where(F.col("near2") <= F.col("bound2")).select("qi", "qj", F.col("i").alias("pi"), F.col("j").alias("pj"))
-        if level and (top - level) % LEVELS_PER_CUT == LEVELS_PER_CUT - 1:
-            kept = cut_lineage(kept)
-    arc = kept.select("qi", "qj", F.col("pi").alias("lr"), F.col("pj").alias("lc"))
-    ends_at = placed.select(key, "qi", "qj", F.col(u).alias("_u"), F.col(v).alias("_v"))
-    dv, du = F.col("_v") - F.col("lr"), F.col("_u") - F.col("lc")
-    measured = lookup_join(ends_at, arc, ["qi", "qj"], "inner").select(key, (dv * dv + du * du).alias("d2"), "lr", "lc")
-    best = measured.groupBy(key).agg(F.min(F.struct("d2", "lr", "lc")).alias("m")).select(key, "m.lr", "m.lc")
-    return lookup_join(best, samples, ["lr", "lc"], "inner").select(key, "_s")
-
-
-def _half_hull(points: np.ndarray, sign: int) -> list:
+def _half_hull(points: list, sign: int) -> list:
     """Chain of extreme columns by row: convex on the low side (sign 1) or the high side (sign -1)."""
     chain: list = []
     for row, col in points:
@@ -281,79 +101,58 @@ def _half_hull(points: np.ndarray, sign: int) -> list:
     return chain
 
 
-def _hull_of_group(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("lr")
-    parts = []
-    for name, sign in (("lo", 1), ("hi", -1)):
-        side = rows[rows[name].notna()]
-        chain = _half_hull(side[["lr", name]].to_numpy(dtype=np.int64).tolist(), sign)
-        parts.append(pd.DataFrame(chain, columns=["lr", "edge"]).assign(side=name))
-    return pd.concat(parts)
+def hull_sides(row: np.ndarray, col: np.ndarray) -> tuple[list, list]:
+    """Corners (row, column) of the low and the high side of the convex hull, by row; only the ends of rows can be corners."""
+    sides = []
+    for sign in (1, -1):
+        order = np.lexsort((sign * col, row))
+        ends = order[np.concatenate([[True], row[order][1:] != row[order][:-1]])] if len(order) else order
+        sides.append(_half_hull(list(zip(row[ends].tolist(), col[ends].tolist(), strict=True)), sign))
+    return sides[0], sides[1]
+
 
+def _corners(batches):
+    """The corners of the hull of all rows that come in, held as the hull of what came so far."""
+    held = np.zeros((0, 2), dtype=np.int64)
+    for batch in batches:
+        here = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("lr", "lc")], axis=1)
+        low, high = hull_sides(*np.concatenate([held, here]).T)
+        held = np.array(sorted({*low, *high}), dtype=np.int64).reshape(-1, 2)
+    yield pa.RecordBatch.from_arrays([pa.array(held[:, k].astype(np.int32)) for k in (0, 1)], names=["lr", "lc"])
 
-def hull_rows(samples: DataFrame) -> DataFrame:
-    """Convex hull of lattice samples as one row per lattice row.
 
-    Columns: lr, then the hull's low and high column at lr and at lr + 1 (NULL past the last row).
-    Only the extreme samples of a row can be on the hull, so an aggregate removes the bulk. Hulls
-    of row ranges, of at most HULL_ROWS rows each, follow; hull corners of an n x n lattice grow
-    like n^(2/3), so the last group is small as well.
+def convex_hull(samples: DataFrame) -> tuple[list, list]:
+    """Low and high side of the hull of lattice samples(lr, lc).
+
+    A hull is a summary that merges: the hull of hulls is the hull of all. Tasks send the corners of theirs, groups of
+    tasks merge them, and the driver merges those. A hull in an n x n lattice has some n^(2/3) corners at most, a few
+    thousand on any map, so no step holds more, however many samples there are.
     """
-    ends = samples.groupBy("lr").agg(F.min("lc").alias("lo"), F.max("lc").alias("hi"))
-    schema = "lr int, edge int, side string"
-    partial = (
-        ends.withColumn("g", F.floor(F.col("lr") / HULL_ROWS))
-        .groupBy("g")
-        .applyInPandas(lambda p: _hull_of_group(p[["lr", "lo", "hi"]]), schema)
-    )
-    low_high = partial.select(
-        "lr",
-        F.when(F.col("side") == "lo", F.col("edge")).alias("lo"),
-        F.when(F.col("side") == "hi", F.col("edge")).alias("hi"),
-    )
-    corners = low_high.groupBy(F.lit(0).alias("g")).applyInPandas(
-        lambda p: _hull_of_group(p[["lr", "lo", "hi"]]).assign(
-            next_lr=lambda h: h.groupby("side")["lr"].shift(-1).astype("Int64"),
-            next_edge=lambda h: h.groupby("side")["edge"].shift(-1).astype("Int64"),
-        ),
-        "lr int, edge int, side string, next_lr int, next_edge int",
-    )
-    last = F.col("next_lr").isNull()
-    until = F.when(last, F.col("lr")).otherwise(F.col("next_lr") - 1)
-    # Long edges are cut into pieces that are dealt out before they are walked row by row.
-    parts = corners.select(F.explode(F.sequence(F.col("lr"), until, F.lit(HULL_ROWS))).alias("part"), until.alias("until"), "*")
-    parts = parts.repartition(F.col("part"), F.col("side"))
-    walk = F.sequence(F.col("part"), F.least(F.col("part") + HULL_ROWS - 1, F.col("until")))
-    steps = parts.select(F.explode(walk).alias("row"), *corners.columns)
-    slope = (F.col("next_edge") - F.col("edge")) / (F.col("next_lr") - F.col("lr")).cast("double")
-    here = F.col("edge") + F.when(last, 0e0).otherwise(slope * (F.col("row") - F.col("lr")))
-    there = F.col("edge") + slope * (F.col("row") + 1 - F.col("lr"))
-    steps = steps.select("row", "side", here.alias("here"), there.alias("there"))
-    pick = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
-    return steps.groupBy(F.col("row").alias("lr")).agg(
-        pick("lo", "here").alias("lo"),
-        pick("hi", "here").alias("hi"),
-        pick("lo", "there").alias("lo_next"),
-        pick("hi", "there").alias("hi_next"),
-    )
+    schema = "lr int, lc int"
+    parts = samples.select(F.col("lr").cast("int").alias("lr"), F.col("lc").cast("int").alias("lc")).where("lr is not null and lc is not null").mapInArrow(_corners, schema)
+    merged = parts.repartition(HULL_GROUPS, F.spark_partition_id()).mapInArrow(_corners, schema).toArrow()
+    return hull_sides(*(merged.column(c).to_numpy().astype(np.int64) for c in ("lr", "lc")))
 
 
-def inside_hull(
-    nodes: DataFrame, samples: DataFrame, u: str = "u", v: str = "v", sample_rows: int | None = None
-) -> DataFrame:
-    """Adds has_soil: whether the node lies in the convex hull of the samples (border included)."""
-    rows = hull_rows(samples)
-    if sample_rows is not None:
-        # There is a hull row per lattice row between the outermost samples, however few samples there are.
-        ends = samples.agg(F.min("lr").alias("low"), F.max("lr").alias("high")).first()
-        sample_rows = 0 if ends["low"] is None else ends["high"] - ends["low"] + 1
-    placed = nodes.withColumn("lr", F.floor(F.col(v)).cast("int"))
-    joined = lookup_join(placed, rows, ["lr"], "left", right_rows=sample_rows)
-    part = F.col(v) - F.col("lr")
-
-    def at(edge: str) -> Column:
-        return F.when(part == 0, F.col(edge)).otherwise(F.col(edge) * (1 - part) + F.col(f"{edge}_next") * part)
-
-    slack = 1e-9
-    within = (F.col(u) >= at("lo") - slack) & (F.col(u) <= at("hi") + slack)
-    return joined.withColumn("has_soil", F.coalesce(within, F.lit(False))).select(*nodes.columns, "has_soil")
+def in_hull(sides: tuple[list, list], u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Whether each position lies between the sides of the hull, border included."""
+    if not sides[0]:
+        return np.zeros(len(u), dtype=bool)
+    at = [np.interp(v, *np.array(side, dtype=float).T) for side in sides]
+    first, last = sides[0][0][0], sides[0][-1][0]
+    with np.errstate(invalid="ignore"):
+        return (v >= first) & (v <= last) & (u >= at[0] - SLACK) & (u <= at[1] + SLACK)
+
+
+def inside_hull(nodes: DataFrame, samples: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
+    """Adds has_soil: whether the node lies in the convex hull of the samples (border included).
+
+    Tasks get the corners of the hull and look for the edge beside each node, so nothing is joined or shuffled.
+    """
+    sides = convex_hull(samples)
+
+    def covered(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array(in_hull(sides, *(a.to_numpy(zero_copy_only=False).astype(float) for a in (x, y))))
+
+    found = F.arrow_udf(covered, "boolean")(F.col(u).cast("double"), F.col(v).cast("double"))
+    return nodes.select(*nodes.columns, found.alias("has_soil"))

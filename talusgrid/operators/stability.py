@@ -31,14 +31,8 @@ def disaggregate_rain(nodes: DataFrame, daily_mm: str, shares: Column) -> DataFr
     return hours.withColumn("intensity_m_s", physics.hourly_intensity(F.col("share"), F.col(daily_mm)))
 
 
-def pressure_by_hour(
-    nodes: DataFrame,
-    shares: Column,
-    daily_mm: str = "precip_mm",
-    depth_m=physics.FAILURE_DEPTH_M,
-    water_table_m=physics.WATER_TABLE_M,
-) -> DataFrame:
-    """nodes(slope_deg, ksat_m_s, diffusivity_m2_s, <daily_mm>, ...) -> one row per node and hour with psi."""
+def pressure_array(nodes: DataFrame, shares: Column, daily_mm: str, depth_m, water_table_m) -> DataFrame:
+    """nodes with their pressure series as one array, _psi."""
     psi = physics.pressure_series(
         depth_m,
         F.radians("slope_deg"),
@@ -48,9 +42,26 @@ def pressure_by_hour(
         F.col(daily_mm) / 1000.0 / 3600.0,
         shares,
     )
+    return nodes.withColumn("_psi", psi)
+
+
+def _safety(psi: Column, depth_m) -> Column:
+    fs = physics.factor_of_safety(lit(depth_m), psi, F.radians("slope_deg"), F.col("cohesion_kpa"), F.col("friction_deg"), F.col("unit_weight"))
+    return physics.display_fs(fs)
+
+
+def pressure_by_hour(
+    nodes: DataFrame,
+    shares: Column,
+    daily_mm: str = "precip_mm",
+    depth_m=physics.FAILURE_DEPTH_M,
+    water_table_m=physics.WATER_TABLE_M,
+) -> DataFrame:
+    """nodes(slope_deg, ksat_m_s, diffusivity_m2_s, <daily_mm>, ...) -> one row per node and hour with psi."""
     # The outer form: for a plain explode the optimizer adds a filter on the array, pushes it far
     # down and so runs the Arrow function a second time. Arrays are never empty here.
-    return nodes.withColumn("_psi", psi).select("*", F.posexplode_outer("_psi").alias("hr", "psi")).drop("_psi")
+    series = pressure_array(nodes, shares, daily_mm, depth_m, water_table_m)
+    return series.select("*", F.posexplode_outer("_psi").alias("hr", "psi")).drop("_psi")
 
 
 def stability_by_hour(nodes: DataFrame, shares: Column, depth_m=physics.FAILURE_DEPTH_M, **pressure) -> DataFrame:
@@ -60,12 +71,21 @@ def stability_by_hour(nodes: DataFrame, shares: Column, depth_m=physics.FAILURE_
     is no shuffle.
     """
     hours = pressure_by_hour(nodes, shares, depth_m=depth_m, **pressure)
-    fs = physics.factor_of_safety(
-        lit(depth_m),
-        F.col("psi"),
-        F.radians("slope_deg"),
-        F.col("cohesion_kpa"),
-        F.col("friction_deg"),
-        F.col("unit_weight"),
-    )
-    return hours.withColumn("fs", fs).withColumn("fs", physics.display_fs(F.col("fs")))
+    return hours.withColumn("fs", _safety(F.col("psi"), depth_m))
+
+
+def onset_by_node(
+    nodes: DataFrame,
+    shares: Column,
+    daily_mm: str = "precip_mm",
+    depth_m=physics.FAILURE_DEPTH_M,
+    water_table_m=physics.WATER_TABLE_M,
+) -> DataFrame:
+    """Adds onset_hr: the first hour whose factor of safety is below 1, NULL if there is none.
+
+    The series stays one array per node and the hour is looked up in it, so nothing is exploded, grouped or shuffled.
+    """
+    series = pressure_array(nodes, shares, daily_mm, depth_m, water_table_m)
+    fails = F.transform("_psi", lambda psi: physics.failing(_safety(psi, depth_m)))
+    at = F.array_position(fails, F.lit(True))
+    return series.withColumn("onset_hr", F.when(at > 0, (at - 1).cast("int"))).drop("_psi")

@@ -11,6 +11,7 @@ COLUMNS = 100
 LATTICE_COLUMNS = 50
 RAIN_ROWS = RAIN_COLUMNS = 5
 HOURS = 24
+GLOBAL_RAIN_ROWS, GLOBAL_RAIN_COLUMNS = 2400, 7200
 
 
 def cells(spark: SparkSession, folder: str, spread: bool = False) -> DataFrame:
@@ -63,6 +64,19 @@ def rain(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def mapped_soil(spark: SparkSession, folder: str) -> DataFrame:
+    """The soil samples 40 lattice columns further west, where the georeferenced terrain lies."""
+    return soil(spark, folder).withColumns({"lc": F.col("lc") - 40, "x_m": F.col("x_m") - 40 * 250e0})
+
+
+def global_rain(spark: SparkSession, folder: str) -> DataFrame:
+    """Rain cells of the world grid around the terrain, one per customer, 16 in a row."""
+    k = F.col("c_custkey")
+    return read_table(spark, folder, "customer").select(
+        (575 + F.floor(k / 16)).cast("int").alias("rr"), (5170 + k % 16).cast("int").alias("cc"), F.round(F.col("c_acctbal") / 50e0, 3).alias("precip_mm")
+    )
+
+
 def storm(spark: SparkSession, folder: str) -> DataFrame:
     e = read_table(spark, folder, "events")
     return e.groupBy(F.hour("ts").alias("hr")).agg(F.round(F.sum("value"), 2).alias("amount"))

@@ -332,6 +332,46 @@ SELECT node_id, hr, psi, CASE WHEN fs IS NOT NULL THEN greatest(0e0, least(5e0,
 }
 
 
+_LON, _LAT, _PX, _RADIUS = "78.84999998888891e0", "30.85000001111111e0", "0.0002777777777777778e0", "6371007.1809e0"
+# The georeferenced run: every second cell inside a border of two, its degrees, and its places on the soil lattice and the world's rain grid.
+GEOREFERENCED = {
+    **SIMULATED,
+    "all_cells": ([], VIEWS["fx_cells"]),
+    "fx_cells": (
+        ["all_cells"],
+        """
+SELECT * REPLACE (CAST(floor((r - 2) / 2) AS INT) AS r, CAST(floor((c - 2) / 2) AS INT) AS c) FROM all_cells
+WHERE r BETWEEN 2 AND (SELECT max(r) FROM all_cells) - 2 AND c BETWEEN 2 AND (SELECT max(c) FROM all_cells) - 2
+  AND (r - 2) % 2 = 0 AND (c - 2) % 2 = 0""",
+    ),
+    "nodes_lonlat": (
+        ["fx_cells"],
+        f"SELECT node_id, ({_LON} + 2 * {_PX}) + c * 2 * {_PX} AS lon, ({_LAT} - 2 * {_PX}) - r * 2 * {_PX} AS lat FROM fx_cells",
+    ),
+    # The projection angle t, by repeated steps from the latitude.
+    "angles": (
+        ["nodes_lonlat"],
+        """
+SELECT 0 AS k, node_id, lon, radians(lat) AS t, pi() * sin(radians(lat)) AS goal FROM nodes_lonlat
+UNION ALL
+SELECT k + 1, node_id, lon, t - (2 * t + sin(2 * t) - goal) / greatest(2e0 + 2 * cos(2 * t), 1e-12), goal FROM angles WHERE k < 6""",
+    ),
+    "lattice_nodes": (
+        ["angles"],
+        f"""
+SELECT node_id, ((2 * {_RADIUS} * sqrt(2e0) / pi()) * radians(lon) * cos(t) - 7189735.290828891e0) / 250e0 AS u,
+       (3743288.1316389814e0 - {_RADIUS} * sqrt(2e0) * sin(t)) / 250e0 AS v FROM angles WHERE k = 6""",
+    ),
+    "rain_nodes": (["nodes_lonlat"], "SELECT node_id, (lon + 180e0) / 5e-2 - 5e-1 AS u, (60e0 - lat) / 5e-2 - 5e-1 AS v FROM nodes_lonlat"),
+    "fx_rain": (
+        [],
+        "SELECT CAST(575 + floor(c_custkey / 16) AS INT) AS rr, CAST(5170 + c_custkey % 16 AS INT) AS cc, round(c_acctbal / 50e0, 3) AS mm FROM customer",
+    ),
+    "rain_at": (["rain_nodes", "fx_rain"], VIEWS["rain_at"].replace("least(3, ", "least(2398, ", 1).replace("least(3, ", "least(7198, ", 1)),
+    "fx_soil": ([], VIEWS["fx_soil"].replace("CAST(p_partkey % 50 AS INT) AS lc", "CAST(p_partkey % 50 - 40 AS INT) AS lc")),
+}
+
+
 def _routed(steps: int) -> dict[str, tuple[list[str], str]]:
     """Views for alternating transfer and overflow; the last one is called routed."""
     out: dict[str, tuple[list[str], str]] = {}
@@ -423,6 +463,14 @@ FROM documents LEFT JOIN cat ON k = lower(lang) || CAST(doc_id AS VARCHAR)""",
          CAST((vec_id % 10) * 8 + (i - 1) % 8 AS INT) AS c, CAST(embedding[i] AS DOUBLE) AS value
   FROM embeddings CROSS JOIN (SELECT range AS i FROM range(1, 65)))
 WHERE c < 77 AND r < (SELECT floor(count(*) / 10) * 8 - 3 FROM embeddings)""",
+    )
+    q(
+        "mosaic_bands",
+        """SELECT r, c, max(CASE WHEN band = 0 THEN value END) AS band_0, max(CASE WHEN band = 2 THEN value END) AS band_2 FROM (
+  SELECT CAST(floor(vec_id / 10) * 4 + floor((i - 1) / 16) AS INT) AS r, (i - 1) % 4 AS band,
+         CAST((vec_id % 10) * 4 + floor((i - 1) / 4) % 4 AS INT) AS c, CAST(embedding[i] AS DOUBLE) AS value
+  FROM embeddings CROSS JOIN (SELECT range AS i FROM range(1, 65)))
+WHERE c < 38 GROUP BY r, c""",
     )
     q(
         "band_pivot",
@@ -742,6 +790,14 @@ FROM (SELECT *, floor(least(1e0, greatest(0e0, fs / 3e0)) * 255) / 255e0 AS f,
 
     edges = """SELECT s.node_id AS src, d.node_id AS dst, s.c - d.c AS dj, s.r - d.r AS di FROM fx_cells d
 CROSS JOIN (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) t(di, dj) JOIN fx_cells s ON s.r = d.r + t.di AND s.c = d.c + t.dj"""
+    q(
+        "graph_sink",
+        _with(
+            f"""SELECT n.node_id, n.r, n.c, coalesce(e.degree, 0) AS degree FROM fx_cells n
+LEFT JOIN (SELECT src, count(*) AS degree FROM ({edges}) GROUP BY src) e ON e.src = n.node_id""",
+            "fx_cells",
+        ),
+    )
     q("grid_edges4", _with(f"SELECT src, dst FROM ({edges})", "fx_cells"))
     q(
         "edge_attrs",
@@ -781,6 +837,24 @@ FROM fx_cells CROSS JOIN offsets8 CROSS JOIN shape""",
             "onset",
         ),
     )
+    q(
+        "deposits_stored",
+        _with(
+            """SELECT terminal_id, count(*) AS n_releases, count(*) * 15e-1 AS deposit_m
+FROM onset o JOIN reach w ON w.node_id = o.node_id GROUP BY terminal_id""",
+            "reach",
+            "onset",
+        ),
+    )
+    q(
+        "released_throughflow",
+        _with(
+            "SELECT reached AS node_id, count(o.node_id) * 15e-1 AS through FROM walk w LEFT JOIN onset o ON o.node_id = w.node_id GROUP BY reached",
+            "walk",
+            "onset",
+        ),
+    )
+    q("deposit_balance", _with("SELECT count(*) * 15e-1 AS released_m, count(*) * 15e-1 AS deposited_m, 0e0 AS difference_m FROM onset", "onset"))
     q(
         "runout_deposit",
         _with(
@@ -887,6 +961,15 @@ FROM fx_bands GROUP BY band""",
             "fx_cells",
         ),
     )
+    q(
+        "hourly_safety_percentiles",
+        _with(
+            """SELECT hr, CAST(p AS DOUBLE) AS p, round(CASE p WHEN 1e-2 THEN p1 WHEN 25e-2 THEN p25 WHEN 5e-1 THEN p50 ELSE p99 END, 9) AS value FROM (
+  SELECT hr, quantile_cont(fs, 1e-2) AS p1, quantile_cont(fs, 25e-2) AS p25, quantile_cont(fs, 5e-1) AS p50, quantile_cont(fs, 99e-2) AS p99
+  FROM fx_fs GROUP BY hr), (SELECT unnest([1e-2, 25e-2, 5e-1, 99e-2]) AS p)""",
+            "fx_fs",
+        ),
+    )
     q(
         "banded_median",
         _with(
@@ -1135,13 +1218,28 @@ FROM (SELECT DISTINCT node_id FROM simulated WHERE fs < 1) o JOIN reach w ON w.n
             **SIMULATED,
         ),
     )
+    q(
+        "storm_georeferenced",
+        _with("SELECT node_id, hr, round(psi, 5) AS psi, round(fs, 5) AS fs FROM simulated", "simulated", **GEOREFERENCED),
+    )
+    q(
+        "deposits_georeferenced",
+        _with(
+            """SELECT terminal_id, count(*) AS n_releases, count(*) * 15e-1 AS deposit_m
+FROM (SELECT DISTINCT node_id FROM simulated WHERE fs < 1) o JOIN reach w ON w.node_id = o.node_id GROUP BY terminal_id""",
+            "simulated",
+            "reach",
+            **GEOREFERENCED,
+        ),
+    )
     q(
         "stream_failed_fraction",
         """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour_start,
   round(avg(CASE WHEN value / 50e0 < 1 THEN 1e0 ELSE 0e0 END), 9) AS failed_frac, count(*) AS n_readings
 FROM events GROUP BY date_trunc('hour', ts)""",
     )
-    q("stream_release_once", "SELECT DISTINCT user_id AS node_id FROM events WHERE value / 50e0 < 1")
+    for name in ("stream_release_once", "stream_release_resumed"):
+        q(name, "SELECT DISTINCT user_id AS node_id FROM events WHERE value / 50e0 < 1")
     return out
 
 

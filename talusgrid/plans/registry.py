@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from talusgrid.functions import colour, numeric, physics, terrain
 from talusgrid.functions import soil as soil_fn
 from talusgrid.operators import drainage, frames, graph, grid, layers, resample, runout, stability, summary
-from talusgrid.operators.joins import rows_within
-from talusgrid.operators.quantiles import exact_percentiles
+from talusgrid.operators.quantiles import exact_percentiles, percentiles_by_group
 from talusgrid.plans import fixtures as fx
 from talusgrid.plans import simulation
 from talusgrid.sources import tables
@@ -90,6 +89,13 @@ def tile_mosaic(spark, sf):
     return grid.mosaic(t, 8, 8, across=10, height=height, width=77)
 
 
+@query
+def mosaic_bands(spark, sf):
+    """Tiles of 4 x 4 pixels with four bands side by side, as columns of the two that are wanted."""
+    cells = grid.mosaic(fx.tiles(spark, sf), 4, 4, across=10, height=F.lit(2**30), width=38, bands=4)
+    return grid.select_bands(cells, [0, 2])
+
+
 @query
 def band_pivot(spark, sf):
     return grid.select_bands(fx.bands(spark, sf), [0, 2])
@@ -159,21 +165,21 @@ def bilinear_resample(spark, sf):
 @query
 def nearest_resample(spark, sf):
     samples = simulation.valid_samples(fx.soil(spark, sf))
-    out = resample.nearest_on_lattice(fx.lattice_nodes(spark, sf), samples, simulation.SOIL_VALUES, sample_rows=rows_within(samples))
+    out = resample.nearest_on_lattice(fx.lattice_nodes(spark, sf), samples, simulation.SOIL_VALUES)
     return out.select("node_id", *simulation.SOIL_VALUES)
 
 
 @query
 def lattice_linear_resample(spark, sf):
     samples = simulation.valid_samples(fx.soil(spark, sf))
-    out = resample.linear_on_lattice(fx.lattice_nodes(spark, sf), samples, simulation.SOIL_VALUES, sample_rows=rows_within(samples))
+    out = resample.linear_on_lattice(fx.lattice_nodes(spark, sf), samples, simulation.SOIL_VALUES)
     return out.select("node_id", *simulation.SOIL_VALUES)
 
 
 @query
 def coverage_mask(spark, sf):
     samples = simulation.valid_samples(fx.soil(spark, sf))
-    return resample.inside_hull(fx.lattice_nodes(spark, sf), samples, sample_rows=rows_within(samples)).select("node_id", "has_soil")
+    return resample.inside_hull(fx.lattice_nodes(spark, sf), samples).select("node_id", "has_soil")
 
 
 @query
@@ -435,6 +441,16 @@ def edge_attrs(spark, sf):
     return rounded(edges.select("src", "dst", "dx_m", "dy_m", "length_m"))
 
 
+@query
+def graph_sink(spark, sf):
+    """The mesh written as a graph and read back: out-degree of every node."""
+    cells, path = fx.cells(spark, sf), new_table_path(spark, "graph")
+    tables.write_graph(cells.select("node_id", "r", "c", "elevation_m"), graph.mesh_edges(cells, *grid.grid_shape(cells)).select("src", "dst"), path)
+    degrees = spark.read.parquet(f"{path}/edges").groupBy(F.col("src").alias("node_id")).agg(F.count(F.lit(1)).alias("degree"))
+    nodes = spark.read.parquet(f"{path}/nodes")
+    return nodes.join(degrees, "node_id", "left").select("node_id", "r", "c", F.coalesce("degree", F.lit(0).cast("long")).alias("degree"))
+
+
 @query
 def d8_downslope(spark, sf):
     return rounded(graph.steepest_descent(fx.cells(spark, sf)).select("node_id", "target_id", "drop"))
@@ -470,6 +486,33 @@ def runout_deposit(spark, sf):
     return rounded(drainage.deposits(runout.releases(fx.node_hours(spark, sf)), reach))
 
 
+@query
+def deposits_stored(spark, sf):
+    """Deposits of a stored run: releases and paths in buckets by node, joined where they lie."""
+    reach = tables.write_bucketed(drainage.cell_terminals(fx.cells(spark, sf)), "terminals", ["node_id"])
+    released = tables.write_bucketed(runout.releases(fx.node_hours(spark, sf)), "releases", ["node_id"])
+    return rounded(drainage.deposits(released, reach))
+
+
+@query
+def released_throughflow(spark, sf):
+    """Depth released upstream of every cell, its own included."""
+    released = runout.releases(fx.node_hours(spark, sf)).select("node_id", "depth_m")
+    return rounded(drainage.throughflow(fx.cells(spark, sf).join(released, "node_id", "left"), "depth_m"))
+
+
+@query
+def deposit_balance(spark, sf):
+    """Depth released against depth deposited: what flows through the sinks is what was released."""
+    released = runout.releases(fx.node_hours(spark, sf)).select("node_id", "depth_m")
+    cells = fx.cells(spark, sf)
+    through = drainage.throughflow(cells.join(released, "node_id", "left"), "depth_m")
+    sinks = graph.sinks(graph.steepest_descent(cells)).select("node_id")
+    landed = through.join(sinks, "node_id").agg(F.sum("through").alias("deposited_m"))
+    total = released.agg(F.sum("depth_m").alias("released_m")).scalar()
+    return rounded(landed.select(total.alias("released_m"), "deposited_m", (F.col("deposited_m") - total).alias("difference_m")), 4)
+
+
 @query
 def failure_onset(spark, sf):
     return runout.failure_onset(fx.node_hours(spark, sf))
@@ -569,7 +612,7 @@ def band_stats(spark, sf):
 @query
 def coverage_share(spark, sf):
     samples = simulation.valid_samples(fx.soil(spark, sf))
-    covered = resample.inside_hull(fx.lattice_nodes(spark, sf), samples, sample_rows=rows_within(samples))
+    covered = resample.inside_hull(fx.lattice_nodes(spark, sf), samples)
     return rounded(summary.coverage_share(covered, F.col("has_soil")), 9)
 
 
@@ -582,6 +625,12 @@ def layer_percentiles(spark, sf):
     return rounded(spark.createDataFrame(rows, "layer string, p double, value double"))
 
 
+@query
+def hourly_safety_percentiles(spark, sf):
+    """Median and outer percentiles of the factor of safety, hour by hour."""
+    return rounded(percentiles_by_group(fx.node_hours(spark, sf), "hr", "fs", [0.01, 0.25, 0.5, 0.99]), 9)
+
+
 @query
 def banded_median(spark, sf):
     k = F.col("node_id")
@@ -723,16 +772,44 @@ def storm_failed_fraction(spark, sf):
 
 @query
 def storm_releases(spark, sf):
-    hours = simulation.simulate(_ready_nodes(spark, sf), physics.storm_shares())
-    return runout.releases(hours)
+    return simulation.storm_releases(_ready_nodes(spark, sf), physics.storm_shares())
 
 
 @query
 def storm_deposits(spark, sf):
     """The whole run: soil and rain at the nodes, storm, failures, and where their debris comes to rest."""
-    hours = simulation.simulate(_ready_nodes(spark, sf), physics.storm_shares())
+    released = simulation.storm_releases(_ready_nodes(spark, sf), physics.storm_shares())
     reach = drainage.cell_terminals(fx.cells(spark, sf))
-    return rounded(drainage.deposits(runout.releases(hours), reach))
+    return rounded(drainage.deposits(released, reach))
+
+
+def _georeferenced_nodes(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The nodes of a georeferenced run, and the same ready for the storm.
+
+    Soil and rain are written as the run's inputs first, in the order of their grids, so that its scans skip what lies
+    outside of the box of the nodes.
+    """
+    nodes = simulation.georeferenced(fx.cells(spark, sf, spread=True), BORDER, numeric.half_even_step(fx.COLUMNS, STRIDE_TARGET))
+    soil_path, rain_path = new_table_path(spark, "soil"), new_table_path(spark, "rain")
+    tables.write_grid(fx.mapped_soil(spark, sf), soil_path, "lr", "lc")
+    tables.write_grid(fx.global_rain(spark, sf), rain_path, "rr", "cc")
+    soil, rain = spark.read.parquet(soil_path), spark.read.parquet(rain_path)
+    return nodes, simulation.storm_nodes(nodes, soil, rain, fx.GLOBAL_RAIN_ROWS, fx.GLOBAL_RAIN_COLUMNS)
+
+
+@query
+def storm_georeferenced(spark, sf):
+    """Raster to storm: crop, stride, degrees, lattice and rain positions, soil and rain at the nodes, pressure and safety by hour."""
+    _, ready = _georeferenced_nodes(spark, sf)
+    return rounded(simulation.simulate(ready, physics.storm_shares()), 5)
+
+
+@query
+def deposits_georeferenced(spark, sf):
+    """The same run to its end: where the debris of the nodes that fail comes to rest on the strided grid."""
+    nodes, ready = _georeferenced_nodes(spark, sf)
+    released = simulation.storm_releases(ready, physics.storm_shares())
+    return rounded(drainage.deposits(released, drainage.cell_terminals(nodes)))
 
 
 # --- streaming --------------------------------------------------------------------------------
@@ -745,10 +822,23 @@ def _reading_stream(spark, sf) -> DataFrame:
 
 @query
 def stream_failed_fraction(spark, sf):
-    parts = monitors.run_to_table(monitors.hour_parts(_reading_stream(spark, sf)), "hour-parts")
-    return rounded(monitors.shares_so_far(parts), 9)
+    answers = monitors.run_to_table(monitors.hour_answers(_reading_stream(spark, sf)), "hour-answers")
+    return rounded(monitors.shares_told(answers), 9)
 
 
 @query
 def stream_release_once(spark, sf):
     return monitors.run_to_table(monitors.released_once(_reading_stream(spark, sf)), "released")
+
+
+@query
+def stream_release_resumed(spark, sf):
+    """Two runs: one over the readings up to the middle of the record, then one over all of them that knows what the first told."""
+    stream = _reading_stream(spark, sf)
+    ends = tables.read_table(spark, sf, "events").agg(F.min("ts").alias("first"), F.max("ts").alias("last")).first()
+    if ends["first"] is None:
+        return monitors.run_to_table(monitors.released_since(stream), "released")
+    middle = ends["first"] + (ends["last"] - ends["first"]) / 2
+    early = monitors.run_to_table(monitors.released_since(stream.where(F.col("ts") <= F.lit(middle).cast("timestamp"))), "released-early")
+    late = monitors.run_to_table(monitors.released_since(stream, earlier=early), "released-late")
+    return early.unionByName(late)

@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talusgrid.functions.physics import FAILURE_DEPTH_M
 from talusgrid.functions.soil import masked_to_zero, with_defaults_outside, with_soil_parameters
-from talusgrid.functions.terrain import TERRAIN_FEATURES, feature_columns, soil_pixel_valid
-from talusgrid.operators.joins import rows_within
+from talusgrid.functions.terrain import TERRAIN_FEATURES, feature_columns, rain_position, soil_pixel_valid, with_lattice_position
+from talusgrid.operators import grid
 from talusgrid.operators.resample import bilinear, filled, inside_hull
-from talusgrid.operators.stability import stability_by_hour
+from talusgrid.operators.stability import onset_by_node, stability_by_hour
 
 SOIL_VALUES = ["sand_gkg", "clay_gkg", "bdod_cgcm3"]
 SOIL_FEATURES = (
@@ -47,9 +48,8 @@ def with_soil(nodes: DataFrame, samples: DataFrame, u: str = "u", v: str = "v")
     gaps are filled inside only.
     """
     valid = valid_samples(samples)
-    n = rows_within(samples)
-    covered = inside_hull(nodes, valid, u, v, n)
-    return with_soil_parameters(filled(covered, valid, SOIL_VALUES, u=u, v=v, only=F.col("has_soil"), sample_rows=n))
+    covered = inside_hull(nodes, valid, u, v)
+    return with_soil_parameters(filled(covered, valid, SOIL_VALUES, u=u, v=v, only=F.col("has_soil")))
 
 
 def storm_nodes(
@@ -60,9 +60,18 @@ def storm_nodes(
     return with_soil(wet, samples)
 
 
-def simulate(ready: DataFrame, shares: Column) -> DataFrame:
-    """Pressure head and factor of safety per node and hour; defaults outside the soil map."""
-    inputs = with_defaults_outside(ready).select(
+def georeferenced(cells: DataFrame, border: int, step: int) -> DataFrame:
+    """Raster cells -> the run's nodes: cropped, strided and renumbered, with degrees and positions on the soil lattice and the rain grid."""
+    rows, cols = grid.grid_shape(cells)
+    kept = grid.stride(grid.crop_border(cells, border, rows, cols), step)
+    placed = with_lattice_position(grid.with_lonlat(kept, step, border))
+    rain_u, rain_v = rain_position(F.col("lon"), F.col("lat"))
+    return placed.withColumns({"rain_u": rain_u, "rain_v": rain_v})
+
+
+def _storm_inputs(ready: DataFrame) -> DataFrame:
+    """What the storm needs of a node; defaults outside the soil map."""
+    return with_defaults_outside(ready).select(
         "node_id",
         "slope_deg",
         "precip_mm",
@@ -72,7 +81,17 @@ def simulate(ready: DataFrame, shares: Column) -> DataFrame:
         "ksat_m_s",
         "diffusivity_m2_s",
     )
-    return stability_by_hour(inputs, shares).select("node_id", "hr", "psi", "fs")
+
+
+def simulate(ready: DataFrame, shares: Column) -> DataFrame:
+    """Pressure head and factor of safety per node and hour; defaults outside the soil map."""
+    return stability_by_hour(_storm_inputs(ready), shares).select("node_id", "hr", "psi", "fs")
+
+
+def storm_releases(ready: DataFrame, shares: Column, depth_m: float = FAILURE_DEPTH_M) -> DataFrame:
+    """Each node that fails releases its slab once, at its first failing hour; node-hours are never made."""
+    onset = onset_by_node(_storm_inputs(ready), shares)
+    return onset.where("onset_hr is not null").select("node_id", "onset_hr", F.lit(depth_m).alias("depth_m"))
 
 
 def unified_features(ready: DataFrame) -> DataFrame:

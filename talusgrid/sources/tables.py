@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talusgrid.sources.workspace import new_table_path
 
 SPREAD_SPLITS = 4
 
@@ -82,11 +85,28 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
         out.write.mode(mode).parquet(path)
 
 
+def write_grid(df: DataFrame, path: str, row: str, col: str) -> None:
+    """Parquet sink of a gridded table, dealt out and sorted by row and column, so that a box filter skips files and row groups."""
+    df.repartitionByRange(row, col).sortWithinPartitions(row, col).write.parquet(path)
+
+
 def write_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
     write_table(nodes, f"{folder}/nodes")
     write_table(edges, f"{folder}/edges")
 
 
+def write_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int = 32) -> DataFrame:
+    """Table in the work folder, dealt into buckets by `keys` and sorted by them inside, a file per bucket; returned as read back.
+
+    Tables with equal keys and bucket counts join and group by them without a shuffle.
+    """
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    out = df.repartition(buckets, *keys).write.format("parquet").option("path", new_table_path(spark, name))
+    out.bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+    return spark.table(table)
+
+
 def write_run(node_hours: DataFrame, releases: DataFrame, folder: str) -> None:
     """Series partitioned by hour, so a frame reads one or two partitions; releases beside it."""
     write_table(node_hours, f"{folder}/node_hour", ["hr"])

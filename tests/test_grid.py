@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from talusgrid.functions import numeric
 from talusgrid.operators import grid, layers
 from talusgrid.operators.joins import lookup_join
-from talusgrid.operators.quantiles import exact_percentiles
+from talusgrid.operators.quantiles import exact_percentiles, percentiles_by_group
 
 
 def raster(spark, values: np.ndarray, name: str = "elevation_m"):
@@ -158,3 +158,15 @@ def test_catalogue_leaves_out_layers_without_bands(spark):
     got = layers.layer_catalogue(cells, nodes).orderBy("display_order").collect()
     assert [r["layer"] for r in got] == ["slope", "twi", "precipitation"]
     assert (got[2]["min_label"], got[2]["max_label"]) == ("7.2 mm", "1.2k mm")
+
+
+def test_percentiles_by_group_are_exact(spark):
+    """Groups of one value, of equal values, of most rows; brackets large enough for one round, and so small that they are cut again."""
+    rng = np.random.default_rng(3)
+    values = {"big": rng.normal(size=30_000), "ties": rng.integers(0, 3, 500).astype(float), "one": np.array([7.5]), "two": np.array([1.0, 2.0]), "same": np.full(400, 2.5)}
+    rows = [(g, float(x)) for g, xs in values.items() for x in xs] + [("big", None), ("none", None), (None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    probabilities = [0.0, 0.013, 0.5, 1.0]
+    for bracket in (100_000, 3):
+        got = {(r["g"], r["p"]): r["value"] for r in percentiles_by_group(df, "g", "x", probabilities, bracket).collect()}
+        assert got == pytest.approx({(g, p): np.percentile(xs, 100 * p) for g, xs in values.items() for p in probabilities}, abs=1e-12)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talusgrid.operators import joins, resample
+from talusgrid.operators import lattice as meeting
 
 
 def points(spark, u, v):
@@ -31,15 +32,12 @@ def lattice(kind, rng):
 
 
 @pytest.mark.parametrize("kind", ["holes", "clusters", "single"])
-@pytest.mark.parametrize("bounded", [True, False])
-def test_nearest_is_exact_at_any_distance(spark, kind, bounded):
+def test_nearest_is_exact_at_any_distance(spark, kind):
     rng = np.random.default_rng(5)
     at = lattice(kind, rng)
     u = np.concatenate([rng.uniform(-120, 120, 150), rng.integers(-3, 25, 60) / 2.0])
     v = np.concatenate([rng.uniform(-60, 200, 150), rng.integers(-3, 25, 60) / 2.0])
-    got = resample.nearest_on_lattice(
-        points(spark, u, v), samples(spark, at), ["x"], sample_rows=len(at) if bounded else None
-    )
+    got = resample.nearest_on_lattice(points(spark, u, v), samples(spark, at), ["x"])
     got = got.toPandas().sort_values("node_id")["x"].to_numpy()
     assert np.array_equal(got, brute_nearest(at, u, v))
 
@@ -73,8 +71,7 @@ def test_filled_prefers_linear_and_respects_only(spark):
 
 
 @pytest.mark.parametrize("shape", ["disc", "triangle", "row", "column", "one"])
-def test_hull_matches_half_planes(spark, shape, monkeypatch):
-    monkeypatch.setattr(resample, "HULL_ROWS", 5)  # several partial hulls
+def test_hull_matches_half_planes(spark, shape):
     grid = [(r, c) for r in range(-9, 22) for c in range(-12, 25)]
     at = {
         "disc": [(r, c) for r, c in grid if (r - 6) ** 2 + (c - 5) ** 2 <= 140],
@@ -87,7 +84,8 @@ def test_hull_matches_half_planes(spark, shape, monkeypatch):
     u, v = rng.uniform(-13, 26, 600), rng.uniform(-10, 23, 600)
     on = rng.integers(0, len(at), 50)
     u[:50], v[:50] = np.array(at)[on, 1], np.array(at)[on, 0]
-    got = resample.inside_hull(points(spark, u, v), samples(spark, at)).toPandas().sort_values("node_id")["has_soil"]
+    dealt = samples(spark, at).repartition(7)  # several partial hulls
+    got = resample.inside_hull(points(spark, u, v), dealt).toPandas().sort_values("node_id")["has_soil"]
     p = np.array(at, dtype=float)
     inside = (v >= p[:, 0].min()) & (v <= p[:, 0].max()) & (u >= p[:, 1].min()) & (u <= p[:, 1].max())
     for a in p:
@@ -117,13 +115,16 @@ def test_bilinear_beyond_the_broadcast_limit(spark, monkeypatch):
 
 
 def test_hull_of_few_samples_with_long_edges(spark):
-    """Three samples span 300 001 lattice rows: too many to broadcast, though the samples are few."""
-    at = [(0, 0), (300_000, 0), (150_000, 90)]
-    u, v = np.array([1.0, 1.0, 89.0, 91.0, -1.0, 0.0]), np.array([1.0, 150_000.5, 150_000.0, 150_000.0, 7.0, 300_000.0])
-    out = resample.inside_hull(points(spark, u, v), samples(spark, at), sample_rows=3)
-    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString().split("HashAggregate")[0]
+    """Three samples span 3 000 001 lattice rows; tasks get three corners, and nothing is joined or shuffled."""
+    at = [(0, 0), (3_000_000, 0), (1_500_000, 90)]
+    assert resample.convex_hull(samples(spark, at)) == ([(0, 0), (3_000_000, 0)], [(0, 0), (1_500_000, 90), (3_000_000, 0)])
+    u, v = np.array([1.0, 1.0, 89.0, 91.0, -1.0, 0.0, 0.0]), np.array([1.0, 1_500_000.5, 1_500_000.0, 1_500_000.0, 7.0, 3_000_000.0, np.nan])
+    out = resample.inside_hull(points(spark, u, v), samples(spark, at))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
     got = {r["node_id"]: r["has_soil"] for r in out.collect()}
-    assert got == {0: False, 1: True, 2: True, 3: False, 4: False, 5: True}
+    assert got == {0: False, 1: True, 2: True, 3: False, 4: False, 5: True, 6: False}
+    assert not any(r["has_soil"] for r in resample.inside_hull(points(spark, u, v), samples(spark, at).limit(0)).collect())
 
 
 def test_a_basin_reads_its_box_of_a_large_grid(spark):
@@ -140,3 +141,79 @@ def test_a_basin_reads_its_box_of_a_large_grid(spark):
         a, b = y - i, x - j
         top, low = value(i, j) * (1 - b) + value(i, j + 1) * b, value(i + 1, j) * (1 - b) + value(i + 1, j + 1) * b
         assert row["mm"] == pytest.approx(top * (1 - a) + low * a)
+
+
+def ring(radius):
+    return sorted({(int(round(radius * np.sin(t))), int(round(radius * np.cos(t)))) for t in np.linspace(0, 2 * np.pi, 16 * radius)})
+
+
+def test_joint_descent_asks_for_leaves_linear_in_the_distance(spark):
+    """Nodes in the middle of a ring of samples need the whole ring, but not more than its leaves once per block."""
+    asked = []
+    for radius in (100, 200, 400):
+        at = ring(radius)
+        rng = np.random.default_rng(radius)
+        nodes = points(spark, rng.uniform(-1, 1, 60), rng.uniform(-1, 1, 60))
+        found, _ = meeting._requests(nodes, samples(spark, at), "u", "v", F.lit(True))
+        asked.append(found.count())
+        got = resample.nearest_on_lattice(nodes, samples(spark, at), ["x"]).toPandas().sort_values("node_id")
+        u, v = (nodes.toPandas()[c].to_numpy() for c in "uv")
+        assert np.array_equal(got["x"].to_numpy(), brute_nearest(at, u, v))
+    assert asked[1] <= 2.5 * asked[0] and asked[2] <= 2.5 * asked[1]
+
+
+def test_far_nodes_ask_for_few_leaves(spark):
+    """A node far beside a full lattice needs the leaves at its near edge only."""
+    at = [(r, c) for r in range(128) for c in range(64)]
+    nodes = points(spark, np.array([500.0, 500.1, 500.2]), np.array([60.0, 60.5, 61.0]))
+    found, box = meeting._requests(nodes, samples(spark, at), "u", "v", F.lit(True))
+    assert found.count() <= 6 and {r["lj"] for r in found.collect()} == {7}
+    assert box == (60.0, 61.0, 500.0, 500.2)
+
+
+def test_covered_nodes_ask_for_nothing(spark):
+    """Every 2 x 2 cell has a sample, so the nearest one is close by: no descent at all."""
+    at = [(r, c) for r in range(64) for c in range(64) if (r + c) % 2 == 0]
+    rng = np.random.default_rng(9)
+    nodes = points(spark, rng.uniform(0, 64, 300), rng.uniform(0, 64, 300))
+    found, _ = meeting._requests(nodes, samples(spark, at), "u", "v", F.lit(True))
+    assert found is None
+    u, v = (nodes.toPandas()[c].to_numpy() for c in "uv")
+    got = resample.nearest_on_lattice(nodes, samples(spark, at), ["x"]).toPandas().sort_values("node_id")["x"].to_numpy()
+    assert np.array_equal(got, brute_nearest(at, u, v))
+
+
+def test_many_nodes_in_one_square(spark):
+    """A block with all nodes is salted, and streams past its samples in several batches."""
+    at = [(r, c) for r in range(-3, 4) for c in range(-3, 4) if (r, c) != (0, 0)]
+    u = np.tile(np.linspace(0, 0.999, 100), 300)
+    v = np.repeat(np.linspace(0, 0.999, 300), 100)
+    got = resample.filled(points(spark, u, v), samples(spark, at), ["x"]).toPandas().sort_values("node_id")
+    upper = u + v >= 1
+    assert np.allclose(got["x"].to_numpy()[upper], (1000 * v + u)[upper])
+    assert np.array_equal(got["x"].to_numpy()[~upper], brute_nearest(at, u[~upper], v[~upper]))
+
+
+def test_nodes_keep_their_columns_and_move_once(spark):
+    nodes = points(spark, np.array([0.5, np.nan, 7.5]), np.array([0.5, 0.5, 0.5])).selectExpr(
+        "node_id", "u", "v", "cast(node_id as string) as label", "array(u) as list", "timestamp'2024-01-01 00:00:00' as t"
+    )
+    out = resample.filled(nodes, samples(spark, [(r, c) for r in range(2) for c in range(3)]), ["x"])
+    assert out.columns == [*nodes.columns, "x"]
+    assert [(r["label"], r["t"].year, r["x"]) for r in out.orderBy("node_id").collect()] == [("0", 2024, 500.5), ("1", 2024, None), ("2", 2024, 2.0)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1
+
+
+def test_a_basin_reads_its_box_of_a_large_lattice(spark, tmp_path):
+    """Samples written as a grid are read by a pushed box filter; the result does not change."""
+    from talusgrid.sources import tables
+
+    at = [(r, c) for r in range(300) for c in range(80)]
+    path = f"{tmp_path}/soil"
+    tables.write_grid(samples(spark, at), path, "lr", "lc")
+    nodes = points(spark, np.array([10.25, 12.5]), np.array([200.5, 207.0]))
+    out = resample.linear_on_lattice(nodes, spark.read.parquet(path), ["x"])
+    assert np.allclose(out.toPandas().sort_values("node_id")["x"], [200510.25, 207012.5])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(lr,196)" in plan and "LessThanOrEqual(lr,212)" in plan

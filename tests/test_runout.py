@@ -7,6 +7,7 @@ from test_grid import raster
 
 from talusgrid.operators import drainage, graph, runout
 from talusgrid.operators.blocks import NEIGHBOURS
+from talusgrid.sources import tables
 from talusgrid.sources.workspace import cut_lineage
 
 
@@ -136,3 +137,36 @@ def test_mesh_edges_are_symmetric_and_complete(spark):
     pairs = {(r["src"], r["dst"]) for r in graph.mesh_edges(cells, 6, 9).collect()}
     assert len(pairs) == 2 * (6 * 8 + 5 * 9)
     assert all((b, a) in pairs for a, b in pairs)
+
+
+@pytest.mark.parametrize("block", [3, 8, 128])
+def test_throughflow_is_the_sum_of_all_upstream_cells(spark, block):
+    """Paths that leave blocks and come back, several into one exit, against walking every path."""
+    rng = np.random.default_rng(block)
+    n = 20
+    z = rng.uniform(0, 3, n * n) + 2 * np.abs(np.arange(n * n) % n - 9) + 0.2 * (np.arange(n * n) // n)
+    rows = [(k, k // n, k % n, float(z[k]), None if k % 7 == 0 else float(k % 5)) for k in range(n * n)]
+    cells = spark.createDataFrame(rows, "node_id long, r int, c int, elevation_m double, depth double")
+    got = {r["node_id"]: r["through"] for r in drainage.throughflow(cells, "depth", block).collect()}
+    target = {r["node_id"]: r["target_id"] for r in graph.steepest_descent(cells).collect()}
+    want = dict.fromkeys(range(n * n), 0.0)
+    for k, *_, depth in rows:
+        at = k
+        while at is not None:
+            want[at] += depth or 0.0
+            at = target[at]
+    assert got == pytest.approx(want)
+
+
+def test_stored_runs_join_without_an_exchange(spark):
+    reach = tables.write_bucketed(spark.range(1000).selectExpr("id AS node_id", "id % 7 AS terminal_id"), "terminals", ["node_id"])
+    released = tables.write_bucketed(spark.range(0, 1000, 3).selectExpr("id AS node_id", "1.5D AS depth_m"), "releases", ["node_id"])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = released.join(reach, "node_id")
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        out = drainage.deposits(released, reach)
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # the sum by terminal
+        assert sum(r["n_releases"] for r in out.collect()) == 334
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 from pyspark.sql import functions as F
 
@@ -99,3 +100,64 @@ def test_late_readings_count(spark, tmp_path):
     stream = spark.readStream.schema("node_id long, ts timestamp, fs double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     got = monitors.shares_so_far(monitors.run_to_table(monitors.hour_parts(stream), "parts")).orderBy("hour_start").collect()
     assert [tuple(r) for r in got] == [("2024-01-01 00:00:00", 0.5, 2), ("2024-01-01 05:00:00", 0.5, 2)]
+
+
+def timed_stream(spark, tmp_path, batches):
+    """A file per batch of (node_id, time, fs), read one a trigger."""
+    for rows in batches:
+        spark.createDataFrame(rows, "node_id long, t string, fs double").selectExpr("node_id", "cast(t as timestamp) as ts", "fs").coalesce(1).write.mode("append").parquet(
+            f"{tmp_path}/in"
+        )
+        time.sleep(0.05)
+    return spark.readStream.schema("node_id long, ts timestamp, fs double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+
+
+def test_answers_while_the_stream_runs(spark, tmp_path):
+    """A first answer, a later one, the final one when the watermark has passed the hour, and late readings on their own."""
+    day = "2024-01-01"
+    batches = [
+        [(1, f"{day} 00:10:00", 0.5), (2, f"{day} 00:20:00", 1.5), (3, f"{day} 01:05:00", 0.5)],
+        [(4, f"{day} 00:50:00", 0.5), (5, f"{day} 04:30:00", 1.5)],
+        [(6, f"{day} 00:55:00", 0.5), (7, f"{day} 04:40:00", 0.5), (8, f"{day} 00:56:00", None)],
+    ]
+    answers = monitors.run_to_table(monitors.hour_answers(timed_stream(spark, tmp_path, batches)), "answers")
+    got = sorted((r["hour"].hour, r["kind"], r["n_readings"], r["n_failed"]) for r in answers.collect())
+    assert got == [(0, "final", 3, 2), (0, "first", 2, 1), (0, "late", 2, 1), (0, "more", 3, 2), (1, "final", 1, 1), (1, "first", 1, 1), (4, "first", 1, 0), (4, "more", 2, 1)]
+    shares = monitors.shares_told(answers).orderBy("hour_start").collect()
+    assert [tuple(r) for r in shares] == [(f"{day} 00:00:00", 0.6, 5), (f"{day} 01:00:00", 1.0, 1), (f"{day} 04:00:00", 0.5, 2)]
+
+
+def test_answers_of_many_hours(spark, tmp_path):
+    rows = spark.range(720 * 5).selectExpr("id AS node_id", "timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 12 * id) AS ts", "(id % 3) / 2e0 AS fs")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("node_id long, ts timestamp, fs double").parquet(f"{tmp_path}/in")
+    answers = monitors.run_to_table(monitors.hour_answers(stream), "answers")
+    kinds = {r["kind"]: r["count"] for r in answers.groupBy("kind").count().collect()}
+    assert kinds == {"first": 720, "final": 717}  # three hours are open at the end
+    told = monitors.shares_told(answers)
+    assert told.count() == 720 and told.agg({"n_readings": "sum"}).first()[0] == 3600
+
+
+def test_a_resumed_run_tells_no_node_again(spark, tmp_path):
+    """The second run starts with the nodes of the first as its state, and says how large the state is."""
+    day = "2024-01-01"
+    first = timed_stream(spark, f"{tmp_path}/a", [[(1, f"{day} 00:10:00", 0.5), (2, f"{day} 00:20:00", 1.5)], [(1, f"{day} 02:10:00", 0.5), (3, f"{day} 02:20:00", 0.5)]])
+    told = monitors.run_to_table(monitors.released_since(first), "released")
+    assert sorted(r["node_id"] for r in told.collect()) == [1, 3]
+    second = timed_stream(spark, f"{tmp_path}/b", [[(1, f"{day} 05:10:00", 0.5), (2, f"{day} 05:20:00", 0.5), (2, f"{day} 05:30:00", 0.5)]])
+    path = new_table_path(spark, "released")
+    query = monitors.started(monitors.released_since(second, earlier=told), path)
+    assert [r["node_id"] for r in spark.read.parquet(path).collect()] == [2]
+    assert monitors.state_size(query)["rows"] == 3
+
+
+def test_flags_of_released_nodes_expire(spark, tmp_path):
+    """With a lifetime a node may be told again after it; within it not."""
+    day = "2024-01-01"
+    batches = [[(1, f"{day} 00:10:00", 0.5)], [(1, f"{day} 00:20:00", 0.5)], [(1, f"{day} 00:30:00", 0.5)]]
+    told = []
+    for ttl_ms in (3_600_000, 1):
+        path = new_table_path(spark, "released")
+        monitors.started(monitors.released_since(timed_stream(spark, f"{tmp_path}/{ttl_ms}", batches), ttl_ms=ttl_ms), path, idle_batches=False)
+        told.append(spark.read.parquet(path).count())
+    assert told == [1, 3]

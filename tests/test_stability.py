@@ -106,3 +106,23 @@ def test_unknown_texture_has_no_strength(spark):
     df = spark.createDataFrame([("clay",), ("gravel",), (None,)], "texture string")
     rows = soil_fn.with_strength(df).collect()
     assert [(r["cohesion_kpa"], r["friction_deg"]) for r in rows] == [(20.0, 20.0), (0.0, 0.0), (0.0, 0.0)]
+
+
+def storm_ready(spark, n=400):
+    k = F.col("id")
+    return spark.range(n).select(
+        k.alias("node_id"), (k % 46 + 1e0).alias("slope_deg"), (F.lit(1e-6) * (1 + k % 7)).alias("ksat_m_s"), F.when(k % 50 != 0, F.lit(1e-5) * (1 + k % 5)).alias("diffusivity_m2_s"),
+        (F.lit(50e0) + 7 * (k % 60)).alias("precip_mm"), (F.lit(1e0) + k % 9).alias("cohesion_kpa"), (F.lit(20e0) + k % 14).alias("friction_deg"), (F.lit(16e0) + k % 5).alias("unit_weight"),
+    )
+
+
+def test_onset_from_the_array_is_the_onset_of_node_hours(spark):
+    from talusgrid.operators import runout
+
+    shares = physics.storm_shares()
+    want = {r["node_id"]: r["onset_hr"] for r in runout.failure_onset(stability.stability_by_hour(storm_ready(spark), shares)).collect()}
+    onset = stability.onset_by_node(storm_ready(spark), shares)
+    got = {r["node_id"]: r["onset_hr"] for r in onset.collect() if r["onset_hr"] is not None}
+    assert got == want and 0 < len(want) < 400 and len(set(want.values())) > 3
+    plan = onset._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Exchange" not in plan

@@ -1,14 +1,17 @@
 """Language identification of mixed texts by expectation maximisation.
 
 Learning. Letters are lower-cased, runs of other characters count as one blank; every three characters fall into one of
-`CELLS` cells by hash. Cell counts per language are added up by task, then by language, over all learnable documents;
+`CELLS` cells by hash. Cell counts per language are added up by task, then by language and cell, over all learnable documents;
 only the sums (CELLS numbers per language) reach the driver and are broadcast.
 
 Inference. A document is a mixture of languages: each of its trigrams comes from language l with probability share[l] and
 then has l's cell probability. Expectation maximisation estimates the shares of all documents of a piece together, as
-array operations. Languages with a share under `LEAST` are dropped; the rest is kept only if its log-likelihood beats
-that of the best single language by more than PENALTY * log(trigrams) / 2 for each further one. The prediction is the
-language with the largest share, and the share is its score.
+array operations, until no shares at all can raise a log-likelihood by more than TOLERANCE (the bound follows from the
+gradient). A set of languages is worth its log-likelihood less PENALTY * log(trigrams) / 2 for each language but one. If all
+languages together do not gain one such penalty over the best single one, no set does, and that one is taken: so it is for nearly
+all documents, and most are known early by the same bound. From the others languages are removed one at a time, always
+the one whose removal, with shares fitted anew, costs least, as long as that is at most a penalty. The
+prediction is the language with the largest share, and the share is its score.
 
 Cases. Null texts and texts without a letter are `und` with score 0, and so is everything if nothing could be learned.
 A null doc_id has no checksum: such documents are neither held out nor learned from. Repeated rows are learned from as
@@ -22,7 +25,6 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,9 +33,10 @@ from talusgrid.llm.common import small_batches
 
 CELLS = 1 << 15
 PIECE = 1 << 20
-ROUNDS = 12
-LEAST = 0.03
 PENALTY = 8.0
+#: Log-likelihood, in nats, that shares may miss, and rounds after which shares are taken as they are.
+TOLERANCE = 0.01
+ROUNDS = 2000
 SMOOTH = 0.5
 #: Languages that a learning task holds counts of before it sends them.
 HELD = 256
@@ -82,11 +85,14 @@ def _pieces(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
 
 
 def _learn(batches):
-    schema = pa.schema([("lang", pa.string()), ("counts", pa.binary())])
+    """(lang, cell, times) of what the task has read; at most HELD languages are held at a time."""
     held: dict[str, np.ndarray] = {}
 
     def sent():
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([c.tobytes() for c in held.values()], pa.binary())], schema=schema)
+        for name, counts in held.items():
+            cells = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(cells), pa.string()), pa.array(cells.astype(np.int32)), pa.array(counts[cells])], names=["lang", "cell", "times"])
+        held.clear()
 
     for batch in batches:
         names = batch.column("lang").to_pylist()
@@ -99,30 +105,21 @@ def _learn(batches):
                 counts = np.bincount(cell[lang[doc] == k], minlength=CELLS)
                 held[name] = held[name] + counts if name in held else counts.astype(np.int64)
         if len(held) > HELD:
-            yield sent()
-            held.clear()
-    if held:
-        yield sent()
-
-
-def _added(frame: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(CELLS, dtype=np.int64)
-    for part in frame["counts"]:
-        total += np.frombuffer(part, dtype=np.int64)
-    return pd.DataFrame({"lang": frame["lang"].iloc[:1], "counts": [total.tobytes()]})
+            yield from sent()
+    yield from sent()
 
 
 def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """docs(text, lang) -> (languages, cell probabilities of each: CELLS x languages)."""
     small_batches(docs.sparkSession)
     rows = docs.where("lang is not null and text is not null").select("text", "lang")
-    sums = rows.mapInArrow(_learn, "lang string, counts binary").groupBy("lang").applyInPandas(_added, "lang string, counts binary")
-    found = sorted((r.lang, np.frombuffer(bytes(r.counts), dtype=np.int64)) for r in sums.collect())
-    found = [(name, counts) for name, counts in found if counts.any()]
-    if not found:
+    sums = rows.mapInArrow(_learn, "lang string, cell int, times long").groupBy("lang", "cell").agg(F.sum("times").alias("times")).toArrow()  # CELLS per language at most
+    if not sums.num_rows:
         return [], np.zeros((CELLS, 0))
-    table = np.stack([counts for _, counts in found], axis=1) + SMOOTH
-    return [name for name, _ in found], table / table.sum(axis=0)
+    names, lang = np.unique(np.array(sums.column("lang").to_pylist()), return_inverse=True)
+    table = np.full((CELLS, len(names)), SMOOTH)
+    table[sums.column("cell").to_numpy(), lang] += sums.column("times").to_numpy()
+    return names.tolist(), table / table.sum(axis=0)
 
 
 def cell_counts(doc: np.ndarray, cell: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,39 +132,90 @@ def cell_counts(doc: np.ndarray, cell: np.ndarray, docs: int) -> tuple[np.ndarra
     return key // CELLS, key % CELLS, times
 
 
+class Mixtures:
+    """Documents as entries (cell probabilities by language, times), ordered by document."""
+
+    def __init__(self, chance: np.ndarray, times: np.ndarray, size: np.ndarray):
+        self.chance, self.times, self.size = chance, times, size
+        self.begin = np.cumsum(size) - size
+        self.own = np.repeat(np.arange(len(size)), size)
+        self.total = np.add.reduceat(times, self.begin) if len(size) else np.zeros(0)
+
+    def only(self, keep: np.ndarray) -> Mixtures:
+        entries = keep[self.own]
+        return Mixtures(self.chance[entries], self.times[entries], self.size[keep])
+
+    def ascent(self, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log-likelihood of each document, the shares of the next round, and what any shares of the same languages can gain at most."""
+        mix = np.maximum(np.einsum("ij,ij->i", self.chance, share[self.own]), 1e-300)
+        found = np.add.reduceat(np.log(mix) * self.times, self.begin)
+        slope = np.add.reduceat(self.chance * (self.times / mix)[:, None], self.begin) / self.total[:, None]
+        gain = self.total * np.log(np.maximum(np.where(share > 0, slope, 0).max(axis=1), 1))
+        return found, share * slope, gain
+
+
+def fitted(docs: Mixtures, share: np.ndarray, enough: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(shares, log-likelihood) by expectation maximisation from `share`; languages with share 0 stay out.
+
+    A document is done when nothing can gain TOLERANCE, or when it cannot come above `enough`.
+    """
+    out, found = share.copy(), np.full(len(share), -np.inf)
+    place, enough = np.arange(len(share)), np.full(len(share), -np.inf) if enough is None else enough
+    for k in range(ROUNDS):
+        if not len(place):
+            break
+        value, further, gain = docs.ascent(share)
+        out[place], found[place] = share, value
+        going = (gain > TOLERANCE) & (value + gain > enough)
+        share = further / further.sum(axis=1, keepdims=True)
+        if going.mean() < 0.75:  # documents that are done may go on for a while: their shares only get better
+            docs, place, share, enough = docs.only(going), place[going], share[going], enough[going]
+        elif not going.any():
+            break
+    return out, found
+
+
+def selected(docs: Mixtures) -> np.ndarray:
+    """Shares of each document (documents x languages) in the set of languages chosen for it."""
+    count, languages = len(docs.size), docs.chance.shape[1]
+    alone = np.add.reduceat(np.log(docs.chance) * docs.times[:, None], docs.begin)
+    best = alone.argmax(axis=1)
+    out = np.zeros((count, languages))
+    out[np.arange(count), best] = 1
+    penalty = PENALTY * np.log(np.maximum(docs.total, 2)) / 2
+    enough = alone.max(axis=1) + penalty
+    share, value = fitted(docs, np.full((count, languages), 1 / languages), enough)
+    place = np.flatnonzero(value > enough)
+    docs, share, value, penalty = docs.only(value > enough), share[place], value[place], penalty[place]
+    while len(place):
+        cost, rest, reached = np.full(len(place), np.inf), share.copy(), value.copy()
+        for k in range(languages):
+            asked = share[:, k] > 0
+            trial = share[asked]
+            trial[:, k] = 0
+            left = trial.sum(axis=1)
+            # Where the others have next to nothing they start alike.
+            trial = np.where((left < 1e-9)[:, None], (share[asked] > 0) * (np.arange(languages) != k), trial)
+            trial /= trial.sum(axis=1, keepdims=True)
+            again, without = fitted(docs.only(asked), trial)
+            cheaper = value[asked] - without < cost[asked]
+            where = np.flatnonzero(asked)[cheaper]
+            cost[where], rest[where], reached[where] = (value[asked] - without)[cheaper], again[cheaper], without[cheaper]
+        drops = cost <= penalty
+        out[place[~drops]] = share[~drops]
+        single = drops & ((rest > 0).sum(axis=1) == 1)
+        out[place[single]] = rest[single] > 0
+        going = drops & ~single
+        docs, place, share, value, penalty = docs.only(going), place[going], rest[going], reached[going], penalty[going]
+    return out
+
+
 def shares(doc: np.ndarray, cell: np.ndarray, times: np.ndarray, docs: int, table: np.ndarray) -> np.ndarray:
     """Language shares of each text (docs x languages), chosen by penalised likelihood; texts without trigrams get zeros."""
-    languages = table.shape[1]
-    out = np.zeros((docs, languages))
-    if len(doc) == 0:
-        return out
-    begin = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-    size = np.diff(np.append(begin, len(doc)))
-    own = np.repeat(np.arange(len(begin)), size)
-    chance, times = table[cell], times.astype(np.float64)
-    total = np.add.reduceat(times, begin)
-    alone = np.add.reduceat(np.log(chance) * times[:, None], begin)
-    share = np.full((len(begin), languages), 1 / languages)
-
-    def likelihood(share):
-        return np.add.reduceat(np.log(np.maximum(np.einsum("ij,ij->i", chance, share[own]), 1e-300)) * times, begin)
-
-    def refined(share, rounds):
-        for _ in range(rounds):
-            part = chance * share[own]
-            part *= (times / np.maximum(part.sum(axis=1), 1e-300))[:, None]
-            share = np.add.reduceat(part, begin) / total[:, None]
-        return share
-
-    share = refined(share, ROUNDS)
-    share[share < LEAST] = 0
-    share = refined(share / np.maximum(share.sum(axis=1, keepdims=True), 1e-300), 2)
-    further = np.maximum((share > 0).sum(axis=1) - 1, 0)
-    best = alone.argmax(axis=1)
-    single = likelihood(share) - alone[np.arange(len(best)), best] <= further * PENALTY * np.log(np.maximum(total, 2)) / 2
-    share[single] = 0
-    share[single, best[single]] = 1
-    out[doc[begin]] = share
+    out = np.zeros((docs, table.shape[1]))
+    if len(doc):
+        begin = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        out[doc[begin]] = selected(Mixtures(table[cell], times.astype(np.float64), np.diff(np.append(begin, len(doc)))))
     return out
 
 

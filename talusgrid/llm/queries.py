@@ -124,4 +124,4 @@ def llm_queries() -> dict[str, Query]:
 
 
 def llm_sql() -> dict[str, str]:
-    return {"op2_warc": sql.WARC, "op3_substrings": sql.SUBSTRINGS, "op4_mixing": sql.MIXING, "op7_quality": sql.QUALITY, "op11_variants": sql.VARIANTS, "op12_search": sql.SEARCH}
+    return {"op2_warc": sql.WARC, "op3_substrings": sql.SUBSTRINGS, "op4_mixing": sql.MIXING, "op7_quality": sql.QUALITY, "op8_vectors": sql.VECTORS, "op9_ngram_join": sql.NGRAM_JOIN, "op11_variants": sql.VARIANTS, "op12_search": sql.SEARCH}

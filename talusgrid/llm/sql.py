@@ -177,3 +177,41 @@ scores AS (
 ranks AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank FROM scores WHERE score > 0)
 SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM ranks WHERE rank <= 50
 """
+
+# All pairs of equal labels, then everything that links reach.
+VECTORS = r"""
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS i, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+usable AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.i AS a, b.i AS b FROM usable a JOIN usable b ON a.label = b.label AND a.i <> b.i AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 93e-2),
+reach AS (
+  SELECT i AS a, i AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+groups AS (SELECT r.a, min(v.vec_id) AS component_id FROM reach r JOIN v ON v.i = r.b GROUP BY r.a)
+SELECT vec_id, CAST((SELECT count(*) FROM links WHERE links.a = v.i) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN groups ON groups.a = v.i
+"""
+
+# All pairs of documents that share a shingle, then everything that links reach.
+NGRAM_JOIN = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS i, doc_id,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS ws
+  FROM documents),
+grams AS (
+  SELECT DISTINCT i, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(len(ws) - 2), lambda k: ws[k + 1] || ' ' || ws[k + 2] || ' ' || ws[k + 3])
+                                 WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g
+  FROM w),
+sizes AS (SELECT i, count(*) AS n FROM grams GROUP BY i),
+pairs AS (SELECT a.i AS a, b.i AS b, count(*) AS shared FROM grams a JOIN grams b ON a.g = b.g AND a.i <> b.i GROUP BY a.i, b.i),
+links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.i = a JOIN sizes y ON y.i = b WHERE 100 * shared >= 90 * (x.n + y.n - shared)),
+reach AS (
+  SELECT i AS a, i AS b FROM w UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+groups AS (SELECT r.a, min(w.doc_id) AS component_id FROM reach r JOIN w ON w.i = r.b GROUP BY r.a)
+SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
+FROM w LEFT JOIN sizes ON sizes.i = w.i JOIN groups ON groups.a = w.i
+"""

@@ -119,6 +119,49 @@ def test_mixed_languages(spark):
     assert set(got[3]) == {"en", "de"} and got[3]["en"] > 0.7
 
 
+def test_a_small_share_of_a_long_text_is_found(spark):
+    """1 500 characters of a second language in 61 500; a third that is not there is not."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) between 1500 and 9000")
+    model = languages.learn(docs)
+    texts = {name: " ".join(r.text for r in docs.where(f"lang = '{name}'").orderBy("doc_id").collect()) for name in ("en", "de")}
+    rows = [(1, texts["en"][:60_000] + "\n" + texts["de"][:1500])]
+    got = {x.lang: x.share for x in languages.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()[0].langs}
+    assert set(got) == {"en", "de"} and 0.01 < got["de"] < 0.05
+
+
+def test_language_sets_against_all_sets():
+    """Shares against a fine search, and the chosen set against all sets by penalised likelihood."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(8)
+    table = rng.dirichlet(np.full(40, 0.4), 4).T + 1e-4
+    table /= table.sum(axis=0)
+    shares_ = [(1, 0, 0, 0), (0.5, 0.5, 0, 0), (0.9, 0, 0.1, 0), (0.4, 0.3, 0.3, 0), (0.25, 0.25, 0.25, 0.25), (0, 0, 0.02, 0.98), (0.03, 0.97, 0, 0)]
+    sizes = [3, 30, 300, 3000]
+    counts = [rng.multinomial(n, table @ np.array(p)) for p in shares_ for n in sizes]
+    doc, cell = np.nonzero(np.stack(counts))
+    got = languages.shares(doc, cell, np.stack(counts)[doc, cell], len(counts), table)
+
+    def likelihood(count, share):
+        return float((count * np.log(np.maximum(table @ share, 1e-300))).sum())
+
+    def best_of(count, names):
+        share = np.zeros(4)
+        share[list(names)] = 1 / len(names)
+        for _ in range(3000):
+            share = share * (table.T @ (count / (table @ share))) / count.sum()
+        return share, likelihood(count, share)
+
+    for count, share in zip(counts, got, strict=True):
+        penalty = languages.PENALTY * math.log(max(count.sum(), 2)) / 2
+        every = {n: best_of(count, n) for k in range(1, 5) for n in combinations(range(4), k)}
+        worth = {n: value - penalty * (len(n) - 1) for n, (_, value) in every.items()}
+        chosen = tuple(np.flatnonzero(share))
+        assert worth[chosen] >= max(worth.values()) - 0.02
+        assert abs(likelihood(count, share) - every[chosen][1]) < 0.02
+    assert {len(np.flatnonzero(x)) for x in got} >= {1, 2, 3, 4}
+
+
 def test_language_cases(spark):
     docs = awkward(spark, [(20, "123 $$$ 456 ²", "en", "a"), (21, "_1_", "en", "a"), (22, "é", "fr", "a")])
     model = languages.learn(docs)

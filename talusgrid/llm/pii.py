@@ -27,7 +27,7 @@ entity even if all its documents had the term, need no join to be known as too l
 per document. Document counts cover the whole corpus and are pre-aggregated by task.
 
 Texts are moved only where they hold a disclosing term. Each text is asked for such terms in the task that reads it:
-`FILTER_WORDS` words of bits, one broadcast row, say which terms may be disclosing. Texts without one are done; of the others terms
+`FILTER_WORDS` words of bits, the value of a subquery, say which terms may be disclosing. Texts without one are done; of the others terms
 meet the table of disclosing terms in a join, and their text goes along.
 
 Cases. A null text is an empty one. Rows are recognised by doc_id and a hash of the text, null ids included, so
@@ -53,7 +53,7 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "general": "[TERM]", "remove": ""}
 
 REACH = 64
-SIGNS = 4
+SIGNS = 16
 SHINGLE = 3
 #: Size of the bit table of disclosing terms, in 64-bit words.
 FILTER_WORDS = 1 << 16
@@ -260,11 +260,12 @@ def _placed_terms(rows: DataFrame, highest: DataFrame, remove: float) -> DataFra
     The rows that may hold one are gathered once per row after their terms have met the table; all others pass.
     """
     read = rows.withColumn("free", _once(_free(F.col("__text"), F.col("spans"))))
-    may = F.exists(_terms(F.col("free")), lambda t: F.get(F.col("__bits"), _bit(t)[0]).bitwiseAND(_bit(t)[1]) != 0)
-    asked = read.join(F.broadcast(_bits(highest)), F.lit(True)).withColumn("__may", _once(may)).drop("__bits")  # one row
+    # The table is the value of a subquery: tasks hold it once, and no row carries it.
+    bits = stored(_bits(highest), "pii-bits").scalar()
+    may = F.exists(_terms(F.col("free")), lambda t: F.get(bits, _bit(t)[0]).bitwiseAND(_bit(t)[1]) != 0)
     none = F.array().cast(FOUND)
-    rest = asked.where("not __may").select(*rows.columns, none.alias("added"))
-    some = stored(asked.where("__may").drop("__may").withColumn("__id", F.monotonically_increasing_id()), "pii-asked")
+    rest = read.where(~may).select(*rows.columns, none.alias("added"))
+    some = stored(read.where(may).withColumn("__id", F.monotonically_increasing_id()), "pii-asked")
     hits = some.select("__id", F.explode(_terms(F.col("free"))).alias("term")).join(highest, "term")
     scores = hits.groupBy("__id").agg(F.map_from_entries(F.collect_list(F.struct("term", "d"))).alias("scores"))
     placed = some.join(scores, "__id", "left").select(

@@ -9,9 +9,9 @@ seeded key is at most a cut. The cut is placed where the running size in key ord
 missing: first among 4 096 ranges of keys, then among the documents of one range. So a hot source is never
 gathered, documents are decided row by row, and a rerun takes the same ones.
 
-Cases. Null and empty texts have size 0. The null source is a source of its own, last in order. Rows that repeat a
-doc_id share its key and are taken or left together; a null doc_id counts as the text "null". An empty table gives
-an empty result. A source without words has target 0. Other input columns are carried only by `mixed`.
+Cases. Null and empty texts have size 0. The null source is a source of its own, last in order. Keys are made of
+doc_id and text, so rows with null or repeated ids are decided one by one; only rows equal in both share a key and are
+taken or left together. An empty table gives an empty result. A source without words has target 0. Other input columns are carried only by `mixed`.
 """
 
 from __future__ import annotations
@@ -30,8 +30,9 @@ SEED = "mix-1"
 RANGE_DIGITS = 3
 
 
-def row_key(doc_id: Column, seed: str) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
+def row_key(doc_id: Column, text: Column, seed: str) -> Column:
+    named = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.coalesce(text, F.lit("")))
+    return F.md5(named.cast("binary"))
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, max_epochs: float) -> DataFrame:
@@ -87,7 +88,7 @@ def _cuts(sizes: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def _sizes(docs: DataFrame, seed: str) -> DataFrame:
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_key(F.col("doc_id"), seed).alias("key"))
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_key(F.col("doc_id"), F.col("text"), seed).alias("key"))
     return stored(sized, "mix-sizes")
 
 
@@ -123,6 +124,6 @@ def mixed(
     """
     sizes = _sizes(docs, seed)
     cuts = stored(_cuts(sizes, source_targets(sizes, weights, share, max_epochs)), "mix-cuts")
-    rows = docs.select(packed(docs), F.col("source").alias("__source"), row_key(F.col("doc_id"), seed).alias("key"))
+    rows = docs.select(packed(docs), F.col("source").alias("__source"), row_key(F.col("doc_id"), F.col("text"), seed).alias("key"))
     taken = _with_cuts(rows, cuts).select(ROW, _copies().alias("copies"))
     return taken.where("copies > 0").select(ROW, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select(f"{ROW}.*")

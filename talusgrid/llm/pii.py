@@ -20,14 +20,15 @@ Every pair is scored, with p(e | t) estimated for a document from the other ones
 Evidence is counted in independent documents. Copies and near copies say the same thing, and so do documents that share
 a passage; such documents count as one. A document is told apart by the surroundings of e (`REACH` characters on both
 sides) and by `SIGNS` min-hashes of its windows of three words, each of which near copies share nearly always. The pieces
-of evidence of a set of documents are the least of the counts of different surroundings and of different min-hashes. A
-pair with one piece has no other that tells of it, so its estimate is at most p(e) and its disclosure at
+of evidence of a set of documents are the smaller one of the number of different surroundings and of the numbers of
+different values by min-hash, of which the fourth smallest is taken: near copies agree in most min-hashes, documents that share a
+phrase only in few. A pair with one piece has no other that tells of it, so its estimate is at most p(e) and its disclosure at
 most 0, whatever the size of the corpus. Such pairs, and those whose term is too frequent to reach `GENERALISE` with the
 entity even if all its documents had the term, need no join to be known as too low: terms are cut by that bound first,
 per document. Document counts cover the whole corpus and are pre-aggregated by task.
 
 Texts are moved only where they hold a disclosing term. Each text is asked for such terms in the task that reads it:
-`FILTER_WORDS` words of bits, the value of a subquery, say which terms may be disclosing. Texts without one are done; of the others terms
+`FILTER_WORDS` words of bits, one broadcast row, say which terms may be disclosing. Texts without one are done; of the others terms
 meet the table of disclosing terms in a join, and their text goes along.
 
 Cases. A null text is an empty one. Rows are recognised by doc_id and a hash of the text, null ids included, so
@@ -54,6 +55,8 @@ LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"
 
 REACH = 64
 SIGNS = 16
+#: Of the counts by min-hash, the one with so many below it counts: a phrase that unrelated documents share spoils few of them.
+SPOILT = 3
 SHINGLE = 3
 #: Size of the bit table of disclosing terms, in 64-bit words.
 FILTER_WORDS = 1 << 16
@@ -205,7 +208,8 @@ MARKS = ("context", *[f"sign{k}" for k in range(SIGNS)])
 
 def _evidence() -> Column:
     """Independent documents among the rows of a group."""
-    return F.least(*[F.count_distinct(F.col(m)) for m in MARKS])
+    by_sign = F.sort_array(F.array(*[F.count_distinct(F.col(m)) for m in MARKS[1:]]))
+    return F.least(F.count_distinct(F.col(MARKS[0])), F.get(by_sign, F.lit(SPOILT)))
 
 
 def disclosures(docs: DataFrame, found: DataFrame, prior: float = PRIOR, generalise: float = GENERALISE) -> DataFrame:
@@ -260,12 +264,12 @@ def _placed_terms(rows: DataFrame, highest: DataFrame, remove: float) -> DataFra
     The rows that may hold one are gathered once per row after their terms have met the table; all others pass.
     """
     read = rows.withColumn("free", _once(_free(F.col("__text"), F.col("spans"))))
-    # The table is the value of a subquery: tasks hold it once, and no row carries it.
-    bits = stored(_bits(highest), "pii-bits").scalar()
-    may = F.exists(_terms(F.col("free")), lambda t: F.get(bits, _bit(t)[0]).bitwiseAND(_bit(t)[1]) != 0)
+    # One row that takes part in the condition only, so no row carries it.
+    bits = F.broadcast(stored(_bits(highest), "pii-bits"))
+    may = F.exists(_terms(F.col("free")), lambda t: F.get(F.col("__bits"), _bit(t)[0]).bitwiseAND(_bit(t)[1]) != 0)
     none = F.array().cast(FOUND)
-    rest = read.where(~may).select(*rows.columns, none.alias("added"))
-    some = stored(read.where(may).withColumn("__id", F.monotonically_increasing_id()), "pii-asked")
+    rest = read.join(bits, may, "left_anti").select(*rows.columns, none.alias("added"))
+    some = stored(read.join(bits, may, "left_semi").withColumn("__id", F.monotonically_increasing_id()), "pii-asked")
     hits = some.select("__id", F.explode(_terms(F.col("free"))).alias("term")).join(highest, "term")
     scores = hits.groupBy("__id").agg(F.map_from_entries(F.collect_list(F.struct("term", "d"))).alias("scores"))
     placed = some.join(scores, "__id", "left").select(

@@ -89,6 +89,16 @@ def test_mixing_meets_targets_on_the_corpus(spark):
     assert ((by.taken - by.target).abs() <= by.largest / 2 + 1).all()
 
 
+def test_mixing_meets_targets_without_ids(spark):
+    """Documents with null ids, and with one id for all, are decided one by one."""
+    rows = [(None, sentence(i, 20 + i % 9), "en", "none") for i in range(300)] + [(5, sentence(1000 + i, 20 + i % 9), "en", "one") for i in range(300)]
+    rows += [(100 + i, sentence(2000 + i, 25), "en", "small") for i in range(20)]
+    plan = mixing.mix_plan(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).toPandas()
+    plan["taken"] = plan["size"] * plan["copies"]
+    by = plan.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), largest=("size", "max"))
+    assert ((by.taken - by.target).abs() <= by.largest / 2 + 1).all()
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",

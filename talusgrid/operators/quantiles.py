@@ -120,7 +120,7 @@ def _narrowed(target: Column, cuts: Column) -> Column:
     rank = target["rank"]
     low = F.array_max(F.transform(F.filter(cuts, lambda k: k["upto"] <= rank), lambda k: F.struct(k["t"].alias("t"), k["upto"].alias("n"))))
     high = F.array_min(F.transform(F.filter(cuts, lambda k: k["under"] > rank), lambda k: F.struct(k["t"].alias("t"), k["under"].alias("n"))))
-    hit = F.element_at(F.filter(cuts, lambda k: (k["under"] <= rank) & (rank < k["upto"])), 1)["t"]
+    hit = F.get(F.filter(cuts, lambda k: (k["under"] <= rank) & (rank < k["upto"])), 0)["t"]
     below = F.coalesce(low["n"], target["below"])
     return F.struct(
         rank.alias("rank"), F.coalesce(low["t"], target["low"]).alias("low"), F.coalesce(high["t"], target["high"]).alias("high"), below.alias("below"),

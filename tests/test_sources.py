@@ -1,6 +1,7 @@
 import datetime as dt
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from talusgrid.sources import tables
@@ -84,8 +85,6 @@ def test_release_stream_reads_folders_of_files(spark, tmp_path):
 
 
 def test_a_missing_stream_fails(spark, tmp_path):
-    import pytest
-
     with pytest.raises(Exception, match="does not exist|FileNotFound"):
         monitors.read_stream(spark, f"{tmp_path}/events.parquet", spark.range(1).schema)
 
@@ -102,6 +101,14 @@ def test_late_readings_count(spark, tmp_path):
     assert [tuple(r) for r in got] == [("2024-01-01 00:00:00", 0.5, 2), ("2024-01-01 05:00:00", 0.5, 2)]
 
 
+@pytest.fixture
+def few_tasks(spark):
+    """Stateful streams start a Python worker per partition and batch."""
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
 def timed_stream(spark, tmp_path, batches):
     """A file per batch of (node_id, time, fs), read one a trigger."""
     for rows in batches:
@@ -112,7 +119,7 @@ def timed_stream(spark, tmp_path, batches):
     return spark.readStream.schema("node_id long, ts timestamp, fs double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
 
 
-def test_answers_while_the_stream_runs(spark, tmp_path):
+def test_answers_while_the_stream_runs(spark, tmp_path, few_tasks):
     """A first answer, a later one, the final one when the watermark has passed the hour, and late readings on their own."""
     day = "2024-01-01"
     batches = [
@@ -127,7 +134,7 @@ def test_answers_while_the_stream_runs(spark, tmp_path):
     assert [tuple(r) for r in shares] == [(f"{day} 00:00:00", 0.6, 5), (f"{day} 01:00:00", 1.0, 1), (f"{day} 04:00:00", 0.5, 2)]
 
 
-def test_answers_of_many_hours(spark, tmp_path):
+def test_answers_of_many_hours(spark, tmp_path, few_tasks):
     rows = spark.range(720 * 5).selectExpr("id AS node_id", "timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 12 * id) AS ts", "(id % 3) / 2e0 AS fs")
     rows.coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("node_id long, ts timestamp, fs double").parquet(f"{tmp_path}/in")
@@ -138,7 +145,7 @@ def test_answers_of_many_hours(spark, tmp_path):
     assert told.count() == 720 and told.agg({"n_readings": "sum"}).first()[0] == 3600
 
 
-def test_a_resumed_run_tells_no_node_again(spark, tmp_path):
+def test_a_resumed_run_tells_no_node_again(spark, tmp_path, few_tasks):
     """The second run starts with the nodes of the first as its state, and says how large the state is."""
     day = "2024-01-01"
     first = timed_stream(spark, f"{tmp_path}/a", [[(1, f"{day} 00:10:00", 0.5), (2, f"{day} 00:20:00", 1.5)], [(1, f"{day} 02:10:00", 0.5), (3, f"{day} 02:20:00", 0.5)]])
@@ -151,7 +158,7 @@ def test_a_resumed_run_tells_no_node_again(spark, tmp_path):
     assert monitors.state_size(query)["rows"] == 3
 
 
-def test_flags_of_released_nodes_expire(spark, tmp_path):
+def test_flags_of_released_nodes_expire(spark, tmp_path, few_tasks):
     """With a lifetime a node may be told again after it; within it not."""
     day = "2024-01-01"
     batches = [[(1, f"{day} 00:10:00", 0.5)], [(1, f"{day} 00:20:00", 0.5)], [(1, f"{day} 00:30:00", 0.5)]]

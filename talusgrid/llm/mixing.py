@@ -83,7 +83,7 @@ def _cuts(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         "e.source", F.coalesce("last", "range").alias("cut")
     )
     return plan.alias("p").join(cut.alias("c"), F.col("p.source").eqNullSafe(F.col("c.source")), "left").select(
-        "p.source", "source_size", "target", "whole", F.coalesce("cut", F.lit("")).alias("cut")
+        "p.source", "source_size", "target", "whole", F.when(F.col("p.missing") > 0, F.coalesce("cut", F.lit(""))).otherwise("").alias("cut")
     )
 
 

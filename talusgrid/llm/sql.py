@@ -57,7 +57,7 @@ keys AS (
   SELECT d.source, k, sum(size) AS key_size, any_value(target - whole * source_size) AS missing
   FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source GROUP BY d.source, k),
 picked AS (
-  SELECT source, k, sum(key_size) OVER (PARTITION BY source ORDER BY k) - key_size / 2 <= missing AS more FROM keys)
+  SELECT source, k, sum(key_size) OVER (PARTITION BY source ORDER BY k) - key_size / 2 <= missing AND missing > 0 AS more FROM keys)
 SELECT d.doc_id, d.size, p.source_size, p.target,
        CAST(d.size * (p.whole + CASE WHEN picked.more THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source

@@ -72,31 +72,9 @@ def pressure_series(
     """
 
     def respond(z, slope, ks, d0, wt, amount, shares):
-        n = len(z)
-        if n == 0:
-            return pa.array([], pa.list_(pa.float64()))
-        num = [a.to_numpy(zero_copy_only=False).astype(float) for a in (z, slope, ks, d0, wt, amount)]
-        z, slope, ks, d0, wt, amount = num
-        rain = shares.flatten().to_numpy(zero_copy_only=False).astype(float)
-        bins = len(rain) // n
-        if bins * n != len(rain):
-            raise ValueError("every row needs the same number of rain bins")
-        rain = rain.reshape(n, bins)
-        with np.errstate(invalid="ignore"):
-            ks_floor = np.maximum(ks, 1e-12)
-            cos2 = np.cos(slope) ** 2
-            d1 = d0 / np.maximum(cos2, 1e-6)
-            tau = np.arange(bins + 1) * (bin_hours * 3600.0)
-            reach = d1[:, None] * tau[None, :]
-            kernel = np.sqrt(reach) * ierfc_array(z[:, None] / (2.0 * np.sqrt(np.maximum(reach, 1e-12))))
-            kernel[:, 0] = 0.0
-            pulse = np.diff(kernel, axis=1) * (2.0 * amount / ks_floor)[:, None]
-            psi = np.repeat(((cos2 - flux_share * ks / ks_floor) * (z - wt))[:, None], bins, axis=1)
-            for lag in range(bins):
-                psi[:, lag:] += rain[:, : bins - lag] * pulse[:, lag : lag + 1]
-            psi = np.minimum(psi, z[:, None])
+        psi = _responses(z, slope, ks, d0, wt, amount, shares, bin_hours, flux_share)
         values = pa.array(psi.ravel(), type=pa.float64(), from_pandas=True)
-        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bins), values)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(psi) + 1, dtype=np.int32) * psi.shape[1]), values)
 
     run = F.arrow_udf(respond, "array<double>")
     return run(
@@ -104,13 +82,86 @@ def pressure_series(
     )
 
 
-def factor_of_safety(z, psi: Column, slope_rad: Column, cohesion: Column, friction_deg: Column, weight: Column) -> Column:
-    """Infinite-slope factor of safety. Near-flat cells get a tiny denominator instead of a division by 0."""
+def _doubles(*columns: pa.Array) -> list[np.ndarray]:
+    return [a.to_numpy(zero_copy_only=False).astype(float) for a in columns]
+
+
+def _responses(z, slope, ks, d0, wt, amount, shares, bin_hours: float, flux_share: float) -> np.ndarray:
+    """Pressure heads of one batch, a row per node and a column per rain bin; NaN where a parameter is NULL."""
+    n = len(z)
+    if n == 0:
+        return np.zeros((0, 0))
+    z, slope, ks, d0, wt, amount = _doubles(z, slope, ks, d0, wt, amount)
+    rain = shares.flatten().to_numpy(zero_copy_only=False).astype(float)
+    bins = len(rain) // n
+    if bins * n != len(rain):
+        raise ValueError("every row needs the same number of rain bins")
+    rain = rain.reshape(n, bins)
+    with np.errstate(invalid="ignore"):
+        ks_floor = np.maximum(ks, 1e-12)
+        cos2 = np.cos(slope) ** 2
+        d1 = d0 / np.maximum(cos2, 1e-6)
+        tau = np.arange(bins + 1) * (bin_hours * 3600.0)
+        reach = d1[:, None] * tau[None, :]
+        kernel = np.sqrt(reach) * ierfc_array(z[:, None] / (2.0 * np.sqrt(np.maximum(reach, 1e-12))))
+        kernel[:, 0] = 0.0
+        pulse = np.diff(kernel, axis=1) * (2.0 * amount / ks_floor)[:, None]
+        psi = np.repeat(((cos2 - flux_share * ks / ks_floor) * (z - wt))[:, None], bins, axis=1)
+        for lag in range(bins):
+            psi[:, lag:] += rain[:, : bins - lag] * pulse[:, lag : lag + 1]
+        return np.minimum(psi, z[:, None])
+
+
+def _safety_terms(z, slope_rad: Column, friction_deg: Column, weight: Column) -> tuple[Column, Column, Column]:
+    """What does not change with pressure: friction over slope, tangent of friction, and the slab's pull."""
     tan_phi = F.tan(F.radians(friction_deg))
     den = weight * lit(z) * F.sin(slope_rad) * F.cos(slope_rad)
     safe_den = F.when(F.abs(den) < 1e-6, 1e-6).otherwise(den)
     steep = F.greatest(F.tan(slope_rad), F.lit(1e-6))
-    return tan_phi / steep + (cohesion - psi * WATER_UNIT_WEIGHT * tan_phi) / safe_den
+    return tan_phi / steep, tan_phi, safe_den
+
+
+def first_failing_bin(
+    z,
+    slope_rad: Column,
+    ks: Column,
+    d0: Column,
+    water_table,
+    amount: Column,
+    shares: Column,
+    cohesion: Column,
+    friction_deg: Column,
+    weight: Column,
+    bin_hours: float = 1.0,
+    flux_share: float = STEADY_FLUX_SHARE,
+) -> Column:
+    """First rain bin at whose end the factor of safety is below 1, from 0 on; NULL if there is none.
+
+    The series of `pressure_series` never leaves the Arrow function: the terms that do not change with pressure come in
+    once per row, and what is left per bin are a product, a difference and a quotient, the same as in `factor_of_safety`.
+    Marked as nondeterministic, for a filter on the result would otherwise be pushed below it and run it once more.
+    """
+
+    def first(z, slope, ks, d0, wt, amount, shares, cohesion, resting, tan_phi, den):
+        if len(z) == 0:
+            return pa.array([], pa.int32())
+        psi = _responses(z, slope, ks, d0, wt, amount, shares, bin_hours, flux_share)
+        cohesion, resting, tan_phi, den = (x[:, None] for x in _doubles(cohesion, resting, tan_phi, den))
+        with np.errstate(invalid="ignore"):
+            fails = resting + (cohesion - psi * WATER_UNIT_WEIGHT * tan_phi) / den < 1
+        return pa.array(fails.argmax(axis=1).astype(np.int32), mask=~fails.any(axis=1))
+
+    run = F.arrow_udf(first, "int").asNondeterministic()
+    return run(
+        lit(z).cast("double"), slope_rad, ks, d0, lit(water_table).cast("double"), amount.cast("double"), shares,
+        cohesion.cast("double"), *_safety_terms(z, slope_rad, friction_deg, weight),
+    )
+
+
+def factor_of_safety(z, psi: Column, slope_rad: Column, cohesion: Column, friction_deg: Column, weight: Column) -> Column:
+    """Infinite-slope factor of safety. Near-flat cells get a tiny denominator instead of a division by 0."""
+    resting, tan_phi, safe_den = _safety_terms(z, slope_rad, friction_deg, weight)
+    return resting + (cohesion - psi * WATER_UNIT_WEIGHT * tan_phi) / safe_den
 
 
 def display_fs(fs: Column) -> Column:

@@ -83,9 +83,10 @@ def onset_by_node(
 ) -> DataFrame:
     """Adds onset_hr: the first hour whose factor of safety is below 1, NULL if there is none.
 
-    The series stays one array per node and the hour is looked up in it, so nothing is exploded, grouped or shuffled.
+    The series stays inside one Arrow function, which gives back the hour only; nothing is exploded, grouped or shuffled.
     """
-    series = pressure_array(nodes, shares, daily_mm, depth_m, water_table_m)
-    fails = F.transform("_psi", lambda psi: physics.failing(_safety(psi, depth_m)))
-    at = F.array_position(fails, F.lit(True))
-    return series.withColumn("onset_hr", F.when(at > 0, (at - 1).cast("int"))).drop("_psi")
+    onset = physics.first_failing_bin(
+        depth_m, F.radians("slope_deg"), F.col("ksat_m_s"), F.col("diffusivity_m2_s"), water_table_m, F.col(daily_mm) / 1000.0 / 3600.0, shares,
+        F.col("cohesion_kpa"), F.col("friction_deg"), F.col("unit_weight"),
+    )
+    return nodes.withColumn("onset_hr", onset)

@@ -126,3 +126,13 @@ def test_onset_from_the_array_is_the_onset_of_node_hours(spark):
     assert got == want and 0 < len(want) < 400 and len(set(want.values())) > 3
     plan = onset._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Exchange" not in plan
+
+
+def test_a_filter_on_the_onset_runs_the_series_once(spark):
+    """The series of a node is made once and its hours are not looked at in interpreted expressions."""
+    nodes = storm_ready(spark).union(storm_ready(spark, 3).withColumns({"ksat_m_s": F.lit(None).cast("double"), "node_id": F.col("node_id") + 1000}))
+    found = stability.onset_by_node(nodes, physics.storm_shares()).where("onset_hr is not null").select("node_id", "onset_hr")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "lambda" not in plan
+    fails = stability.stability_by_hour(nodes, physics.storm_shares()).where("fs < 1").groupBy("node_id").agg(F.min("hr").alias("onset_hr"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, fails.collect())) != []

@@ -432,17 +432,19 @@ def _groups(sizes: list[int]):
         at = end
 
 
-def encoded(docs: DataFrame, path: str = MODEL, k: int = K, alpha: float = ALPHA, seed: str = SEED, digest_only: bool = False) -> DataFrame:
+def encoded(
+    docs: DataFrame, path: str = MODEL, k: int = K, alpha: float = ALPHA, seed: str = SEED, digest_only: bool = False, digests: bool = False
+) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, rank, n_pieces, log_prob, perturbed, inclusion, pieces), k rows per input row at most.
 
-    With digest_only, `pieces` gives way to `pieces_sha256`, the hash of the ids as little-endian 32-bit numbers, and `round_trip`, whether
-    decoding gives back the text.
+    With digests, `pieces_sha256`, the hash of the ids as little-endian 32-bit numbers, and `round_trip`, whether decoding them gives back
+    the text, come after the pieces; with digest_only, instead of them.
     """
     small_batches(docs.sparkSession)
     words = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path, alpha))
     head = [("doc_id", pa.int64()), ("rank", pa.int32()), ("n_pieces", pa.int64()), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("inclusion", pa.float64())]
-    tail = [("pieces_sha256", pa.string()), ("round_trip", pa.bool_())] if digest_only else [("pieces", pa.list_(pa.int32()))]
-    schema = pa.schema(head + tail)
+    listed, checked = not digest_only, digests or digest_only
+    names = [name for name, _ in head] + ["pieces"] * listed + ["pieces_sha256", "round_trip"] * checked
 
     def run(batches):
         lattice = Lattices(words.value)
@@ -451,19 +453,19 @@ def encoded(docs: DataFrame, path: str = MODEL, k: int = K, alpha: float = ALPHA
             sizes = [n or 0 for n in pa.compute.utf8_length(column).to_pylist()]
             for at, end in _groups(sizes):
                 texts = [t or "" for t in column.slice(at, end - at).to_pylist()]
-                out = [[] for _ in schema]
-                for d, rank, part, log_p, value, score in encode_texts(lattice, ids[at:end], texts, k, seed):
-                    row = [ids[at + d], rank, len(part), log_p, value, score]
-                    if digest_only:
-                        row += [hashlib.sha256(part.astype("<i4").tobytes()).hexdigest(), lattice.words.decoded(part) == texts[d].encode()]
-                    else:
-                        row.append(part)
-                    for column_values, x in zip(out, row, strict=True):
-                        column_values.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
+                rows, ranks, parts, *scores = zip(*encode_texts(lattice, ids[at:end], texts, k, seed), strict=True)
+                parts = [part.astype("<i4") for part in parts]
+                counts = [len(part) for part in parts]
+                out = [pa.array(x, kind) for x, (_, kind) in zip(([ids[at + d] for d in rows], ranks, counts, *scores), head, strict=True)]
+                if listed:
+                    out.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]).astype(np.int32)), pa.array(np.concatenate(parts))))
+                if checked:
+                    out.append(pa.array([hashlib.sha256(part).hexdigest() for part in parts], pa.string()))
+                    out.append(pa.array([lattice.words.decoded(part) == texts[d].encode() for d, part in zip(rows, parts, strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(out, names=names)
 
     kinds = "doc_id long, rank int, n_pieces long, log_prob double, perturbed double, inclusion double"
-    more = ", pieces_sha256 string, round_trip boolean" if digest_only else ", pieces array<int>"
+    more = ", pieces array<int>" * listed + ", pieces_sha256 string, round_trip boolean" * checked
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, kinds + more)
 
 

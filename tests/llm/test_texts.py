@@ -246,6 +246,17 @@ def test_pieces_query(spark, vocabulary):
     assert again == [list(full[(full.doc_id == row.doc_id) & (full["rank"] == k)].pieces.iloc[0]) for k in (1, 2)]
 
 
+def test_pieces_query_returns_its_pieces(spark, vocabulary, tmp_path):
+    """The query gives the encodings, not their digests alone, and the digests and the round trip are those of what it gives."""
+    texts = ["a small text, with a comma", "", None, "second line\nthird \U0001f600", "a small text, with a comma"]
+    spark.createDataFrame([(k if k != 4 else None, t) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = llm_queries()["op10_pieces"](spark, str(tmp_path)).collect()
+    assert len(got) == 2 * 3 + 2
+    for r in got:
+        assert r.pieces_sha256 == hashlib.sha256(np.asarray(r.pieces, dtype="<i4").tobytes()).hexdigest() and len(r.pieces) == r.n_pieces
+        assert r.round_trip and vocabulary.decoded(np.asarray(r.pieces, dtype=np.int64)).decode() == (texts[4 if r.doc_id is None else r.doc_id] or "")
+
+
 def test_pipeline_stages(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "n-gram Jaccard join", "PII", "mixing sources", "SentencePiece encoding"]
     docs = awkward(spark)

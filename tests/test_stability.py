@@ -136,3 +136,18 @@ def test_a_filter_on_the_onset_runs_the_series_once(spark):
     assert plan.count("ArrowEvalPython") == 1 and "lambda" not in plan
     fails = stability.stability_by_hour(nodes, physics.storm_shares()).where("fs < 1").groupBy("node_id").agg(F.min("hr").alias("onset_hr"))
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, fails.collect())) != []
+
+
+def test_releases_stay_one_pass_under_the_deposits(spark):
+    """The filters that the deposits' join puts on the releases do not run the series once more."""
+    from talusgrid.operators import drainage
+    from talusgrid.plans import simulation
+
+    ready = storm_ready(spark).withColumn("has_soil", F.col("node_id") % 3 > 0)
+    reach = spark.range(400).select(F.col("id").alias("node_id"), (F.col("id") % 5).alias("terminal_id"))
+    released = simulation.storm_releases(ready, physics.storm_shares())
+    landed = drainage.deposits(released, reach)
+    plan = landed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "lambda" not in plan
+    failed = {r["node_id"] for r in simulation.simulate(ready, physics.storm_shares()).where("fs < 1").collect()}
+    assert {(r["terminal_id"], r["n_releases"]) for r in landed.collect()} == {(t, n) for t in range(5) if (n := sum(k % 5 == t for k in failed))}

@@ -3,8 +3,8 @@
 Samples stand at whole numbers (lr, lc), at most one each; nodes stand anywhere (v along rows, u along columns).
 Samples are gathered into leaves of LEAF x LEAF lattice points, nodes into blocks of BLOCK x BLOCK squares. Every block
 gets the leaves it needs, nodes and leaves go through one shuffle by block, and an Arrow function meets them there in
-sorted order: it holds the samples of one block and lets the nodes stream past, so a block may have any number of
-nodes. Blocks are salted, since one of them may hold a third of all nodes.
+sorted order: it holds the samples of the blocks in a batch of rows and lets the nodes stream past, so a block may have
+any number of nodes. Blocks are salted, since one of them may hold a third of all nodes.
 
 Which leaves does a block need? Those within HALO of it, for the corners of its squares and for the nearest sample of
 nodes in leaves that have a sample in each 2 x 2 cell: that one is nearer than HALO, and every sample that is not sent
@@ -154,7 +154,7 @@ def _around(axis: str) -> Column:
 
 
 class Samples:
-    """The samples sent to a block, ordered by row, then by column."""
+    """The samples sent to one or more blocks, each once, ordered by row, then by column."""
 
     def __init__(self, row: np.ndarray, col: np.ndarray, x: np.ndarray):
         code, first = np.unique(row.astype(np.int64) << 32 | (col.astype(np.int64) + (1 << 31)), return_index=True)
@@ -162,11 +162,16 @@ class Samples:
         self.rows, starts = np.unique(self.row, return_index=True)
         self.starts = np.append(starts, len(self.row))
 
-    def at(self, row: np.ndarray, col: np.ndarray) -> np.ndarray:
-        """Values at lattice points, NaN where there is no sample."""
+    def spot(self, row: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where samples at lattice points are, and whether there is one."""
         code = row << 32 | (col + (1 << 31))
         spot = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
-        return np.where((self.code[spot] == code)[:, None], self.x[spot], np.nan)
+        return spot, self.code[spot] == code
+
+    def at(self, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+        """Values at lattice points, NaN where there is no sample."""
+        spot, there = self.spot(row, col)
+        return np.where(there[:, None], self.x[spot], np.nan)
 
     def linear(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         """Linear value in the lattice triangle around each node, NaN where there is none.
@@ -182,16 +187,45 @@ class Samples:
         high = np.where((a + b >= 1) & np.isnan(q00), q11 + (q01 - q11) * (1 - a) + (q10 - q11) * (1 - b), np.nan)
         return np.where(np.isnan(full), np.where(np.isnan(low), high, low), full)
 
-    def nearest(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    def nearest(self, u: np.ndarray, v: np.ndarray, part: np.ndarray) -> np.ndarray:
         """Values of the nearest sample, ties going to the smaller (lr, lc).
 
+        First the corners of a node's square are looked up, then the points around them: what lies beyond `ring` more
+        points is at least ring + 1 away, so a nearer sample is the nearest. Only nodes without one, far from all
+        samples or beside large holes, walk over the rows, those of one part of the nodes at a time; parts are neighbours.
+        """
+        best, which = np.full(len(u), np.inf), np.zeros(len(u), dtype=np.int64)
+        open_ = np.arange(len(u))
+        for ring in range(2):
+            x, y = u[open_], v[open_]
+            i, j = np.floor(y).astype(np.int64), np.floor(x).astype(np.int64)
+            near, found = np.full(len(x), np.inf), np.zeros(len(x), dtype=np.int64)
+            for di in range(-ring, ring + 2):
+                for dj in range(-ring, ring + 2):
+                    spot, there = self.spot(i + di, j + dj)
+                    dv, du = y - (i + di), x - (j + dj)
+                    d2 = dv * dv + du * du
+                    closer = there & (d2 < near)
+                    near[closer], found[closer] = d2[closer], spot[closer]
+            best[open_], which[open_] = near, found
+            open_ = open_[near >= (ring + 1) ** 2]
+            if not len(open_):
+                return self.x[which]
+        order = open_[np.argsort(part[open_], kind="stable")]
+        for some in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+            which[some] = self._over_rows(u[some], v[some])
+        return self.x[which]
+
+    def _over_rows(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Positions of the nearest samples at any distance.
+
         Rows are tried from the middle of the nodes outwards; in a row only the columns on both sides of a node can be nearest.
         """
         best, which = np.full(len(u), np.inf), np.zeros(len(u), dtype=np.int64)
-        below, above = v.min() if len(v) else 0, v.max() if len(v) else 0
+        below, above = v.min(), v.max()
         gap = np.maximum(np.maximum(below - self.rows, self.rows - above), 0)
         for k in np.lexsort((np.abs(self.rows - (below + above) / 2), gap)):
-            if gap[k] ** 2 > best.max(initial=0):
+            if gap[k] ** 2 > best.max():
                 break
             dv = v - self.rows[k]
             some = np.flatnonzero(dv * dv <= best)
@@ -202,13 +236,13 @@ class Samples:
                 d2 = dv[some] * dv[some] + du * du
                 closer = (d2 < best[some]) | ((d2 == best[some]) & (lo + side < which[some]))
                 best[some[closer]], which[some[closer]] = d2[closer], lo + side[closer]
-        return self.x[which]
+        return which
 
 
 def _met(width: int, u: str, v: str, linear: bool, nearest: bool):
     """Rows come sorted by block, leaves before nodes: nodes with the values found for them."""
 
-    def resampled(held: Samples, x: np.ndarray, y: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    def resampled(held: Samples, x: np.ndarray, y: np.ndarray, wanted: np.ndarray, part: np.ndarray) -> np.ndarray:
         out = np.full((len(x), width), np.nan)
         placed = np.flatnonzero(~(np.isnan(x) | np.isnan(y)))
         if not len(held.row) or not len(placed):
@@ -218,7 +252,7 @@ def _met(width: int, u: str, v: str, linear: bool, nearest: bool):
         if nearest:
             open_ = placed[np.isnan(out[placed, 0]) & wanted[placed]]
             if len(open_):
-                close = held.nearest(x[open_], y[open_])
+                close = held.nearest(x[open_], y[open_], part[open_])
                 out[open_] = np.where(np.isnan(out[open_]), close, out[open_])
         return out
 
@@ -229,32 +263,32 @@ def _met(width: int, u: str, v: str, linear: bool, nearest: bool):
         return Samples(row, col, x.reshape(-1, width).astype(np.float64))
 
     def run(batches):
+        # All blocks of a batch are looked at together, for they are small: the samples of one are as good for another.
         key, parts, held = None, [], None
         for batch in batches:
             block = np.stack([batch.column(c).to_numpy() for c in ("bi", "bj", "salt")], axis=1)
-            kind = batch.column("kind").to_numpy()
-            edges = np.concatenate([[0], np.flatnonzero((block[1:] != block[:-1]).any(axis=1)) + 1, [len(block)]])
-            is_node = kind == 1
+            if not len(block):
+                continue
+            is_node = batch.column("kind").to_numpy() == 1
+            starts = np.concatenate([[True], (block[1:] != block[:-1]).any(axis=1)])
+            last = int(np.flatnonzero(starts)[-1])
             rows = batch.column("node").filter(pa.array(is_node))
             if isinstance(rows, pa.ChunkedArray):
                 rows = rows.combine_chunks()
             fields = {rows.type.field(k).name: c for k, c in enumerate(rows.flatten())}
             x, y = (fields[c].cast(pa.float64()).to_numpy(zero_copy_only=False) for c in (u, v))
             wanted = batch.column("wanted").filter(pa.array(is_node)).to_numpy(zero_copy_only=False).astype(bool)
-            out, done = np.full((len(x), width), np.nan), 0
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                if hi == lo:
-                    continue
-                if key != (now := tuple(block[lo])):
-                    key, parts, held = now, [], None
-                leaves = int(np.searchsorted(kind[lo:hi], 1))
-                if leaves:
-                    parts.append(batch.column("points").slice(lo, leaves))
-                count = hi - lo - leaves
-                if count:
-                    held = held or gathered(parts)
-                    out[done : done + count] = resampled(held, x[done : done + count], y[done : done + count], wanted[done : done + count])
-                    done += count
+            if key != tuple(block[0]):
+                key, parts, held = tuple(block[0]), [], None
+            leaves = batch.column("points").filter(pa.array(~is_node))
+            if len(leaves) or held is None:
+                held = gathered([*parts, leaves]) if len(x) else None
+            out = resampled(held, x, y, wanted, np.cumsum(starts)[is_node]) if len(x) else np.zeros((0, width))
+            # The last block may go on in the next batch; its samples came before its nodes.
+            ends = batch.column("points").slice(last).filter(pa.array(~is_node[last:]))
+            if last:
+                key, parts, held = tuple(block[last]), [], None
+            parts = [*parts, ends] if len(ends) else parts
             found = [pa.array(np.ascontiguousarray(out[:, k]), from_pandas=True) for k in range(width)]
             if len(x):
                 yield pa.RecordBatch.from_arrays([*fields.values(), *found], names=[*fields, *[f"value{k}" for k in range(width)]])

@@ -267,7 +267,7 @@ def feature_vector(spark, sf):
     return rounded(out.withColumn("feature", F.get(names, F.col("position"))), 9)
 
 
-def _ready_nodes(spark, sf) -> DataFrame:
+def _ready_nodes(spark, sf, carry: tuple[str, ...] | None = None) -> DataFrame:
     c, r = F.col("c"), F.col("r")
     placed = fx.cells(spark, sf, spread=True).withColumns(
         {
@@ -278,7 +278,7 @@ def _ready_nodes(spark, sf) -> DataFrame:
         }
     )
     rain = fx.rain(spark, sf).select("rr", "cc", F.col("mm").alias("precip_mm"))
-    return simulation.storm_nodes(placed, fx.soil(spark, sf), rain, fx.RAIN_ROWS, fx.RAIN_COLUMNS)
+    return simulation.storm_nodes(placed, fx.soil(spark, sf), rain, fx.RAIN_ROWS, fx.RAIN_COLUMNS, carry)
 
 
 NODE_DIGITS = {"ksat_m_s": 15, "diffusivity_m2_s": 14, "theta_sat": 12, "theta_res": 12, "precip_mm": None}
@@ -761,24 +761,24 @@ def soil_layers(spark, sf):
 
 @query
 def storm_simulation(spark, sf):
-    return rounded(simulation.simulate(_ready_nodes(spark, sf), physics.storm_shares()), 5)
+    return rounded(simulation.simulate(_ready_nodes(spark, sf, simulation.STORM_COLUMNS), physics.storm_shares()), 5)
 
 
 @query
 def storm_failed_fraction(spark, sf):
-    hours = simulation.simulate(_ready_nodes(spark, sf), physics.storm_shares())
+    hours = simulation.simulate(_ready_nodes(spark, sf, simulation.STORM_COLUMNS), physics.storm_shares())
     return rounded(summary.failed_fraction(hours), 9)
 
 
 @query
 def storm_releases(spark, sf):
-    return simulation.storm_releases(_ready_nodes(spark, sf), physics.storm_shares())
+    return simulation.storm_releases(_ready_nodes(spark, sf, simulation.STORM_COLUMNS), physics.storm_shares())
 
 
 @query
 def storm_deposits(spark, sf):
     """The whole run: soil and rain at the nodes, storm, failures, and where their debris comes to rest."""
-    released = simulation.storm_releases(_ready_nodes(spark, sf), physics.storm_shares())
+    released = simulation.storm_releases(_ready_nodes(spark, sf, simulation.STORM_COLUMNS), physics.storm_shares())
     reach = drainage.cell_terminals(fx.cells(spark, sf))
     return rounded(drainage.deposits(released, reach))
 
@@ -794,7 +794,7 @@ def _georeferenced_nodes(spark, sf) -> tuple[DataFrame, DataFrame]:
     tables.write_grid(fx.mapped_soil(spark, sf), soil_path, "lr", "lc")
     tables.write_grid(fx.global_rain(spark, sf), rain_path, "rr", "cc")
     soil, rain = spark.read.parquet(soil_path), spark.read.parquet(rain_path)
-    return nodes, simulation.storm_nodes(nodes, soil, rain, fx.GLOBAL_RAIN_ROWS, fx.GLOBAL_RAIN_COLUMNS)
+    return nodes, simulation.storm_nodes(nodes, soil, rain, fx.GLOBAL_RAIN_ROWS, fx.GLOBAL_RAIN_COLUMNS, simulation.STORM_COLUMNS)
 
 
 @query

@@ -29,6 +29,9 @@ SOIL_FEATURES = (
 )
 
 
+#: What a storm reads of a node, beside its position, soil and rain.
+STORM_COLUMNS = ("node_id", "slope_deg")
+
 NODE_FEATURES = (*TERRAIN_FEATURES, "precip_mm", *SOIL_FEATURES, "has_soil_data")
 
 
@@ -53,11 +56,17 @@ def with_soil(nodes: DataFrame, samples: DataFrame, u: str = "u", v: str = "v")
 
 
 def storm_nodes(
-    nodes: DataFrame, samples: DataFrame, coarse_rain: DataFrame, rain_rows: int, rain_cols: int
+    nodes: DataFrame, samples: DataFrame, coarse_rain: DataFrame, rain_rows: int, rain_cols: int, carry: tuple[str, ...] | None = None
 ) -> DataFrame:
-    """Nodes ready for the storm: nodes carry lattice position (u, v) and rain position (rain_u, rain_v)."""
+    """Nodes ready for the storm: nodes carry lattice position (u, v) and rain position (rain_u, rain_v).
+
+    Soil meets the nodes in a function over whole rows, through which the optimizer cannot see. `carry` names the
+    columns that later steps read; only these and the position travel to the soil, the others are dropped.
+    """
+    if carry is not None:
+        nodes = nodes.select(*carry, "u", "v", "rain_u", "rain_v")
     wet = bilinear(nodes, coarse_rain, "precip_mm", rain_rows, rain_cols, "rain_u", "rain_v")
-    return with_soil(wet, samples)
+    return with_soil(wet if carry is None else wet.drop("rain_u", "rain_v"), samples)
 
 
 def georeferenced(cells: DataFrame, border: int, step: int) -> DataFrame:

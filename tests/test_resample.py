@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,3 +218,40 @@ def test_a_basin_reads_its_box_of_a_large_lattice(spark, tmp_path):
     assert np.allclose(out.toPandas().sort_values("node_id")["x"], [200510.25, 207012.5])
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(lr,196)" in plan and "LessThanOrEqual(lr,212)" in plan
+
+
+def met_in_batches(at, u, v, size):
+    """Nodes and leaves as `at_nodes` deals them to one task, sorted by block and cut into batches of `size` rows."""
+    rows, block = [], meeting.BLOCK
+    for k, (x, y) in enumerate(zip(u, v, strict=True)):
+        rows.append((int(y // block), int(x // block), 0, 1, True, {"node_id": k, "u": x, "v": y}, None))
+    for bi, bj in sorted({(r[0], r[1]) for r in rows}):
+        near = [(r, c) for r, c in at if -9 <= r - bi * block < block + 9 and -9 <= c - bj * block < block + 9]
+        rows.append((bi, bj, 0, 0, None, None, [{"lr": r, "lc": c, "x": [r * 1000.0 + c]} for r, c in near]))
+    rows.sort(key=lambda r: r[:4])
+    node = pa.struct([("node_id", pa.int64()), ("u", pa.float64()), ("v", pa.float64())])
+    points = pa.list_(pa.struct([("lr", pa.int32()), ("lc", pa.int32()), ("x", pa.list_(pa.float64()))]))
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), node, points]
+    names = ["bi", "bj", "salt", "kind", "wanted", "node", "points"]
+    table = pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(names, kinds, strict=True))}).combine_chunks()
+    out = meeting._met(1, "u", "v", False, True)(table.to_batches(max_chunksize=size))
+    return pa.Table.from_batches(out).to_pandas().sort_values("node_id")["value0"].to_numpy()
+
+
+@pytest.mark.parametrize("size", [1, 7, 100, 10_000])
+def test_blocks_of_a_batch_meet_their_samples_together(size, monkeypatch):
+    """The work per block is no part of the time: samples are put in order once per batch, and only nodes without a sample around them walk over rows."""
+    rng = np.random.default_rng(3)
+    at = [(r, c) for r in range(128) for c in range(128) if rng.random() < 0.8 and not (60 <= r < 66 and 60 <= c < 66)]
+    u, v = rng.uniform(0, 127, 600), rng.uniform(0, 127, 600)
+    u[:200], v[:200] = np.round(u[:200] * 2) / 2, np.round(v[:200] * 2) / 2  # many ties
+    u[200:220], v[200:220] = rng.uniform(61, 64, 20), rng.uniform(61, 64, 20)
+    made, walked = [], []
+    held, walk = meeting.Samples.__init__, meeting.Samples._over_rows
+    monkeypatch.setattr(meeting.Samples, "__init__", lambda self, *a: (made.append(1), held(self, *a))[1])
+    monkeypatch.setattr(meeting.Samples, "_over_rows", lambda self, x, y: (walked.append(len(x)), walk(self, x, y))[1])
+    got = met_in_batches(at, u, v, size)
+    assert np.array_equal(got, np.array([float(r * 1000 + c) for r, c in (min(at, key=lambda p: ((p[0] - y) ** 2 + (p[1] - x) ** 2, p)) for x, y in zip(u, v, strict=True))]))
+    assert sum(walked) < 60
+    if size == 10_000:
+        assert len(made) == 1

@@ -151,3 +151,21 @@ def test_releases_stay_one_pass_under_the_deposits(spark):
     assert plan.count("ArrowEvalPython") == 1 and "lambda" not in plan
     failed = {r["node_id"] for r in simulation.simulate(ready, physics.storm_shares()).where("fs < 1").collect()}
     assert {(r["terminal_id"], r["n_releases"]) for r in landed.collect()} == {(t, n) for t in range(5) if (n := sum(k % 5 == t for k in failed))}
+
+
+def test_a_storm_moves_only_what_it_reads(spark):
+    """Columns that the storm does not read do not go to the soil with the nodes, and its results are the same."""
+    from talusgrid.plans import simulation
+
+    k = F.col("id")
+    nodes = spark.range(300).select(
+        k.alias("node_id"), (k % 46 + 1e0).alias("slope_deg"), (k % 20 * 0.4e0).alias("u"), (k % 17 * 0.5e0).alias("v"),
+        (k % 4 * 1e0).alias("rain_u"), (k % 3 * 1e0).alias("rain_v"), F.lit("x").alias("not_read"),
+    )
+    soil = spark.range(81).select((k / 9).cast("int").alias("lr"), (k % 9).cast("int").alias("lc"), (F.lit(100e0) + k).alias("sand_gkg"), (k * 2e0).alias("clay_gkg"), F.lit(120e0).alias("bdod_cgcm3"))
+    rain = spark.range(25).select((k / 5).cast("int").alias("rr"), (k % 5).cast("int").alias("cc"), (k * 20e0).alias("precip_mm"))
+    shares = physics.storm_shares()
+    lean, whole = (simulation.storm_releases(simulation.storm_nodes(nodes, soil, rain, 5, 5, carry), shares) for carry in (simulation.STORM_COLUMNS, None))
+    plan = lean._jdf.queryExecution().executedPlan().toString()
+    assert "not_read" not in plan and "rain_u" not in plan[plan.index("MapInArrow") :].split("Sort")[0]
+    assert sorted(map(tuple, lean.collect())) == sorted(map(tuple, whole.collect())) != []

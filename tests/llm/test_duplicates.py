@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 
 
 import numpy as np
@@ -51,6 +52,48 @@ def test_ngram_classes_in_many_blocks(spark, monkeypatch):
     assert got == in_order(jaccard_classes([(r.doc_id, r.text) for r in docs.collect()], 3, 90))
 
 
+def candidates(docs, n, percent, noise=0):
+    """Sizes of the clusters of candidates, largest first; noise: what a far larger corpus adds to each cell of the column table, about."""
+    spark = docs.sparkSession
+    texts = docs.select("doc_id", "text", F.lit(0).cast("long").alias("text_hash"))
+    schema = "doc_id long, text_hash long, n_shingles long, digest binary, node long, slice int, counts binary"
+    described = texts.mapInArrow(ngram_join._describe(n), schema)
+    if noise:
+        cells = [np.random.default_rng(k).poisson(noise, ngram_join.CELLS // ngram_join.SLICES).astype(np.uint16) for k in range(ngram_join.SLICES)]
+        rows = [(None, None, None, None, None, k, bytearray(zlib.compress(part.tobytes(), 1))) for k, part in enumerate(cells)]
+        described = described.unionByName(spark.createDataFrame(rows, schema))
+    found = ngram_join._clusters(texts.drop("text_hash"), described.cache(), n, percent)
+    return sorted((r["count"] for r in found.groupBy("component").count().collect()), reverse=True)
+
+
+def test_copies_of_a_row_count_once_in_a_column(spark):
+    """Ten copies of each text in as many tasks do not make a word of two texts a frequent one, which would link them all."""
+    rows = [(100 * i + k, f"x{i} x{i + 1} u{i} v{i}") for i in range(12) for k in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(10, F.col("doc_id") % 10)
+    assert candidates(docs, 1, 50) == []
+
+
+def test_a_full_column_table_leaves_rare_columns_first(spark):
+    """Where the table of column counts is all noise, texts that share common phrases alone are no candidates."""
+    pick = random.Random(5)
+    rows = [(i, " ".join(pick.choice("abcdefgh") if pick.random() < 0.7 else f"w{pick.randrange(10**6)}" for _ in range(150))) for i in range(400)]
+    rows += [(1000 + i, edited(rows[i][1], i, 2)) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert candidates(docs, 3, 80, noise=1000) == [2] * 5
+
+
+def test_ngram_classes_of_many_sizes(spark, monkeypatch):
+    """One cluster whose sets differ in size, cut into blocks by size; some links are at the bound, and some lengths are missing."""
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(ngram_join, "FEW", 3)
+    text = sentence(77, 600).split()
+    sizes = [*range(10, 30), 38, 39, 48, 60, 61, 75, 76, *range(100, 130, 3), 163, 204, 205, 500, 400, 320, 256]
+    docs = spark.createDataFrame([(i, " ".join(text[:size])) for i, size in enumerate(sizes)], "doc_id long, text string").repartition(3)
+    for percent in (80, 100):
+        got = rows_of(ngram_join.ngram_classes(docs, 1, percent), "doc_id", "n_shingles", "component_id")
+        assert got == in_order(jaccard_classes([(r.doc_id, r.text) for r in docs.collect()], 1, percent))
+
+
 def test_ngram_query(spark):
     rows = list(frame(spark, "documents")[["doc_id", "text"]].itertuples(index=False, name=None))
     got = rows_of(llm_queries()["op9_ngram_join"](spark, FOLDER), "doc_id", "n_shingles", "component_id")
